@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, licenses, simhash, substring, suffix
+from millrace.llm import bpe, langid, licenses, packing, simhash, substring, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +24,32 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text = [str(i) for i in range(1 << 16)].__getitem__
+        for batch in batches:
+            ids = batch.column(1)
+            digests = [
+                hashlib.sha256(" ".join(map(text, x.values.to_numpy().tolist())).encode()).hexdigest() for x in ids
+            ]
+            decoded = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), ids.value_lengths().cast(pa.int64()), pa.array(digests), pa.array(decoded)],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return bpe.decode(encoded, vocabulary).mapInArrow(digest, schema)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"), words=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -51,6 +80,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_language_id,
+            op3_best_fit_packing,
+            op4_bpe,
             op5_simhash,
             op6_substring_dedup,
             op7_suffix_dedup,
