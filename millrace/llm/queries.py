@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, embdedup, langid, licenses, packing, simhash, substring, suffix
+from millrace.llm import ann, bpe, embdedup, langid, licenses, packing, simhash, substring, suffix, tokenio
+from millrace.llm.scratch import new_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,20 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    tokenio.write_token_file(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    read = tokenio.read_chunks(spark, path).select(
+        "shard",
+        "chunk",
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+    return tokenio.with_starts(spark, path, read)
+
+
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -94,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_simhash,
             op6_substring_dedup,
             op7_suffix_dedup,
+            op8_token_file,
             op9_nearest,
             op10_license_scan,
         )

@@ -29,45 +29,52 @@ _LOW48, _LOW32, _WORD = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1), np.u
 
 
 class _Model:
-    """The state of every lane; ids have at most ``width`` bits."""
+    """The state of every lane; ids have at most ``width`` bits.
+
+    Rows of counts are gathered and put back by take and as whole items, which
+    numpy does much faster than by indexing.
+    """
 
     def __init__(self, lanes: int, width: int):
         self.symbols = 3 + width
-        self.rows = np.arange(lanes)
-        self.slot = self.rows << _SLOTS
+        self.columns = self.symbols + 1
+        self.slot = np.arange(lanes) << _SLOTS
+        self.lane16 = np.arange(lanes) << 4
         self.two, self.one = (np.zeros(lanes << _SLOTS, dtype=np.uint32) for _ in range(2))
-        first = np.arange(self.symbols + 1, dtype=np.uint16)
+        first = np.arange(self.columns, dtype=np.uint16)
         self.mixed = np.tile(first, (lanes * 16, 1))
+        self.items = self.mixed.view(f"V{2 * self.columns}").ravel()
         self.zero = np.tile(first, (lanes, 1))
-        self.grow = (np.arange(self.symbols + 1) > np.arange(self.symbols)[:, None]).astype(np.uint16) * np.uint16(_STEP)
+        self.grow = (np.arange(self.columns) > np.arange(self.symbols)[:, None]).astype(np.uint16) * np.uint16(_STEP)
         self.last = np.zeros(lanes, dtype=np.uint32)
         self.hash2 = np.zeros(lanes, dtype=np.uint32)
 
     def predict(self) -> np.ndarray:
         """Cumulative counts of the next symbol, by lane; keeps both predictions."""
-        shift = np.uint32(32 - _SLOTS)
+        shift, three, two = np.uint32(32 - _SLOTS), np.uint32(3), np.uint32(2)
         one = self.last * np.uint32(0x9E3779B1)
         self.at1 = self.slot + (one >> shift)
         self.at2 = self.slot + ((self.hash2 ^ one) * np.uint32(0x85EBCA6B) >> shift)
         self.hash2 = one >> np.uint32(7)
-        e1, e2 = self.one[self.at1], self.two[self.at2]
-        self.id1, self.id2 = e1 >> np.uint32(2), e2 >> np.uint32(2)
-        self.sure1, self.sure2 = e1 & np.uint32(3), e2 & np.uint32(3)
+        e1, e2 = self.one.take(self.at1), self.two.take(self.at2)
+        self.id1, self.id2 = e1 >> two, e2 >> two
+        self.sure1, self.sure2 = e1 & three, e2 & three
         self.sure1 *= (self.id1 != self.id2) | (self.sure2 == 0)  # one vote for the same id
-        self.context = (self.rows << 4) + ((self.sure2 << np.uint32(2)) | self.sure1)
-        self.cumulated = self.mixed[self.context]
+        self.context = self.lane16 + ((self.sure2 << two) | self.sure1)
+        self.cumulated = self.mixed.take(self.context, axis=0)
         return self.cumulated + self.zero
 
     def update(self, ids: np.ndarray, symbols: np.ndarray) -> None:
-        grow = self.grow[symbols]
+        grow = self.grow.take(symbols, axis=0)
         self.cumulated += grow
-        self.mixed[self.context] = self.cumulated
+        self.items[self.context] = self.cumulated.view(self.items.dtype).ravel()
         self.zero += grow
-        entry = ids << np.uint32(2)
-        sure = np.minimum(self.sure2 + np.uint32(1), np.uint32(3))
-        self.two[self.at2] = entry | np.where(ids == self.id2, sure, np.uint32(1))
-        sure = np.minimum(self.sure1 + np.uint32(1), np.uint32(3))
-        self.one[self.at1] = entry | np.where(ids == self.id1, sure, np.uint32(1))
+        entry, one, three = ids << np.uint32(2), np.uint32(1), np.uint32(3)
+        # 1 for another id, one more than before (3 at most) for the same
+        sure = np.minimum(self.sure2 * (ids == self.id2) + one, three)
+        self.two.put(self.at2, entry | sure)
+        sure = np.minimum(self.sure1 * (ids == self.id1) + one, three)
+        self.one.put(self.at1, entry | sure)
         self.last = ids
 
 
@@ -90,33 +97,36 @@ def encode(ids: np.ndarray) -> bytes:
     table = np.zeros(lanes * BLOCK, dtype=np.uint32)
     table[: len(ids)] = ids
     table = np.ascontiguousarray(table.reshape(lanes, BLOCK).T)
-    model, rows = _Model(lanes, width), np.arange(lanes)
+    model = _Model(lanes, width)
+    first = np.arange(lanes) * model.columns
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _LOW48, dtype=np.uint64)
-    words, count = np.zeros((lanes, 2 * BLOCK + 4), dtype=np.uint32), np.zeros(lanes, dtype=np.int64)
+    room = 2 * BLOCK + 4
+    words, count = np.zeros((lanes, room), dtype=np.uint32), np.arange(lanes) * room  # count: the place of the next word
+    flat_words = words.ravel()
 
     def settle() -> None:
         """Add carries to the words before, and put out a word where the span has become small."""
-        nonlocal low, span
+        nonlocal low, span, count
         over = np.flatnonzero(low > _LOW48)
         if len(over):
-            words[over, count[over] - 1] += np.uint32(1)
+            flat_words[count.take(over) - 1] += np.uint32(1)
             low &= _LOW48
-        out = np.flatnonzero(span < _LIMIT)
-        if len(out):
-            words[out, count[out]] = low[out] >> np.uint64(32)
-            count[out] += 1
-            low[out] = (low[out] & _LOW32) << _WORD
-            span[out] <<= _WORD
+        out = span < _LIMIT
+        flat_words.put(count, low >> np.uint64(32))  # only counts if the next place moves on
+        count += out
+        low = np.where(out, (low & _LOW32) << _WORD, low)
+        span <<= out * _WORD
 
+    sizes = _bit_lengths(np.arange(1 << width)) if width <= 20 else None
     for now in table:
         cumulated = model.predict()
-        size = _bit_lengths(now)
+        size = sizes.take(now) if sizes is not None else _bit_lengths(now)
         hit2 = (now == model.id2) & (model.sure2 > 0)
         hit1 = (now == model.id1) & (model.sure1 > 0)
         symbol = np.where(hit2, 0, np.where(hit1, 1, size + 2))
-        flat = rows * cumulated.shape[1] + symbol
+        place = first + symbol
         counts = cumulated.ravel()
-        start, stop = counts[flat].astype(np.uint64), counts[flat + 1].astype(np.uint64)
+        start, stop = counts.take(place).astype(np.uint64), counts.take(place + 1).astype(np.uint64)
         part = span // cumulated[:, -1]
         low += part * start
         span = part * (stop - start)
@@ -128,16 +138,18 @@ def encode(ids: np.ndarray) -> bytes:
         settle()
         model.update(now, symbol)
     for _ in range(3):
-        words[rows, count] = low >> np.uint64(32)
+        flat_words.put(count, low >> np.uint64(32))
         count += 1
         low = (low & _LOW32) << _WORD
+    count -= np.arange(lanes) * room
+    words[np.arange(room) >= count[:, None]] = 0
     while (words > 0xFFFF).any():
         over = words >> np.uint32(16)
         words &= np.uint32(0xFFFF)
         words[:, :-1] += over[:, 1:]
     index = np.column_stack([np.full(lanes, BLOCK), np.array(sums), count]).astype("<u4")
     index[-1, 0] = len(ids) - (lanes - 1) * BLOCK
-    kept = words[np.arange(words.shape[1]) < count[:, None]]
+    kept = words[np.arange(room) < count[:, None]]
     return head + index.tobytes() + kept.astype("<u2").tobytes()
 
 
@@ -153,38 +165,40 @@ def decode(data: bytes) -> np.ndarray:
     flat = np.frombuffer(data, "<u2", int(count.sum()), 20 + 12 * lanes)
     words = np.concatenate([flat, np.zeros(4, dtype=np.uint16)]).astype(np.uint64)
     at, ends = np.cumsum(count) - count, np.cumsum(count)
-    model, rows = _Model(lanes, width), np.arange(lanes)
+    model = _Model(lanes, width)
+    first = np.arange(lanes) * model.columns
     span, code = np.full(lanes, _LOW48, dtype=np.uint64), np.zeros(lanes, dtype=np.uint64)
     for _ in range(3):
         code = (code << _WORD) | words[at]
         at += 1
 
     def settle() -> None:
-        more = np.flatnonzero(span < _LIMIT)
-        if len(more):
-            span[more] <<= _WORD
-            code[more] = (code[more] << _WORD) | words[np.minimum(at[more], ends[more])]
-            at[more] += 1
+        nonlocal span, code, at
+        more = span < _LIMIT
+        shift = more * _WORD
+        span <<= shift
+        code = (code << shift) | words.take(np.minimum(at, ends)) * more
+        at = at + more
 
     table = np.empty((BLOCK, lanes), dtype=np.uint32)
+    one = np.uint64(1)
     for step in range(BLOCK):
         cumulated = model.predict()
         part = span // cumulated[:, -1]
         found = np.minimum(code // part, cumulated[:, -1] - np.uint16(1)).astype(np.uint16)
-        symbol = (cumulated[:, 1:] <= found[:, None]).sum(axis=1)
-        symbol = np.minimum(symbol, model.symbols - 1)
-        place = rows * cumulated.shape[1] + symbol
+        symbol = (cumulated <= found[:, None]).argmin(axis=1) - 1
+        place = first + symbol
         counts = cumulated.ravel()
-        start, stop = counts[place].astype(np.uint64), counts[place + 1].astype(np.uint64)
+        start, stop = counts.take(place).astype(np.uint64), counts.take(place + 1).astype(np.uint64)
         code -= part * start
         span = part * (stop - start)
         settle()
         rest = np.maximum(symbol - 3, 0).astype(np.uint64)
         span >>= rest
-        lower = np.minimum(code // span, (np.uint64(1) << rest) - np.uint64(1))
+        lower = np.minimum(code // span, (one << rest) - one)
         code -= span * lower
         settle()
-        literal = ((np.uint64(1) << rest) * (symbol > 2) + lower).astype(np.uint32)
+        literal = ((one << rest) * (symbol > 2) + lower).astype(np.uint32)
         now = np.where(symbol == 0, model.id2, np.where(symbol == 1, model.id1, literal))
         model.update(now, symbol)
         table[step] = now

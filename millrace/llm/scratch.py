@@ -28,29 +28,45 @@ def scratch_dir(spark: SparkSession) -> str:
     return _LOCAL.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
 
 
-def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so later steps never recompute it.
+def new_path(spark: SparkSession, name: str) -> str:
+    """The path of a table that is yet to be written to the shared folder."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def write(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> str:
+    """Write ``df`` to a new table in the shared folder, in one folder for each value of ``by``; its path.
 
     Shuffle files of the write are dropped as soon as it ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        out = df.write.option("compression", codec)
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, so later steps never recompute it."""
+    return df.sparkSession.read.schema(df.schema).parquet(write(df, name, codec))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table, or a folder of it, that no step needs any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every scratch table of this process; results that still read them must be written first."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, _WRITTEN.pop())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
