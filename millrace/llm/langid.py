@@ -20,12 +20,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.llm.blocks import carried, carried_fields
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
 #: Texts are fitted on about so many documents a language; the sample's size doesn't grow with the table.
 SAMPLE_PER_LANGUAGE = 1500
 UNDETERMINED = "und"
+#: Below this score the two best codewords are about equally near.
+AMBIGUOUS_BELOW = 0.55
 _CHUNK = 1 << 18
 
 
@@ -102,7 +107,7 @@ class LanguageModel:
     code: np.ndarray  #: languages x bits, +1 or -1
     weights: np.ndarray  #: orders x buckets x bits
     bit_weight: np.ndarray  #: by bit, 0 to 1
-    ambiguous_below: float = 0.55
+    ambiguous_below: float = AMBIGUOUS_BELOW
 
     def scores(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Margins (texts x bits) -> index of the nearest codeword, its probability-like score, bits that differ."""
@@ -185,23 +190,37 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, key: Column, per_language
     return model
 
 
-def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text) -> (doc_id, lang_pred, score, ambiguous, bits_off), one row per input row.
+def identify(
+    docs: DataFrame,
+    model: LanguageModel | None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """(id, text) -> (doc_id, lang_pred, score, ambiguous, bits_off, c0...), one row per input row.
 
     lang_pred is a learned language, or `und` with score 0 for a text that is null
     or has no letter (or if nothing could be learned).  Equal losses go to the
-    first language by name.  Repeated rows come back repeated; extra columns are
-    ignored.  One pass over whole texts, no shuffle; the model has a fixed size.
+    first language by name.  Repeated rows come back repeated; columns named in
+    ``carry`` come back as c0, c1..., others are ignored.  One pass over whole texts, no shuffle; the model has a fixed size.
     """
-    schema = "doc_id long, lang_pred string, score double, ambiguous boolean, bits_off int"
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.col(text_col).alias("text"),
-        F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters"),
+    fields = carried_fields(docs, carry)
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", T.LongType()),
+            T.StructField("lang_pred", T.StringType()),
+            T.StructField("score", T.DoubleType()),
+            T.StructField("ambiguous", T.BooleanType()),
+            T.StructField("bits_off", T.IntegerType()),
+            *fields,
+        ]
     )
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
+    extra = [f.name for f in fields]
+    rows = carried(docs, id_col, text_col, carry).select("doc_id", "text", letters, *extra)
     if model is None:
-        out = rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-        return out.withColumns({"ambiguous": F.lit(True), "bits_off": F.lit(0)})
+        out = rows.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        return out.withColumns({"ambiguous": F.lit(True), "bits_off": F.lit(0)}).select(*schema.names)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +234,15 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
             best, score = np.where(letters, best, len(names) - 1), np.where(letters, score, 0.0)
             unsure = (score < m.ambiguous_below) | (wrong > corrects)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(unsure), pa.array(wrong.astype(np.int32))],
-                names=["doc_id", "lang_pred", "score", "ambiguous", "bits_off"],
+                [
+                    batch.column(0),
+                    pa.array(names[best], pa.string()),
+                    pa.array(score),
+                    pa.array(unsure),
+                    pa.array(wrong.astype(np.int32)),
+                    *batch.columns[3:],
+                ],
+                names=schema.names,
             )
 
     return rows.mapInArrow(run, schema)
