@@ -1,0 +1 @@
+"""Millrace: page and corpus processing on the Spark DataFrame API."""
