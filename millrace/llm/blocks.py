@@ -100,7 +100,9 @@ def groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, l
     """Runs of rows with one key, from rows sorted by it."""
     now, rows = None, []
     for batch in batches:
-        for row in batch.to_pylist():
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        for i in range(batch.num_rows):  # row by row, so that no more than one run is copied out of the batch
+            row = {name: column[i].as_py() for name, column in columns.items()}
             if row[key] != now and rows:
                 yield now, rows
                 rows = []
@@ -118,8 +120,8 @@ def by_block(
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for block, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    yield from run(block, payload, [])
+                for block, payload in zip(*batch.columns, strict=True):
+                    yield from run(block.as_py(), payload.as_py(), [])
 
         return blocks.mapInArrow(alone, schema)
 
@@ -222,6 +224,40 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Keys of hashes that were chosen for being small, one to one and even over all ranges."""
+    return mix(h, np.zeros(1, dtype=np.uint64))
+
+
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of the bytes of each span; 8 bytes must follow the last one."""
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    hashes = mix(eight[starts] & _MASKS.take(np.minimum(length, 8)), length.astype(np.uint64) + np.uint64(seed))
+    more, at, left = np.arange(len(starts)), starts, length
+    while True:
+        long = np.flatnonzero(left > 8)
+        if not len(long):
+            return hashes
+        more, at, left = more[long], at[long] + 8, left[long] - 8
+        hashes[more] = mix(hashes[more], eight[at] & _MASKS.take(np.minimum(left, 8)))
+
+
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (runs of bytes but ASCII white space), and the number of each text's first word and the end."""
+    data = np.frombuffer(b" ".join([b"", *raw, b" " * 8]), dtype=np.uint8)
+    space = _SPACE.take(data)
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    length = np.flatnonzero(~space[:-1] & space[1:]) + 1 - starts
+    offsets = np.cumsum([1, *(len(t) + 1 for t in raw)])
+    return hash_spans(data, starts, length), np.searchsorted(starts, offsets)
+
+
 def halves(n: int) -> list[int]:
     """1, and so on up to n, each at most twice the one before: n = 35 gives 1, 2, 3, 5, 9, 18, 35."""
     return [*halves((n + 1) // 2), n] if n > 1 else [1]

@@ -34,6 +34,8 @@ from millrace.llm.scratch import materialize, shuffle_partitions
 LENGTH = 100
 GRAM = 32
 SYMBOL = 24
+#: Shards for each shuffle partition, taken one after another: a shard's suffix array is in memory.
+SHARDS = 4
 _LATER = (1 << 63) - 1
 
 
@@ -140,7 +142,8 @@ class _Block:
         new = np.ones(len(anchors), dtype=bool)
         new[1:] = anchors[1:] != anchors[:-1]
         self.of, self.anchors = np.cumsum(new) - 1, anchors[new]
-        self.keys, self.back, self.copies = np.unique(grams[self.anchors], return_inverse=True, return_counts=True)
+        keys = B.spread(grams[self.anchors])
+        self.keys, self.back, self.copies = np.unique(keys, return_inverse=True, return_counts=True)
         self.first = np.flatnonzero(new)
 
     def records(self, given: list[dict]) -> None:
@@ -234,7 +237,7 @@ def suffix_dedup(
     """(id, text) -> (doc_id, n_bytes, n_removed, spans, kept, c0...), one row per input row.
 
     Texts are their UTF-8 bytes, null ones empty.  Every byte covered by a string
-    of ``length`` bytes (33 to 128) of one document that also starts earlier, by
+    of ``length`` bytes (33 to 127) of one document that also starts earlier, by
     smaller id or in the same document further left, is removed; strings may
     overlap and are judged on the input.  spans are the maximal removed runs as
     [start, stop); kept is the bytes that remain, which need not be whole
@@ -242,8 +245,8 @@ def suffix_dedup(
     order is that of the blocks they are read in, so one of repeated rows stays
     whole.  Columns named in ``carry`` come back as c0, c1...
     """
-    if not GRAM < length <= 128:
-        raise ValueError(f"length must be 33 to 128, not {length}")
+    if not GRAM < length < GRAM + 96:
+        raise ValueError(f"length must be 33 to 127, not {length}")
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     store = B.write_blocks(docs, id_col, text_col, carry)
@@ -260,7 +263,7 @@ def suffix_dedup(
         own = np.flatnonzero(~b.copy)
         if not len(own):
             return
-        bucket = (b.key[own] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+        bucket = (b.key[own] >> np.uint64(32)) * np.uint64(n * SHARDS) >> np.uint64(32)
         ids = b.table.column("doc_id").combine_chunks().fill_null(_LATER).to_numpy()
         doc = np.searchsorted(b.ends, b.from_[own], "right") - 1
         whole = pa.table(
@@ -317,7 +320,7 @@ def suffix_dedup(
         marks = np.ones((len(b.at), 96), dtype=np.uint8)  # a copy within the block goes wholly
         own = np.flatnonzero(~b.copy)
         if len(own):
-            bucket = (b.key[own] >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
+            bucket = (b.key[own] >> np.uint64(32)) * np.uint64(n * SHARDS) >> np.uint64(32)
             raw = np.frombuffer(b"".join(r["payload"] for r in given[1]), np.uint8).reshape(-1, 12)
             marks[own[np.argsort(bucket, kind="stable")]] = np.unpackbits(raw, axis=1)
         hit = (marks > 0) & (np.arange(96) < b.count[:, None])
