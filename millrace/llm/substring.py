@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,28 +29,11 @@ from millrace.llm.scratch import materialize, shuffle_partitions
 WINDOW = 35
 #: Shorter windows than this repeat too often by chance to be worth a pass.
 SHORTEST = 9
-#: Distinct words whose hashes a worker keeps.
-_KEPT = 300_000
 
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
-def _words(texts: pa.Array) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text, the hashes of all words, and the place of each text's first word and the end."""
-    split = [(t.as_py() or b"").split() for t in texts.cast(pa.binary())]
-    ends = np.cumsum([0, *map(len, split)])
-    if len(_HASHES) > _KEPT:
-        _HASHES.clear()
-    look = _HASHES.__getitem__
-    hashes = np.fromiter((h for words in split for h in map(look, words)), np.uint64, int(ends[-1]))
-    return split, hashes, ends
+def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Each text, the hashes of all words, and the number of each text's first word and the end."""
+    raw = [t.as_py() or b"" for t in texts.cast(pa.binary())]
+    return raw, *B.word_hashes(raw)
 
 
 def _levels(window: int) -> list[int]:
@@ -81,7 +63,8 @@ def _climb(hashes: np.ndarray, ends: np.ndarray, window: int, answers: list[list
         new = np.ones(len(places), dtype=bool)
         new[1:] = places[1:] != places[:-1]  # one place may stand for many windows, one after another
         distinct = places[new]
-        keys, first, back, copies = np.unique(h[distinct], return_index=True, return_inverse=True, return_counts=True)
+        keys = B.spread(h[distinct])
+        keys, first, back, copies = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
         if level == len(answers) or not len(keys):
             checks = _checks(hashes, distinct[first], window) if size == window and len(keys) else None
             return "ask", keys, checks, copies > 1
@@ -148,7 +131,7 @@ def substring_dedup(
 
     def finish(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         table = B.unpack(payload)
-        split, hashes, ends = _words(table.column("text").combine_chunks())
+        raw, hashes, ends = _words(table.column("text").combine_chunks())
         kind, alive, _, _ = _climb(hashes, ends, window, given)
         edge = np.zeros(len(hashes) + 1, dtype=np.int64)
         if kind == "done":
@@ -160,12 +143,13 @@ def substring_dedup(
         removed = before[ends[1:]] - before[ends[:-1]]
         texts, spans = [], []
         old = table.column("text").to_pylist()
-        for i, words in enumerate(split):
+        for i, text in enumerate(raw):
             lost = gone[ends[i] : ends[i + 1]]
             if not removed[i]:
                 spans.append([])
-                texts.append((old[i] or "") if keep_layout else b" ".join(words).decode())
+                texts.append((old[i] or "") if keep_layout else b" ".join(text.split()).decode())
                 continue
+            words = text.split()
             cuts = np.flatnonzero(np.diff(np.concatenate([[0], lost.view(np.int8), [0]])))
             spans.append(cuts.reshape(-1, 2).tolist())
             texts.append(b" ".join([words[j] for j in np.flatnonzero(~lost).tolist()]).decode())
