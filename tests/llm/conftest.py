@@ -1,0 +1,61 @@
+from __future__ import annotations
+
+import random
+
+import pytest
+
+#: Extra columns have the names that the operators use inside.
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, "
+    "fp long, block long, payload string, level int, n int, component_id long, c0 string"
+)
+
+
+def words(rng: random.Random, n: int) -> str:
+    return " ".join(rng.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split()) + str(rng.randrange(50)) for _ in range(n))
+
+
+def texts() -> list[str | None]:
+    rng = random.Random(4)
+    passage, other = words(rng, 60), words(rng, 45)
+    long = words(rng, 6000)
+    out = [None, "", " ", "\n\t \x0b", "a", "A b", "ä ö ü ß", "日本語のテキスト", "!!! 123 ???", "x" * 5000, "ab" * 3000]
+    out += [passage, passage, f"{words(rng, 30)} {passage}\n{words(rng, 20)}", f"{passage} {passage}"]
+    out += [f"{words(rng, 5)}\n{other} {words(rng, 5)}", f"{other}  {words(rng, 50)}  ", long, f"{long} end", "la " * 300]
+    out += [words(rng, n) for n in (1, 2, 3, 34, 35, 36, 100, 200)]
+    out += [f"Line {i} of a very common line, then its own: {words(rng, 12)}" for i in range(20)]
+    out += ["the same copy in a hot group " * 8] * 40 + ["emoji \U0001f600   sep nbsp it's we'll"]
+    return out
+
+
+def rows_of(values: list[str | None]) -> list[tuple]:
+    langs = ["en", "de", None]
+    return [(i, t, langs[i % 3], "src", len(t or ""), 1, 2, "p", 3, 4, 5, "c") for i, t in enumerate(values)]
+
+
+@pytest.fixture(scope="session")
+def edge_rows():
+    """(doc_id, text): awkward texts, with ids out of order, a repeated row and two null ids."""
+    rows = rows_of(texts())
+    return [*rows[::-1], rows[13], (None, *rows[11][1:]), (None, "a text without an id", *rows[11][2:])]
+
+
+@pytest.fixture(scope="session")
+def edge(spark, edge_rows):
+    return spark.createDataFrame(edge_rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def unique_rows():
+    return rows_of(texts())
+
+
+@pytest.fixture(scope="session")
+def unique(spark, unique_rows):
+    """The same without repeated rows and null ids."""
+    return spark.createDataFrame(unique_rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="session")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)

@@ -1,0 +1,90 @@
+from __future__ import annotations
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from millrace.llm import langid
+from tests.llm.test_packing import ids
+from tests.llm.test_substring import WORD, slow as removed
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(corpus_pipeline.materialize(stage(spark, out[-1], DATA), "test"))
+    return out
+
+
+def test_names():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "substring_dedup", "best_fit_packing"]
+
+
+def test_columns_stay(stages):
+    for docs in stages[1:4]:
+        assert docs.schema.simpleString() == stages[0].schema.simpleString()
+
+
+def test_language_stage_drops_what_it_rejects(spark, stages):
+    model = langid.fit(stages[0], "text", "lang", F.col("doc_id"))
+    found = langid.identify(stages[0], model).collect()
+    kept = {r.doc_id for r in found if r.lang_pred != "und" and r.score >= langid.AMBIGUOUS_BELOW}
+    assert {r.doc_id for r in stages[1].collect()} == kept
+    assert len(kept) >= 0.97 * len(found)
+
+
+def shingles(text):
+    w = WORD.findall((text or "").lower().encode())
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def test_near_dedup_stage(stages):
+    before = {r.doc_id: shingles(r.text) for r in stages[1].collect()}
+    kept = {r.doc_id for r in stages[2].collect()}
+    alike = lambda a, b: len(before[a] & before[b]) / len(before[a] | before[b])
+    for i in before:
+        smaller = max((alike(i, j) for j in before if j < i), default=0)
+        if smaller == 1 or smaller >= 0.9:
+            assert i not in kept
+        elif smaller < 0.7:
+            assert i in kept
+
+
+def test_substring_stage(stages):
+    before = {r.doc_id: r for r in stages[2].collect()}
+    expected = {i: (n, text) for i, _, n, text in removed([(r.doc_id, r.text) for r in before.values()], 35)}
+    after = stages[3].collect()
+    assert len(after) == len(before)
+    for r in after:
+        n, text = expected[r.doc_id]
+        assert r.text == (text if n else before[r.doc_id].text or "") and r.n_chars == len(r.text)
+        assert not n or b" ".join(WORD.findall(r.text.encode())).decode() == text
+
+
+def test_packing_stage(stages):
+    got = {}
+    for r in stages[4].orderBy("doc_id", "piece").collect():
+        assert r.length <= 2048 and len(r.ids) == 4 * r.length
+        got.setdefault(r.doc_id, []).extend(np.frombuffer(r.ids, "<u4").tolist())
+    assert got == {r.doc_id: [*ids(r.text), 0] for r in stages[3].collect()}
+
+
+def test_run_gives_the_last_stage(spark, stages):
+    found = corpus_pipeline.run(spark, DATA)
+    key = ["doc_id", "piece", "start", "length"]
+    assert sorted(map(tuple, found.select(key).collect())) == sorted(map(tuple, stages[4].select(key).collect()))
+    assert public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_awkward_and_empty_documents(spark, edge, nothing):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    for docs in (edge.select(columns), nothing.select(columns)):
+        for _, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.materialize(stage(spark, docs, DATA), "test")
+        assert docs.count() >= 0
