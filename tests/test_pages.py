@@ -1,0 +1,49 @@
+from __future__ import annotations
+
+from millrace.operators import pages
+
+SCHEMA = "page_id long, url string, html string, host string"
+ROWS = [
+    (1, "http://a.example:80/x?y", '<title>One\nline</title><a href="/p">p</a><a href="http://b.example/q">', "z"),
+    (2, None, '<a href="/p">', None),
+    (3, "http://a.example", None, None),
+    (4, "not a url", "", None),
+    (4, "not a url", "", None),
+]
+
+
+def test_summary(spark):
+    found = pages.page_summary(spark.createDataFrame(ROWS, SCHEMA)).collect()
+    got = sorted(((r.page_id, r.host, r.title, r.n_links) for r in found), key=str)
+    assert got == [
+        (1, "a.example", "One\nline", 2),
+        (2, None, "", 1),
+        (3, "a.example", None, 0),
+        (4, "", "", 0),
+        (4, "", "", 0),
+    ]
+
+
+def test_links_are_absolute(spark):
+    found = pages.page_links(spark.createDataFrame(ROWS, SCHEMA)).collect()
+    assert sorted((r.page_id, r.place, r.target) for r in found if r.target) == [
+        (1, 0, "http://a.example:80/p"),
+        (1, 1, "http://b.example/q"),
+    ]
+    assert [(r.page_id, r.place) for r in found if r.target is None] == [(2, 0)]
+
+
+def test_hosts_and_targets(spark):
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    assert sorted(map(tuple, pages.host_links(rows).collect()), key=str) == [
+        ("", 2, 0),
+        ("a.example", 2, 2),
+        (None, 1, 1),
+    ]
+    assert ("http://b.example/q", 1, 1) in map(tuple, pages.link_targets(rows).collect())
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    for operator in (pages.page_summary, pages.page_links, pages.host_links, pages.link_targets):
+        assert operator(none).count() == 0
