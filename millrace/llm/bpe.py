@@ -12,20 +12,28 @@ of the vocabulary's fixed size.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import itertools
+import struct
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import blocks as B
-from millrace.llm.scratch import materialize, shuffle_partitions
+from millrace.llm.scratch import delete, materialize, shuffle_partitions, write
 
+#: Larger than elsewhere: the larger a block, the less often a word is sent.
+BLOCK_BYTES = 10 << 20
+
+_ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 _RANKS: dict[str, dict[bytes, int]] = {}
+_TOKENS: dict[str, dict[int, bytes]] = {}
 _CORES: dict[str, tiktoken.Encoding] = {}
 
 
@@ -51,100 +59,147 @@ class _Numbers(dict):
         return n
 
 
+def _squeeze(numbers: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, byte by byte of all of them, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    parts = [_ZSTD.compress(p.tobytes()) for p in planes]
+    return struct.pack("<5I", len(numbers), *map(len, parts)) + b"".join(parts)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    n, *sizes = struct.unpack_from("<5I", data)
+    planes, at = np.empty((4, n), dtype=np.uint8), 20
+    for plane, size in zip(planes, sizes, strict=True):
+        plane[:] = np.frombuffer(_UNZSTD.decompress(data[at : at + size]), np.uint8)
+        at += size
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
+def _framed(parts: list[bytes]) -> bytes:
+    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def _unframed(data: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<I", data)
+    ends = np.cumsum([4 + 8 * n, *struct.unpack_from(f"<{n}Q", data, 4)]).tolist()
+    return [data[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+
 def _exploded(table: pa.Table, find, buckets: int) -> tuple[bytes, list[tuple[int, int, bytes]]]:
-    """(ids, counts and word numbers by position, packed; the words of each bucket, packed)."""
-    numbers, parts, counts = _Numbers(), [], []
+    """(ids, counts, each word's bucket and the word numbers by position, packed; the words of each bucket, packed).
+
+    Words are numbered by first use, so that a first use needs no number: it is coded as 0, others as 1 more.
+    """
+    numbers, parts, counts = _Numbers(), [np.zeros(0, np.uint32)], []
     for text in table.column("text").combine_chunks():
         words = find(text.as_py() or "")
         counts.append(len(words))
         parts.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
     words = [w.encode() for w in numbers]
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    bucket = (hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    number = np.empty(len(words), dtype=np.uint32)
-    number[order] = np.arange(len(words), dtype=np.uint32)
-    at = number[np.concatenate([*parts, np.zeros(0, np.uint32)])]
-    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64)).tolist()
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
     rows = []
     for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
         if j > i:
-            own = pa.array([words[k] for k in order[i:j].tolist()], pa.binary())
-            rows.append((b, j - i, B.pack(pa.table({"word": own}))))
+            own = [words[k] for k in order[i:j].tolist()]
+            sizes = np.fromiter(map(len, own), np.uint32, len(own))
+            rows.append((b, j - i, _framed([_squeeze(sizes), _ZSTD.compress(b"".join(own))])))
+    at = np.concatenate(parts)
+    top = np.maximum.accumulate(np.concatenate([[-1], at.astype(np.int64)]))[:-1]
+    coded = np.where(at > top, 0, at + np.uint32(1))
     docs = B.pack(pa.table({"doc_id": table.column("doc_id").combine_chunks(), "count": pa.array(counts, pa.int64())}))
-    positions = B.pack(pa.table({"at": pa.array(at, pa.uint32())}))
-    return len(docs).to_bytes(8, "little") + docs + positions, rows
+    return _framed([docs, _squeeze(bucket), _squeeze(coded)]), rows
+
+
+def _words(payload: bytes) -> list[bytes]:
+    sizes, words = _unframed(payload)
+    words, ends = _UNZSTD.decompress(words), np.cumsum(_numbers(sizes)).tolist()
+    return [words[i:j] for i, j in zip([0, *ends], ends, strict=False)]
 
 
 def encode(
-    docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None,
+    schema: str = "doc_id long, ids array<int>",
 ) -> DataFrame:
     """(id, text) -> (doc_id, ids array<int>), one row per input row.
 
     ids are the ranks of the tokens in the file ``vocabulary``; each match of
     ``pattern`` is encoded by itself, and no string is a special token.  Null and
     empty texts have no ids.  Repeated rows come back repeated; extra columns are
-    ignored.
+    ignored.  ``then`` is applied to each batch where it is made, and gives one of
+    ``schema``: what is derived from the ids then needs no second worker.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, find = B.block_ids(), regex.compile(pattern).findall
-        for table in B.slices(batches, B.BLOCK_BYTES, 1):
+        for table in B.slices(batches, BLOCK_BYTES, 1):
             block = next(ids)
             payload, rows = _exploded(table, find, buckets)
             rows = [(block, 0, b, n, words) for b, n, words in rows] + [(block, B.LAST, 0, 0, payload)]
             yield _rows(rows)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    exploded = materialize(rows.mapInArrow(explode, B.ANSWERS), "words", "none")
+    path = write(rows.mapInArrow(explode, B.ANSWERS), "exploded", "none", by="level")
+    # both folders may be missing: an empty table writes none, and texts without a word only blocks
+    stored = spark.read.schema(B.ANSWERS).option("basePath", path).parquet(path)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = _core(vocabulary, pattern)._encode_single_piece
         for bucket, asked in B.groups(batches, "bucket"):
             known: dict[bytes, list[int]] = {}
             for row in asked:
-                words = B.unpack(row["payload"]).column("word").to_pylist()
-                found = []
+                words = _words(row["payload"])
                 for w in words:
-                    ids = known.get(w)
-                    if ids is None:
-                        known[w] = ids = piece(w)
-                    found.append(ids)
-                table = pa.table({"ids": pa.array(found, pa.list_(pa.int32()))})
-                yield _rows([(row["block"], 0, bucket, row["n"], B.pack(table))])
-
-    asked = exploded.where(F.col("level") == 0).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    answers = asked.mapInArrow(once, B.ANSWERS)
-    blocks = exploded.where(F.col("level") == B.LAST).select("block", "payload")
+                    if w not in known:
+                        known[w] = piece(w)
+                found = [known[w] for w in words]
+                sizes = np.fromiter(map(len, found), np.uint32, len(found))
+                flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+                payload = _framed([_squeeze(sizes), _squeeze(flat)])
+                yield _rows([(row["block"], 0, bucket, row["n"], payload)])
+
+    asked = stored.where(F.col("level") == 0).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    answers = materialize(asked.mapInArrow(once, B.ANSWERS), "encoded", "none")
+    delete(spark, f"{path}/level=0")
+    blocks = stored.where(F.col("level") == B.LAST).select("block", "payload")
 
     def join(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
-        cut = 8 + int.from_bytes(payload[:8], "little")
-        table, at = B.unpack(payload[8:cut]), B.unpack(payload[cut:]).column("at").to_numpy()
-        lists = [B.unpack(r["payload"]).column("ids").combine_chunks() for r in (given[0] if given else [])]
-        flat = np.concatenate([*(x.flatten().to_numpy() for x in lists), np.zeros(0, np.int32)])
-        size = np.concatenate([*(x.value_lengths().to_numpy() for x in lists), np.zeros(0, np.int32)]).astype(np.int64)
-        start = np.cumsum(size) - size
+        docs, bucket, coded = _unframed(payload)
+        table, coded = B.unpack(docs), _numbers(coded).astype(np.int64)
+        at = np.where(coded == 0, np.cumsum(coded == 0) - 1, coded - 1)
+        got = [_unframed(r["payload"]) for r in (given[0] if given else [])]
+        flat = np.concatenate([*(_numbers(x[1]) for x in got), np.zeros(0, np.uint32)])
+        order = np.argsort(_numbers(bucket), kind="stable")
+        by_bucket = np.concatenate([*(_numbers(x[0]) for x in got), np.zeros(0, np.uint32)]).astype(np.int64)
+        if len(by_bucket) != len(order):
+            raise RuntimeError(f"{len(by_bucket)} answers to {len(order)} words")
+        size, start = np.empty_like(by_bucket), np.empty_like(by_bucket)
+        size[order], start[order] = by_bucket, np.cumsum(by_bucket) - by_bucket
         ends = np.concatenate([[0], np.cumsum(table.column("count").to_numpy())])
+        ids = table.column("doc_id").combine_chunks()
         i = 0
-        while i < table.num_rows:  # about a million words at a time
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 20), "right")) - 1)
+        while i < table.num_rows:  # about half a million words at a time
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + (1 << 19), "right")) - 1)
             words = at[ends[i] : ends[j]]
             n = size[words]
             upto = np.concatenate([[0], np.cumsum(n)])
-            ids = flat[np.repeat(start[words] - upto[:-1], n) + np.arange(upto[-1])]
+            tokens = flat[np.repeat(start[words] - upto[:-1], n) + np.arange(upto[-1])]
             offsets = pa.array(upto[ends[i : j + 1] - ends[i]].astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    table.column("doc_id").combine_chunks().slice(i, j - i),
-                    pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())),
-                ],
-                names=["doc_id", "ids"],
-            )
+            of_doc = pa.ListArray.from_arrays(offsets, pa.array(tokens.astype(np.int32)))
+            batch = pa.RecordBatch.from_arrays([ids.slice(i, j - i), of_doc], names=["doc_id", "ids"])
+            yield then(batch) if then else batch
             i = j
 
-    return B.by_block(blocks, answers, join, "doc_id long, ids array<int>")
+    return B.by_block(blocks, answers, join, schema)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -153,6 +208,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["block", "level", "bucket", "n", "payload"])
 
 
+def decoder(vocabulary: str) -> Callable[[Iterable[int]], bytes]:
+    """Ids -> their tokens' bytes; KeyError for an id that the vocabulary lacks."""
+    if vocabulary not in _TOKENS:
+        _TOKENS[vocabulary] = {rank: token for token, rank in ranks(vocabulary).items()}
+    token = _TOKENS[vocabulary].__getitem__
+    return lambda ids: b"".join(map(token, ids))
+
+
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids) -> (doc_id, ids, decoded binary), one row per input row; null ids decode to null, none to nothing.
 
@@ -160,10 +223,10 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {rank: token for token, rank in ranks(vocabulary).items()}.__getitem__
+        decoded = decoder(vocabulary)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                out = [None if x is None else b"".join(map(token, x)) for x in _lists(part.column(1))]
+                out = [None if x is None else decoded(x) for x in lists(part.column(1))]
                 columns = [part.column(0), part.column(1), pa.array(out, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
 
@@ -171,5 +234,6 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
-def _lists(column: pa.Array) -> Iterator[list[int] | None]:
-    return (x.as_py() if not x.is_valid else x.values.to_numpy().tolist() for x in column)
+def lists(column: pa.Array) -> Iterator[list[int] | None]:
+    """Each row's ids as a list."""
+    return (x.values.to_numpy().tolist() if x.is_valid else None for x in column)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import public_tokenizers
 import pyarrow as pa
@@ -36,23 +36,22 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    text = [str(i) for i in range(1 << 16)]
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        decoded, word = bpe.decoder(vocabulary), text.__getitem__
+        rows = [
+            (len(x), hashlib.sha256(" ".join(map(word, x)).encode()).hexdigest(), hashlib.sha256(decoded(x)).hexdigest())
+            for x in bpe.lists(batch.column(1))
+        ]
+        kinds = (pa.int64(), pa.string(), pa.string())
+        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text = [str(i) for i in range(1 << 16)].__getitem__
-        for batch in batches:
-            ids = batch.column(1)
-            digests = [
-                hashlib.sha256(" ".join(map(text, x.values.to_numpy().tolist())).encode()).hexdigest() for x in ids
-            ]
-            decoded = [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), ids.value_lengths().cast(pa.int64()), pa.array(digests), pa.array(decoded)],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return bpe.decode(encoded, vocabulary).mapInArrow(digest, schema)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    docs = _table(spark, sf_dir, "documents")
+    return bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, then=digest, schema=schema)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
