@@ -2,43 +2,77 @@
 
 The byte-level pre-tokenizer always cuts right before a single space that a
 non-space follows, and the cut depends on nothing to its left.  A text in which
-every space is such a space is therefore encoded piece by piece, each distinct
-piece once; any other text goes to the library whole.
+every space is such a space is therefore encoded piece by piece: the library
+encodes each piece that isn't remembered, and the ids of all pieces are put
+together by position.  Any other text goes to the library whole.
+
+Pieces are remembered by 128 bits of their hash, in a table of fixed size in
+which a new piece takes the place of an old one.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces that a worker keeps.
-KEPT = 300_000
-#: Texts are encoded in runs of about so many characters.
-RUN = 1 << 20
-#: Pieces longer than this are not kept.
-LONG = 64
+from millrace.llm.blocks import hash_spans
+
+#: Bits of the memory's index, and the ids in it before it starts anew.
+SLOTS, KEPT = 21, 1 << 23
+#: Texts are encoded in runs of about so many bytes, and new pieces in runs of so many.
+RUN, FRESH = 1 << 21, 512
+
+_ASCII_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r\x1c\x1d\x1e\x1f", np.uint8))
+#: The first two bytes of white space beyond ASCII, in UTF-8 (the third is not looked at).
+_WIDE_SPACE = [0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]
 
 
 class Encoder:
     """Little-endian unsigned 32-bit ids of texts."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
         self.library.no_padding()
-        self.known: dict[str, bytes] = {}
-        # the shortcut holds for the byte-level pre-tokenizer without a prefix space and without a normalizer
+        # pieces hold for the byte-level pre-tokenizer without a prefix space and without a normalizer
         state = self.library.pre_tokenizer.__getstate__() if self.library.pre_tokenizer else b""
         self.pieces = (
             b'"ByteLevel"' in state and b'"add_prefix_space":false' in state and self.library.normalizer is None
         )
+        # the byte-level vocabulary writes a space as U+0120: a token that begins with it begins a piece
+        ids = self.library.get_vocab()
+        self.begins = np.zeros(max(ids.values(), default=0) + 1, dtype=bool)
+        self.begins[[i for token, i in ids.items() if token.startswith("\u0120")]] = True
+        self._forget()
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+    def _forget(self) -> None:
+        self.key, self.check = (np.zeros(1 << SLOTS, dtype=np.uint64) for _ in range(2))
+        self.start, self.size = (np.zeros(1 << SLOTS, dtype=np.int32) for _ in range(2))
+        self.ids, self.held = np.zeros(KEPT + (KEPT >> 2), dtype=np.uint32), 0
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct pieces, none of which is empty or holds a space, each after a space; and their numbers."""
+        found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(pieces), FRESH):
+            part = pieces[i : i + FRESH]
+            (ids,) = self._library([" " + " ".join(part)])
+            cuts = np.flatnonzero(self.begins[ids])
+            if len(cuts) == len(part):
+                found.append(ids)
+                sizes.append(np.diff(np.append(cuts, len(ids))))
+            else:  # a token spans two pieces, or begins inside one
+                lists = self._library([f" {p}" for p in part])
+                found.extend(lists)
+                sizes.append(np.array([len(x) for x in lists]))
+        return np.concatenate(found), np.concatenate(sizes)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in order; null counts as empty."""
@@ -49,32 +83,73 @@ class Encoder:
             if held >= RUN:
                 yield from self._run(run)
                 run, held = [], 0
-        yield from self._run(run)
+        if run:
+            yield from self._run(run)
 
     def _run(self, texts: list[str]) -> list[bytes]:
         if not self.pieces:
-            return self._library(texts)
-        if len(self.known) > KEPT:
-            self.known.clear()
-        known, out = self.known, []
-        split = [t.split(" ") for t in texts]
-        fresh = {p for parts in split for p in parts[1:]}.difference(known)
-        fresh = [p for p in fresh if p and not p[0].isspace()]
-        own = dict(zip(fresh, self._library([f" {p}" for p in fresh]), strict=True))
-        known.update((p, ids) for p, ids in own.items() if len(p) <= LONG)
-        whole = []
-        for i, parts in enumerate(split):
-            try:
-                out.append(b"".join([known.get(p) or own[p] for p in parts[1:]]))
-            except KeyError:  # a space that another white space or the end follows
-                whole.append(i)
-                out.append(b"")
-                parts[0] = ""
-        first = self._library([parts[0] for parts in split])
-        for i, ids in enumerate(first):
-            out[i] = ids + out[i]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+            return [ids.astype("<u4").tobytes() for ids in self._library(texts)]
+        raw = [t.encode() for t in texts]
+        text = b" ".join([b"", *raw, b" " * 8])
+        data = np.frombuffer(text, dtype=np.uint8)
+        spaces = np.flatnonzero(data == 32)
+        offsets = np.cumsum([1, *(len(t) + 1 for t in raw)])
+        first = np.searchsorted(spaces, offsets) - 1  # each text's first piece, and the end
+        starts, length = spaces[: first[-1]] + 1, np.diff(spaces[: first[-1] + 1]) - 1
+        heads = np.zeros(len(starts), dtype=bool)
+        heads[first[:-1]] = True
+        # a piece that is empty or begins with white space follows a space that isn't cut before
+        bad = _ASCII_SPACE.take(data[starts]) & ~heads
+        wide = np.flatnonzero(data[starts] >= 0xC2)
+        two = data[starts[wide]].astype(np.int64) << 8 | data[starts[wide] + 1]
+        bad[wide] |= np.isin(two, _WIDE_SPACE) & ~heads[wide]
+        whole = np.unique(np.searchsorted(first, np.flatnonzero(bad), "right") - 1)
+        skip = heads.copy()
+        for i in whole.tolist():
+            skip[first[i] : first[i + 1]] = True
+
+        if self.held > KEPT:
+            self._forget()
+        key, check = (hash_spans(data, starts, length, seed) for seed in (0, 0x5BD1E995))
+        slot = (key >> np.uint64(64 - SLOTS)).astype(np.int64)
+        size = self.size.take(slot)
+        known = (size > 0) & (self.key.take(slot) == key) & (self.check.take(slot) == check) & ~skip
+        begin, size = np.where(known, self.start.take(slot), 0).astype(np.int64), np.where(known, size, 0).astype(np.int64)
+        ids = [self.ids[: self.held]]
+        asked = np.flatnonzero(~known & ~skip)
+        if len(asked):
+            _, one, back = np.unique(key[asked], return_index=True, return_inverse=True)
+            at = asked[one]
+            new, sizes = self._fresh(
+                [text[i : i + n].decode() for i, n in zip(starts[at].tolist(), length[at].tolist(), strict=True)]
+            )
+            begins = np.cumsum(sizes) - sizes + self.held
+            begin[asked], size[asked] = begins[back], sizes[back]
+            if self.held + len(new) <= len(self.ids):
+                self.ids[self.held : self.held + len(new)] = new
+                self.held += len(new)
+                self.key[slot[at]], self.check[slot[at]] = key[at], check[at]
+                self.start[slot[at]], self.size[slot[at]] = begins, sizes
+                ids = [self.ids[: self.held]]
+            else:  # a run of more new ids than there is room for
+                ids.append(new)
+                self.held = KEPT + 1
+        # first pieces, and texts that go to the library whole, which stand at their first piece
+        alone = set(whole.tolist())
+        own = self._library([t if i in alone else t.partition(" ")[0] for i, t in enumerate(texts)])
+        sizes = np.array([len(x) for x in own], dtype=np.int64)
+        begin[first[:-1]], size[first[:-1]] = np.cumsum(sizes) - sizes + sum(map(len, ids)), sizes
+        pool = np.concatenate([*ids, *own]) if own else ids[0]
+        out, upto = [], np.concatenate([[0], np.cumsum(size)])
+        i = 0
+        while i < len(raw):  # about half a million pieces at a time
+            j = max(i + 1, int(np.searchsorted(first, first[i] + (1 << 19), "right")) - 1)
+            lo, hi = first[i], first[j]
+            n = size[lo:hi]
+            tokens = pool.take(np.repeat(begin[lo:hi] - upto[lo:hi], n) + np.arange(upto[lo], upto[hi]))
+            flat, cuts = tokens.astype("<u4").tobytes(), ((upto[first[i : j + 1]] - upto[lo]) * 4).tolist()
+            out.extend(flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
+            i = j
         return out
 
 
