@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import blocks as B
-from millrace.llm.scratch import delete, materialize, shuffle_partitions, write
+from millrace.llm.scratch import delete, materialize, session, shuffle_partitions, tidied, write
 
 #: Larger than elsewhere: the larger a block, the less often a word is sent.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 16 << 20
 
 _ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 _RANKS: dict[str, dict[bytes, int]] = {}
@@ -75,6 +75,19 @@ def _numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _squeeze_small(numbers: np.ndarray) -> bytes:
+    """Numbers most of which are below 255: a byte each, and the rest of the others, compressed."""
+    low = np.minimum(numbers, 255).astype(np.uint8)
+    return _framed([_ZSTD.compress(low.tobytes()), _squeeze(numbers[numbers >= 255] - 255)])
+
+
+def _small_numbers(data: bytes) -> np.ndarray:
+    low, rest = _unframed(data)
+    numbers = np.frombuffer(_UNZSTD.decompress(low), np.uint8).astype(np.uint32)
+    numbers[numbers == 255] += _numbers(rest)
+    return numbers
+
+
 def _framed(parts: list[bytes]) -> bytes:
     return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
 
@@ -110,7 +123,7 @@ def _exploded(table: pa.Table, find, buckets: int) -> tuple[bytes, list[tuple[in
     top = np.maximum.accumulate(np.concatenate([[-1], at.astype(np.int64)]))[:-1]
     coded = np.where(at > top, 0, at + np.uint32(1))
     docs = B.pack(pa.table({"doc_id": table.column("doc_id").combine_chunks(), "count": pa.array(counts, pa.int64())}))
-    return _framed([docs, _squeeze(bucket), _squeeze(coded)]), rows
+    return _framed([docs, _squeeze(bucket), _squeeze_small(coded)]), rows
 
 
 def _words(payload: bytes) -> list[bytes]:
@@ -136,7 +149,7 @@ def encode(
     ignored.  ``then`` is applied to each batch where it is made, and gives one of
     ``schema``: what is derived from the ids then needs no second worker.
     """
-    spark = docs.sparkSession
+    spark = session(docs)
     buckets = shuffle_partitions(spark)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +161,7 @@ def encode(
             yield _rows(rows)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    path = write(rows.mapInArrow(explode, B.ANSWERS), "exploded", "none", by="level")
+    path = write(rows.mapInArrow(tidied(explode), B.ANSWERS), "exploded", "none", by="level")
     # both folders may be missing: an empty table writes none, and texts without a word only blocks
     stored = spark.read.schema(B.ANSWERS).option("basePath", path).parquet(path)
 
@@ -168,13 +181,13 @@ def encode(
                 yield _rows([(row["block"], 0, bucket, row["n"], payload)])
 
     asked = stored.where(F.col("level") == 0).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    answers = materialize(asked.mapInArrow(once, B.ANSWERS), "encoded", "none")
+    answers = materialize(asked.mapInArrow(tidied(once), B.ANSWERS), "encoded", "none")
     delete(spark, f"{path}/level=0")
     blocks = stored.where(F.col("level") == B.LAST).select("block", "payload")
 
     def join(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         docs, bucket, coded = _unframed(payload)
-        table, coded = B.unpack(docs), _numbers(coded).astype(np.int64)
+        table, coded = B.unpack(docs), _small_numbers(coded).astype(np.int64)
         at = np.where(coded == 0, np.cumsum(coded == 0) - 1, coded - 1)
         got = [_unframed(r["payload"]) for r in (given[0] if given else [])]
         flat = np.concatenate([*(_numbers(x[1]) for x in got), np.zeros(0, np.uint32)])
@@ -231,7 +244,7 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return rows.mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def lists(column: pa.Array) -> Iterator[list[int] | None]:

@@ -7,16 +7,49 @@ local master with the setting unset, as in tests.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 _WRITTEN: list[str] = []
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def session(df: DataFrame) -> SparkSession:
+    """The session of ``df``, with Arrow batches of 16 MB at most unless the session says otherwise.
+
+    Spark's default of 64 MB is held several times over, by the executor and its Python workers.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(_BATCH) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH, "16m")
+    return spark
+
+
+def tidied(run: Callable) -> Callable:
+    """``run`` over batches, after which the worker gives the memory back that its allocators keep.
+
+    Workers outlive their tasks and stand beside those of the next stage.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only in the GNU C library
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     context = spark.sparkContext
