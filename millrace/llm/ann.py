@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from millrace.llm.embeddings import bounded_sample, matrix, valid
-from millrace.llm.scratch import materialize
+from millrace.llm.scratch import materialize, session, tidied
 
 #: Vectors that the codebook is fitted on, at most; every row is indexed.
 SAMPLE = 10_000
@@ -146,7 +146,7 @@ def nearest(
     Candidates and queries meet in blocks, each pair of blocks once, so tasks are
     even and bounded; a block gives k rows a query, and these are ranked.
     """
-    spark = vectors.sparkSession
+    spark = session(vectors)
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"),
         F.col(vec_col).cast("array<double>").alias("vec"),
@@ -168,7 +168,7 @@ def nearest(
                 [*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "vec", "asks", "codes"]
             )
 
-    indexed = materialize(rows.mapInArrow(index, "vec_id long, vec array<double>, asks boolean, codes binary"), "index")
+    indexed = materialize(rows.mapInArrow(tidied(index), "vec_id long, vec array<double>, asks boolean, codes binary"), "index")
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
     candidates = indexed.withColumns(
         {"i": F.pmod(spread, F.lit(across)), "j": F.explode(F.sequence(F.lit(0), F.lit(down - 1))), "asks": F.lit(False)}

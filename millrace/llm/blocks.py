@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.scratch import materialize, shuffle_partitions
+from millrace.llm.scratch import materialize, shuffle_partitions, tidied
 
 BLOCK_BYTES = 6 << 20
 #: The level of the rows that hold the block itself: sorted after all answers.
@@ -71,8 +71,8 @@ def block_ids() -> Iterator[int]:
 
 
 def carried(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
-    """doc_id, text and the carried columns as c0, c1 and so on, whatever their names are."""
-    extra = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    """doc_id, text and the carried columns as c0, c1 and so on, whatever their names are; text isn't carried twice."""
+    extra = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry) if c != text_col]
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
 
 
@@ -80,6 +80,11 @@ def carried_fields(docs: DataFrame, carry: tuple[str, ...]) -> list[T.StructFiel
     return [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(carry)]
 
 
+def carried_column(i: int, carry: tuple[str, ...], text_col: str) -> str:
+    """The name under which ``carried`` has the i-th carried column."""
+    return "text" if carry[i] == text_col else f"c{i}"
+
+
 def write_blocks(
     docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (), size: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -92,7 +97,7 @@ def write_blocks(
             payload = pa.array([pack(table)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([next(ids)]), payload], names=["block", "payload"])
 
-    rows = carried(docs, id_col, text_col, carry).mapInArrow(run, "block long, payload binary")
+    rows = carried(docs, id_col, text_col, carry).mapInArrow(tidied(run), "block long, payload binary")
     return materialize(rows, "blocks", "none")
 
 
@@ -123,7 +128,7 @@ def by_block(
                 for block, payload in zip(*batch.columns, strict=True):
                     yield from run(block.as_py(), payload.as_py(), [])
 
-        return blocks.mapInArrow(alone, schema)
+        return blocks.mapInArrow(tidied(alone), schema)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in groups(batches, "block"):
@@ -139,7 +144,7 @@ def by_block(
     own = blocks.select("block", F.lit(LAST).alias("level"), F.lit(0).alias("bucket"), F.lit(0).alias("n"), "payload")
     rows = answers.select("block", "level", "bucket", "n", "payload").union(own)
     rows = rows.repartition(shuffle_partitions(blocks.sparkSession), "block")
-    return rows.sortWithinPartitions("block", "level", "bucket").mapInArrow(met, schema)
+    return rows.sortWithinPartitions("block", "level", "bucket").mapInArrow(tidied(met), schema)
 
 
 def bits(rows: list[dict], n: int) -> np.ndarray:
@@ -173,8 +178,12 @@ def ask(
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "keys", "checks", "multi"])
 
 
-def repeated(asks: DataFrame, level: int) -> DataFrame:
-    """Answers to ``asks``: for each key, whether it occurs elsewhere (in another block, or twice in its own)."""
+def repeated(asks: DataFrame, level: int, differing: bool = False) -> DataFrame:
+    """Answers to ``asks``: for each key, whether it occurs elsewhere (in another block, or twice in its own).
+
+    Keys with checks are equal if these are equal too; with ``differing``, only
+    occurrences with another check count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in groups(batches, "bucket"):
@@ -186,7 +195,12 @@ def repeated(asks: DataFrame, level: int) -> DataFrame:
             if rows[0]["checks"]:
                 checks = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in rows])
                 order = np.lexsort((checks, keys))
-                same = (keys[order[1:]] == keys[order[:-1]]) & (checks[order[1:]] == checks[order[:-1]])
+                same = keys[order[1:]] == keys[order[:-1]]
+                if differing:
+                    _shared(keys[order], checks[order], found, order)
+                    same[:] = False
+                else:
+                    same &= checks[order[1:]] == checks[order[:-1]]
             else:
                 order = np.argsort(keys, kind="stable")
                 same = keys[order[1:]] == keys[order[:-1]]
@@ -206,7 +220,15 @@ def repeated(asks: DataFrame, level: int) -> DataFrame:
             )
 
     n = shuffle_partitions(asks.sparkSession)
-    return asks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
+    return asks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), ANSWERS)
+
+
+def _shared(keys: np.ndarray, checks: np.ndarray, found: np.ndarray, order: np.ndarray) -> None:
+    """Mark all that share a key of which there are two checks, or one marked already; sorted by key and check."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    mixed = (checks[first] != checks[first + size - 1]) | np.logical_or.reduceat(found[order], first)
+    found[order] = np.repeat(mixed, size)
 
 
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))

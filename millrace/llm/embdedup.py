@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
 from millrace.llm.embeddings import bounded_sample, matrix, unit, valid
-from millrace.llm.scratch import materialize
+from millrace.llm.scratch import materialize, session, tidied
 
 THRESHOLD = 0.93
 #: Vectors that k-means is fitted on, at most.
@@ -89,7 +89,7 @@ def embedding_links(
     null id takes part but names no component (component_id is null and kept is
     true if there is no other).
     """
-    spark = vectors.sparkSession
+    spark = session(vectors)
     label = F.col(label_col).cast("string") if label_col else F.lit("")
     vec = F.col(vec_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), vec.alias("vec"))
@@ -133,7 +133,7 @@ def embedding_links(
             )
 
     schema = "gid long, label string, vec array<double>, copies long, cell long, home boolean"
-    placed = materialize(group.select("gid", "label", "vec", "copies").mapInArrow(assign, schema), "cells")
+    placed = materialize(group.select("gid", "label", "vec", "copies").mapInArrow(tidied(assign), schema), "cells")
     # each block of residents meets each block of those who probe, residents and guests, once
     sizes = placed.groupBy("label", "cell").agg(
         F.ceil(F.sum(F.col("home").cast("int")) / BLOCK).cast("int").alias("across"),

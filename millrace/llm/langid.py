@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.blocks import carried, carried_fields
+from millrace.llm.blocks import carried, carried_fields, carried_column
+from millrace.llm.scratch import session, tidied
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, key: Column, per_language
                 [pa.array([lang]), pa.array([table.ravel().tolist()], pa.list_(pa.int64()))], names=["lang", "n"]
             )
 
-    cells = sample.mapInArrow(count, "lang string, n array<bigint>").select("lang", F.posexplode("n"))
+    cells = sample.mapInArrow(tidied(count), "lang string, n array<bigint>").select("lang", F.posexplode("n"))
     sums = cells.where("col > 0").groupBy("lang", "pos").agg(F.sum("col").alias("n")).toPandas()
     counts = np.zeros((len(languages), len(ORDERS) * BUCKETS))
     counts[sums["lang"].map(index).to_numpy(int), sums["pos"].to_numpy(int)] = sums["n"].to_numpy()
@@ -184,7 +185,7 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, key: Column, per_language
                 names=["bit", "right", "n"],
             )
 
-    rated = sample.mapInArrow(rate, "bit bigint, right bigint, n bigint").groupBy("bit")
+    rated = sample.mapInArrow(tidied(rate), "bit bigint, right bigint, n bigint").groupBy("bit")
     for r in rated.agg((F.sum("right") / F.sum("n")).alias("rate")).collect():
         model.bit_weight[r["bit"]] = max(r["rate"] - 0.5, 0.01) * 2
     return model
@@ -215,13 +216,14 @@ def identify(
             *fields,
         ]
     )
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    extra = [f.name for f in fields]
-    rows = carried(docs, id_col, text_col, carry).select("doc_id", "text", letters, *extra)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = carried(docs, id_col, text_col, carry).withColumns({"letters": letters})
+    extra = [carried_column(i, carry, text_col) for i in range(len(fields))]
     if model is None:
-        out = rows.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
+        out = rows.withColumns({f.name: F.col(c) for f, c in zip(fields, extra, strict=True)})
+        out = out.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
         return out.withColumns({"ambiguous": F.lit(True), "bits_off": F.lit(0)}).select(*schema.names)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = session(docs).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -230,7 +232,7 @@ def identify(
         corrects = (min(apart) - 1) // 2 if apart else 0
         for batch in batches:
             best, score, wrong = m.scores(m.margins(batch.column(1)))
-            letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             best, score = np.where(letters, best, len(names) - 1), np.where(letters, score, 0.0)
             unsure = (score < m.ambiguous_below) | (wrong > corrects)
             yield pa.RecordBatch.from_arrays(
@@ -240,12 +242,12 @@ def identify(
                     pa.array(score),
                     pa.array(unsure),
                     pa.array(wrong.astype(np.int32)),
-                    *batch.columns[3:],
+                    *[batch.column(c) for c in extra],
                 ],
                 names=schema.names,
             )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

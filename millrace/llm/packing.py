@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.scratch import materialize
+from millrace.llm.scratch import materialize, session, tidied
 from millrace.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -111,6 +111,7 @@ def pieces(
     numbers.  A null text counts as empty and gives a piece of ``end`` alone.
     Within the task ``part``, the piece is the ``nth`` of its length.
     """
+    session(docs)
     schema = "doc_id long, piece int, start long, length long, ids binary, part int, nth long"
     tail = np.array([end], dtype="<u4").tobytes()
 
@@ -135,7 +136,7 @@ def pieces(
                 yield _batch(rows, kinds, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run, encodes=True), schema)
 
 
 def _texts(column: pa.Array) -> Iterator[str | None]:
@@ -178,7 +179,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             own = [batch.column(f.name) for f in schema[:-2]]
             yield pa.RecordBatch.from_arrays([*own, pa.array(sequence), pa.array(rows[at, 3])], names=schema.names)
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(tidied(run), schema)
 
 
 def pack(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,13 +34,16 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def tidied(run: Callable) -> Callable:
+def tidied(run: Callable, encodes: bool = False) -> Callable:
     """``run`` over batches, after which the worker gives the memory back that its allocators keep.
 
-    Workers outlive their tasks and stand beside those of the next stage.
+    Workers outlive their tasks and serve the next stage.  What they remember of
+    the pieces of texts stays as long as they run stages that encode.
     """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not encodes and (tokens := sys.modules.get("millrace.llm.tokens")):
+            tokens.release()
         try:
             yield from run(batches)
         finally:

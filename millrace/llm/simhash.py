@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.scratch import materialize
+from millrace.llm.scratch import materialize, session, tidied
 
 SEED = 42
 
@@ -45,13 +45,15 @@ def simhash(text: str | None, words: int = 3) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """(id, text) -> (doc_id, fp long): one row per input row; a null text counts as empty."""
 
+    session(docs)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.fromiter((simhash(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +79,7 @@ def links(fps: DataFrame) -> DataFrame:
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     variants = fps.select("fp", F.explode(flips).alias("flip"))
     met = variants.select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), "fp")
-    return met.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(_stars, "a long, b long")
+    return met.repartition("variant").sortWithinPartitions("variant", "fp").mapInArrow(tidied(_stars), "a long, b long")
 
 
 def simhash_components(

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import blocks as B
-from millrace.llm.scratch import materialize, shuffle_partitions
+from millrace.llm.scratch import materialize, session, shuffle_partitions
 
 WINDOW = 35
 #: Shorter windows than this repeat too often by chance to be worth a pass.
@@ -100,7 +100,7 @@ def substring_dedup(
     documents of their own, so each is a copy of the other; documents shorter than
     the window lose nothing.  Columns named in ``carry`` come back as c0, c1...
     """
-    spark = docs.sparkSession
+    spark = session(docs)
     buckets = shuffle_partitions(spark)
     store = B.write_blocks(docs, id_col, text_col, carry)
     answers = None
@@ -159,7 +159,7 @@ def substring_dedup(
             pa.array(removed.astype(np.int64)),
             pa.array(spans, pa.list_(pa.list_(pa.int64()))),
             pa.array(texts, pa.string()),
-            *[table.column(f.name).combine_chunks() for f in fields],
+            *[table.column(B.carried_column(i, carry, text_col)).combine_chunks() for i in range(len(fields))],
         ]
         yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import blocks as B
-from millrace.llm.scratch import materialize, shuffle_partitions
+from millrace.llm.scratch import materialize, session, shuffle_partitions, tidied
 
 LENGTH = 100
 GRAM = 32
@@ -247,7 +247,7 @@ def suffix_dedup(
     """
     if not GRAM < length < GRAM + 96:
         raise ValueError(f"length must be 33 to 127, not {length}")
-    spark = docs.sparkSession
+    spark = session(docs)
     n = shuffle_partitions(spark)
     store = B.write_blocks(docs, id_col, text_col, carry)
 
@@ -299,7 +299,7 @@ def suffix_dedup(
             )
 
     records = B.by_block(store, anchors, second, "bucket int, block long, payload binary")
-    shards = records.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(shard, B.ANSWERS)
+    shards = records.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(tidied(shard), B.ANSWERS)
     answers = anchors.union(materialize(shards, "strings"))
 
     fields = B.carried_fields(docs, carry)
@@ -346,7 +346,7 @@ def suffix_dedup(
             pa.array(removed.astype(np.int64)),
             pa.array(spans, pa.list_(pa.list_(pa.int64()))),
             pa.array(kept, pa.binary()),
-            *[b.table.column(f.name).combine_chunks() for f in fields],
+            *[b.table.column(B.carried_column(i, carry, text_col)).combine_chunks() for i in range(len(fields))],
         ]
         yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
