@@ -3,7 +3,7 @@
 A block of ids is coded by itself: its model starts empty and its checksum is
 its own.  Two tables predict the next id, from the two ids before it (order 2)
 and from the one before it (order 1), each with a confidence of 0 to 3.  Order 0
-is the adaptive frequency of ids by their number of bits.  The symbol that is
+is the adaptive frequency of ids by their number of bits (those of up to 4 are one class).  The symbol that is
 coded says which prediction holds: order 2's, order 1's, or neither, with the
 number of bits of the id, whose lower bits then follow.  Its probability mixes
 the counts gathered under the present pair of confidences with those gathered
@@ -20,14 +20,18 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 1024
+SMALL = 4  #: ids of up to so many bits are one class
 MAGIC = b"MRT1"
-_SLOTS = 11  #: bits of a prediction table's index
+_SLOTS = 8  #: bits of a prediction table's index
 _STEP = 6  #: what a symbol's count grows by; 2 * BLOCK * _STEP and the first counts stay below 2**16
 _LIMIT, _TOP = np.uint64(1 << 32), np.uint64(48)
 _LOW48, _LOW32, _WORD = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1), np.uint64(16)
 
 
+_NEXT = np.array([1, 2, 3, 3], dtype=np.uint32)
+
+
 class _Model:
     """The state of every lane; ids have at most ``width`` bits.
 
@@ -36,16 +40,19 @@ class _Model:
     """
 
     def __init__(self, lanes: int, width: int):
-        self.symbols = 3 + width
-        self.columns = self.symbols + 1
+        self.symbols = 3 + max(width - SMALL, 0)
+        self.columns = -(-(self.symbols + 1) // 8) * 8  # whole numbers of 8 bytes, to count in
         self.slot = np.arange(lanes) << _SLOTS
         self.lane16 = np.arange(lanes) << 4
         self.two, self.one = (np.zeros(lanes << _SLOTS, dtype=np.uint32) for _ in range(2))
         first = np.arange(self.columns, dtype=np.uint16)
+        first[self.symbols + 1 :] = 0xFFFF  # never reached
         self.mixed = np.tile(first, (lanes * 16, 1))
         self.items = self.mixed.view(f"V{2 * self.columns}").ravel()
+        first[self.symbols + 1 :] = 0
         self.zero = np.tile(first, (lanes, 1))
         self.grow = (np.arange(self.columns) > np.arange(self.symbols)[:, None]).astype(np.uint16) * np.uint16(_STEP)
+        self.grow[:, self.symbols + 1 :] = 0
         self.last = np.zeros(lanes, dtype=np.uint32)
         self.hash2 = np.zeros(lanes, dtype=np.uint32)
 
@@ -67,19 +74,28 @@ class _Model:
     def update(self, ids: np.ndarray, symbols: np.ndarray) -> None:
         grow = self.grow.take(symbols, axis=0)
         self.cumulated += grow
-        self.items[self.context] = self.cumulated.view(self.items.dtype).ravel()
+        self.items.put(self.context, self.cumulated.view(self.items.dtype).ravel())
         self.zero += grow
-        entry, one, three = ids << np.uint32(2), np.uint32(1), np.uint32(3)
+        entry = ids << np.uint32(2)
         # 1 for another id, one more than before (3 at most) for the same
-        sure = np.minimum(self.sure2 * (ids == self.id2) + one, three)
-        self.two.put(self.at2, entry | sure)
-        sure = np.minimum(self.sure1 * (ids == self.id1) + one, three)
-        self.one.put(self.at1, entry | sure)
+        self.two.put(self.at2, entry | _NEXT.take(self.sure2 * (ids == self.id2)))
+        self.one.put(self.at1, entry | _NEXT.take(self.sure1 * (ids == self.id1)))
         self.last = ids
 
 
-def _bit_lengths(ids: np.ndarray) -> np.ndarray:
-    return np.frexp(ids.astype(np.float64))[1].astype(np.int64)
+def _literals(symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """By symbol, the bit that a literal's class implies, and the number of bits that follow; none for predictions."""
+    firsts = [0, 0, 0] + [1 << (SMALL + k) for k in range(symbols - 3)]
+    return np.array(firsts, dtype=np.uint32), np.array([0, 0] + [SMALL + max(k - 1, 0) for k in range(symbols - 2)], np.uint64)
+
+
+def _classes(ids: np.ndarray) -> np.ndarray:
+    """The symbol of each id as a literal."""
+    return np.maximum(np.frexp(ids.astype(np.float64))[1].astype(np.int64) - SMALL, 0) + 2
+
+
+def _both(reached: np.ndarray) -> np.ndarray:
+    return reached[:, 0].astype(np.int64) + (reached[:, 1] if reached.shape[1] > 1 else 0) - 1
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -99,57 +115,70 @@ def encode(ids: np.ndarray) -> bytes:
     table = np.ascontiguousarray(table.reshape(lanes, BLOCK).T)
     model = _Model(lanes, width)
     first = np.arange(lanes) * model.columns
+    lane = np.arange(lanes)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _LOW48, dtype=np.uint64)
-    room = 2 * BLOCK + 4
-    words, count = np.zeros((lanes, room), dtype=np.uint32), np.arange(lanes) * room  # count: the place of the next word
-    flat_words = words.ravel()
+    wide = width > 16  # then a symbol and the bits that follow may need more than the span has
+    # a row for each time that words are put out, of which each lane fills some
+    words = np.zeros(((4 if wide else 2) * BLOCK + 3, lanes), dtype=np.uint32)
+    filled, flat_words = np.zeros(words.shape, dtype=bool), words.ravel()
+    row, latest = 0, np.zeros(lanes, dtype=np.int64)  # latest: the place of a lane's last word
 
     def settle() -> None:
         """Add carries to the words before, and put out a word where the span has become small."""
-        nonlocal low, span, count
+        nonlocal low, span, row
         over = np.flatnonzero(low > _LOW48)
         if len(over):
-            flat_words[count.take(over) - 1] += np.uint32(1)
+            flat_words[latest.take(over)] += np.uint32(1)
             low &= _LOW48
-        out = span < _LIMIT
-        flat_words.put(count, low >> np.uint64(32))  # only counts if the next place moves on
-        count += out
-        low = np.where(out, (low & _LOW32) << _WORD, low)
-        span <<= out * _WORD
-
-    sizes = _bit_lengths(np.arange(1 << width)) if width <= 20 else None
+        out = np.less(span, _LIMIT, out=filled[row])
+        words[row] = low >> np.uint64(32)
+        np.copyto(latest, lane + row * lanes, where=out)
+        shift = out * _WORD
+        low = (low << shift) & _LOW48
+        span <<= shift
+        row += 1
+        more = np.flatnonzero(span < _LIMIT)
+        if len(more):  # seldom two words at once
+            words[row, more], filled[row, more] = low[more] >> np.uint64(32), True
+            latest[more] = more + row * lanes
+            low[more] = (low[more] << _WORD) & _LOW48
+            span[more] <<= _WORD
+            row += 1
+
+    classes = _classes(np.arange(1 << width)) if width <= 20 else None
+    _, follow = _literals(model.symbols)
+    masks = (np.uint64(1) << follow) - np.uint64(1)
     for now in table:
         cumulated = model.predict()
-        size = sizes.take(now) if sizes is not None else _bit_lengths(now)
-        hit2 = (now == model.id2) & (model.sure2 > 0)
-        hit1 = (now == model.id1) & (model.sure1 > 0)
-        symbol = np.where(hit2, 0, np.where(hit1, 1, size + 2))
+        symbol = classes.take(now) if classes is not None else _classes(now)
+        np.copyto(symbol, 1, where=(now == model.id1) & (model.sure1 > 0))
+        np.copyto(symbol, 0, where=(now == model.id2) & (model.sure2 > 0))
         place = first + symbol
         counts = cumulated.ravel()
         start, stop = counts.take(place).astype(np.uint64), counts.take(place + 1).astype(np.uint64)
-        part = span // cumulated[:, -1]
+        part = span // cumulated[:, model.symbols].astype(np.uint64)
         low += part * start
         span = part * (stop - start)
-        settle()
-        rest = np.where(symbol > 2, size - 1, 0).astype(np.uint64)  # the bits below the first
-        lower = now.astype(np.uint64) & ((np.uint64(1) << rest) - np.uint64(1)) * (symbol > 1)
-        span >>= rest
-        low += span * lower
+        if wide:
+            settle()
+        span >>= follow.take(symbol)  # of a literal, the bits that its class leaves open
+        low += span * (now & masks.take(symbol))
         settle()
         model.update(now, symbol)
     for _ in range(3):
-        flat_words.put(count, low >> np.uint64(32))
-        count += 1
+        words[row], filled[row] = low >> np.uint64(32), True
         low = (low & _LOW32) << _WORD
-    count -= np.arange(lanes) * room
-    words[np.arange(room) >= count[:, None]] = 0
-    while (words > 0xFFFF).any():
-        over = words >> np.uint32(16)
-        words &= np.uint32(0xFFFF)
-        words[:, :-1] += over[:, 1:]
+        row += 1
+    words, filled = words[:row].T, filled[:row].T
+    count, kept = filled.sum(axis=1), words[filled]
+    ends = np.cumsum(count)
+    while (kept > 0xFFFF).any():
+        over = kept >> np.uint32(16)
+        kept &= np.uint32(0xFFFF)
+        over[ends[:-1]] = 0  # a lane's first word is below 1, so nothing is carried out of it
+        kept[:-1] += over[1:]
     index = np.column_stack([np.full(lanes, BLOCK), np.array(sums), count]).astype("<u4")
     index[-1, 0] = len(ids) - (lanes - 1) * BLOCK
-    kept = words[np.arange(room) < count[:, None]]
     return head + index.tobytes() + kept.astype("<u2").tobytes()
 
 
@@ -157,20 +186,22 @@ def decode(data: bytes) -> np.ndarray:
     """The ids that ``encode`` was given; ValueError if a block's checksum fails."""
     if data[:4] != MAGIC:
         raise ValueError("not a token block")
-    lanes, width, total = struct.unpack_from("<IIQ", data, 4)
+    lanes, width, n_ids = struct.unpack_from("<IIQ", data, 4)
     if not lanes:
         return np.zeros(0, dtype=np.uint32)
     index = np.frombuffer(data, "<u4", 3 * lanes, 20).reshape(lanes, 3)
     count = index[:, 2].astype(np.int64)
     flat = np.frombuffer(data, "<u2", int(count.sum()), 20 + 12 * lanes)
-    words = np.concatenate([flat, np.zeros(4, dtype=np.uint16)]).astype(np.uint64)
-    at, ends = np.cumsum(count) - count, np.cumsum(count)
+    # first words of all lanes, then second ones, as they are read; zeros behind the last
+    words = np.zeros((int(count.max()) + 4, lanes), dtype=np.uint16)
+    words.T[np.arange(len(words)) < count[:, None]] = flat
+    words, at, ends = words.ravel(), np.arange(lanes), np.arange(lanes) + count * lanes
     model = _Model(lanes, width)
     first = np.arange(lanes) * model.columns
     span, code = np.full(lanes, _LOW48, dtype=np.uint64), np.zeros(lanes, dtype=np.uint64)
     for _ in range(3):
-        code = (code << _WORD) | words[at]
-        at += 1
+        code = (code << _WORD) | words.take(at)
+        at += lanes
 
     def settle() -> None:
         nonlocal span, code, at
@@ -178,31 +209,42 @@ def decode(data: bytes) -> np.ndarray:
         shift = more * _WORD
         span <<= shift
         code = (code << shift) | words.take(np.minimum(at, ends)) * more
-        at = at + more
+        at += more * lanes
+        more = np.flatnonzero(span < _LIMIT)
+        if len(more):
+            span[more] <<= _WORD
+            code[more] = (code[more] << _WORD) | words[np.minimum(at[more], ends[more])]
+            at[more] += lanes
 
     table = np.empty((BLOCK, lanes), dtype=np.uint32)
+    firsts, follow = _literals(model.symbols)
     one = np.uint64(1)
+    masks = (one << follow) - one
     for step in range(BLOCK):
         cumulated = model.predict()
-        part = span // cumulated[:, -1]
-        found = np.minimum(code // part, cumulated[:, -1] - np.uint16(1)).astype(np.uint16)
-        symbol = (cumulated <= found[:, None]).argmin(axis=1) - 1
+        total = cumulated[:, model.symbols].astype(np.uint64)
+        part = span // total
+        found = np.minimum(code // part, total - one).astype(np.uint16)
+        # the counts that are not above it, eight at a time
+        reached = np.bitwise_count((cumulated <= found[:, None]).view(np.uint64))
+        symbol = reached.sum(axis=1, dtype=np.int64) - 1 if reached.shape[1] > 2 else _both(reached)
         place = first + symbol
         counts = cumulated.ravel()
         start, stop = counts.take(place).astype(np.uint64), counts.take(place + 1).astype(np.uint64)
         code -= part * start
         span = part * (stop - start)
-        settle()
-        rest = np.maximum(symbol - 3, 0).astype(np.uint64)
-        span >>= rest
-        lower = np.minimum(code // span, (one << rest) - one)
+        if width > 16:
+            settle()
+        span >>= follow.take(symbol)
+        lower = np.minimum(code // span, masks.take(symbol))
         code -= span * lower
         settle()
-        literal = ((one << rest) * (symbol > 2) + lower).astype(np.uint32)
-        now = np.where(symbol == 0, model.id2, np.where(symbol == 1, model.id1, literal))
+        now = firsts.take(symbol) | lower.astype(np.uint32)
+        np.copyto(now, model.id2, where=symbol == 0)
+        np.copyto(now, model.id1, where=symbol == 1)
         model.update(now, symbol)
         table[step] = now
-    ids = np.ascontiguousarray(table.T).ravel()[:total].astype("<u4")
+    ids = np.ascontiguousarray(table.T).ravel()[:n_ids].astype("<u4")
     raw = ids.tobytes()
     for i, expected in enumerate(index[:, 1].tolist()):
         if zlib.crc32(raw[4 * BLOCK * i : 4 * BLOCK * (i + 1)]) != expected:

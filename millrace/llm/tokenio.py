@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks as B
 from millrace.llm import rangecoder
-from millrace.llm.scratch import shuffle_partitions
+from millrace.llm.scratch import session, shuffle_partitions, tidied
 from millrace.llm.tokens import encoder
 
 #: Ids in a chunk, about; a longer document is a chunk by itself.
@@ -36,7 +36,7 @@ def write_token_file(
     empty.  Documents are dealt by ranges of id, so parts are even whatever the
     sources, and no task holds more than one chunk.
     """
-    n = shuffle_partitions(docs.sparkSession)
+    n = shuffle_partitions(session(docs))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     by_id = F.col("doc_id").asc_nulls_last()
     ordered = rows.repartitionByRange(n, by_id).sortWithinPartitions(by_id, F.xxhash64("text"))
@@ -66,7 +66,7 @@ def write_token_file(
         if docs:
             yield full()
 
-    chunks = ordered.mapInArrow(run, "shard int, chunk int, n_ids long, docs binary, blocks binary")
+    chunks = ordered.mapInArrow(tidied(run, encodes=True), "shard int, chunk int, n_ids long, docs binary, blocks binary")
     chunks.write.option("compression", "none").mode("overwrite").parquet(path)
 
 
@@ -99,7 +99,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     table = spark.read.parquet(path)
-    return table.mapInArrow(run, "shard int, chunk int, doc_id long, start long, ids binary")
+    return table.mapInArrow(tidied(run), "shard int, chunk int, doc_id long, start long, ids binary")
 
 
 def chunk_starts(spark: SparkSession, path: str) -> DataFrame:

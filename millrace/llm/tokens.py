@@ -6,7 +6,7 @@ every space is such a space is therefore encoded piece by piece: the library
 encodes each piece that isn't remembered, and the ids of all pieces are put
 together by position.  Any other text goes to the library whole.
 
-Pieces are remembered by 128 bits of their hash, in a table of fixed size in
+Pieces are remembered by 96 bits of their hash, in a table of fixed size in
 which a new piece takes the place of an old one.
 """
 
@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from millrace.llm.blocks import hash_spans
 
 #: Bits of the memory's index, and the ids in it before it starts anew.
-SLOTS, KEPT = 21, 1 << 23
+SLOTS, KEPT = 22, 1 << 23
 #: Texts are encoded in runs of about so many bytes, and new pieces in runs of so many.
 RUN, FRESH = 1 << 21, 512
 
@@ -51,10 +51,15 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.key, self.check = (np.zeros(1 << SLOTS, dtype=np.uint64) for _ in range(2))
-        self.start, self.size = (np.zeros(1 << SLOTS, dtype=np.int32) for _ in range(2))
+        kinds = (np.uint64, np.uint32, np.int32, np.uint8)
+        self.key, self.check, self.start, self.size = (np.zeros(1 << SLOTS, dtype=kind) for kind in kinds)
         self.ids, self.held = np.zeros(KEPT + (KEPT >> 2), dtype=np.uint32), 0
 
+    def release(self) -> None:
+        """Forget all pieces and give their memory back."""
+        self.key, self.check, self.start, self.size, self.ids = (np.zeros(0, dtype=np.uint64) for _ in range(5))
+        self.held = KEPT + 1
+
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -74,6 +79,14 @@ class Encoder:
                 sizes.append(np.array([len(x) for x in lists]))
         return np.concatenate(found), np.concatenate(sizes)
 
+    def _appended(self, pool: np.ndarray, end: int, ids: np.ndarray) -> tuple[np.ndarray, int]:
+        """The pool with ids put behind its first ``end``, in place if there is room; and the new end."""
+        if end + len(ids) > len(pool):
+            pool = np.concatenate([pool[:end], ids])
+        else:
+            pool[end : end + len(ids)] = ids
+        return pool, end + len(ids)
+
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text in order; null counts as empty."""
         run, held = [], 0
@@ -111,11 +124,12 @@ class Encoder:
         if self.held > KEPT:
             self._forget()
         key, check = (hash_spans(data, starts, length, seed) for seed in (0, 0x5BD1E995))
+        check = (check >> np.uint64(32)).astype(np.uint32)
         slot = (key >> np.uint64(64 - SLOTS)).astype(np.int64)
         size = self.size.take(slot)
         known = (size > 0) & (self.key.take(slot) == key) & (self.check.take(slot) == check) & ~skip
         begin, size = np.where(known, self.start.take(slot), 0).astype(np.int64), np.where(known, size, 0).astype(np.int64)
-        ids = [self.ids[: self.held]]
+        pool, end = self.ids, self.held  # ids from here on are this run's alone
         asked = np.flatnonzero(~known & ~skip)
         if len(asked):
             _, one, back = np.unique(key[asked], return_index=True, return_inverse=True)
@@ -123,23 +137,21 @@ class Encoder:
             new, sizes = self._fresh(
                 [text[i : i + n].decode() for i, n in zip(starts[at].tolist(), length[at].tolist(), strict=True)]
             )
-            begins = np.cumsum(sizes) - sizes + self.held
+            begins = np.cumsum(sizes) - sizes + end
             begin[asked], size[asked] = begins[back], sizes[back]
-            if self.held + len(new) <= len(self.ids):
-                self.ids[self.held : self.held + len(new)] = new
-                self.held += len(new)
-                self.key[slot[at]], self.check[slot[at]] = key[at], check[at]
-                self.start[slot[at]], self.size[slot[at]] = begins, sizes
-                ids = [self.ids[: self.held]]
+            pool, end = self._appended(pool, end, new)
+            if pool is self.ids:
+                self.held = end
+                self.key[slot[at]], self.check[slot[at]], self.start[slot[at]] = key[at], check[at], begins
+                self.size[slot[at]] = np.where(sizes < 256, sizes, 0)  # a piece of more ids isn't remembered
             else:  # a run of more new ids than there is room for
-                ids.append(new)
                 self.held = KEPT + 1
         # first pieces, and texts that go to the library whole, which stand at their first piece
         alone = set(whole.tolist())
         own = self._library([t if i in alone else t.partition(" ")[0] for i, t in enumerate(texts)])
         sizes = np.array([len(x) for x in own], dtype=np.int64)
-        begin[first[:-1]], size[first[:-1]] = np.cumsum(sizes) - sizes + sum(map(len, ids)), sizes
-        pool = np.concatenate([*ids, *own]) if own else ids[0]
+        begin[first[:-1]], size[first[:-1]] = np.cumsum(sizes) - sizes + end, sizes
+        pool, _ = self._appended(pool, end, np.concatenate(own))
         out, upto = [], np.concatenate([[0], np.cumsum(size)])
         i = 0
         while i < len(raw):  # about half a million pieces at a time
@@ -161,3 +173,9 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Give back what this worker's encoders remember."""
+    for own in _ENCODERS.values():
+        own.release()
