@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
-from millrace.llm import packing
+from millrace.llm import packing, tokens
 from millrace.llm.tokens import Encoder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,11 +28,17 @@ def test_encoder_matches_the_library(edge_rows):
     assert encoder.pieces
 
 
-def test_encoder_forgets(monkeypatch, edge_rows):
-    monkeypatch.setattr("millrace.llm.tokens.KEPT", 4)
-    monkeypatch.setattr("millrace.llm.tokens.RUN", 50)
-    texts = [r[1] for r in edge_rows]
-    assert [np.frombuffer(x, "<u4").tolist() for x in Encoder(TOKENIZER).encode(texts)] == [ids(t) for t in texts]
+@pytest.mark.parametrize("kept, slots, run", [(1 << 23, 16, 1 << 21), (2000, 8, 300), (50, 6, 1 << 12)])
+def test_encoder_of_odd_spaces(monkeypatch, kept, slots, run):
+    monkeypatch.setattr(tokens, "KEPT", kept)
+    monkeypatch.setattr(tokens, "SLOTS", slots)
+    monkeypatch.setattr(tokens, "RUN", run)
+    rng = random.Random(3)
+    parts = [*"ab  \n\t'sé日,.!1²\xa0\u2003\u3000\x85\x1c-", "the ", "and ", "'re", "\u200b"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(5000)]
+    encoder = tokens.Encoder(TOKENIZER)
+    found = encoder.library.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [e.ids for e in found]
 
 
 def test_plan_places_everything():
