@@ -108,11 +108,11 @@ def encode(ids: np.ndarray) -> bytes:
     head = MAGIC + struct.pack("<IIQ", lanes, width, len(ids))
     if not lanes:
         return head
-    raw = ids.tobytes()
-    sums = [zlib.crc32(raw[i : i + 4 * BLOCK]) for i in range(0, len(raw), 4 * BLOCK)]
-    table = np.zeros(lanes * BLOCK, dtype=np.uint32)
-    table[: len(ids)] = ids
-    table = np.ascontiguousarray(table.reshape(lanes, BLOCK).T)
+    sums = [zlib.crc32(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    table = np.zeros((BLOCK, lanes), dtype=np.uint32)
+    full = len(ids) // BLOCK
+    table[:, :full] = ids[: full * BLOCK].reshape(full, BLOCK).T
+    table[: len(ids) - full * BLOCK, full:] = ids[full * BLOCK :, None]
     model = _Model(lanes, width)
     first = np.arange(lanes) * model.columns
     lane = np.arange(lanes)
@@ -245,8 +245,7 @@ def decode(data: bytes) -> np.ndarray:
         model.update(now, symbol)
         table[step] = now
     ids = np.ascontiguousarray(table.T).ravel()[:n_ids].astype("<u4")
-    raw = ids.tobytes()
     for i, expected in enumerate(index[:, 1].tolist()):
-        if zlib.crc32(raw[4 * BLOCK * i : 4 * BLOCK * (i + 1)]) != expected:
+        if zlib.crc32(ids[BLOCK * i : BLOCK * (i + 1)]) != expected:
             raise ValueError(f"block {i} is damaged")
     return ids
