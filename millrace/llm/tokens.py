@@ -6,7 +6,7 @@ every space is such a space is therefore encoded piece by piece: the library
 encodes each piece that isn't remembered, and the ids of all pieces are put
 together by position.  Any other text goes to the library whole.
 
-Pieces are remembered by 96 bits of their hash, in a table of fixed size in
+Pieces are remembered by 64 bits of their hash and their first 8 bytes, in a table of fixed size in
 which a new piece takes the place of an old one.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
-from millrace.llm.blocks import hash_spans
+from millrace.llm.blocks import first_bytes, hash_spans
 
 #: Bits of the memory's index, and the ids in it before it starts anew.
 SLOTS, KEPT = 22, 1 << 23
@@ -51,7 +51,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        kinds = (np.uint64, np.uint32, np.int32, np.uint8)
+        kinds = (np.uint64, np.uint64, np.int32, np.uint8)
         self.key, self.check, self.start, self.size = (np.zeros(1 << SLOTS, dtype=kind) for kind in kinds)
         self.ids, self.held = np.zeros(KEPT + (KEPT >> 2), dtype=np.uint32), 0
 
@@ -123,8 +123,7 @@ class Encoder:
 
         if self.held > KEPT:
             self._forget()
-        key, check = (hash_spans(data, starts, length, seed) for seed in (0, 0x5BD1E995))
-        check = (check >> np.uint64(32)).astype(np.uint32)
+        key, check = hash_spans(data, starts, length), first_bytes(data, starts, length)
         slot = (key >> np.uint64(64 - SLOTS)).astype(np.int64)
         size = self.size.take(slot)
         known = (size > 0) & (self.key.take(slot) == key) & (self.check.take(slot) == check) & ~skip
