@@ -4,8 +4,9 @@ Vectors are quantised in small subspaces of 16 codewords, four bits each.  The
 codebook is fitted for the error in scores that matters for the largest inner
 products: the residual along the vector weighs more than that across it.  A
 query's products with all codewords form a table; scanning the four-bit codes
-sums its entries, and the best of each block of candidates are ranked again by
-exact products of the original vectors.
+sums its entries.  In each block of candidates the best are ranked again by exact
+products of the original vectors, and then all others whose rough score could
+reach the k-th of these, by the length of their residual.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ SAMPLE = 10_000
 SUBSPACE, CODEWORDS = 2, 16
 #: The share of a vector's length from which products matter: the residual along it weighs accordingly.
 SCORE_THRESHOLD = 0.2
-#: Candidates scanned by one table, queries that share a block, and candidates ranked again in each block.
+#: Candidates scanned by one table, queries that share a block, and candidates ranked again first in each block.
 CANDIDATES, QUERIES, RERANKED = 16_384, 256, 256
 
 
@@ -67,6 +68,12 @@ class Codebook:
                 break
         return codes
 
+    def errors(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far a rough score may be off for a query of length 1: the residual's length, and the rounding of tables."""
+        near = self.words[np.arange(len(self.words)), codes]
+        rest = np.sqrt(((self.parts(x) - near) ** 2).sum(axis=(1, 2)))
+        return rest * (1 + 1e-9) + 1e-5 * np.sqrt((near * near).sum(axis=(1, 2))) + 1e-12 * np.sqrt((x * x).sum(axis=1))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """queries x subspaces x 16: the product of each query's part with each codeword."""
         return np.einsum("qms,mks->qmk", self.parts(queries), self.words).astype(np.float32)
@@ -163,12 +170,13 @@ def nearest(
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = _packed(shared.value.encode(matrix(batch.column(1))))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "vec", "asks", "codes"]
-            )
+            x = matrix(batch.column(1))
+            codes = shared.value.encode(x)
+            own = [pa.array([c.tobytes() for c in _packed(codes)], pa.binary()), pa.array(shared.value.errors(x, codes))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=["vec_id", "vec", "asks", "codes", "error"])
 
-    indexed = materialize(rows.mapInArrow(tidied(index), "vec_id long, vec array<double>, asks boolean, codes binary"), "index")
+    schema = "vec_id long, vec array<double>, asks boolean, codes binary, error double"
+    indexed = materialize(rows.mapInArrow(tidied(index), schema), "index")
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
     candidates = indexed.withColumns(
         {"i": F.pmod(spread, F.lit(across)), "j": F.explode(F.sequence(F.lit(0), F.lit(down - 1))), "asks": F.lit(False)}
@@ -176,7 +184,7 @@ def nearest(
     queries = indexed.where("asks").withColumns(
         {"i": F.explode(F.sequence(F.lit(0), F.lit(across - 1))), "j": F.pmod(spread, F.lit(down))}
     )
-    columns = ["i", "j", "asks", "vec_id", "vec", "codes"]
+    columns = ["i", "j", "asks", "vec_id", "vec", "codes", "error"]
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by("vec_id").combine_chunks()
@@ -184,7 +192,7 @@ def nearest(
         ids = table.column("vec_id").to_numpy()
         vecs = matrix(table.column("vec").combine_chunks())
         packed = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[~asks]
-        own, there = ids[~asks], vecs[~asks]
+        own, there, error = ids[~asks], vecs[~asks], table.column("error").to_numpy()[~asks]
         out: list[tuple[np.ndarray, ...]] = []
         asking = np.flatnonzero(asks)
         for lo in range(0, len(asking), 64):
@@ -195,6 +203,14 @@ def nearest(
                 best = _best(scores, max(RERANKED, k))
                 best = best[own[best] != ids[q]]
                 exact = (there[best] * vecs[q]).sum(axis=1)
+                if len(best) >= k:  # with fewer, there are no others
+                    least = np.partition(exact, len(exact) - k)[len(exact) - k]
+                    reach = scores + error * np.sqrt((vecs[q] * vecs[q]).sum())
+                    more = ~(reach < least) & (own != ids[q])  # what isn't a number is no bound
+                    more[best] = False
+                    rest = np.flatnonzero(more)
+                    best = np.concatenate([best, rest])
+                    exact = np.concatenate([exact, (there[rest] * vecs[q]).sum(axis=1)])
                 top = best[np.lexsort((own[best], -exact))[:k]]
                 out.append((np.full(len(top), ids[q]), own[top], (there[top] * vecs[q]).sum(axis=1)))
         got = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]

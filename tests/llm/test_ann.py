@@ -74,3 +74,17 @@ def test_few_rows(spark):
     found = run(spark, [(0, [1.0, 2.0]), (3, [1.0, 0.0]), (5, [0.0, 1.0])])
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in found] == [(0, 1, 5, 2.0), (0, 2, 3, 1.0)]
     assert run(spark, [(0, [1.0, 2.0])]) == []
+
+
+def test_hot_cluster_of_near_copies_with_production_parameters(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(6000, 24))
+    x[::3] = rng.normal(size=24) + 0.2 * rng.normal(size=(2000, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    rows = [(i if i % 20 else i + 10_001, v) for i, v in enumerate(x.tolist())]
+    asked = [0, 3, 6, 9, 1]
+    rows += [(20_000 + 20 * j, x[i].tolist()) for j, i in enumerate(asked)]
+    found = {}
+    for r in run(spark, rows):
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert found == {q: set(ids) for q, ids in slow(rows, 20).items()}
