@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 _AS_IS = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
@@ -117,6 +119,12 @@ def _known() -> dict[str, str]:
     for spdx, title in _TITLES.items():
         found[f"{spdx} (notice)"] = f"Licensed under {title}."
         found[f"{spdx} (tag)"] = f"SPDX-License-Identifier: {spdx}"
+    for file in sorted((Path(__file__).parent / "license_files").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        found[file.stem] = text
+        terms, end, appendix = text.partition("END OF TERMS AND CONDITIONS")
+        if appendix.strip():
+            found[f"{file.stem} (terms)"] = terms + end
     return found
 
 

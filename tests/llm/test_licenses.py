@@ -34,3 +34,10 @@ def test_matches_its_sql(spark):
 
 def test_empty(nothing):
     assert licenses.license_scan(nothing).count() == 0
+
+
+def test_whole_texts_of_long_licenses(spark):
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0"]
+    rows = list(enumerate("  " + licenses.LICENSES[n].upper() for n in names if len(licenses.LICENSES[n]) > 5000))
+    found = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.license_id for r in sorted(found)] == names
