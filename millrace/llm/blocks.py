@@ -297,15 +297,21 @@ def doubled(h: np.ndarray, short: int, long: int) -> np.ndarray:
     return mix(h[:n], h[long - short :]) if n > 0 else h[:0]
 
 
+#: The low half of a number in which ``least_at`` counts places: fixed, so that blocks of any size choose alike.
+_PLACE = np.uint64((1 << 32) - 1)
+
+
 def least_at(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` hashes the place of its least (the first, of equal ones)."""
+    """For each window of ``width`` hashes the place of the least, by its high 32 bits (the first, of equal ones).
+
+    The choice depends on the window alone, so equal windows choose alike wherever they stand.
+    """
     if len(h) < width:
         return np.zeros(0, dtype=np.int64)
-    low = np.uint64((1 << len(h).bit_length()) - 1)
-    x = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+    x = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     span = 1
     while span * 2 <= width:
         x, span = np.minimum(x[:-span], x[span:]), span * 2
     if span < width:
         x = np.minimum(x[: len(x) - (width - span)], x[width - span :])
-    return (x & low).astype(np.int64)
+    return (x & _PLACE).astype(np.int64)
