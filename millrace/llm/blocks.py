@@ -255,7 +255,7 @@ _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def first_bytes(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The first 8 bytes of each span, zeros behind its end; 8 bytes must follow the last one."""
+    """The first 8 bytes of each span, zeros behind its end; 8 bytes must follow each start."""
     eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
     return eight[starts] & _MASKS.take(np.minimum(length, 8))
 

@@ -2,12 +2,12 @@
 
 The byte-level pre-tokenizer always cuts right before a single space that a
 non-space follows, and the cut depends on nothing to its left.  A text in which
-every space is such a space is therefore encoded piece by piece: the library
+every space is such a space, and that holds no added token, is therefore encoded piece by piece: the library
 encodes each piece that isn't remembered, and the ids of all pieces are put
 together by position.  Any other text goes to the library whole.
 
-Pieces are remembered by 64 bits of their hash and their first 8 bytes, in a table of fixed size in
-which a new piece takes the place of an old one.
+Pieces of up to 16 bytes are remembered by all of their bytes, in a table of fixed size in which a new
+piece takes the place of an old one; longer ones in a bounded dictionary.  No hash decides an id.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from tokenizers import Tokenizer
 
-from millrace.llm.blocks import first_bytes, hash_spans
+from millrace.llm.blocks import first_bytes, mix
 
-#: Bits of the memory's index, and the ids in it before it starts anew.
-SLOTS, KEPT = 22, 1 << 23
+#: Bits of the memory's index, the ids in it before it starts anew, and the pieces of over 16 bytes in it (of LONG at most).
+SLOTS, KEPT, KEPT_LONG, LONG = 19, 1 << 21, 1 << 14, 256
 #: Texts are encoded in runs of about so many bytes, and new pieces in runs of so many.
 RUN, FRESH = 1 << 21, 512
 
@@ -36,9 +36,10 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.library.no_truncation()
         self.library.no_padding()
+        # a text that holds the string of an added token, such as <|endoftext|>, goes to the library whole
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         # pieces hold for the byte-level pre-tokenizer without a prefix space and without a normalizer
         state = self.library.pre_tokenizer.__getstate__() if self.library.pre_tokenizer else b""
         self.pieces = (
@@ -51,14 +52,15 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        kinds = (np.uint64, np.uint64, np.int32, np.uint8)
-        self.key, self.check, self.start, self.size = (np.zeros(1 << SLOTS, dtype=kind) for kind in kinds)
+        kinds = (np.uint64, np.uint64, np.uint8, np.int32, np.uint8)
+        self.low, self.high, self.length, self.start, self.size = (np.zeros(1 << SLOTS, dtype=kind) for kind in kinds)
         self.ids, self.held = np.zeros(KEPT + (KEPT >> 2), dtype=np.uint32), 0
+        self.long: dict[bytes, tuple[int, int]] = {}
 
     def release(self) -> None:
         """Forget all pieces and give their memory back."""
-        self.key, self.check, self.start, self.size, self.ids = (np.zeros(0, dtype=np.uint64) for _ in range(5))
-        self.held = KEPT + 1
+        self.low, self.high, self.length, self.start, self.size, self.ids = (np.zeros(0, dtype=np.uint8) for _ in range(6))
+        self.long, self.held = {}, KEPT + 1
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,7 +105,7 @@ class Encoder:
         if not self.pieces:
             return [ids.astype("<u4").tobytes() for ids in self._library(texts)]
         raw = [t.encode() for t in texts]
-        text = b" ".join([b"", *raw, b" " * 8])
+        text = b" ".join([b"", *raw, b" " * 16])
         data = np.frombuffer(text, dtype=np.uint8)
         spaces = np.flatnonzero(data == 32)
         offsets = np.cumsum([1, *(len(t) + 1 for t in raw)])
@@ -116,35 +118,53 @@ class Encoder:
         wide = np.flatnonzero(data[starts] >= 0xC2)
         two = data[starts[wide]].astype(np.int64) << 8 | data[starts[wide] + 1]
         bad[wide] |= np.isin(two, _WIDE_SPACE) & ~heads[wide]
-        whole = np.unique(np.searchsorted(first, np.flatnonzero(bad), "right") - 1)
+        whole = np.searchsorted(first, np.flatnonzero(bad), "right") - 1
+        held = [i for a in self.added if a in text for i, t in enumerate(raw) if a in t]
+        whole = np.unique(np.concatenate([whole, np.array(held, dtype=np.int64)]))
         skip = heads.copy()
         for i in whole.tolist():
             skip[first[i] : first[i + 1]] = True
 
-        if self.held > KEPT:
+        if self.held > KEPT or len(self.long) > KEPT_LONG:
             self._forget()
-        key, check = hash_spans(data, starts, length), first_bytes(data, starts, length)
-        slot = (key >> np.uint64(64 - SLOTS)).astype(np.int64)
+        # a piece of up to 16 bytes is all of (low, high, length)
+        low, high = first_bytes(data, starts, length), first_bytes(data, starts + 8, np.maximum(length - 8, 0))
+        short = length <= 16
+        slot = (mix(low, high + length.astype(np.uint64)) >> np.uint64(64 - SLOTS)).astype(np.int64)
         size = self.size.take(slot)
-        known = (size > 0) & (self.key.take(slot) == key) & (self.check.take(slot) == check) & ~skip
+        known = short & (size > 0) & (self.low.take(slot) == low) & (self.high.take(slot) == high) & ~skip
+        known &= self.length.take(slot) == length
         begin, size = np.where(known, self.start.take(slot), 0).astype(np.int64), np.where(known, size, 0).astype(np.int64)
         pool, end = self.ids, self.held  # ids from here on are this run's alone
-        asked = np.flatnonzero(~known & ~skip)
-        if len(asked):
-            _, one, back = np.unique(key[asked], return_index=True, return_inverse=True)
-            at = asked[one]
-            new, sizes = self._fresh(
-                [text[i : i + n].decode() for i, n in zip(starts[at].tolist(), length[at].tolist(), strict=True)]
-            )
+        asked = np.flatnonzero(short & ~known & ~skip)
+        asked = asked[np.lexsort((length[asked], high[asked], low[asked]))]
+        same = (low[asked[1:]] == low[asked[:-1]]) & (high[asked[1:]] == high[asked[:-1]])
+        same &= length[asked[1:]] == length[asked[:-1]]
+        first_of = np.concatenate([[True], ~same])[: len(asked)]
+        at, back = asked[first_of], np.cumsum(first_of) - 1
+        long = np.flatnonzero(~short & ~skip)
+        names = [text[i : i + n] for i, n in zip(starts[long].tolist(), length[long].tolist(), strict=True)]
+        unknown = list(dict.fromkeys(n for n in names if n not in self.long))
+        if len(at) or unknown:
+            fresh = [text[i : i + n] for i, n in zip(starts[at].tolist(), length[at].tolist(), strict=True)] + unknown
+            new, sizes = self._fresh([p.decode() for p in fresh])
             begins = np.cumsum(sizes) - sizes + end
             begin[asked], size[asked] = begins[back], sizes[back]
             pool, end = self._appended(pool, end, new)
+            own, of = slot[at], slice(len(at))
+            found = dict(zip(unknown, zip(begins[len(at) :].tolist(), sizes[len(at) :].tolist(), strict=True), strict=True))
+            of_long = [self.long.get(n) or found[n] for n in names]
             if pool is self.ids:
                 self.held = end
-                self.key[slot[at]], self.check[slot[at]], self.start[slot[at]] = key[at], check[at], begins
-                self.size[slot[at]] = np.where(sizes < 256, sizes, 0)  # a piece of more ids isn't remembered
+                self.low[own], self.high[own], self.length[own], self.start[own] = low[at], high[at], length[at], begins[of]
+                self.size[own] = np.where(sizes[of] < 256, sizes[of], 0)  # a piece of more ids isn't remembered
+                self.long |= {n: x for n, x in found.items() if len(n) <= LONG}
             else:  # a run of more new ids than there is room for
                 self.held = KEPT + 1
+        else:
+            of_long = [self.long[n] for n in names]
+        if len(long):
+            begin[long], size[long] = np.array(of_long, dtype=np.int64).T
         # first pieces, and texts that go to the library whole, which stand at their first piece
         alone = set(whole.tolist())
         own = self._library([t if i in alone else t.partition(" ")[0] for i, t in enumerate(texts)])

@@ -16,7 +16,6 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 def ids(text):
     library = Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
     return library.encode(text or "", add_special_tokens=False).ids
 
 
@@ -41,6 +40,34 @@ def test_encoder_of_odd_spaces(monkeypatch, kept, slots, run):
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [e.ids for e in found]
 
 
+def test_no_hash_decides_an_id(monkeypatch):
+    # two words of 16 bytes that a 64-bit hash of this library confuses, and longer ones that begin alike
+    texts = ["x harmlessdocument y ffeTifUzqW4kBQrl z", "a harmlessdocumentation harmlessdocumentatioN b" + " ab\0 ab ab\0\0" * 3]
+    encoder = Encoder(TOKENIZER)
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [ids(t) for t in texts]
+    monkeypatch.setattr(tokens, "mix", lambda a, b: np.zeros(len(a), dtype=np.uint64))
+    encoder, rng = Encoder(TOKENIZER), random.Random(5)
+    texts += [" ".join(rng.choice("ab") * rng.randrange(1, 40) for _ in range(200)) for _ in range(20)]
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [ids(t) for t in texts]
+
+
+def test_strings_of_added_tokens_are_encoded_as_the_library_does():
+    texts = ["ab <|endoftext|> cd", "<|endoftext|>", "a<|endoftext|>b c d", "no such token"]
+    found = [np.frombuffer(x, "<u4").tolist() for x in Encoder(TOKENIZER).encode(texts)]
+    assert found == [ids(t) for t in texts] and 50256 in found[0]
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "RUN", 1 << 16)
+    encoder = Encoder(TOKENIZER)
+    assert sum(x.nbytes for x in (encoder.low, encoder.high, encoder.length, encoder.start, encoder.size, encoder.ids)) < 24 << 20
+    rng = random.Random(6)
+    for _ in encoder.encode(" ".join("%030x" % rng.getrandbits(120) for _ in range(3000)) for _ in range(10)):
+        assert len(encoder.long) <= tokens.KEPT_LONG + 3000
+
+
 def test_plan_places_everything():
     rng = random.Random(6)
     for capacity in (10, 64, 2048):

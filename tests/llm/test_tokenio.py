@@ -52,7 +52,6 @@ def test_damage_is_found():
 
 def expected(rows):
     library = Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
     out, start = [], 0
     for i, t in sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0)):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
