@@ -165,7 +165,7 @@ def edges_of(buckets: int) -> np.ndarray:
 def ask(
     block: int, keys: np.ndarray, checks: np.ndarray | None, multi: np.ndarray, buckets: int
 ) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct keys of a block, with 32 more bits of each or none, and whether the block has it twice."""
+    """Sorted distinct keys of a block, with more bits of each or none, and whether the block has it twice."""
     cuts = [0, *np.searchsorted(keys, edges_of(buckets)).tolist(), len(keys)]
     rows = [
         (b, block, keys[i:j].tobytes(), b"" if checks is None else checks[i:j].tobytes(), np.packbits(multi[i:j]).tobytes())
@@ -193,7 +193,8 @@ def repeated(asks: DataFrame, level: int, differing: bool = False) -> DataFrame:
                 [np.unpackbits(np.frombuffer(r["multi"], np.uint8), count=len(p)) for r, p in zip(rows, parts, strict=True)]
             ).astype(bool)
             if rows[0]["checks"]:
-                checks = np.concatenate([np.frombuffer(r["checks"], np.uint32) for r in rows])
+                kind = f"<u{len(rows[0]['checks']) // len(parts[0])}"
+                checks = np.concatenate([np.frombuffer(r["checks"], kind) for r in rows])
                 order = np.lexsort((checks, keys))
                 same = keys[order[1:]] == keys[order[:-1]]
                 if differing:

@@ -9,12 +9,16 @@ A full window need not be judged by all of its shorter windows: at each level
 the one whose hash is least among them stands for the rest.  Equal full windows
 choose the same one, so a window that repeats can't be lost, and the first
 level sends one key for about fourteen words.  What repeats is found by the
-exchange in ``blocks``: 64-bit keys at the shorter lengths, where a chance
-collision only costs an extension, and 96 bits at the full one.
+exchange in ``blocks``.  At the shorter lengths its keys are plain 64-bit hashes,
+where a collision only costs an extension.  At the full length, which decides,
+they are 128 bits made of cryptographic digests of the words, under a key drawn
+for the run: nobody can choose texts that collide.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,7 @@ WINDOW = 35
 #: Shorter windows than this repeat too often by chance to be worth a pass.
 SHORTEST = 9
 
+
 def _words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Each text, the hashes of all words, and the number of each text's first word and the end."""
     raw = [t.as_py() or b"" for t in texts.cast(pa.binary())]
@@ -48,7 +53,38 @@ def _starts(ends: np.ndarray, window: int) -> np.ndarray:
     return ok
 
 
-def _climb(hashes: np.ndarray, ends: np.ndarray, window: int, answers: list[list[dict]]):
+class _Digests(dict):
+    """A number for each word, by first use, and 128 bits of its digest under a key."""
+
+    def __init__(self, key: bytes):
+        self.key, self.found = key, []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.found.append(hashlib.blake2b(word, digest_size=16, key=self.key).digest())
+        return n
+
+
+def _full(raw: list[bytes], ends: np.ndarray, alive: np.ndarray, window: int, key: bytes) -> np.ndarray:
+    """Two numbers for each whole window that is alive: sums of its words' digests times powers of odd numbers."""
+    of, words, count = _Digests(key), [np.zeros(0, np.int64)], np.diff(ends)
+    any_alive = np.concatenate([[0], np.cumsum(alive)])[np.minimum(ends, len(alive))]
+    for i in np.flatnonzero(np.diff(any_alive)).tolist():
+        words.append(np.fromiter(map(of.__getitem__, raw[i].split()), np.int64, count[i]))
+    lanes = np.frombuffer(b"".join(of.found), np.uint64).reshape(-1, 2)[np.concatenate(words)]
+    here = np.repeat(np.diff(any_alive) > 0, count)  # the words of those texts
+    at = (np.cumsum(here) - 1)[: len(alive)][alive]  # the first word of each window, among them
+    out = np.empty((len(at), 2), dtype=np.uint64)
+    for lane in range(2):
+        odd = int.from_bytes(hashlib.blake2b(b"%d" % lane, digest_size=8, key=key).digest(), "little") | 5
+        up = np.cumprod(np.full(len(lanes) + 1, odd, dtype=np.uint64))
+        down = np.cumprod(np.full(len(lanes) + 1, pow(odd, -1, 1 << 64), dtype=np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lanes[:, lane] * up[:-1], dtype=np.uint64)])
+        out[:, lane] = (sums[at + window] - sums[at]) * down[at]
+    return out
+
+
+def _climb(raw: list[bytes], hashes: np.ndarray, ends: np.ndarray, window: int, answers: list[list[dict]], key: bytes):
     """(keys, checks, multi) that the next level asks about, or after the last level which windows repeat."""
     alive, h, at = _starts(ends, window), hashes, 1
     levels = _levels(window)
@@ -59,28 +95,28 @@ def _climb(hashes: np.ndarray, ends: np.ndarray, window: int, answers: list[list
         if size not in levels:
             continue
         level = levels.index(size)
-        places = B.least_at(h, window - size + 1)[alive]
-        new = np.ones(len(places), dtype=bool)
-        new[1:] = places[1:] != places[:-1]  # one place may stand for many windows, one after another
-        distinct = places[new]
-        keys = B.spread(h[distinct])
-        keys, first, back, copies = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+        if size == window:
+            digests = _full(raw, ends, alive, window, key)
+            order = np.lexsort((digests[:, 1], digests[:, 0]))
+            new = np.any(digests[order[1:]] != digests[order[:-1]], axis=1)
+            first = np.concatenate([[0], np.flatnonzero(new) + 1])[: len(order)]
+            back = np.empty(len(order), dtype=np.int64)
+            back[order] = np.concatenate([[0], np.cumsum(new)])[: len(order)]
+            copies = np.diff(np.append(first, len(order)))
+            keys, checks = (digests[order[first], lane] for lane in range(2))
+        else:
+            places = B.least_at(h, window - size + 1)[alive]
+            new = np.ones(len(places), dtype=bool)
+            new[1:] = places[1:] != places[:-1]  # one place may stand for many windows, one after another
+            keys, back, copies = np.unique(B.spread(h[places[new]]), return_inverse=True, return_counts=True)
+            back, checks = back[np.cumsum(new) - 1], None
         if level == len(answers) or not len(keys):
-            checks = _checks(hashes, distinct[first], window) if size == window and len(keys) else None
-            return "ask", keys, checks, copies > 1
+            return "ask", keys, checks if len(keys) else None, copies > 1
         found = B.bits(answers[level], len(keys))
-        alive[np.flatnonzero(alive)[~found[back[np.cumsum(new) - 1]]]] = False
+        alive[np.flatnonzero(alive)[~found[back]]] = False
     return "done", alive, None, None
 
 
-def _checks(hashes: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
-    """32 more bits for the windows at ``places``, by other constants."""
-    h, at = ~hashes * np.uint64(0xD6E8FEB86659FD93), 1
-    for size in B.halves(window)[1:]:
-        h, at = B.doubled(h, at, size), size
-    return (h[places] >> np.uint64(16)).astype(np.uint32)
-
-
 def substring_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -101,13 +137,13 @@ def substring_dedup(
     the window lose nothing.  Columns named in ``carry`` come back as c0, c1...
     """
     spark = session(docs)
-    buckets = shuffle_partitions(spark)
+    buckets, key = shuffle_partitions(spark), secrets.token_bytes(32)
     store = B.write_blocks(docs, id_col, text_col, carry)
     answers = None
 
     def step(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
-        _, hashes, ends = _words(B.unpack(payload).column("text").combine_chunks())
-        kind, keys, checks, multi = _climb(hashes, ends, window, given)
+        raw, hashes, ends = _words(B.unpack(payload).column("text").combine_chunks())
+        kind, keys, checks, multi = _climb(raw, hashes, ends, window, given, key)
         if kind == "ask":
             yield from B.ask(block, keys, checks, multi, buckets)
 
@@ -132,7 +168,7 @@ def substring_dedup(
     def finish(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         table = B.unpack(payload)
         raw, hashes, ends = _words(table.column("text").combine_chunks())
-        kind, alive, _, _ = _climb(hashes, ends, window, given)
+        kind, alive, _, _ = _climb(raw, hashes, ends, window, given, key)
         edge = np.zeros(len(hashes) + 1, dtype=np.int64)
         if kind == "done":
             starts = np.flatnonzero(alive)
