@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 from millrace.llm.scratch import materialize, shuffle_partitions, tidied
 
 BLOCK_BYTES = 6 << 20
+#: Of a stored table, as much for each range of keys at most: the keys of a range are in memory, at about a third of this.
+RANGE_BYTES = 512 << 20
 #: The level of the rows that hold the block itself: sorted after all answers.
 LAST = 127
 ASKS = "bucket int, block long, keys binary, checks binary, multi binary"
@@ -143,7 +145,7 @@ def by_block(
 
     own = blocks.select("block", F.lit(LAST).alias("level"), F.lit(0).alias("bucket"), F.lit(0).alias("n"), "payload")
     rows = answers.select("block", "level", "bucket", "n", "payload").union(own)
-    rows = rows.repartition(shuffle_partitions(blocks.sparkSession), "block")
+    rows = rows.repartition(ranges(blocks), "block")
     return rows.sortWithinPartitions("block", "level", "bucket").mapInArrow(tidied(met), schema)
 
 
@@ -157,6 +159,15 @@ def bits(rows: list[dict], n: int) -> np.ndarray:
     return out.astype(bool)
 
 
+def heavy_bits(rows: list[dict], n: int) -> np.ndarray:
+    """Of the same, the bits of keys with many occurrences."""
+    if not rows:
+        return np.zeros(n, dtype=bool)
+    parts = [np.frombuffer(r["payload"], np.uint8)[-(-r["n"] // 8) :] for r in rows]
+    parts = [np.unpackbits(x, count=r["n"]) if len(x) else np.zeros(r["n"], np.uint8) for x, r in zip(parts, rows, strict=True)]
+    return np.concatenate(parts).astype(bool)
+
+
 def edges_of(buckets: int) -> np.ndarray:
     """The first key of each bucket but the first."""
     return np.array([(i << 64) // buckets for i in range(1, buckets)], dtype=np.uint64)
@@ -178,11 +189,18 @@ def ask(
         yield pa.RecordBatch.from_arrays(columns, names=["bucket", "block", "keys", "checks", "multi"])
 
 
-def repeated(asks: DataFrame, level: int, differing: bool = False) -> DataFrame:
+def ranges(stored: DataFrame) -> int:
+    """Ranges of keys for a stored table: the shuffle partitions, or as many more as keep each within memory."""
+    size = int(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_partitions(stored.sparkSession), -(-size // RANGE_BYTES))
+
+
+def repeated(asks: DataFrame, level: int, buckets: int, differing: bool = False, heavy: int = 0) -> DataFrame:
     """Answers to ``asks``: for each key, whether it occurs elsewhere (in another block, or twice in its own).
 
     Keys with checks are equal if these are equal too; with ``differing``, only
-    occurrences with another check count.
+    occurrences with another check count.  With ``heavy``, checks are numbers of
+    occurrences, and bits follow of the keys that have more than so many in all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +210,17 @@ def repeated(asks: DataFrame, level: int, differing: bool = False) -> DataFrame:
             found = np.concatenate(
                 [np.unpackbits(np.frombuffer(r["multi"], np.uint8), count=len(p)) for r, p in zip(rows, parts, strict=True)]
             ).astype(bool)
+            many = np.zeros(len(keys), dtype=bool)
             if rows[0]["checks"]:
                 kind = f"<u{len(rows[0]['checks']) // len(parts[0])}"
                 checks = np.concatenate([np.frombuffer(r["checks"], kind) for r in rows])
                 order = np.lexsort((checks, keys))
                 same = keys[order[1:]] == keys[order[:-1]]
-                if differing:
+                if heavy:
+                    first = np.flatnonzero(np.concatenate([[True], ~same]))
+                    total = np.add.reduceat(checks[order], first, dtype=np.int64)
+                    many[order] = np.repeat(total > heavy, np.diff(np.append(first, len(keys))))
+                elif differing:
                     _shared(keys[order], checks[order], found, order)
                     same[:] = False
                 else:
@@ -208,7 +231,10 @@ def repeated(asks: DataFrame, level: int, differing: bool = False) -> DataFrame:
             found[order[1:][same]] = True
             found[order[:-1][same]] = True
             ends = np.cumsum([len(p) for p in parts]).tolist()
-            out = [np.packbits(found[i:j]).tobytes() for i, j in zip([0, *ends], ends, strict=False)]
+            cuts = list(zip([0, *ends], ends, strict=False))
+            out = [np.packbits(found[i:j]).tobytes() for i, j in cuts]
+            if many.any():
+                out = [x + np.packbits(many[i:j]).tobytes() if many[i:j].any() else x for x, (i, j) in zip(out, cuts, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r["block"] for r in rows]),
@@ -220,8 +246,7 @@ def repeated(asks: DataFrame, level: int, differing: bool = False) -> DataFrame:
                 names=["block", "level", "bucket", "n", "payload"],
             )
 
-    n = shuffle_partitions(asks.sparkSession)
-    return asks.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), ANSWERS)
+    return asks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), ANSWERS)
 
 
 def _shared(keys: np.ndarray, checks: np.ndarray, found: np.ndarray, order: np.ndarray) -> None:

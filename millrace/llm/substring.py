@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import blocks as B
-from millrace.llm.scratch import materialize, session, shuffle_partitions
+from millrace.llm.scratch import materialize, session
 
 WINDOW = 35
 #: Shorter windows than this repeat too often by chance to be worth a pass.
@@ -136,9 +136,9 @@ def substring_dedup(
     documents of their own, so each is a copy of the other; documents shorter than
     the window lose nothing.  Columns named in ``carry`` come back as c0, c1...
     """
-    spark = session(docs)
-    buckets, key = shuffle_partitions(spark), secrets.token_bytes(32)
+    session(docs)
     store = B.write_blocks(docs, id_col, text_col, carry)
+    buckets, key = B.ranges(store), secrets.token_bytes(32)
     answers = None
 
     def step(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def substring_dedup(
             yield from B.ask(block, keys, checks, multi, buckets)
 
     for level in range(len(_levels(window))):
-        found = materialize(B.repeated(B.by_block(store, answers, step, B.ASKS), level), f"repeated-{level}")
+        found = materialize(B.repeated(B.by_block(store, answers, step, B.ASKS), level, buckets), f"repeated-{level}")
         answers = found if answers is None else answers.union(found)
         if found.isEmpty():
             break

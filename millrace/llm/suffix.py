@@ -11,11 +11,15 @@ smallest suffix on, each placing the suffixes that end right before it.
 also starts earlier.  Each such string is stood for by its anchor: the 32-byte
 gram within it whose hash is least, which equal strings choose alike.  Strings
 whose anchors occur once are unique.  The rest go, with the text around their
-anchor, to the shard of the anchor's hash, so that equal strings meet.  There a
-suffix array over the texts that follow the anchors, recoded into symbols of 24
-bytes that keep their order, brings equal continuations together; a string
-equals another if what precedes the anchor is equal and their continuations lie
-in one run of the array.  The earliest of each class stays.
+anchor, to the shard of the anchor's hash, so that equal strings meet.  Of an
+anchor that occurs very often, only strings whose own hash repeats are sent.
+
+A shard's records are recoded into symbols of 12 bytes that keep their order, on
+a grid through the anchor, and the suffix array of all of them is built, with
+the lengths of common prefixes in bytes.  A string is a short head and a suffix
+at a place of the grid: strings are equal if their suffixes lie in one run of
+the array, with common prefixes long enough, and the bytes of their heads are
+equal.  No hash decides; the earliest of each class stays.
 """
 
 from __future__ import annotations
@@ -29,13 +33,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm import blocks as B
-from millrace.llm.scratch import materialize, session, shuffle_partitions, tidied
+from millrace.llm.scratch import materialize, session, tidied
 
 LENGTH = 100
 GRAM = 32
-SYMBOL = 24
-#: Shards for each shuffle partition, taken one after another: a shard's suffix array is in memory.
+#: Bytes of a symbol, 16 at most.
+SYMBOL = 12
+#: Shards for each range of keys, taken one after another: a shard's suffix array is in memory.
 SHARDS = 4
+#: An anchor that occurs more often than this sends only those of its strings that repeat by their own hash.
+HOT = 4096
 _LATER = (1 << 63) - 1
 
 
@@ -136,22 +143,39 @@ class _Block:
         ok = np.ones(max(0, len(self.data) - length + 1), dtype=bool)
         for i in self.ends[1:-1].tolist():
             ok[max(0, i - length + 1) : i] = False
-        grams = _grams(self.data)
+        self.grams = _grams(self.data)
         self.starts = np.flatnonzero(ok)
-        anchors = B.least_at(grams, length - GRAM + 1)[self.starts]
+        anchors = B.least_at(self.grams, length - GRAM + 1)[self.starts]
         new = np.ones(len(anchors), dtype=bool)
         new[1:] = anchors[1:] != anchors[:-1]
         self.of, self.anchors = np.cumsum(new) - 1, anchors[new]
-        keys = B.spread(grams[self.anchors])
+        keys = B.spread(self.grams[self.anchors])
         self.keys, self.back, self.copies = np.unique(keys, return_inverse=True, return_counts=True)
-        self.first = np.flatnonzero(new)
-
-    def records(self, given: list[dict]) -> None:
-        """Keep the anchors that repeat: a record is a run of strings of one anchor, first to last start."""
-        found = B.bits(given, len(self.keys))[self.back]
-        count = np.diff(np.append(self.first, len(self.starts)))
-        self.count, self.from_, self.at = count[found], self.starts[self.first[found]], self.anchors[found]
-        self.key = self.keys[self.back[found]]
+
+    def hot(self, given: list[dict]) -> None:
+        """Find the strings of anchors that occur very often, and the hash of each."""
+        self.of_hot = B.heavy_bits(given, len(self.keys))[self.back][self.of]
+        s, h, last = self.starts[self.of_hot], self.grams, self.length - GRAM
+        if last < GRAM:
+            hashed = B.mix(h[s], h[s + last])
+        else:
+            hashed = B.mix(B.mix(h[s], h[s + GRAM]), B.mix(h[s + last - GRAM], h[s + last]))
+        self.hot_keys, self.hot_back, self.hot_copies = np.unique(hashed, return_inverse=True, return_counts=True)
+
+    def records(self, given: list[list[dict]]) -> None:
+        """Keep the strings that may repeat: a record is a run of strings of one anchor, first to last start."""
+        anchors = given[0] if given else []
+        alive = B.bits(anchors, len(self.keys))[self.back][self.of]
+        self.hot(anchors)
+        if len(self.hot_keys):
+            alive[self.of_hot] &= B.bits(given[1] if len(given) > 1 else [], len(self.hot_keys))[self.hot_back]
+        place = np.flatnonzero(alive)
+        starts, of = self.starts[place], self.of[place]
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = (of[1:] != of[:-1]) | (starts[1:] != starts[:-1] + 1)
+        first = np.flatnonzero(new)
+        self.count = np.diff(np.append(first, len(place)))
+        self.from_, self.at, self.key = starts[first], self.anchors[of[first]], self.keys[self.back[of[first]]]
         raw, tail = self.data.tobytes(), self.length - 1
         seen: dict[tuple[bytes, int], int] = {}
         copy = np.zeros(len(self.at), dtype=bool)
@@ -186,45 +210,73 @@ def _shard(rows: list[dict], length: int) -> list[bytes]:
     return [out[i:j].tobytes() for i, j in zip([0, *ends], ends, strict=False)]
 
 
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The number in the 8 bytes at each place."""
+    return np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+
+
+def _common(eight: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many of the bytes from places a and b on are equal, ``most`` at most."""
+    out, left = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
+    for at in range(0, most, 8):
+        apart = eight[a[left] + at] ^ eight[b[left] + at]
+        here = apart != 0
+        low = apart[here] & (~apart[here] + np.uint64(1))
+        out[left[here]] = at + (np.bitwise_count(low - np.uint64(1)) >> 3)
+        left = left[~here]
+    out[left] = most
+    return np.minimum(out, most)
+
+
 def _mark(strings: list[bytes], lead: np.ndarray, count: np.ndarray, row: list[int], gone: np.ndarray, length: int):
     """Mark the strings of distinct records, earliest first, that equal one of an earlier record."""
-    n, width = len(strings), -(-length // SYMBOL)
-    # what follows the anchor, from its first byte on, as far as any string of the record needs it
-    after = np.zeros((n, width * SYMBOL), dtype=np.uint8)
-    have = np.zeros(n, dtype=np.int64)
-    before = np.zeros((n, length), dtype=np.uint8)  # what precedes it, nearest byte first
-    for i, (s, d) in enumerate(zip(strings, lead.tolist(), strict=True)):
-        right = s[d : d + length]
-        after[i, : len(right)] = np.frombuffer(right, np.uint8)
-        have[i] = len(right)
-        before[i, :d] = np.frombuffer(s[:d], np.uint8)[::-1]
-    pieces = after.reshape(n * width, SYMBOL).view(">u8").astype(np.uint64).reshape(-1, SYMBOL // 8)
-    order = np.lexsort(pieces.T[::-1])
-    step = np.any(pieces[order[1:]] != pieces[order[:-1]], axis=1)
-    symbol = np.empty(len(order), dtype=np.int64)
-    symbol[order] = np.concatenate([[0], np.cumsum(step)]) + 2
-    text = np.ones((n, width + 1), dtype=np.int64)  # 1 ends each record
-    text[:, :-1] = symbol.reshape(n, width)
-    sa = np.array(suffix_array(text.ravel()), dtype=np.int64)
-    by = sa[sa % (width + 1) == 0] // (width + 1)  # the records, in the order of what follows their anchors
-    x, y = after[by[:-1]], after[by[1:]]
-    differ = x != y
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
-    common = np.minimum(common, np.minimum(have[by[:-1]], have[by[1:]]))
-    hashed = np.zeros(n, dtype=np.uint64)
-    for d in range(int(lead.max(initial=0)) + 1):
-        # the string that starts d bytes before the anchor is the record's at place lead - d
-        place = lead - d
-        here = np.flatnonzero((place >= 0) & (place < count))
-        if len(here) > 1:
-            run = np.empty(n, dtype=np.uint64)
-            run[by] = np.concatenate([[0], np.cumsum(common < length - d)])
-            same = B.mix(run[here], hashed[here])
-            sort = np.argsort(same, kind="stable")  # records come earliest first
-            later = sort[1:][same[sort[1:]] == same[sort[:-1]]]
-            gone[np.asarray(row)[here[later]], place[here[later]]] = True
-        if d < length:
-            hashed = B.mix(hashed, before[:, d].astype(np.uint64) + np.uint64(1))
+    pad = b"\0" * (length + 24)
+    data = np.frombuffer(pad + pad.join(strings) + pad, dtype=np.uint8)
+    eight, size = _eight(data), np.fromiter(map(len, strings), np.int64, len(strings))
+    begin = np.cumsum(size + len(pad)) - size
+    # the places of the grid: a record's k-th is grid + k * SYMBOL
+    grid = lead % SYMBOL
+    each = -(-(size - grid) // SYMBOL)
+    record = np.repeat(np.arange(len(strings)), each)
+    k = np.arange(len(record)) - np.repeat(np.cumsum(each) - each, each)
+    inside = grid[record] + k * SYMBOL
+    at = begin[record] + inside
+    # symbols by the order of their bytes; behind a record's end they are zeros, which follow it in ``data`` too
+    big = data[np.add.outer(at, np.arange(16))]
+    big[:, SYMBOL:] = 0
+    high, low = big.view(">u8").astype(np.uint64).T
+    order = np.lexsort((low, high))
+    step = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+    text = np.ones(len(record) + len(strings), dtype=np.int64)  # 1 ends each record
+    slot = np.arange(len(record)) + record
+    text[slot[order]] = np.concatenate([[0], np.cumsum(step)]) + 2
+    sa = np.array(suffix_array(text), dtype=np.int64)
+    of = np.full(len(text), -1)
+    of[slot] = np.arange(len(record))
+    by = of[sa]
+    by = by[by >= 0]  # the grid's places, in the order of what follows them
+    common = _common(eight, at[by[:-1]], at[by[1:]], length)
+    inside, record, at, count = inside[by], record[by], at[by], count[record[by]]
+    for head in range(SYMBOL):
+        # strings that start ``head`` bytes before a place of the grid
+        cut = common < length - head
+        here = (inside >= head) & (inside - head < count)
+        here &= ~(np.concatenate([[True], cut]) & np.concatenate([cut, [True]]))  # not alone in its run
+        here = np.flatnonzero(here)
+        if not len(here):
+            continue
+        run, bits = np.concatenate([[0], np.cumsum(cut)])[here], np.uint64(64 - 8 * min(head, 8))
+        near = eight[at[here] - 8] >> bits if head else np.zeros(len(here), np.uint64)
+        keys = [near, run]
+        if head > 8:
+            keys.insert(0, eight[at[here] - 16] >> np.uint64(8 * (16 - head)))
+        order = np.lexsort(keys)
+        new = np.concatenate([[True], np.any([x[order[1:]] != x[order[:-1]] for x in keys], axis=0)])
+        first = np.flatnonzero(new)
+        mine = record[here[order]]
+        least = np.repeat(np.minimum.reduceat(mine, first), np.diff(np.append(first, len(order))))
+        later = here[order[mine != least]]
+        gone[np.asarray(row)[record[later]], inside[later] - head] = True
 
 
 def suffix_dedup(
@@ -247,19 +299,31 @@ def suffix_dedup(
     """
     if not GRAM < length < GRAM + 96:
         raise ValueError(f"length must be 33 to 127, not {length}")
-    spark = session(docs)
-    n = shuffle_partitions(spark)
+    session(docs)
     store = B.write_blocks(docs, id_col, text_col, carry)
+    n = B.ranges(store)
 
     def first(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         b = _Block(payload, length)
-        yield from B.ask(block, b.keys, None, b.copies > 1, n)
+        yield from B.ask(block, b.keys, np.minimum(b.copies, 0xFFFF).astype(np.uint16), b.copies > 1, n)
+
+    asks = B.by_block(store, None, first, B.ASKS)
+    answers = anchors = materialize(B.repeated(asks, 0, n, heavy=HOT), "anchors")
+    hot = anchors.where(F.octet_length("payload") > F.expr("(n + 7) div 8")).select("block").distinct()
+    if not hot.isEmpty():
+
+        def strings(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
+            b = _Block(payload, length)
+            b.hot(given[0])
+            yield from B.ask(block, b.hot_keys, None, b.hot_copies > 1, n)
 
-    anchors = materialize(B.repeated(B.by_block(store, None, first, B.ASKS), 0), "anchors")
+        some = [x.join(hot, "block", "left_semi") for x in (store, anchors)]
+        asks = B.by_block(some[0], some[1], strings, B.ASKS)
+        answers = anchors.union(materialize(B.repeated(asks, 1, n), "strings"))
 
     def second(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         b = _Block(payload, length)
-        b.records(given[0] if given else [])
+        b.records(given)
         own = np.flatnonzero(~b.copy)
         if not len(own):
             return
@@ -290,7 +354,7 @@ def suffix_dedup(
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r["block"] for r in rows]),
-                    pa.array([1] * len(rows), pa.int32()),
+                    pa.array([2] * len(rows), pa.int32()),
                     pa.array([bucket] * len(rows), pa.int32()),
                     pa.array([len(m) // 12 for m in masks], pa.int32()),
                     pa.array(masks, pa.binary()),
@@ -298,9 +362,9 @@ def suffix_dedup(
                 names=["block", "level", "bucket", "n", "payload"],
             )
 
-    records = B.by_block(store, anchors, second, "bucket int, block long, payload binary")
+    records = B.by_block(store, answers, second, "bucket int, block long, payload binary")
     shards = records.repartition(n, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(tidied(shard), B.ANSWERS)
-    answers = anchors.union(materialize(shards, "strings"))
+    answers = answers.union(materialize(shards, "shards"))
 
     fields = B.carried_fields(docs, carry)
     schema = T.StructType(
@@ -316,12 +380,12 @@ def suffix_dedup(
 
     def finish(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         b = _Block(payload, length)
-        b.records(given[0] if given else [])
+        b.records(given)
         marks = np.ones((len(b.at), 96), dtype=np.uint8)  # a copy within the block goes wholly
         own = np.flatnonzero(~b.copy)
         if len(own):
             bucket = (b.key[own] >> np.uint64(32)) * np.uint64(n * SHARDS) >> np.uint64(32)
-            raw = np.frombuffer(b"".join(r["payload"] for r in given[1]), np.uint8).reshape(-1, 12)
+            raw = np.frombuffer(b"".join(r["payload"] for r in given[2]), np.uint8).reshape(-1, 12)
             marks[own[np.argsort(bucket, kind="stable")]] = np.unpackbits(raw, axis=1)
         hit = (marks > 0) & (np.arange(96) < b.count[:, None])
         rows, places = np.nonzero(hit)

@@ -64,6 +64,50 @@ def test_random_overlaps(spark):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rows, 100)
 
 
+def hot_rows(n):
+    """A line of 60 bytes in n surroundings of its own, and in some that repeat."""
+    rng = random.Random(12)
+    own = lambda k: "".join(rng.choice("abcdefghij ") for _ in range(k))
+    line = own(60)
+    texts = [own(90) + line + own(90) for _ in range(n)]
+    around = [(own(50), own(50)) for _ in range(3)]
+    texts += [own(30) + (a := rng.choice(around))[0] + line + a[1] + own(30) for _ in range(20)]
+    return list(enumerate(texts))
+
+
+def test_hot_anchor_in_surroundings_of_its_own(spark, monkeypatch):
+    rows = hot_rows(10_000)
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows, 100)
+    monkeypatch.setattr(suffix, "HOT", 5)
+    rows = hot_rows(100)
+    for length in (33, 100):
+        check(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows, length)
+
+
+def test_hot_anchor_sends_only_what_repeats():
+    rows = hot_rows(10_000)
+    payload = suffix.B.pack(suffix.pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+
+    def bits(x):
+        return suffix.np.packbits(x).tobytes()
+
+    def records(most):
+        b = suffix._Block(payload, 100)
+        given = [[{"n": len(b.keys), "payload": bits(b.copies > 1) + bits(b.copies > most)}]]
+        b.hot(given[0])
+        b.records([*given, [{"n": len(b.hot_keys), "payload": bits(b.hot_copies > 1)}]])
+        return len(b.strings)
+
+    assert records(1 << 30) > 5000 and records(suffix.HOT) < 100
+
+
+def test_symbols_of_zeros(spark):
+    rng = random.Random(13)
+    rows = [(i, "".join(rng.choice("\0\0\0\0a") for _ in range(rng.randrange(400)))) for i in range(60)]
+    for length in (33, 100):
+        check(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, length)
+
+
 def test_repeated_rows_and_null_ids(edge, edge_rows):
     found = suffix.suffix_dedup(edge).collect()
     assert len(found) == len(edge_rows)
