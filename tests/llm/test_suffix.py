@@ -85,7 +85,7 @@ def test_hot_anchor_in_surroundings_of_its_own(spark, monkeypatch):
 
 
 def test_hot_anchor_sends_only_what_repeats():
-    rows = hot_rows(10_000)
+    rows = hot_rows(20_000)
     payload = suffix.B.pack(suffix.pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
 
     def bits(x):
@@ -98,7 +98,7 @@ def test_hot_anchor_sends_only_what_repeats():
         b.records([*given, [{"n": len(b.hot_keys), "payload": bits(b.hot_copies > 1)}]])
         return len(b.strings)
 
-    assert records(1 << 30) > 5000 and records(suffix.HOT) < 100
+    assert records(1 << 30) > 10_000 and records(suffix.HOT) < 100
 
 
 def test_symbols_of_zeros(spark):
