@@ -7,6 +7,11 @@ query's products with all codewords form a table; scanning the four-bit codes
 sums its entries.  In each block of candidates the best are ranked again by exact
 products of the original vectors, and then all others whose rough score could
 reach the k-th of these, by the length of their residual.
+
+Vectors lie in coarse cells.  A query visits the cells whose centres score best:
+as many as hold nearly all true neighbours of the sample's own queries, so where
+vectors don't cluster it visits them all.  A candidate goes to its block of its
+cell and stays; queries go to the blocks that they visit.
 """
 
 from __future__ import annotations
@@ -20,16 +25,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from millrace.llm.embeddings import bounded_sample, matrix, valid
-from millrace.llm.scratch import materialize, session, tidied
+from millrace.llm.embdedup import spherical_kmeans
+from millrace.llm.embeddings import bounded_sample, matrix, unit, valid
+from millrace.llm.scratch import materialize, session, shuffle_partitions, tidied
 
 #: Vectors that the codebook is fitted on, at most; every row is indexed.
 SAMPLE = 10_000
 SUBSPACE, CODEWORDS = 2, 16
 #: The share of a vector's length from which products matter: the residual along it weighs accordingly.
 SCORE_THRESHOLD = 0.2
-#: Candidates scanned by one table, queries that share a block, and candidates ranked again first in each block.
-CANDIDATES, QUERIES, RERANKED = 16_384, 256, 256
+#: Candidates of a block, from and to (a 64th of all, between), and those ranked again first in each block.
+CANDIDATES, RERANKED = (4096, 65_536), 256
+#: Cells, at most, and queries that visit one copy of a block: beyond, its candidates are copied.
+CELLS, QUERIES = 256, 65_536
+#: The share of the sample's neighbours that the visited cells hold.
+PROBED = 0.98
 
 
 @dataclass
@@ -135,6 +145,66 @@ def _best(scores: np.ndarray, most: int) -> np.ndarray:
     return np.sort(np.concatenate([above, level[: most - len(above)]]))
 
 
+def cells(x: np.ndarray, n: int) -> np.ndarray:
+    """Centres of n coarse cells: the means of rows that point alike."""
+    near = (unit(x) @ spherical_kmeans(unit(x), n).T).argmax(axis=1)
+    return np.stack([x[near == c].mean(axis=0) for c in np.unique(near)])
+
+
+def home(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The cell of each row: the centre that points most alike."""
+    length = np.sqrt((centres * centres).sum(axis=1))
+    return (x @ (centres / np.maximum(length, 1e-300)[:, None]).T).argmax(axis=1)
+
+
+def visits(x: np.ndarray, centres: np.ndarray, k: int, most: int = 512) -> int:
+    """How many cells a query visits: the fewest that hold PROBED of the k nearest, by rows of the sample as queries."""
+    near, asking = home(x, centres), x[:: max(1, len(x) // most)]
+    scores = asking @ x.T
+    scores[np.arange(len(asking)), np.arange(0, len(x), max(1, len(x) // most))] = -np.inf
+    k = min(k, len(x) - 1)
+    if k < 1:
+        return len(centres)
+    top = near[np.argpartition(-scores, k - 1, axis=1)[:, :k]]
+    order = np.argsort(np.argsort(-(asking @ centres.T), axis=1), axis=1)  # the rank of each cell for each query
+    ranks = np.sort(np.take_along_axis(order, top, axis=1).ravel())
+    return int(ranks[min(len(ranks) - 1, int(np.ceil(PROBED * len(ranks))))]) + 1
+
+
+class _Block:
+    """The candidates of a block, ready to be searched."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches).sort_by("vec_id").combine_chunks()
+        self.ids = table.column("vec_id").to_numpy()
+        self.there = matrix(table.column("vec").combine_chunks())
+        self.error = table.column("error").to_numpy()
+        self.packed = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
+
+    def search(self, book: Codebook, asking: np.ndarray, vecs: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query ids, candidate ids, scores): the k nearest of the block, for each query."""
+        own, there = self.ids, self.there
+        step = max(1, (1 << 22) // len(own))
+        for lo in range(0, len(asking), step):
+            part = slice(lo, lo + step)
+            rough = _scan(book.tables(vecs[part]), self.packed)
+            for q, vec, scores in zip(asking[part].tolist(), vecs[part], rough, strict=True):
+                scores[own == q] = -np.inf
+                best = _best(scores, max(RERANKED, k))
+                best = best[own[best] != q]
+                exact = (there[best] * vec).sum(axis=1)
+                if len(best) >= k:  # with fewer, there are no others
+                    least = np.partition(exact, len(exact) - k)[len(exact) - k]
+                    reach = scores + self.error * np.sqrt((vec * vec).sum())
+                    more = ~(reach < least) & (own != q)  # what isn't a number is no bound
+                    more[best] = False
+                    rest = np.flatnonzero(more)
+                    best = np.concatenate([best, rest])
+                    exact = np.concatenate([exact, (there[rest] * vec).sum(axis=1)])
+                top = np.lexsort((own[best], -exact))[:k]
+                yield np.full(len(top), q), own[best[top]], exact[top]
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -149,77 +219,92 @@ def nearest(
     vectors in double precision; ties go to the smaller id.  Vectors that are null,
     zero, of another length than most, or hold null or non-finite components, and
     rows with a null id, take no part.  Repeated rows are candidates of their own.
+    Other columns are ignored, whatever their names; an empty table gives none.
 
-    Candidates and queries meet in blocks, each pair of blocks once, so tasks are
-    even and bounded; a block gives k rows a query, and these are ranked.
+    Every row is indexed; what is fitted on at most SAMPLE rows is the codebook,
+    the cells' centres and how many cells a query visits.  A block is held by one
+    task, and the queries that visit it are read one batch after another; it gives
+    k rows a query, and these are ranked.
     """
     spark = session(vectors)
+    vec = F.col(vec_col)
+    if vectors.select(vec.alias("v")).schema["v"].dataType.simpleString() not in ("array<float>", "array<double>"):
+        vec = vec.cast("array<double>")
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"),
-        F.col(vec_col).cast("array<double>").alias("vec"),
-        F.coalesce(is_query, F.lit(False)).alias("asks"),
+        F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")
     ).where(F.col("vec_id").isNotNull() & valid(F.col("vec")))
     sample = bounded_sample(rows.select("vec"), SAMPLE)
     if not len(sample):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    size = sample.shape[1]
-    shared = spark.sparkContext.broadcast(fit(sample))
-    rows = rows.where(F.size("vec") == size)
-    n_all, n_ask = rows.agg(F.count("*"), F.sum(F.col("asks").cast("int"))).first()
-    across, down = max(1, -(-n_all // CANDIDATES)), max(1, -(-(n_ask or 0) // QUERIES))
+    rows = rows.where(F.size("vec") == sample.shape[1])
+    n = rows.count()
+    most = min(max(n // 64, CANDIDATES[0]), CANDIDATES[1])
+    centres = cells(sample, max(1, min(CELLS, n // most, len(sample) // 32)))
+    shared = spark.sparkContext.broadcast((fit(sample), centres, visits(sample, centres, k)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, centres, probes = shared.value
+        names = ["vec_id", "vec", "asks", "codes", "error", "cell", "probes"]
         for batch in batches:
             x = matrix(batch.column(1))
-            codes = shared.value.encode(x)
-            own = [pa.array([c.tobytes() for c in _packed(codes)], pa.binary()), pa.array(shared.value.errors(x, codes))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=["vec_id", "vec", "asks", "codes", "error"])
+            codes = book.encode(x)
+            best = np.argpartition(-(x @ centres.T), probes - 1, axis=1)[:, :probes] if probes < len(centres) else None
+            best = np.tile(np.arange(len(centres)), (len(x), 1)) if best is None else best
+            asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            ends = np.concatenate([[0], np.cumsum(asks * probes)]).astype(np.int32)
+            own = [
+                pa.array([c.tobytes() for c in _packed(codes)], pa.binary()),
+                pa.array(book.errors(x, codes)),
+                pa.array(home(x, centres).astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(best[asks].ravel().astype(np.int32))),
+            ]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=names)
 
-    schema = "vec_id long, vec array<double>, asks boolean, codes binary, error double"
+    kind = rows.schema["vec"].dataType.simpleString()
+    schema = f"vec_id long, vec {kind}, asks boolean, codes binary, error double, cell int, probes array<int>"
     indexed = materialize(rows.mapInArrow(tidied(index), schema), "index")
+
+    def parts(counts: DataFrame, size: int) -> Column:
+        """By cell, how many parts of about ``size`` rows: one row a cell, of CELLS at most."""
+        found = {r["cell"]: r["count"] for r in counts.groupBy("cell").count().collect()}
+        return F.array(*[F.lit(-(-found.get(c, 0) // size)) for c in range(len(centres))])[F.col("cell")]
+
+    asking = indexed.where("asks").select("vec_id", "vec", F.explode("probes").alias("cell"))
+    across, down = parts(indexed, most), parts(asking, QUERIES)
     spread = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30))
-    candidates = indexed.withColumns(
-        {"i": F.pmod(spread, F.lit(across)), "j": F.explode(F.sequence(F.lit(0), F.lit(down - 1))), "asks": F.lit(False)}
+    here = F.struct("cell", "i", "j").alias("block")
+    candidates = indexed.where(down > 0).withColumns({"i": F.pmod(spread, across), "j": F.explode(F.sequence(F.lit(0), down - 1))})
+    queries = asking.where(across > 0).withColumns({"i": F.explode(F.sequence(F.lit(0), across - 1)), "j": F.pmod(spread, down)})
+    met = candidates.select(here, F.lit(False).alias("asks"), "vec_id", "vec", "codes", "error").union(
+        queries.select(here, F.lit(True), "vec_id", "vec", F.lit(None).cast("binary"), F.lit(None).cast("double"))
     )
-    queries = indexed.where("asks").withColumns(
-        {"i": F.explode(F.sequence(F.lit(0), F.lit(across - 1))), "j": F.pmod(spread, F.lit(down))}
-    )
-    columns = ["i", "j", "asks", "vec_id", "vec", "codes", "error"]
-
-    def search(table: pa.Table) -> pa.Table:
-        table = table.sort_by("vec_id").combine_chunks()
-        asks = table.column("asks").to_numpy().astype(bool)
-        ids = table.column("vec_id").to_numpy()
-        vecs = matrix(table.column("vec").combine_chunks())
-        packed = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)[~asks]
-        own, there, error = ids[~asks], vecs[~asks], table.column("error").to_numpy()[~asks]
-        out: list[tuple[np.ndarray, ...]] = []
-        asking = np.flatnonzero(asks)
-        for lo in range(0, len(asking), 64):
-            part = asking[lo : lo + 64]
-            rough = _scan(shared.value.tables(vecs[part]), packed)
-            for q, scores in zip(part.tolist(), rough, strict=True):
-                scores[own == ids[q]] = -np.inf
-                best = _best(scores, max(RERANKED, k))
-                best = best[own[best] != ids[q]]
-                exact = (there[best] * vecs[q]).sum(axis=1)
-                if len(best) >= k:  # with fewer, there are no others
-                    least = np.partition(exact, len(exact) - k)[len(exact) - k]
-                    reach = scores + error * np.sqrt((vecs[q] * vecs[q]).sum())
-                    more = ~(reach < least) & (own != ids[q])  # what isn't a number is no bound
-                    more[best] = False
-                    rest = np.flatnonzero(more)
-                    best = np.concatenate([best, rest])
-                    exact = np.concatenate([exact, (there[rest] * vecs[q]).sum(axis=1)])
-                top = best[np.lexsort((own[best], -exact))[:k]]
-                out.append((np.full(len(top), ids[q]), own[top], (there[top] * vecs[q]).sum(axis=1)))
-        got = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
-        return pa.table(
-            {"query_id": pa.array(got[0].astype(np.int64)), "vec_id": pa.array(got[1].astype(np.int64)), "score": pa.array(got[2])}
-        )
-
-    met = candidates.select(columns).union(queries.select(columns)).groupBy("i", "j")
-    found = met.applyInArrow(search, "query_id long, vec_id long, score double")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, block = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column("block").field(i).to_numpy() for i in range(3)], axis=1)
+            asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
+            new = np.any(keys[1:] != keys[:-1], axis=1) | (asks[1:] != asks[:-1])
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if tuple(keys[i]) != now:
+                    now, held, block = tuple(keys[i]), [], None
+                part = batch.slice(i, j - i)
+                if not asks[i]:
+                    held.append(part.select(["vec_id", "vec", "codes", "error"]))
+                    continue
+                if block is None and held:
+                    block, held = _Block(held), []
+                if block is not None:
+                    ids, vecs = part.column("vec_id").to_numpy(), matrix(part.column("vec"))
+                    got = list(zip(*block.search(shared.value[0], ids, vecs, k), strict=True))
+                    columns = [pa.array(np.concatenate(x)) for x in got]
+                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+    met = met.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "asks")
+    found = met.mapInArrow(tidied(search), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import ann
@@ -35,7 +36,7 @@ def test_recall_order_and_scores(spark, monkeypatch):
     rows = data()
     expected, vectors = slow(rows, 20), {i: np.array(v) for i, v in rows if v}
     monkeypatch.setattr(ann, "RERANKED", 64)
-    monkeypatch.setattr(ann, "CANDIDATES", 400)
+    monkeypatch.setattr(ann, "CANDIDATES", (200, 400))
     monkeypatch.setattr(ann, "QUERIES", 16)
     got = {}
     for r in run(spark, rows):
@@ -76,6 +77,33 @@ def test_few_rows(spark):
     assert run(spark, [(0, [1.0, 2.0])]) == []
 
 
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_recall_with_production_parameters(spark, clusters):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(20_000, 24))
+    if clusters:
+        x = 0.4 * x + rng.normal(size=(clusters, 24))[rng.integers(0, clusters, len(x))]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = {}
+    for r in run(spark, list(enumerate(x.tolist()))):
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(np.float64)
+    scores = x[::20] @ x.T
+    scores[np.arange(len(scores)), np.arange(0, len(x), 20)] = -np.inf
+    best = np.argpartition(-scores, 19, axis=1)[:, :20]
+    hits = sum(len(got[20 * i] & set(row)) for i, row in enumerate(best.tolist()))
+    assert hits >= 0.95 * best.size
+
+
+def test_few_cells_are_visited_where_vectors_cluster():
+    rng = np.random.default_rng(15)
+    x = 0.15 * rng.normal(size=(4000, 24)) + rng.normal(size=(30, 24))[rng.integers(0, 30, 4000)]
+    centres = ann.cells(x, 30)
+    assert ann.visits(x, centres, 20) < len(centres) / 3
+    x = rng.normal(size=(4000, 24))
+    assert ann.visits(x, ann.cells(x, 30), 20) > 10
+
+
 def test_hot_cluster_of_near_copies_with_production_parameters(spark):
     rng = np.random.default_rng(12)
     x = rng.normal(size=(6000, 24))
