@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
 from millrace.llm.embdedup import spherical_kmeans
-from millrace.llm.embeddings import bounded_sample, matrix, unit, valid
+from millrace.llm.embeddings import bounded_sample, in_blocks, matrix, unit, valid
 from millrace.llm.scratch import materialize, session, shuffle_partitions, tidied
 
 #: Vectors that the codebook is fitted on, at most; every row is indexed.
@@ -175,7 +175,7 @@ class _Block:
     """The candidates of a block, ready to be searched."""
 
     def __init__(self, batches: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(batches).sort_by("vec_id").combine_chunks()
+        table = pa.Table.from_batches(batches).select(["vec_id", "vec", "codes", "error"]).sort_by("vec_id").combine_chunks()
         self.ids = table.column("vec_id").to_numpy()
         self.there = matrix(table.column("vec").combine_chunks())
         self.error = table.column("error").to_numpy()
@@ -280,28 +280,11 @@ def nearest(
     )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, block = None, [], None
-        for batch in batches:
-            keys = np.stack([batch.column("block").field(i).to_numpy() for i in range(3)], axis=1)
-            asks = batch.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            new = np.any(keys[1:] != keys[:-1], axis=1) | (asks[1:] != asks[:-1])
-            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if i == j:
-                    continue
-                if tuple(keys[i]) != now:
-                    now, held, block = tuple(keys[i]), [], None
-                part = batch.slice(i, j - i)
-                if not asks[i]:
-                    held.append(part.select(["vec_id", "vec", "codes", "error"]))
-                    continue
-                if block is None and held:
-                    block, held = _Block(held), []
-                if block is not None:
-                    ids, vecs = part.column("vec_id").to_numpy(), matrix(part.column("vec"))
-                    got = list(zip(*block.search(shared.value[0], ids, vecs, k), strict=True))
-                    columns = [pa.array(np.concatenate(x)) for x in got]
-                    yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+        for block, asking in in_blocks(batches, _Block):
+            ids, vecs = asking.column("vec_id").to_numpy(), matrix(asking.column("vec"))
+            got = list(zip(*block.search(shared.value[0], ids, vecs, k), strict=True))
+            columns = [pa.array(np.concatenate(x)) for x in got]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
 
     met = met.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "asks")
     found = met.mapInArrow(tidied(search), "query_id long, vec_id long, score double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,3 +40,28 @@ def bounded_sample(rows: DataFrame, most: int, column: str = "vec") -> np.ndarra
         return np.zeros((0, 0))
     size = int(np.bincount(lengths.astype(int)).argmax())
     return matrix(got.filter(pa.array(lengths == size)))
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], opened: Callable[[list[pa.RecordBatch]], object]) -> Iterator[tuple]:
+    """(block, batch of asking rows), from rows sorted by ``block`` and, within it, those that don't ask first.
+
+    ``opened`` makes a block from its rows that don't ask, once it is asked; a block without them isn't asked.
+    Only one block is held at a time, and the rows that ask pass by.
+    """
+    now, held, block = None, [], None
+    for batch in batches:
+        keys = batch.column("block").to_pylist()
+        asks = batch.column("asks").to_pylist()
+        cuts = [i for i in range(1, len(keys)) if asks[i] != asks[i - 1] or keys[i] != keys[i - 1]]
+        for i, j in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+            if i == j:
+                continue
+            if keys[i] != now:
+                now, held, block = keys[i], [], None
+            if not asks[i]:
+                held.append(batch.slice(i, j - i))
+                continue
+            if held:
+                block, held = opened(held), []
+            if block is not None:
+                yield block, batch.slice(i, j - i)

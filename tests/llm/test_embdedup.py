@@ -64,8 +64,10 @@ def test_matches_brute_force(spark):
 
 
 def test_many_cells_and_small_blocks(spark, monkeypatch):
-    monkeypatch.setattr(embdedup, "CELL", 16)
+    monkeypatch.setattr(embdedup, "CELL", 4)
+    monkeypatch.setattr(embdedup, "CELLS", 5)  # several levels
     monkeypatch.setattr(embdedup, "BLOCK", 20)
+    monkeypatch.setattr(embdedup, "PROBES", 30)
     check(spark, data(seed=3))
     check(spark, data(seed=4), threshold=0.7)
 
@@ -73,3 +75,21 @@ def test_many_cells_and_small_blocks(spark, monkeypatch):
 def test_empty(spark):
     assert embdedup.embedding_links(spark.createDataFrame([], SCHEMA)).count() == 0
     check(spark, [(1, None, 1), (2, [0.0], 1)])
+
+
+def test_two_rows_within_reach_meet_once():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6)) + 3 * rng.normal(size=(5, 6))[rng.integers(0, 5, 300)]
+    x = embdedup.unit(x)
+    cut = embdedup.levels(x, 60)
+    assert len(cut) > 1
+    row, cell, guest = embdedup.places(x, cut, 0.374)
+    where: dict[int, dict[int, int]] = {}
+    for r, c, g in zip(row.tolist(), cell.tolist(), guest.tolist(), strict=True):
+        where.setdefault(r, {})[c] = g
+    assert (np.unique(row[guest == 0], return_counts=True)[1] == 1).all()
+    near = np.argwhere(np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)) <= 0.374)
+    assert len(near) > 1000
+    for i, j in near.tolist():
+        met = [c for c in where[i] if c in where[j] and not where[i][c] & where[j][c]]
+        assert i == j or len(met) == 1
