@@ -44,6 +44,12 @@ def unpack(payload: bytes) -> pa.Table:
     return pa.ipc.open_stream(payload).read_all().combine_chunks()
 
 
+def unpack_both(payload: bytes) -> tuple[pa.Table, pa.Table]:
+    """Two tables packed one behind the other."""
+    reader = pa.BufferReader(payload)
+    return tuple(pa.ipc.open_stream(reader).read_all().combine_chunks() for _ in range(2))
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int, text_at: int) -> Iterator[pa.Table]:
     """Tables of whole rows that hold about ``size`` bytes of text each, or one longer text."""
     hold, held = [], 0
@@ -88,16 +94,22 @@ def carried_column(i: int, carry: tuple[str, ...], text_col: str) -> str:
 
 
 def write_blocks(
-    docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = (), size: int = BLOCK_BYTES
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    carry: tuple[str, ...] = (),
+    size: int = BLOCK_BYTES,
+    also: Callable[[pa.Table], pa.Table] | None = None,
 ) -> DataFrame:
-    """(block, payload): whole documents in blocks, in each by id (nulls last), then text."""
+    """(block, payload): whole documents in blocks, in each by id (nulls last), then text; behind them what ``also`` makes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = block_ids()
         for table in slices(batches, size, 1):
             table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-            payload = pa.array([pack(table)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([next(ids)]), payload], names=["block", "payload"])
+            payload = pack(table) + (pack(also(table)) if also else b"")
+            columns = [pa.array([next(ids)]), pa.array([payload], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "payload"])
 
     rows = carried(docs, id_col, text_col, carry).mapInArrow(tidied(run), "block long, payload binary")
     return materialize(rows, "blocks", "none")
@@ -260,8 +272,17 @@ def _shared(keys: np.ndarray, checks: np.ndarray, found: np.ndarray, order: np.n
 _K1, _K2, _K3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
+#: Arrays are hashed so many numbers at a time, which stay in the processor's cache.
+_RUN = 1 << 14
+
+
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A hash of two hashes, in their order."""
+    if len(a) > _RUN:
+        out, each = np.empty(len(a), dtype=np.uint64), len(b) > 1
+        for i in range(0, len(a), _RUN):
+            out[i : i + _RUN] = mix(a[i : i + _RUN], b[i : i + _RUN] if each else b)
+        return out
     x = a * _K1
     x ^= x >> np.uint64(32)
     x += b
@@ -334,10 +355,14 @@ def least_at(h: np.ndarray, width: int) -> np.ndarray:
     """
     if len(h) < width:
         return np.zeros(0, dtype=np.int64)
-    x = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
-    span = 1
-    while span * 2 <= width:
-        x, span = np.minimum(x[:-span], x[span:]), span * 2
-    if span < width:
-        x = np.minimum(x[: len(x) - (width - span)], x[width - span :])
-    return (x & _PLACE).astype(np.int64)
+    out = np.empty(len(h) - width + 1, dtype=np.int64)
+    for i in range(0, len(out), 4 * _RUN):
+        x = h[i : i + 4 * _RUN + width - 1] & ~_PLACE
+        x |= np.arange(i, i + len(x), dtype=np.uint64)
+        span = 1
+        while span * 2 <= width:
+            x, span = np.minimum(x[:-span], x[span:]), span * 2
+        if span < width:
+            x = np.minimum(x[: len(x) - (width - span)], x[width - span :])
+        out[i : i + 4 * _RUN] = x & _PLACE
+    return out

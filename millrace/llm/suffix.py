@@ -122,60 +122,89 @@ def suffix_array(text: Sequence[int]) -> list[int]:
     return out[1:]
 
 
-def _grams(data: np.ndarray) -> np.ndarray:
+def _eight(data: np.ndarray) -> np.ndarray:
+    """The number in the 8 bytes at each place."""
+    return np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+
+
+def _gram(eight: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
     """A hash of the 32 bytes at each place."""
+    if isinstance(at, slice):
+        at = [eight[at.start + i : at.stop + i] for i in (0, 8, 16, 24)]
+    else:
+        at = [eight[at + i] for i in (0, 8, 16, 24)]
+    return B.mix(B.mix(*at[:2]), B.mix(*at[2:]))
+
+
+def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins and the last ends."""
+    texts = [t.as_py() or b"" for t in table.column("text").combine_chunks().cast(pa.binary())]
+    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+
+
+def _anchors(table: pa.Table, length: int) -> pa.Table:
+    """Runs of strings of one anchor: the bytes skipped before the first, how many, and how far from it the anchor is."""
+    data, ends = _joined(table)
     n = len(data) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, dtype=np.uint64)
-    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-    sixteen = B.mix(eight[:-8], eight[8:])
-    return B.mix(sixteen[:-16], sixteen[16:])
+    anchors = B.least_at(_gram(_eight(data), slice(0, n)), length - GRAM + 1) if n > 0 else np.zeros(0, np.int64)
+    new = np.ones(len(anchors) + 1, dtype=bool)
+    new[1:-1] = anchors[1:] != anchors[:-1]
+    for i in ends[1:-1].tolist():  # strings that cross the end of a document are left out
+        new[max(0, i - length + 1)] = new[min(i, len(anchors))] = True
+    first = np.flatnonzero(new)
+    from_, stop = first[:-1], first[1:]
+    inside = np.searchsorted(ends, from_, "right") == np.searchsorted(ends, from_ + length - 1, "right")
+    from_, stop = from_[inside], stop[inside]
+    skipped = from_ - np.concatenate([[0], stop])[: len(from_)]
+    columns = {"skipped": skipped.astype(np.uint32), "count": (stop - from_).astype(np.uint8), "lead": (anchors[from_] - from_).astype(np.uint8)}
+    return pa.table({name: pa.array(x) for name, x in columns.items()})
 
 
 class _Block:
-    """A block's bytes, its strings whose anchor repeats, and their records."""
+    """A block's bytes, its runs of strings of one anchor, and the records of those that may repeat."""
 
     def __init__(self, payload: bytes, length: int):
-        self.table, self.length = B.unpack(payload), length
-        texts = [t.as_py() or b"" for t in self.table.column("text").combine_chunks().cast(pa.binary())]
-        self.ends = np.cumsum([0, *map(len, texts)])
-        self.data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        ok = np.ones(max(0, len(self.data) - length + 1), dtype=bool)
-        for i in self.ends[1:-1].tolist():
-            ok[max(0, i - length + 1) : i] = False
-        self.grams = _grams(self.data)
-        self.starts = np.flatnonzero(ok)
-        anchors = B.least_at(self.grams, length - GRAM + 1)[self.starts]
-        new = np.ones(len(anchors), dtype=bool)
-        new[1:] = anchors[1:] != anchors[:-1]
-        self.of, self.anchors = np.cumsum(new) - 1, anchors[new]
-        keys = B.spread(self.grams[self.anchors])
+        self.table, runs = B.unpack_both(payload)
+        self.length, (self.data, self.ends) = length, _joined(self.table)
+        self.count = runs.column("count").to_numpy().astype(np.int64)
+        self.from_ = np.cumsum(runs.column("skipped").to_numpy().astype(np.int64) + self.count) - self.count
+        self.at = self.from_ + runs.column("lead").to_numpy()
+        self.eight = _eight(self.data) if len(self.at) else np.zeros(0, np.uint64)
+        keys = B.spread(_gram(self.eight, self.at))
         self.keys, self.back, self.copies = np.unique(keys, return_inverse=True, return_counts=True)
 
     def hot(self, given: list[dict]) -> None:
         """Find the strings of anchors that occur very often, and the hash of each."""
-        self.of_hot = B.heavy_bits(given, len(self.keys))[self.back][self.of]
-        s, h, last = self.starts[self.of_hot], self.grams, self.length - GRAM
-        if last < GRAM:
-            hashed = B.mix(h[s], h[s + last])
-        else:
-            hashed = B.mix(B.mix(h[s], h[s + GRAM]), B.mix(h[s + last - GRAM], h[s + last]))
+        runs = np.flatnonzero(B.heavy_bits(given, len(self.keys))[self.back])
+        n = self.count[runs]
+        self.hot_run = np.repeat(runs, n)
+        self.hot_at = s = np.arange(int(n.sum())) + np.repeat(self.from_[runs] - (np.cumsum(n) - n), n)
+        last, h = self.length - GRAM, lambda at: _gram(self.eight, at)
+        hashed = B.mix(h(s), h(s + last)) if last < GRAM else B.mix(B.mix(h(s), h(s + GRAM)), B.mix(h(s + last - GRAM), h(s + last)))
         self.hot_keys, self.hot_back, self.hot_copies = np.unique(hashed, return_inverse=True, return_counts=True)
 
     def records(self, given: list[list[dict]]) -> None:
         """Keep the strings that may repeat: a record is a run of strings of one anchor, first to last start."""
         anchors = given[0] if given else []
-        alive = B.bits(anchors, len(self.keys))[self.back][self.of]
+        alive = B.bits(anchors, len(self.keys))[self.back]
         self.hot(anchors)
-        if len(self.hot_keys):
-            alive[self.of_hot] &= B.bits(given[1] if len(given) > 1 else [], len(self.hot_keys))[self.hot_back]
-        place = np.flatnonzero(alive)
-        starts, of = self.starts[place], self.of[place]
-        new = np.ones(len(place), dtype=bool)
-        new[1:] = (of[1:] != of[:-1]) | (starts[1:] != starts[:-1] + 1)
-        first = np.flatnonzero(new)
-        self.count = np.diff(np.append(first, len(place)))
-        self.from_, self.at, self.key = starts[first], self.anchors[of[first]], self.keys[self.back[of[first]]]
+        self.key = self.keys[self.back]
+        if len(self.hot_keys):  # their runs are those of their strings that repeat
+            alive[self.hot_run] = False
+            some = B.bits(given[1] if len(given) > 1 else [], len(self.hot_keys))[self.hot_back]
+            run, start = self.hot_run[some], self.hot_at[some]
+            new = np.ones(len(run) + 1, dtype=bool)
+            new[1:-1] = (run[1:] != run[:-1]) | (start[1:] != start[:-1] + 1)
+            first = np.flatnonzero(new)
+            run, start, count = run[first[:-1]], start[first[:-1]], np.diff(first)
+        else:
+            run = start = count = np.zeros(0, np.int64)
+        alive = np.flatnonzero(alive)
+        self.from_, self.count = np.concatenate([self.from_[alive], start]), np.concatenate([self.count[alive], count])
+        run = np.concatenate([alive, run])
+        order = np.argsort(self.from_, kind="stable")
+        self.from_, self.count, run = self.from_[order], self.count[order], run[order]
+        self.at, self.key = self.at[run], self.key[run]
         raw, tail = self.data.tobytes(), self.length - 1
         seen: dict[tuple[bytes, int], int] = {}
         copy = np.zeros(len(self.at), dtype=bool)
@@ -210,11 +239,6 @@ def _shard(rows: list[dict], length: int) -> list[bytes]:
     return [out[i:j].tobytes() for i, j in zip([0, *ends], ends, strict=False)]
 
 
-def _eight(data: np.ndarray) -> np.ndarray:
-    """The number in the 8 bytes at each place."""
-    return np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
-
-
 def _common(eight: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """How many of the bytes from places a and b on are equal, ``most`` at most."""
     out, left = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
@@ -300,7 +324,7 @@ def suffix_dedup(
     if not GRAM < length < GRAM + 96:
         raise ValueError(f"length must be 33 to 127, not {length}")
     session(docs)
-    store = B.write_blocks(docs, id_col, text_col, carry)
+    store = B.write_blocks(docs, id_col, text_col, carry, also=lambda table: _anchors(table, length))
     n = B.ranges(store)
 
     def first(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:

@@ -86,7 +86,8 @@ def test_hot_anchor_in_surroundings_of_its_own(spark, monkeypatch):
 
 def test_hot_anchor_sends_only_what_repeats():
     rows = hot_rows(20_000)
-    payload = suffix.B.pack(suffix.pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]}))
+    table = suffix.pa.table({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})
+    payload = suffix.B.pack(table) + suffix.B.pack(suffix._anchors(table, 100))
 
     def bits(x):
         return suffix.np.packbits(x).tobytes()
