@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
@@ -35,7 +35,7 @@ SUBSPACE, CODEWORDS = 2, 16
 #: The share of a vector's length from which products matter: the residual along it weighs accordingly.
 SCORE_THRESHOLD = 0.2
 #: Candidates of a block, from and to (a 64th of all, between), and those ranked again first in each block.
-CANDIDATES, RERANKED = (4096, 65_536), 256
+CANDIDATES, RERANKED = (16_384, 65_536), 256
 #: Cells, at most, and queries that visit one copy of a block: beyond, its candidates are copied.
 CELLS, QUERIES = 256, 65_536
 #: The share of the sample's neighbours that the visited cells hold.
@@ -127,12 +127,17 @@ def _packed(codes: np.ndarray) -> np.ndarray:
 
 def _scan(tables: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Approximate products, queries x candidates: for each byte of codes, the sum of its two table entries."""
-    out = np.zeros((len(tables), len(packed)), dtype=np.float32)
+    out = np.empty((len(tables), len(packed)), dtype=np.float32)
     if tables.shape[1] % 2:
         tables = np.pad(tables, ((0, 0), (0, 1), (0, 0)))
-    for b in range(packed.shape[1]):
-        both = (tables[:, 2 * b + 1, :, None] + tables[:, 2 * b, None, :]).reshape(len(tables), 256)
-        out += both[:, packed[:, b]]
+    both = tables[:, 1::2, :, None] + tables[:, ::2, None, :]  # by the byte that holds both codes
+    both = np.ascontiguousarray(both.reshape(len(tables), -1, 256).transpose(1, 2, 0))
+    for lo in range(0, len(packed), 2048):  # what a run of candidates sums up stays in the processor's cache
+        codes = packed[lo : lo + 2048]
+        total = both[0].take(codes[:, 0], axis=0)
+        for b in range(1, packed.shape[1]):
+            total += both[b].take(codes[:, b], axis=0)
+        out[:, lo : lo + 2048] = total.T
     return out
 
 
@@ -178,13 +183,15 @@ class _Block:
         table = pa.Table.from_batches(batches).select(["vec_id", "vec", "codes", "error"]).sort_by("vec_id").combine_chunks()
         self.ids = table.column("vec_id").to_numpy()
         self.there = matrix(table.column("vec").combine_chunks())
+        self.short = self.there.astype(np.float32)
+        self.far = 1e-6 * np.sqrt(self.there.shape[1]) * np.sqrt((self.there * self.there).sum(axis=1))  # of short products
         self.error = table.column("error").to_numpy()
         self.packed = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(self.ids), -1)
 
     def search(self, book: Codebook, asking: np.ndarray, vecs: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
         """(query ids, candidate ids, scores): the k nearest of the block, for each query."""
         own, there = self.ids, self.there
-        step = max(1, (1 << 22) // len(own))
+        step = max(1, min(64, (1 << 22) // len(own)))
         for lo in range(0, len(asking), step):
             part = slice(lo, lo + step)
             rough = _scan(book.tables(vecs[part]), self.packed)
@@ -195,10 +202,11 @@ class _Block:
                 exact = (there[best] * vec).sum(axis=1)
                 if len(best) >= k:  # with fewer, there are no others
                     least = np.partition(exact, len(exact) - k)[len(exact) - k]
-                    reach = scores + self.error * np.sqrt((vec * vec).sum())
-                    more = ~(reach < least) & (own != q)  # what isn't a number is no bound
+                    length = np.sqrt((vec * vec).sum())
+                    more = ~(scores + self.error * length < least) & (own != q)  # what isn't a number is no bound
                     more[best] = False
                     rest = np.flatnonzero(more)
+                    rest = rest[~(self.short[rest] @ vec.astype(np.float32) + self.far[rest] * length < least)]
                     best = np.concatenate([best, rest])
                     exact = np.concatenate([exact, (there[rest] * vec).sum(axis=1)])
                 top = np.lexsort((own[best], -exact))[:k]
@@ -224,7 +232,7 @@ def nearest(
     Every row is indexed; what is fitted on at most SAMPLE rows is the codebook,
     the cells' centres and how many cells a query visits.  A block is held by one
     task, and the queries that visit it are read one batch after another; it gives
-    k rows a query, and these are ranked.
+    one row a query, of its k nearest, and a query's rows are merged one by one.
     """
     spark = session(vectors)
     vec = F.col(vec_col)
@@ -282,12 +290,29 @@ def nearest(
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, asking in in_blocks(batches, _Block):
             ids, vecs = asking.column("vec_id").to_numpy(), matrix(asking.column("vec"))
-            got = list(zip(*block.search(shared.value[0], ids, vecs, k), strict=True))
-            columns = [pa.array(np.concatenate(x)) for x in got]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+            _, found, scores = zip(*block.search(shared.value[0], ids, vecs, k), strict=True)
+            columns = [pa.array(ids), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (found, scores))]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "ids", "scores"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def ranked(query: int, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+            columns = [np.full(len(ids), query), np.arange(1, len(ids) + 1, dtype=np.int32), ids, scores]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_id", "rank", "vec_id", "score"])
+
+        now, ids, scores = None, np.zeros(0, np.int64), np.zeros(0)
+        for batch in batches:
+            for query, more, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if query != now:
+                    if now is not None:
+                        yield ranked(now, ids, scores)
+                    now, ids, scores = query, np.zeros(0, np.int64), np.zeros(0)
+                ids, scores = np.concatenate([ids, np.frombuffer(more, np.int64)]), np.concatenate([scores, np.frombuffer(other)])
+                top = np.lexsort((ids, -scores))[:k]
+                ids, scores = ids[top], scores[top]
+        if now is not None:
+            yield ranked(now, ids, scores)
 
     met = met.repartition(shuffle_partitions(spark), "block").sortWithinPartitions("block", "asks")
-    found = met.mapInArrow(tidied(search), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    found = met.mapInArrow(tidied(search), "query_id long, ids binary, scores binary")
+    found = found.repartition(shuffle_partitions(spark), "query_id").sortWithinPartitions("query_id")
+    return found.mapInArrow(tidied(rank), "query_id long, rank int, vec_id long, score double")
