@@ -1,173 +1,186 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block of ids is coded by itself: its model starts empty and its checksum is
-its own.  Two tables predict the next id, from the two ids before it (order 2)
-and from the one before it (order 1), each with a confidence of 0 to 3.  Order 0
-is the adaptive frequency of ids by their number of bits (those of up to 4 are one class).  The symbol that is
-coded says which prediction holds: order 2's, order 1's, or neither, with the
-number of bits of the id, whose lower bits then follow.  Its probability mixes
-the counts gathered under the present pair of confidences with those gathered
-under order 0 alone, each weighing as much as it has seen.
-
-All blocks of a call go in lockstep, one numpy lane each; a lane holds nothing
-of another, so a block can be decoded alone.
+A block of ids is coded by itself: its model starts anew and its checksum is its
+own.  Three models predict the next id.  Order 0 has counts of all ids so far in
+the block over a fixed prior, by which ids are the likelier the smaller they are
+(as in vocabularies that number their merges).  Order 1 and order 2 each propose
+the id that followed last time after the same one or two ids, with a confidence
+of 0 to 3 by how often it has held.  The distribution that is coded is their
+mixture: order 0's, and a point at each proposed id, weighed by how often each
+was right so far in the block under the present pair of confidences.
+
+Order 0's counts are cumulated anew after 64, 128, 256 ids and so on, at most
+STEP apart; all else adapts with every id.  Ids are coded as their ranks among
+the distinct ids of the call, which the header lists.  Blocks go in lockstep, one
+numpy lane each, LANES at a time; a lane holds nothing of another, so that with
+the header any block can be decoded alone.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1024
-SMALL = 4  #: ids of up to so many bits are one class
-MAGIC = b"MRT1"
-_SLOTS = 8  #: bits of a prediction table's index
-_STEP = 6  #: what a symbol's count grows by; 2 * BLOCK * _STEP and the first counts stay below 2**16
-_LIMIT, _TOP = np.uint64(1 << 32), np.uint64(48)
-_LOW48, _LOW32, _WORD = np.uint64((1 << 48) - 1), np.uint64((1 << 32) - 1), np.uint64(16)
+BLOCK = 1 << 14
+#: Lanes that go in lockstep, at most.
+LANES = 256
+#: Ids between two tables of order 0, at most.
+STEP = 512
+MAGIC = b"MRT2"
+#: What an id adds to its count, and the weight of the prior in all; with a block's ids these stay below _WIDE.
+_GROWTH, _PRIOR, _NEAR = 64, 1 << 15, 200
+_WIDE = 1 << 22
+_SLOTS = 15  #: bits of the index of order 2
+_TOP, _LIMIT = np.uint64((1 << 64) - 1), np.uint64(1 << 48)
+_WORD, _AT = np.uint64(16), np.uint64(48)
+_NEXT = np.array([1, 2, 3, 3], dtype=np.uint32)
+#: Weights to start from, by confidence: of order 2, of order 1, and of order 0.
+_FIRST2, _FIRST1, _FIRST0 = (0, 4, 8, 16), (0, 2, 4, 8), 8
+_CREDIT = 4
 
 
-_NEXT = np.array([1, 2, 3, 3], dtype=np.uint32)
+def _tables(n: int) -> list[int]:
+    """The steps before which order 0 is cumulated, up to n."""
+    out, at = [0], 64
+    while at < n:
+        out.append(at)
+        at += min(at, STEP)
+    return out
 
 
 class _Model:
-    """The state of every lane; ids have at most ``width`` bits.
-
-    Rows of counts are gathered and put back by take and as whole items, which
-    numpy does much faster than by indexing.
-    """
-
-    def __init__(self, lanes: int, width: int):
-        self.symbols = 3 + max(width - SMALL, 0)
-        self.columns = -(-(self.symbols + 1) // 8) * 8  # whole numbers of 8 bytes, to count in
-        self.slot = np.arange(lanes) << _SLOTS
-        self.lane16 = np.arange(lanes) << 4
-        self.two, self.one = (np.zeros(lanes << _SLOTS, dtype=np.uint32) for _ in range(2))
-        first = np.arange(self.columns, dtype=np.uint16)
-        first[self.symbols + 1 :] = 0xFFFF  # never reached
-        self.mixed = np.tile(first, (lanes * 16, 1))
-        self.items = self.mixed.view(f"V{2 * self.columns}").ravel()
-        first[self.symbols + 1 :] = 0
-        self.zero = np.tile(first, (lanes, 1))
-        self.grow = (np.arange(self.columns) > np.arange(self.symbols)[:, None]).astype(np.uint16) * np.uint16(_STEP)
-        self.grow[:, self.symbols + 1 :] = 0
+    """The state of every lane; ids are ranks below ``size``."""
+
+    def __init__(self, lanes: int, size: int):
+        self.size, self.lanes = size, lanes
+        prior = 1.0 / (np.arange(size) + _NEAR)
+        self.prior = (1 + _PRIOR * prior / prior.sum()).astype(np.uint32)
+        self.counts = np.zeros((lanes, size), dtype=np.uint16)
+        self.lane = np.arange(lanes)
+        self.row0, self.row1, self.row2 = self.lane * (size + 1), self.lane * size, self.lane << _SLOTS
+        self.offset = (self.lane * _WIDE).astype(np.uint32)
+        self.cumulated = np.tile(self.offset[:, None], size + 1)
+        self.one, self.two = np.zeros(lanes * size, dtype=np.uint32), np.zeros(lanes << _SLOTS, dtype=np.uint32)
+        first = [(_FIRST2[a], _FIRST1[b], _FIRST0) for a in range(4) for b in range(4)]
+        self.weights = np.tile(np.array(first, dtype=np.uint32), (lanes, 1))
+        self.weight_rows = np.ascontiguousarray(self.weights.T)  # by order, then lane and pair of confidences
+        self.lane16 = self.lane << 4
         self.last = np.zeros(lanes, dtype=np.uint32)
-        self.hash2 = np.zeros(lanes, dtype=np.uint32)
-
-    def predict(self) -> np.ndarray:
-        """Cumulative counts of the next symbol, by lane; keeps both predictions."""
-        shift, three, two = np.uint32(32 - _SLOTS), np.uint32(3), np.uint32(2)
-        one = self.last * np.uint32(0x9E3779B1)
-        self.at1 = self.slot + (one >> shift)
-        self.at2 = self.slot + ((self.hash2 ^ one) * np.uint32(0x85EBCA6B) >> shift)
-        self.hash2 = one >> np.uint32(7)
+        self.before = np.zeros(lanes, dtype=np.uint32)
+        self.seen: list[np.ndarray] = []
+
+    def cumulate(self) -> None:
+        """Count the ids since the last time, and order 0 anew."""
+        if self.seen:
+            ids = np.concatenate([self.row1 + x for x in self.seen])
+            np.add.at(self.counts.ravel(), ids, np.uint16(1))
+            self.seen = []
+        for i in range(self.lanes):
+            np.cumsum(self.counts[i] * np.uint32(_GROWTH) + self.prior, out=self.cumulated[i, 1:])
+            self.cumulated[i, 1:] += self.offset[i]
+        self.flat = self.cumulated.ravel()
+        self.total = (self.cumulated[:, -1] - self.offset).astype(np.uint64)
+
+    def predict(self) -> None:
+        """Proposed ids and the weights of the three orders."""
+        three, two = np.uint32(3), np.uint32(2)
+        self.at1 = self.row1 + self.last
+        mixed = (self.before * np.uint32(0x9E3779B1) ^ self.last) * np.uint32(0x85EBCA6B)
+        self.at2 = self.row2 + (mixed >> np.uint32(32 - _SLOTS))
         e1, e2 = self.one.take(self.at1), self.two.take(self.at2)
         self.id1, self.id2 = e1 >> two, e2 >> two
         self.sure1, self.sure2 = e1 & three, e2 & three
-        self.sure1 *= (self.id1 != self.id2) | (self.sure2 == 0)  # one vote for the same id
-        self.context = self.lane16 + ((self.sure2 << two) | self.sure1)
-        self.cumulated = self.mixed.take(self.context, axis=0)
-        return self.cumulated + self.zero
-
-    def update(self, ids: np.ndarray, symbols: np.ndarray) -> None:
-        grow = self.grow.take(symbols, axis=0)
-        self.cumulated += grow
-        self.items.put(self.context, self.cumulated.view(self.items.dtype).ravel())
-        self.zero += grow
-        entry = ids << np.uint32(2)
-        # 1 for another id, one more than before (3 at most) for the same
-        self.two.put(self.at2, entry | _NEXT.take(self.sure2 * (ids == self.id2)))
-        self.one.put(self.at1, entry | _NEXT.take(self.sure1 * (ids == self.id1)))
-        self.last = ids
-
+        self.vote1 = self.sure1 * ((self.id1 != self.id2) | (self.sure2 == 0))  # one point for the same id
+        self.context = self.lane16 + ((self.sure2 << two) | self.vote1)
+        self.w2, self.w1, self.w0 = (w.take(self.context).astype(np.uint64) for w in self.weight_rows)
+        self.all = self.total * (self.w0 + self.w1 + self.w2)
 
-def _literals(symbols: int) -> tuple[np.ndarray, np.ndarray]:
-    """By symbol, the bit that a literal's class implies, and the number of bits that follow; none for predictions."""
-    firsts = [0, 0, 0] + [1 << (SMALL + k) for k in range(symbols - 3)]
-    return np.array(firsts, dtype=np.uint32), np.array([0, 0] + [SMALL + max(k - 1, 0) for k in range(symbols - 2)], np.uint64)
+    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each lane's id begins in the mixture, and its share."""
+        at = self.row0 + ids
+        low = self.flat.take(at)
+        size, low = (self.flat.take(at + 1) - low).astype(np.uint64) * self.w0, (low - self.offset).astype(np.uint64) * self.w0
+        p1, p2 = self.total * self.w1, self.total * self.w2
+        low += p1 * (ids > self.id1) + p2 * (ids > self.id2)
+        size += p1 * (ids == self.id1) + p2 * (ids == self.id2)
+        return low, size
 
+    def find(self, found: np.ndarray) -> np.ndarray:
+        """The id of each lane whose span holds this place of the mixture."""
+        swap = self.id1 < self.id2
+        low, high = np.where(swap, self.id1, self.id2), np.where(swap, self.id2, self.id1)
+        points = self.total * np.where(swap, self.w1, self.w2), self.total * np.where(swap, self.w2, self.w1)
+        left, point = found, np.full(self.lanes, -1, dtype=np.int64)
+        for at, own in zip((low, high), points, strict=True):
+            i = self.row0 + at
+            begin = self.flat.take(i)
+            stop = (self.flat.take(i + 1) - self.offset).astype(np.uint64) * self.w0 + own
+            begin = (begin - self.offset).astype(np.uint64) * self.w0
+            beyond = left >= stop
+            np.copyto(point, at, where=(left >= begin) & ~beyond & (point < 0) & (own > 0))
+            left = left - own * beyond
+        target = np.minimum(left // self.w0, self.total - np.uint64(1)).astype(np.uint32) + self.offset
+        ids = np.searchsorted(self.flat, target, "right") - 1 - self.row0
+        return np.where(point >= 0, point, ids)
 
-def _classes(ids: np.ndarray) -> np.ndarray:
-    """The symbol of each id as a literal."""
-    return np.maximum(np.frexp(ids.astype(np.float64))[1].astype(np.int64) - SMALL, 0) + 2
+    def update(self, ids: np.ndarray) -> None:
+        two, one = (ids == self.id2) & (self.sure2 > 0), (ids == self.id1) & (self.sure1 > 0)
+        right = np.where(two, 0, np.where(one & (self.vote1 > 0), 1, 2))
+        flat, at = self.weight_rows.ravel(), right * (self.lanes << 4) + self.context
+        flat.put(at, flat.take(at) + np.uint32(_CREDIT))
+        entry = ids.astype(np.uint32) << np.uint32(2)
+        # 1 for another id, one more than before (3 at most) for the same
+        self.two.put(self.at2, entry | _NEXT.take(self.sure2 * two))
+        self.one.put(self.at1, entry | _NEXT.take(self.sure1 * one))
+        self.before, self.last = self.last, ids.astype(np.uint32)
+        self.seen.append(ids)
 
 
-def _both(reached: np.ndarray) -> np.ndarray:
-    return reached[:, 0].astype(np.int64) + (reached[:, 1] if reached.shape[1] > 1 else 0) - 1
+def _steps(model: _Model, n: int) -> Iterator[int]:
+    """Steps 0 to n, with the model ready to be asked at each."""
+    tables = set(_tables(n))
+    for step in range(n):
+        if step in tables:
+            model.cumulate()
+        model.predict()
+        yield step
 
 
-def encode(ids: np.ndarray) -> bytes:
-    """Ids (unsigned, below 2**30) as blocks with checksums."""
-    ids = np.ascontiguousarray(ids, dtype="<u4")
-    if len(ids) and int(ids.max()) >= 1 << 30:
-        raise ValueError("ids must be below 2**30")
-    lanes = -(-len(ids) // BLOCK)
-    width = int(ids.max(initial=0)).bit_length()
-    head = MAGIC + struct.pack("<IIQ", lanes, width, len(ids))
-    if not lanes:
-        return head
-    sums = [zlib.crc32(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
-    table = np.zeros((BLOCK, lanes), dtype=np.uint32)
-    full = len(ids) // BLOCK
-    table[:, :full] = ids[: full * BLOCK].reshape(full, BLOCK).T
-    table[: len(ids) - full * BLOCK, full:] = ids[full * BLOCK :, None]
-    model = _Model(lanes, width)
-    first = np.arange(lanes) * model.columns
-    lane = np.arange(lanes)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _LOW48, dtype=np.uint64)
-    wide = width > 16  # then a symbol and the bits that follow may need more than the span has
-    # a row for each time that words are put out, of which each lane fills some
-    words = np.zeros(((4 if wide else 2) * BLOCK + 3, lanes), dtype=np.uint32)
+def _encode_lanes(table: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks by step and lane -> words of each lane, and all of them, lane by lane."""
+    n, lanes = table.shape
+    model, lane = _Model(lanes, size), np.arange(lanes)
+    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _TOP, dtype=np.uint64)
+    # a row for each time that words are put out, of which each lane fills some; a symbol needs three at most
+    words = np.zeros((3 * n + 4, lanes), dtype=np.uint32)
     filled, flat_words = np.zeros(words.shape, dtype=bool), words.ravel()
     row, latest = 0, np.zeros(lanes, dtype=np.int64)  # latest: the place of a lane's last word
-
-    def settle() -> None:
-        """Add carries to the words before, and put out a word where the span has become small."""
-        nonlocal low, span, row
-        over = np.flatnonzero(low > _LOW48)
-        if len(over):
+    for step in _steps(model, n):
+        start, share = model.span(table[step])
+        part = span // model.all
+        add = part * start
+        low += add
+        span = part * share
+        over = np.flatnonzero(low < add)
+        if len(over):  # a carry goes to the word before
             flat_words[latest.take(over)] += np.uint32(1)
-            low &= _LOW48
-        out = np.less(span, _LIMIT, out=filled[row])
-        words[row] = low >> np.uint64(32)
-        np.copyto(latest, lane + row * lanes, where=out)
-        shift = out * _WORD
-        low = (low << shift) & _LOW48
-        span <<= shift
-        row += 1
-        more = np.flatnonzero(span < _LIMIT)
-        if len(more):  # seldom two words at once
-            words[row, more], filled[row, more] = low[more] >> np.uint64(32), True
-            latest[more] = more + row * lanes
-            low[more] = (low[more] << _WORD) & _LOW48
-            span[more] <<= _WORD
+        more = span < _LIMIT
+        while more.any():
+            filled[row] = more
+            words[row] = low >> _AT
+            np.copyto(latest, lane + row * lanes, where=more)
+            shift = more * _WORD
+            low <<= shift
+            span <<= shift
             row += 1
-
-    classes = _classes(np.arange(1 << width)) if width <= 20 else None
-    _, follow = _literals(model.symbols)
-    masks = (np.uint64(1) << follow) - np.uint64(1)
-    for now in table:
-        cumulated = model.predict()
-        symbol = classes.take(now) if classes is not None else _classes(now)
-        np.copyto(symbol, 1, where=(now == model.id1) & (model.sure1 > 0))
-        np.copyto(symbol, 0, where=(now == model.id2) & (model.sure2 > 0))
-        place = first + symbol
-        counts = cumulated.ravel()
-        start, stop = counts.take(place).astype(np.uint64), counts.take(place + 1).astype(np.uint64)
-        part = span // cumulated[:, model.symbols].astype(np.uint64)
-        low += part * start
-        span = part * (stop - start)
-        if wide:
-            settle()
-        span >>= follow.take(symbol)  # of a literal, the bits that its class leaves open
-        low += span * (now & masks.take(symbol))
-        settle()
-        model.update(now, symbol)
-    for _ in range(3):
-        words[row], filled[row] = low >> np.uint64(32), True
-        low = (low & _LOW32) << _WORD
+            more = span < _LIMIT
+        model.update(table[step])
+    for _ in range(4):
+        words[row], filled[row] = low >> _AT, True
+        low <<= _WORD
         row += 1
     words, filled = words[:row].T, filled[:row].T
     count, kept = filled.sum(axis=1), words[filled]
@@ -177,75 +190,97 @@ def encode(ids: np.ndarray) -> bytes:
         kept &= np.uint32(0xFFFF)
         over[ends[:-1]] = 0  # a lane's first word is below 1, so nothing is carried out of it
         kept[:-1] += over[1:]
-    index = np.column_stack([np.full(lanes, BLOCK), np.array(sums), count]).astype("<u4")
-    index[-1, 0] = len(ids) - (lanes - 1) * BLOCK
-    return head + index.tobytes() + kept.astype("<u2").tobytes()
+    return count, kept.astype("<u2")
 
 
-def decode(data: bytes) -> np.ndarray:
-    """The ids that ``encode`` was given; ValueError if a block's checksum fails."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a token block")
-    lanes, width, n_ids = struct.unpack_from("<IIQ", data, 4)
-    if not lanes:
-        return np.zeros(0, dtype=np.uint32)
-    index = np.frombuffer(data, "<u4", 3 * lanes, 20).reshape(lanes, 3)
-    count = index[:, 2].astype(np.int64)
-    flat = np.frombuffer(data, "<u2", int(count.sum()), 20 + 12 * lanes)
+def _decode_lanes(flat: np.ndarray, count: np.ndarray, n: int, size: int) -> np.ndarray:
+    """The ranks by step and lane of what ``_encode_lanes`` gave."""
+    lanes = len(count)
     # first words of all lanes, then second ones, as they are read; zeros behind the last
-    words = np.zeros((int(count.max()) + 4, lanes), dtype=np.uint16)
+    words = np.zeros((int(count.max()) + 5, lanes), dtype=np.uint16)
     words.T[np.arange(len(words)) < count[:, None]] = flat
     words, at, ends = words.ravel(), np.arange(lanes), np.arange(lanes) + count * lanes
-    model = _Model(lanes, width)
-    first = np.arange(lanes) * model.columns
-    span, code = np.full(lanes, _LOW48, dtype=np.uint64), np.zeros(lanes, dtype=np.uint64)
-    for _ in range(3):
+    model = _Model(lanes, size)
+    span, code = np.full(lanes, _TOP, dtype=np.uint64), np.zeros(lanes, dtype=np.uint64)
+    for _ in range(4):
         code = (code << _WORD) | words.take(at)
         at += lanes
-
-    def settle() -> None:
-        nonlocal span, code, at
-        more = span < _LIMIT
-        shift = more * _WORD
-        span <<= shift
-        code = (code << shift) | words.take(np.minimum(at, ends)) * more
-        at += more * lanes
-        more = np.flatnonzero(span < _LIMIT)
-        if len(more):
-            span[more] <<= _WORD
-            code[more] = (code[more] << _WORD) | words[np.minimum(at[more], ends[more])]
-            at[more] += lanes
-
-    table = np.empty((BLOCK, lanes), dtype=np.uint32)
-    firsts, follow = _literals(model.symbols)
-    one = np.uint64(1)
-    masks = (one << follow) - one
-    for step in range(BLOCK):
-        cumulated = model.predict()
-        total = cumulated[:, model.symbols].astype(np.uint64)
-        part = span // total
-        found = np.minimum(code // part, total - one).astype(np.uint16)
-        # the counts that are not above it, eight at a time
-        reached = np.bitwise_count((cumulated <= found[:, None]).view(np.uint64))
-        symbol = reached.sum(axis=1, dtype=np.int64) - 1 if reached.shape[1] > 2 else _both(reached)
-        place = first + symbol
-        counts = cumulated.ravel()
-        start, stop = counts.take(place).astype(np.uint64), counts.take(place + 1).astype(np.uint64)
+    table = np.empty((n, lanes), dtype=np.uint32)
+    for step in _steps(model, n):
+        part = span // model.all
+        ids = model.find(np.minimum(code // part, model.all - np.uint64(1)))
+        ids = np.minimum(np.maximum(ids, 0), size - 1)  # of damaged words; the checksum tells
+        start, share = model.span(ids)
         code -= part * start
-        span = part * (stop - start)
-        if width > 16:
-            settle()
-        span >>= follow.take(symbol)
-        lower = np.minimum(code // span, masks.take(symbol))
-        code -= span * lower
-        settle()
-        now = firsts.take(symbol) | lower.astype(np.uint32)
-        np.copyto(now, model.id2, where=symbol == 0)
-        np.copyto(now, model.id1, where=symbol == 1)
-        model.update(now, symbol)
-        table[step] = now
-    ids = np.ascontiguousarray(table.T).ravel()[:n_ids].astype("<u4")
-    for i, expected in enumerate(index[:, 1].tolist()):
-        if zlib.crc32(ids[BLOCK * i : BLOCK * (i + 1)]) != expected:
+        span = part * share
+        more = span < _LIMIT
+        while more.any():
+            shift = more * _WORD
+            span = np.maximum(span, np.uint64(1)) << shift
+            code = (code << shift) | words.take(np.minimum(at, ends)) * more
+            at += more * lanes
+            more = span < _LIMIT
+        model.update(ids)
+        table[step] = ids
+    return table
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """Ids (unsigned, below 2**30) as blocks with checksums."""
+    ids = np.ascontiguousarray(ids, dtype="<u4")
+    if len(ids) and int(ids.max()) >= 1 << 30:
+        raise ValueError("ids must be below 2**30")
+    if not 0 < block <= BLOCK:
+        raise ValueError(f"block must be 1 to {BLOCK}")
+    known, ranks = np.unique(ids, return_inverse=True)
+    listed = zlib.compress(np.diff(known, prepend=np.uint32(0)).astype("<u4").tobytes(), 9)
+    lanes = -(-len(ids) // block)
+    head = MAGIC + struct.pack("<IIIQI", lanes, block, len(known), len(ids), len(listed)) + listed
+    if not lanes:
+        return head
+    sums = [zlib.crc32(ids[i : i + block]) for i in range(0, len(ids), block)]
+    counts, parts = [], []
+    width = _lanes(len(known))
+    for i in range(0, lanes, width):
+        own = ranks[i * block : (i + width) * block]
+        n = min(block, len(own))
+        table = np.zeros((-(-len(own) // block), n), dtype=np.uint32)
+        table.ravel()[: len(own)] = own
+        count, words = _encode_lanes(np.ascontiguousarray(table.T), len(known))
+        counts.append(count)
+        parts.append(words.tobytes())
+    index = np.column_stack([np.array(sums), np.concatenate(counts)]).astype("<u4")
+    return head + index.tobytes() + b"".join(parts)
+
+
+def _lanes(size: int) -> int:
+    """Lanes at a time: as many as keep the model of that many distinct ids within memory."""
+    return max(1, min(LANES, (1 << 24) // (size + (1 << _SLOTS) // 2)))
+
+
+def decode(data: bytes) -> np.ndarray:
+    """The ids that ``encode`` was given; ValueError if a block's checksum fails."""
+    if data[:4] != MAGIC:
+        raise ValueError("not a token block")
+    lanes, block, size, n_ids, listed = struct.unpack_from("<IIIQI", data, 4)
+    at = 28
+    if not lanes:
+        return np.zeros(0, dtype=np.uint32)
+    known = np.cumsum(np.frombuffer(zlib.decompress(data[at : at + listed]), "<u4"), dtype=np.uint32)
+    at += listed
+    index = np.frombuffer(data, "<u4", 2 * lanes, at).reshape(lanes, 2)
+    at += 8 * lanes
+    out, width = [], _lanes(size)
+    for i in range(0, lanes, width):
+        count = index[i : i + width, 1].astype(np.int64)
+        words = np.frombuffer(data, "<u2", int(count.sum()), at)
+        at += 2 * len(words)
+        left = n_ids - i * block
+        n = min(block, left)
+        table = _decode_lanes(words, count, n, size)
+        out.append(np.ascontiguousarray(table.T).ravel()[:left])
+    ids = known[np.concatenate(out)].astype("<u4")
+    for i, expected in enumerate(index[:, 0].tolist()):
+        if zlib.crc32(ids[block * i : block * (i + 1)]) != expected:
             raise ValueError(f"block {i} is damaged")
     return ids

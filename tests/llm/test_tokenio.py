@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +12,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import rangecoder, tokenio
 from millrace.llm.scratch import new_path
+from millrace.llm.tokens import Encoder
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,7 +23,7 @@ def test_round_trip(ids):
     assert rangecoder.decode(rangecoder.encode(np.array(ids, dtype=np.uint32))).tolist() == ids
 
 
-@pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 9000])
+@pytest.mark.parametrize("n", [0, 1, 2047, 2048, 2049, 16384, 16385, 40000])
 def test_round_trip_of_blocks(n):
     rng = np.random.default_rng(n)
     for ids in (np.zeros(n), rng.integers(0, 50257, n), np.minimum(rng.zipf(1.3, n), 50000), np.arange(n) % 7, np.full(n, 2**30 - 1)):
@@ -34,9 +38,37 @@ def test_blocks_are_independent():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50257, 3 * rangecoder.BLOCK).astype(np.uint32)
     other = ids.copy()
-    other[: rangecoder.BLOCK] = 50256
+    other[: rangecoder.BLOCK] = np.sort(ids[: rangecoder.BLOCK])  # the same distinct ids, which the header lists
     a, b = rangecoder.encode(ids), rangecoder.encode(other)
-    assert a[-2000:] == b[-2000:]
+    assert a != b and a[-50_000:] == b[-50_000:]
+
+
+def test_smaller_than_plain_order_0_and_zlib(sf_ids):
+    n = np.bincount(sf_ids)
+    share = n[n > 0] / len(sf_ids)
+    static = -(share * np.log2(share)).sum()  # without its table
+    step = rangecoder.BLOCK
+    plain = sum(len(zlib.compress(sf_ids[i : i + step].astype("<u2").tobytes(), 9)) for i in range(0, len(sf_ids), step))
+    coded = rangecoder.encode(sf_ids)
+    assert (rangecoder.decode(coded) == sf_ids).all()
+    bits = 8 * len(coded) / len(sf_ids)
+    assert bits < static - 0.3 and bits < 8 * plain / len(sf_ids) - 1
+
+
+def test_orders_1_and_2_are_mixed_in():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 3000, 400)
+    ids = np.concatenate([base[(a := rng.integers(0, 300)) : a + 100] for _ in range(160)])  # known once seen
+    alone = rng.permutation(ids)
+    assert len(rangecoder.encode(ids)) < len(rangecoder.encode(alone)) / 3
+
+
+@pytest.fixture(scope="module")
+def sf_ids():
+    """The ids of the documents of sf0.01, as they are written."""
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet").sort_by("doc_id")
+    coded = Encoder(TOKENIZER).encode(table.column("text").to_pylist())
+    return np.concatenate([np.append(np.frombuffer(x, "<u4"), 0) for x in coded]).astype(np.uint32)
 
 
 def test_damage_is_found():
