@@ -14,30 +14,75 @@ from pyspark.sql import functions as F
 from millrace.llm.license_texts import LICENSES
 
 #: (pattern, replacement), applied in this order to the lower-case text; the patterns mean the same in Java and RE2.
+#: Statements of copyright go: of known holders and templates wherever they stand, of others with their line, which
+#: must begin with the word or sign and a year or mark, so that lines of a body that wrap before "copyright" stay.
 RULES = [
-    (r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$", " "),
-    (r"(?m)^[^a-z0-9\n]*all rights reserved[^\n]*$", " "),
-    (r"licence", "license"),
-    (r"sub-license", "sublicense"),
-    (r"non-commercial", "noncommercial"),
-    (r"merchantibility", "merchantability"),
-    (r"per cent", "percent"),
+    (r"copyright\s+\(c\)\s+[0-9][0-9, -]*\s+free\s+software\s+foundation,\s+inc\.", " "),
+    (r"copyright\s+(\(c\)\s+<year>\s+<name\s+of\s+author>|\[yyyy\]\s+\[name\s+of\s+copyright\s+owner\])", " "),
+    (r"(?m)^[^a-z0-9\n©(]*(copyright[ \t]*(\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©)[^\n]*$", " "),
+    (r"all\s+rights\s+reserved", " "),
     (r"https://", "http://"),
     (r"&", " and "),
     (r"[^a-z0-9]+", " "),
 ]
+#: Spellings that count as equal, in text of which only words are left.
+SPELLINGS = [
+    ("acknowledgement", "acknowledgment"),
+    ("analogue", "analog"),
+    ("analyse", "analyze"),
+    ("artefact", "artifact"),
+    ("authorisation", "authorization"),
+    ("authorised", "authorized"),
+    ("calibre", "caliber"),
+    ("cancelled", "canceled"),
+    ("capitalisation", "capitalization"),
+    ("catalogue", "catalog"),
+    ("categorise", "categorize"),
+    ("centre", "center"),
+    ("copyright owner", "copyright holder"),
+    ("emphasised", "emphasized"),
+    ("favour", "favor"),
+    ("fulfilment", "fulfillment"),
+    ("initialise", "initialize"),
+    ("judgement", "judgment"),
+    ("labelling", "labeling"),
+    ("labour", "labor"),
+    ("licence", "license"),
+    ("maximise", "maximize"),
+    ("merchantibility", "merchantability"),
+    ("modelled", "modeled"),
+    ("modelling", "modeling"),
+    ("non commercial", "noncommercial"),
+    ("non infringement", "noninfringement"),
+    ("offence", "offense"),
+    ("optimise", "optimize"),
+    ("organisation", "organization"),
+    ("organise", "organize"),
+    ("per cent", "percent"),
+    ("practise", "practice"),
+    ("programme", "program"),
+    ("realise", "realize"),
+    ("recognise", "recognize"),
+    ("signalling", "signaling"),
+    ("sub license", "sublicense"),
+    ("utilisation", "utilization"),
+    ("whilst", "while"),
+    ("wilful", "willful"),
+]
 #: Broadcast only while the table of known licences is below this many rows.
 BROADCAST_ROWS = 10_000
 
 
 def canonical(text: Column) -> Column:
-    """The canonical form of a text; null for null."""
+    """The canonical form of a text, whatever the widths of its lines; null for null."""
     out = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for pattern, new in RULES:
-        if pattern.isascii() and not set(pattern) & set("()[]^$.+*?"):
-            out = F.replace(out, F.lit(pattern), F.lit(new))
-        else:
+        if set(pattern) & set("()[]^$.+*?\\"):
             out = F.regexp_replace(out, pattern, new)
+        else:
+            out = F.replace(out, F.lit(pattern), F.lit(new))
+    for spelling, usual in SPELLINGS:
+        out = F.replace(out, F.lit(spelling), F.lit(usual))
     return F.btrim(out)
 
 
@@ -57,8 +102,10 @@ def license_scan(
     digest is the SHA-256 of the canonical text (null for a null text); license_id
     is that of the known licence with the same digest, else null.  Texts without a
     letter or digit share the digest of the empty text, which no licence has.
-    Repeated rows come back repeated; extra columns are ignored.  One narrow pass:
-    the known digests, a fixed list, are broadcast if few, else joined by shuffle.
+    Of known licences with one digest, the smallest id is given.  Repeated rows come
+    back repeated; extra columns are ignored; an empty table gives an empty result.
+    One narrow pass: the known digests, a fixed list, are broadcast if few, else
+    joined by shuffle.
     """
     known = known_licenses(docs.sparkSession, licenses)
     if len(LICENSES if licenses is None else licenses) <= BROADCAST_ROWS:

@@ -120,6 +120,8 @@ def _license_sql() -> str:
         out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
         for pattern, new in licenses.RULES:
             out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
+        for spelling, usual in licenses.SPELLINGS:
+            out = f"replace({out}, '{spelling}', '{usual}')"
         return f"sha256(trim({out}, ' '))"
 
     known = ", ".join(

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 from millrace.llm import licenses
 from millrace.llm.queries import op10_license_scan, oracle_sql
 from tests.test_entry import same
@@ -24,6 +26,35 @@ def test_equivalent_spellings(spark):
     assert found.license_id == "own"
 
 
+def test_any_width_of_lines(spark):
+    names = [n for n, text in licenses.LICENSES.items() if "(" not in n and len(text) > 500]
+    assert len(names) >= 13
+    rows = []
+    for name in names:
+        for width in range(50, 121):
+            parts = [textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in licenses.LICENSES[name].split("\n\n")]
+            head = f"Copyright (c) 20{width % 90 + 10} A. Holder\nAll rights reserved.\n\n"
+            rows.append((name, head * (width % 2) + "\n\n".join(parts)))
+    found = licenses.license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.license_id) for r in found if r.doc_id != r.license_id] == []
+
+
+def test_only_statements_of_copyright_go(spark):
+    known = {"own": "one (c) two\ncopyright holders three"}
+    rows = [
+        (1, "one\n(c) two\ncopyright holders\nthree"),
+        (2, "Copyright 2020 X\n© Y\n (c) 1999 Z\none (c) two copyright owners three"),
+        (3, "one\ntwo\ncopyright holders\nthree"),
+    ]
+    found = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), licenses=known).collect()
+    assert [r.license_id for r in sorted(found)] == ["own", "own", None]
+
+
+def test_ties_go_to_the_smallest_id(spark):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    assert licenses.license_scan(docs, licenses={"b": "Some text.", "a": "some  TEXT", "c": "some text"}).first().license_id == "a"
+
+
 def test_known_texts_differ(spark):
     assert licenses.known_licenses(spark).count() == len(licenses.LICENSES)
 
