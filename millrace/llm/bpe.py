@@ -5,8 +5,10 @@ Each distinct pre-token of a block is sent once, packed by its hash, to the
 range that holds it; there each distinct word of the whole table is encoded
 once, and its ids go back to the blocks that sent it, which put the documents
 together again by position.  A word that fills a third of the table reaches its
-range once a block.  Decoding joins ids with the bytes of their tokens, a table
-of the vocabulary's fixed size.
+range once a block.  Rows of a range are read one after another, and its words
+are kept up to a fixed number, so the size of a range bounds no task's memory.
+Decoding joins ids with the table of their tokens' bytes, of the vocabulary's
+fixed size, as columns.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from __future__ import annotations
 import base64
 import itertools
 import struct
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -30,10 +33,12 @@ from millrace.llm.scratch import delete, materialize, session, shuffle_partition
 
 #: Larger than elsewhere: the larger a block, the less often a word is sent.
 BLOCK_BYTES = 16 << 20
+#: Words of a range that are remembered, at most; beyond, the memory starts anew and a word may be encoded again.
+KNOWN = 1 << 20
 
 _ZSTD, _UNZSTD = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 _RANKS: dict[str, dict[bytes, int]] = {}
-_TOKENS: dict[str, dict[int, bytes]] = {}
+_TOKENS: dict[str, pa.Array] = {}
 _CORES: dict[str, tiktoken.Encoding] = {}
 
 
@@ -45,9 +50,10 @@ def ranks(path: str) -> dict[bytes, int]:
     return _RANKS[path]
 
 
-def _core(path: str, pattern: str) -> tiktoken.Encoding:
+def _core(path: str) -> tiktoken.Encoding:
+    """The library for single words: whatever it is given is one match."""
     if path not in _CORES:
-        _CORES[path] = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
+        _CORES[path] = tiktoken.Encoding("own", pat_str=r"(?s:.+)", mergeable_ranks=ranks(path), special_tokens={})
     return _CORES[path]
 
 
@@ -146,7 +152,7 @@ def encode(
     ids are the ranks of the tokens in the file ``vocabulary``; each match of
     ``pattern`` is encoded by itself, and no string is a special token.  Null and
     empty texts have no ids.  Repeated rows come back repeated; extra columns are
-    ignored.  ``then`` is applied to each batch where it is made, and gives one of
+    ignored; an empty table gives an empty result.  ``then`` is applied to each batch where it is made, and gives one of
     ``schema``: what is derived from the ids then needs no second worker.
     """
     spark = session(docs)
@@ -166,19 +172,21 @@ def encode(
     stored = spark.read.schema(B.ANSWERS).option("basePath", path).parquet(path)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = _core(vocabulary, pattern)._encode_single_piece
-        for bucket, asked in B.groups(batches, "bucket"):
-            known: dict[bytes, list[int]] = {}
-            for row in asked:
-                words = _words(row["payload"])
+        encoded, now, known = _core(vocabulary).encode_ordinary, None, {}
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for i in range(batch.num_rows):
+                block, bucket, n, payload = (columns[c][i].as_py() for c in ("block", "bucket", "n", "payload"))
+                if bucket != now or len(known) > KNOWN:
+                    now, known = bucket, {}
+                words = _words(payload)
                 for w in words:
                     if w not in known:
-                        known[w] = piece(w)
+                        known[w] = encoded(w.decode())
                 found = [known[w] for w in words]
                 sizes = np.fromiter(map(len, found), np.uint32, len(found))
                 flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
-                payload = _framed([_squeeze(sizes), _squeeze(flat)])
-                yield _rows([(row["block"], 0, bucket, row["n"], payload)])
+                yield _rows([(block, 0, bucket, n, _framed([_squeeze(sizes), _squeeze(flat)]))])
 
     asked = stored.where(F.col("level") == 0).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     answers = materialize(asked.mapInArrow(tidied(once), B.ANSWERS), "encoded", "none")
@@ -221,32 +229,44 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["block", "level", "bucket", "n", "payload"])
 
 
-def decoder(vocabulary: str) -> Callable[[Iterable[int]], bytes]:
-    """Ids -> their tokens' bytes; KeyError for an id that the vocabulary lacks."""
+def tokens(vocabulary: str) -> pa.Array:
+    """The bytes of each token, by id; null for an id that the vocabulary lacks."""
     if vocabulary not in _TOKENS:
-        _TOKENS[vocabulary] = {rank: token for token, rank in ranks(vocabulary).items()}
-    token = _TOKENS[vocabulary].__getitem__
-    return lambda ids: b"".join(map(token, ids))
+        known = ranks(vocabulary)
+        table: list[bytes | None] = [None] * (max(known.values(), default=-1) + 1)
+        for token, rank in known.items():
+            table[rank] = token
+        _TOKENS[vocabulary] = pa.array(table, pa.binary())
+    return _TOKENS[vocabulary]
+
+
+def joined(ids: pa.ListArray, table: pa.Array, between: str | bytes) -> pa.Array:
+    """Each row's ids joined with the table by id, and put together; null for null, KeyError for an id that it lacks."""
+    flat = ids.flatten()
+    if len(flat) and (flat.null_count or pc.min(flat).as_py() < 0 or pc.max(flat).as_py() >= len(table)):
+        raise KeyError("an id that the vocabulary lacks")
+    found = table.take(flat)
+    if found.null_count:
+        raise KeyError("an id that the vocabulary lacks")
+    sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    out = pc.binary_join(pa.ListArray.from_arrays(offsets, found), between)
+    return pc.if_else(ids.is_valid(), out, pa.scalar(None, out.type)) if ids.null_count else out
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, ids) -> (doc_id, ids, decoded binary), one row per input row; null ids decode to null, none to nothing.
 
-    An id that the vocabulary lacks is an error.
+    An id that the vocabulary lacks is an error.  Repeated rows come back repeated,
+    extra columns are ignored, an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoded = decoder(vocabulary)
+        table = tokens(vocabulary)
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                out = [None if x is None else decoded(x) for x in lists(part.column(1))]
-                columns = [part.column(0), part.column(1), pa.array(out, pa.binary())]
+                columns = [part.column(0), part.column(1), joined(part.column(1), table, b"")]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return rows.mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded binary")
-
-
-def lists(column: pa.Array) -> Iterator[list[int] | None]:
-    """Each row's ids as a list."""
-    return (x.values.to_numpy().tolist() if x.is_valid else None for x in column)

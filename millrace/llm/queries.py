@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +37,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    text = [str(i) for i in range(1 << 16)]
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        decoded, word = bpe.decoder(vocabulary), text.__getitem__
-        rows = [
-            (len(x), hashlib.sha256(" ".join(map(word, x)).encode()).hexdigest(), hashlib.sha256(decoded(x)).hexdigest())
-            for x in bpe.lists(batch.column(1))
-        ]
-        kinds = (pa.int64(), pa.string(), pa.string())
-        columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+        ids, table = batch.column(1), bpe.tokens(vocabulary)
+        numbers = pa.array([str(i) for i in range(len(table))])
+        texts, decoded = bpe.joined(ids, numbers, " "), bpe.joined(ids, table, b"")
+        columns = [batch.column(0), pc.list_value_length(ids).cast(pa.int64())]
+        for found in (texts.cast(pa.binary()), decoded):
+            columns.append(pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in found]))
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     docs = _table(spark, sf_dir, "documents")
