@@ -27,7 +27,7 @@ from pyspark.sql.column import Column
 
 from millrace.llm.embdedup import spherical_kmeans
 from millrace.llm.embeddings import bounded_sample, in_blocks, matrix, unit, valid
-from millrace.llm.scratch import materialize, session, shuffle_partitions, tidied
+from millrace.llm.scratch import materialize, named, session, shuffle_partitions, tidied
 
 #: Vectors that the codebook is fitted on, at most; every row is indexed.
 SAMPLE = 10_000
@@ -235,11 +235,11 @@ def nearest(
     one row a query, of its k nearest, and a query's rows are merged one by one.
     """
     spark = session(vectors)
-    vec = F.col(vec_col)
+    vec = named(vec_col)
     if vectors.select(vec.alias("v")).schema["v"].dataType.simpleString() not in ("array<float>", "array<double>"):
         vec = vec.cast("array<double>")
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")
+        named(id_col).cast("long").alias("vec_id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks")
     ).where(F.col("vec_id").isNotNull() & valid(F.col("vec")))
     sample = bounded_sample(rows.select("vec"), SAMPLE)
     if not len(sample):

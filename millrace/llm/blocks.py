@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.scratch import materialize, shuffle_partitions, tidied
+from millrace.llm.scratch import materialize, named, shuffle_partitions, tidied
 
 BLOCK_BYTES = 6 << 20
 #: Of a stored table, as much for each range of keys at most: the keys of a range are in memory, at about a third of this.
@@ -80,8 +80,8 @@ def block_ids() -> Iterator[int]:
 
 def carried(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
     """doc_id, text and the carried columns as c0, c1 and so on, whatever their names are; text isn't carried twice."""
-    extra = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry) if c != text_col]
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
+    extra = [named(c).alias(f"c{i}") for i, c in enumerate(carry) if c != text_col]
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"), *extra)
 
 
 def carried_fields(docs: DataFrame, carry: tuple[str, ...]) -> list[T.StructField]:

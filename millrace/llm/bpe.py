@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import blocks as B
-from millrace.llm.scratch import delete, materialize, session, shuffle_partitions, tidied, write
+from millrace.llm.scratch import delete, materialize, named, session, shuffle_partitions, tidied, write
 
 #: Larger than elsewhere: the larger a block, the less often a word is sent.
 BLOCK_BYTES = 16 << 20
@@ -166,7 +166,7 @@ def encode(
             rows = [(block, 0, b, n, words) for b, n, words in rows] + [(block, B.LAST, 0, 0, payload)]
             yield _rows(rows)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     path = write(rows.mapInArrow(tidied(explode), B.ANSWERS), "exploded", "none", by="level")
     # both folders may be missing: an empty table writes none, and texts without a word only blocks
     stored = spark.read.schema(B.ANSWERS).option("basePath", path).parquet(path)
@@ -268,5 +268,5 @@ def decode(encoded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col:
                 columns = [part.column(0), part.column(1), joined(part.column(1), table, b"")]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"])
 
-    rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    rows = encoded.select(named(id_col).cast("long").alias("doc_id"), named(ids_col).cast("array<int>").alias("ids"))
     return rows.mapInArrow(tidied(run), "doc_id long, ids array<int>, decoded binary")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
 from millrace.llm.embeddings import bounded_sample, in_blocks, matrix, unit, valid
-from millrace.llm.scratch import materialize, session, shuffle_partitions, tidied
+from millrace.llm.scratch import materialize, named, session, shuffle_partitions, tidied
 
 THRESHOLD = 0.93
 #: Vectors that k-means is fitted on, at most.
@@ -166,12 +166,12 @@ def embedding_links(
     the tables of copies are joined by.
     """
     spark = session(vectors)
-    label = F.col(label_col).cast("string") if label_col else F.lit("")
-    vec = F.col(vec_col)
+    label = named(label_col).cast("string") if label_col else F.lit("")
+    vec = named(vec_col)
     if vectors.select(vec.alias("v")).schema["v"].dataType.simpleString() not in ("array<float>", "array<double>"):
         vec = vec.cast("array<double>")
     kind = vectors.select(vec.alias("v")).schema["v"].dataType.simpleString()
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), vec.alias("vec"))
+    rows = vectors.select(named(id_col).cast("long").alias("vec_id"), label.alias("label"), vec.alias("vec"))
     joins = valid(F.col("vec")) & F.col("label").isNotNull()
     rows = rows.select("vec_id", "label", F.when(joins, F.col("vec")).alias("vec"))
 

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.blocks import carried, carried_fields, carried_column
-from millrace.llm.scratch import session, tidied
+from millrace.llm.scratch import materialize, named, session, tidied
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
 #: Texts are fitted on about so many documents a language; the sample's size doesn't grow with the table.
 SAMPLE_PER_LANGUAGE = 1500
+#: Labels that are learned, the commonest: more are noise, and the model's size doesn't grow with the table.
+LANGUAGES = 256
 UNDETERMINED = "und"
 #: Below this score the two best codewords are about equally near.
 AMBIGUOUS_BELOW = 0.55
@@ -131,20 +133,27 @@ class LanguageModel:
 def fit(docs: DataFrame, text_col: str, lang_col: str, key: Column, per_language: int = SAMPLE_PER_LANGUAGE):
     """A LanguageModel from labelled rows: those whose key's hash falls below the share that leaves per_language.
 
-    Only n-gram counts by language reach the driver: orders x BUCKETS numbers for each language.
+    The labels are counted without the texts; the texts are read once, and the
+    drawn ones kept in a table.  Only n-gram counts by language reach the driver:
+    orders x BUCKETS numbers for each language.  Null texts and labels are left out;
+    without any labelled text there is no model.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(key).alias("draw")
+    rows = docs.where(named(lang_col).isNotNull() & named(text_col).isNotNull()).select(
+        named(text_col).alias("text"), named(lang_col).alias("lang"), F.xxhash64(key).alias("draw")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    labels = docs.where(named(lang_col).isNotNull()).groupBy(named(lang_col).alias("lang")).agg(F.count("*").alias("n"))
+    sizes = {r["lang"]: r["n"] for r in labels.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
+    rows = rows.where(F.col("lang").isin(languages))
     share = F.create_map(
         *[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / sizes[lang])))]
     )
     draw = F.pmod("draw", F.lit(1_000_003)) / 1_000_003.0
-    sample = rows.where(draw < share[F.col("lang")]).select("text", "lang")
+    sample = materialize(rows.where(draw < share[F.col("lang")]).select("text", "lang"), "labelled")
+    if sample.isEmpty():
+        return None
     index = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +212,8 @@ def identify(
     lang_pred is a learned language, or `und` with score 0 for a text that is null
     or has no letter (or if nothing could be learned).  Equal losses go to the
     first language by name.  Repeated rows come back repeated; columns named in
-    ``carry`` come back as c0, c1..., others are ignored.  One pass over whole texts, no shuffle; the model has a fixed size.
+    ``carry`` come back as c0, c1..., others are ignored; an empty table gives an
+    empty result.  One pass over whole texts, no shuffle; the model has a fixed size.
     """
     fields = carried_fields(docs, carry)
     schema = T.StructType(
@@ -252,7 +262,7 @@ def identify(
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows outside the held-out fold: those whose crc32(id as text) mod 4 is not 2."""
-    return docs.where(~held_out(F.col(id_col)))
+    return docs.where(~held_out(named(id_col)))
 
 
 def held_out(key: Column) -> Column:

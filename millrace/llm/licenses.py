@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.license_texts import LICENSES
+from millrace.llm.scratch import named
 
 #: (pattern, replacement), applied in this order to the lower-case text; the patterns mean the same in Java and RE2.
 #: Statements of copyright go: of known holders and templates wherever they stand, of others with their line, which
@@ -110,5 +111,5 @@ def license_scan(
     known = known_licenses(docs.sparkSession, licenses)
     if len(LICENSES if licenses is None else licenses) <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.sha2(canonical(F.col(text_col)), 256).alias("digest"))
+    rows = docs.select(named(id_col).alias("doc_id"), F.sha2(canonical(named(text_col)), 256).alias("digest"))
     return rows.join(known, "digest", "left").select("doc_id", "digest", "license_id")

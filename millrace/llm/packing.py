@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.scratch import materialize, session, tidied
+from millrace.llm.scratch import materialize, named, session, tidied
 from millrace.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -108,7 +108,9 @@ def pieces(
 
     Only documents of more than ``capacity`` ids are cut, into pieces of just that
     many, the first of which may be shorter.  ids are little-endian unsigned 32-bit
-    numbers.  A null text counts as empty and gives a piece of ``end`` alone.
+    numbers.  A null text counts as empty and gives a piece of ``end`` alone; repeated
+    rows are documents of their own; other columns are ignored; an empty table gives
+    none.
     Within the task ``part``, the piece is the ``nth`` of its length.
     """
     session(docs)
@@ -135,7 +137,7 @@ def pieces(
             if rows:
                 yield _batch(rows, kinds, names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     return rows.mapInArrow(tidied(run, encodes=True), schema)
 
 
@@ -162,7 +164,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     where = table.sparkSession.sparkContext.broadcast(slots(plan(totals, capacity)))
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("part", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    ranked = table.join(counts, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("ahead")).drop("ahead", "part")
+    ranked = table.join(counts, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("ahead"))
+    ranked = ranked.select(*[c for c in table.columns if c != "part"])
     schema = T.StructType(
         [f for f in ranked.schema if f.name != "nth"]
         + [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
@@ -185,5 +188,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(
     docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END
 ) -> DataFrame:
-    """(id, text) -> (doc_id, piece, start, length, ids, sequence_id, offset): every token of every document, placed."""
+    """(id, text) -> (doc_id, piece, start, length, ids, sequence_id, offset): every token of every document, placed.
+
+    Null, repeated and empty as for ``pieces``.
+    """
     return place(pieces(docs, tokenizer, id_col, text_col, capacity, end), capacity)

@@ -7,22 +7,34 @@ local master with the setting unset, as in tests.
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
+import shutil
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Tables that no scope has; and those of the present scope.
 _WRITTEN: list[str] = []
+_SCOPE: ContextVar[list[str]] = ContextVar("scope", default=_WRITTEN)
 _BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def named(name: str) -> Column:
+    """The column of just that name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def session(df: DataFrame) -> SparkSession:
     """The session of ``df``, with Arrow batches of 16 MB at most unless the session says otherwise.
 
@@ -57,21 +69,45 @@ def tidied(run: Callable, encodes: bool = False) -> Callable:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if base:
         return f"{base.rstrip('/')}/millrace"
     if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return _LOCAL.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="millrace-"))
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = folder = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return "file://" + _LOCAL[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """The path of a table that is yet to be written to the shared folder."""
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _SCOPE.get().append(path)
     return path
 
 
+_WRITING: dict[str, list] = {}
+_LOCK = threading.Lock()
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of writes are dropped as they end; the setting comes back after the last of writes side by side."""
+    key = str(spark._jsparkSession.sessionUUID())
+    with _LOCK:
+        now = _WRITING.setdefault(key, [0, spark.conf.get(_CLEANUP, "false")])
+        now[0] += 1
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            now[0] -= 1
+            if not now[0]:
+                spark.conf.set(_CLEANUP, _WRITING.pop(key)[1])
+
+
 def write(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> str:
     """Write ``df`` to a new table in the shared folder, in one folder for each value of ``by``; its path.
 
@@ -79,13 +115,9 @@ def write(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None)
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         out = df.write.option("compression", codec)
         (out.partitionBy(by) if by else out).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return path
 
 
@@ -100,8 +132,21 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables made inside, by this thread, are deleted at the end; results that read them must be written by then."""
+    own: list[str] = []
+    token = _SCOPE.set(own)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        for path in own:
+            delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
-    """Delete every scratch table of this process; results that still read them must be written first."""
+    """Delete every scratch table made outside a scope; results that still read them must be written first."""
     while _WRITTEN:
         delete(spark, _WRITTEN.pop())
 

@@ -319,7 +319,8 @@ def suffix_dedup(
     [start, stop); kept is the bytes that remain, which need not be whole
     characters.  A null id comes after all others; among rows that share an id, the
     order is that of the blocks they are read in, so one of repeated rows stays
-    whole.  Columns named in ``carry`` come back as c0, c1...
+    whole.  An empty table gives an empty result.  Columns named in ``carry`` come back
+    as c0, c1..., whatever their names; others are ignored.
     """
     if not GRAM < length < GRAM + 96:
         raise ValueError(f"length must be 33 to 127, not {length}")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import blocks as B
 from millrace.llm import rangecoder
-from millrace.llm.scratch import session, shuffle_partitions, tidied
+from millrace.llm.scratch import named, session, shuffle_partitions, tidied
 from millrace.llm.tokens import encoder
 
 #: Ids in a chunk, about; a longer document is a chunk by itself.
@@ -33,11 +33,11 @@ def write_token_file(
 
     Documents go in ascending order of id, null ids last; rows that share an id
     follow one another in the order of their texts' hashes.  Null texts count as
-    empty.  Documents are dealt by ranges of id, so parts are even whatever the
+    empty; an empty table gives a file without chunks; other columns are ignored.  Documents are dealt by ranges of id, so parts are even whatever the
     sources, and no task holds more than one chunk.
     """
     n = shuffle_partitions(session(docs))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     by_id = F.col("doc_id").asc_nulls_last()
     ordered = rows.repartitionByRange(n, by_id).sortWithinPartitions(by_id, F.xxhash64("text"))
     tail = np.array([end], dtype="<u4").tobytes()
