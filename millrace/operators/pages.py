@@ -12,28 +12,103 @@ from pyspark.sql import functions as F
 
 HREF = r'<a href="([^"]*)"'
 TITLE = r"(?s)<title>(.*?)</title>"
-ORIGIN = r"^([a-z]+://[^/?#]+)"
-HOST = r"^[a-z]+://([^/?#:]+)"
+SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
+ORIGIN = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)"
+#: Behind the scheme and any user: a name up to its port, or an address in brackets.
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:\[\]]+)"
+#: Character references, in the order in which they are replaced.
+ENTITIES = [
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&apos;", "'"),
+    ("&nbsp;", " "),
+    ("&copy;", "©"),
+    ("&middot;", "·"),
+    ("&amp;", "&"),
+]
+#: (pattern, replacement) that leave the text of a page: what isn't content, then tags, then white space.
+TEXT = [
+    (r"(?is)<!--.*?-->", " "),
+    (r"(?is)<script\b.*?</script>", " "),
+    (r"(?is)<style\b.*?</style>", " "),
+    (r"(?is)<head\b.*?</head>", " "),
+    (r"(?is)<nav\b.*?</nav>", " "),
+    (r"(?is)<footer\b.*?</footer>", " "),
+    (r"(?s)<[^>]*>", " "),
+]
 
 
 def host(url: Column) -> Column:
-    """The host of an absolute URL, without its port; null for null, empty if there is none."""
-    return F.regexp_extract(url, HOST, 1)
+    """The host of an absolute URL in lower case, without its user and port; null for null, empty if there is none."""
+    return F.lower(F.regexp_extract(url, HOST, 1))
+
+
+def decoded(text: Column) -> Column:
+    """Text with the commonest character references replaced, once each."""
+    for entity, sign in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(sign))
+    return text
 
 
 def title(html: Column) -> Column:
     """What the first title element holds; empty if there is none."""
-    return F.regexp_extract(html, TITLE, 1)
+    return decoded(F.regexp_extract(html, TITLE, 1))
 
 
 def hrefs(html: Column) -> Column:
     """Targets of all links in order; an empty array for a null page."""
-    return F.coalesce(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), F.array().cast("array<string>"))
+    found = F.regexp_extract_all(html, F.lit(HREF), F.lit(1))
+    return F.coalesce(F.transform(found, decoded), F.array().cast("array<string>"))
+
+
+def text(html: Column) -> Column:
+    """The words of a page without scripts, styles, navigation and footer, one space between them; null for null."""
+    for pattern, new in TEXT:
+        html = F.regexp_replace(html, pattern, new)
+    return F.btrim(F.regexp_replace(decoded(html), r"\s+", " "))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, with its . and .. segments resolved (RFC 3986, 5.2.4)."""
+    path = F.regexp_replace(path, r"/(\.\.?)$", "/$1/")  # a last . or .. names a folder
+
+    def step(done: Column, segment: Column) -> Column:
+        up = F.regexp_replace(done, r"/[^/]*$", "")
+        return F.when(segment == ".", done).when(segment == "..", up).otherwise(F.concat(done, F.lit("/"), segment))
+
+    return F.aggregate(F.slice(F.split(path, "/"), 2, 1 << 30), F.lit(""), step)
 
 
 def absolute(url: Column, href: Column) -> Column:
-    """A link's target as an absolute URL: those that start with / are put behind the page's origin."""
-    return F.when(href.startswith("/"), F.concat(F.regexp_extract(url, ORIGIN, 1), href)).otherwise(href)
+    """A link's target as an absolute URL by RFC 3986, from the URL of its page; null if either is null.
+
+    What can't be resolved, as the page's URL isn't absolute, stays as it is.
+    """
+    origin = F.regexp_extract(url, ORIGIN, 1)
+    page = F.regexp_extract(url, r"^[^?#]*", 0)
+    folder = F.regexp_extract(F.substr(page, F.length(origin) + 1), r"^.*/", 0)
+    path, rest = F.regexp_extract(href, r"^[^?#]*", 0), F.regexp_extract(href, r"[?#].*$", 0)
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    return (
+        F.when(F.regexp_extract(href, SCHEME, 1) != "", href)
+        .when(origin == "", href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(url, SCHEME, 1), F.lit(":"), href))
+        .when(href == "", F.regexp_extract(url, r"^[^#]*", 0))
+        .when(href.startswith("#"), F.concat(F.regexp_extract(url, r"^[^#]*", 0), href))
+        .when(href.startswith("?"), F.concat(page, href))
+        .otherwise(F.concat(origin, _without_dots(full), rest))
+    )
+
+
+def canonical(url: Column) -> Column:
+    """A URL to compare by: scheme and host in lower case, no default port, fragment or final slash; null for null."""
+    origin = F.lower(F.regexp_extract(url, ORIGIN, 1))
+    origin = F.regexp_replace(F.regexp_replace(origin, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    own = F.regexp_extract(url, ORIGIN, 1)
+    rest = F.regexp_extract(F.substr(url, F.length(own) + 1), r"^[^#]*", 0)
+    return F.when(own == "", url).otherwise(F.concat(origin, F.regexp_replace(rest, r"/+$", "")))
 
 
 def page_summary(pages: DataFrame) -> DataFrame:
@@ -58,3 +133,21 @@ def link_targets(pages: DataFrame) -> DataFrame:
     """(target, n_links, n_pages): how many links, from how many pages, lead to each target."""
     per_page = page_links(pages).groupBy("target", "page_id").agg(F.count("*").alias("n"))
     return per_page.groupBy("target").agg(F.sum("n").alias("n_links"), F.count("*").alias("n_pages"))
+
+
+def page_text(pages: DataFrame) -> DataFrame:
+    """(page_id, text): what a page says, without markup and boilerplate."""
+    return pages.select("page_id", text(F.col("html")).alias("text"))
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """(url, page_id, n_pages): each canonical URL with its smallest page id; counts are combined before the shuffle."""
+    rows = pages.select(canonical(F.col("url")).alias("url"), "page_id")
+    return rows.groupBy("url").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n_pages"))
+
+
+def repeated_texts(pages: DataFrame) -> DataFrame:
+    """(digest, page_id, n_pages): each text that several pages have, by its SHA-256, with its smallest page id."""
+    rows = page_text(pages).select(F.sha2("text", 256).alias("digest"), "page_id").where("digest IS NOT NULL")
+    found = rows.groupBy("digest").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n_pages"))
+    return found.where("n_pages > 1")

@@ -9,25 +9,63 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.operators import pages
 from millrace.sources.tables import table
 
-_HOST = f"regexp_extract(url, '{pages.HOST}', 1)"
-_TITLE = f"regexp_extract(html, '{pages.TITLE}', 1)"
+
+
+def _decoded(text: str) -> str:
+    for entity, sign in pages.ENTITIES:
+        text = "replace({}, '{}', '{}')".format(text, *(x.replace("'", "''") for x in (entity, sign)))
+    return text
+
+
+def _text(html: str) -> str:
+    for pattern, new in pages.TEXT:
+        html = f"regexp_replace({html}, '{pattern}', '{new}', 'g')"
+    return f"trim(regexp_replace({_decoded(html)}, '\\s+', ' ', 'g'))"
+
+
+_HOST = f"lower(regexp_extract(url, '{pages.HOST}', 1))"
+_TITLE = _decoded(f"regexp_extract(html, '{pages.TITLE}', 1)")
 _HREFS = f"regexp_extract_all(html, '{pages.HREF}', 1)"
+_ORIGIN = f"regexp_extract(url, '{pages.ORIGIN}', 1)"
+#: Segments are folded from the left; a .. cuts the last one off.
 _LINKS = f"""
-SELECT page_id, CAST(i AS BIGINT) AS place,
-       CASE WHEN starts_with({_HREFS}[i + 1], '/')
-            THEN regexp_extract(url, '{pages.ORIGIN}', 1) || {_HREFS}[i + 1]
-            ELSE {_HREFS}[i + 1] END AS target
-FROM (SELECT *, unnest(range(len({_HREFS}))) AS i FROM pages)"""
+SELECT page_id, place, CASE
+    WHEN regexp_matches(href, '{pages.SCHEME}') OR origin = '' THEN href
+    WHEN starts_with(href, '//') THEN split_part(origin, ':', 1) || ':' || href
+    WHEN href = '' OR starts_with(href, '#') THEN split_part(url, '#', 1) || href
+    WHEN starts_with(href, '?') THEN page || href
+    ELSE origin || list_reduce(list_prepend('', string_split(CASE
+            WHEN regexp_matches(full_path, '/\\.\\.?$') THEN full_path || '/' ELSE full_path END, '/')[2:]),
+        lambda done, part: CASE part WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || part END)
+        || substr(href, length(path) + 1) END AS target
+FROM (SELECT *, CASE WHEN starts_with(path, '/') THEN path WHEN folder = '' THEN '/' || path ELSE folder || path END AS full_path
+      FROM (SELECT *, regexp_extract(substr(page, length(origin) + 1), '^.*/') AS folder, regexp_extract(href, '^[^?#]*') AS path
+            FROM (SELECT page_id, url, CAST(i AS BIGINT) AS place, {_decoded(f"{_HREFS}[i + 1]")} AS href, {_ORIGIN} AS origin,
+                         regexp_extract(url, '^[^?#]*') AS page
+                  FROM (SELECT *, unnest(range(len({_HREFS}))) AS i FROM pages))))"""
+_CANONICAL = f"""CASE WHEN {_ORIGIN} = '' THEN url ELSE
+    regexp_replace(regexp_replace(lower({_ORIGIN}), '^(http://.*):80$', '\\1'), '^(https://.*):443$', '\\1')
+    || regexp_replace(split_part(substr(url, length({_ORIGIN}) + 1), '#', 1), '/+$', '') END"""
 
 _FOUND = {
     "page_summary": (
         pages.page_summary,
-        f"SELECT page_id, {_HOST} AS host, {_TITLE} AS title, CAST(len({_HREFS}) AS BIGINT) AS n_links FROM pages",
+        f"SELECT page_id, {_HOST} AS host, {_TITLE} AS title, CAST(coalesce(len({_HREFS}), 0) AS BIGINT) AS n_links FROM pages",
     ),
     "page_links": (pages.page_links, _LINKS),
+    "page_text": (pages.page_text, f"SELECT page_id, {_text('html')} AS text FROM pages"),
+    "distinct_pages": (
+        pages.distinct_pages,
+        f"SELECT {_CANONICAL} AS url, min(page_id) AS page_id, count(*) AS n_pages FROM pages GROUP BY 1",
+    ),
+    "repeated_texts": (
+        pages.repeated_texts,
+        f"SELECT sha256({_text('html')}) AS digest, min(page_id) AS page_id, count(*) AS n_pages FROM pages "
+        "WHERE html IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    ),
     "host_links": (
         pages.host_links,
-        f"SELECT {_HOST} AS host, count(*) AS n_pages, CAST(sum(len({_HREFS})) AS BIGINT) AS n_links FROM pages GROUP BY 1",
+        f"SELECT {_HOST} AS host, count(*) AS n_pages, CAST(sum(coalesce(len({_HREFS}), 0)) AS BIGINT) AS n_links FROM pages GROUP BY 1",
     ),
     "link_targets": (
         pages.link_targets,

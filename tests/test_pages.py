@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from millrace.operators import pages
+from millrace.plans import queries
 
 SCHEMA = "page_id long, url string, html string, host string"
 ROWS = [
@@ -43,7 +44,104 @@ def test_hosts_and_targets(spark):
     assert ("http://b.example/q", 1, 1) in map(tuple, pages.link_targets(rows).collect())
 
 
+RESOLVED = [  # the examples of RFC 3986, 5.4, from http://a/b/c/d;p?q
+    ("g:h", "g:h"),
+    ("g", "http://a/b/c/g"),
+    ("./g", "http://a/b/c/g"),
+    ("g/", "http://a/b/c/g/"),
+    ("/g", "http://a/g"),
+    ("//g", "http://g"),
+    ("?y", "http://a/b/c/d;p?y"),
+    ("g?y", "http://a/b/c/g?y"),
+    ("#s", "http://a/b/c/d;p?q#s"),
+    ("g#s", "http://a/b/c/g#s"),
+    ("g?y#s", "http://a/b/c/g?y#s"),
+    (";x", "http://a/b/c/;x"),
+    ("", "http://a/b/c/d;p?q"),
+    (".", "http://a/b/c/"),
+    ("./", "http://a/b/c/"),
+    ("..", "http://a/b/"),
+    ("../", "http://a/b/"),
+    ("../g", "http://a/b/g"),
+    ("../..", "http://a/"),
+    ("../../g", "http://a/g"),
+    ("../../../g", "http://a/g"),
+    ("/./g", "http://a/g"),
+    ("/../g", "http://a/g"),
+    ("g.", "http://a/b/c/g."),
+    ("..g", "http://a/b/c/..g"),
+    ("./../g", "http://a/b/g"),
+    ("./g/.", "http://a/b/c/g/"),
+    ("g/../h", "http://a/b/c/h"),
+    ("g;x=1/../y", "http://a/b/c/y"),
+    ("g?y/../x", "http://a/b/c/g?y/../x"),
+    ("g#s/../x", "http://a/b/c/g#s/../x"),
+]
+OTHERS = [
+    ("HTTP://User@A.Example:8080?x", "p?a=1&amp;b=2", "HTTP://User@A.Example:8080/p?a=1&b=2"),
+    ("https://a.example/x/", "y", "https://a.example/x/y"),
+    ("https://a.example/x", "mailto:me@b.example", "mailto:me@b.example"),
+    ("not a url", "p", "p"),
+]
+
+
+def _awkward(spark):
+    found = [("http://a/b/c/d;p?q", href, target) for href, target in RESOLVED] + OTHERS
+    return found, [(i, url, f'<a href="{href}">', "x") for i, (url, href, _) in enumerate(found)]
+
+
+def test_links_resolve_by_rfc_3986(spark):
+    found, rows = _awkward(spark)
+    got = {r.page_id: r.target for r in pages.page_links(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: target for i, (_, _, target) in enumerate(found)}
+
+
+def test_sql_agrees_on_awkward_pages(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans import queries as plans
+
+    html = (
+        "<head><title>A &amp; B &lt;3</title></head><body><!-- <p>no</p> --><script>x = '</p>'</script><nav>menu</nav>"
+        "<p>One\n two&nbsp;&copy; <b>three</b></p><p>&amp;lt;</p><STYLE>s</STYLE><footer>f</footer>"
+    )
+    rows = [*ROWS, *_awkward(spark)[1], (50, "https://A.example:443/x//#y", html, ""), (51, "https://a.example/x", html, "")]
+    rows += [(52, "http://[::1]:80/", "plain", None), (53, "", "<p>", None), (54, "http://u@h.example:81#f", None, None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    for name, query in plans.queries().items():
+        found = query(spark, str(tmp_path))
+        expected = db.execute(plans.oracle_sql()[name])
+        names = [c[0] for c in expected.description]
+        assert sorted(names) == sorted(found.columns)
+        assert sorted(map(str, expected.fetchall())) == sorted(str(tuple(r)) for r in found.select(*names).collect()), name
+
+
+def test_text(spark):
+    html = "<head><title>t</title></head><nav>n</nav><p>One\n two&nbsp;&copy; <b>three</b></p><script>x</script><p>&amp;lt;</p>"
+    rows = spark.createDataFrame([(1, "u", html, ""), (2, "u", None, ""), (3, "u", "", "")], SCHEMA)
+    assert [r.text for r in sorted(pages.page_text(rows).collect())] == ["One two © three &lt;", None, ""]
+
+
+def test_distinct_pages_and_repeated_texts(spark):
+    rows = [(1, "HTTP://A.example:80/x/#f", "<p>t</p>", ""), (2, "http://a.example/x", " t ", ""), (3, "http://a.example/X", "u", ""), (4, None, None, "")]
+    table = spark.createDataFrame(rows, SCHEMA)
+    assert sorted(map(tuple, pages.distinct_pages(table).collect()), key=str) == [
+        ("http://a.example/X", 3, 1),
+        ("http://a.example/x", 1, 2),
+        (None, 4, 1),
+    ]
+    assert [(r.page_id, r.n_pages) for r in pages.repeated_texts(table).collect()] == [(1, 2)]
+
+
+def test_hosts(spark):
+    urls = ["http://u:p@H.example:8/x", "HTTPS://h.example", "http://[::1]:80/", "mailto:a@b", None, ""]
+    rows = spark.createDataFrame([(i, u, "", "") for i, u in enumerate(urls)], SCHEMA)
+    assert [r.host for r in sorted(pages.page_summary(rows).collect())] == ["h.example", "h.example", "[::1]", "", None, ""]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], SCHEMA)
-    for operator in (pages.page_summary, pages.page_links, pages.host_links, pages.link_targets):
+    for operator in (getattr(pages, name) for name in queries.queries()):
         assert operator(none).count() == 0
