@@ -245,8 +245,8 @@ def embedding_links(
     known = group.select("gid", "label", "digest", "copies", "least")
     known = known.join(stars.withColumnRenamed("node", "gid"), "gid", "left").join(links, "gid", "left")
     known = known.withColumn("component", F.coalesce("component", "gid"))
-    named = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = known.join(named, "component").select(
+    smallest = known.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = known.join(smallest, "component").select(
         "label", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id"
     )
     linked = rows.where("digest IS NOT NULL").select("vec_id", "label", "digest")

@@ -99,6 +99,6 @@ def simhash_components(
     rooted = groups.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
-    named = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = materialize(rooted.join(named, "component").select("fp", "component_id"), "simhash-groups")
+    smallest = rooted.groupBy("component").agg(F.min("least").alias("component_id"))
+    of = materialize(rooted.join(smallest, "component").select("fp", "component_id"), "simhash-groups")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
