@@ -132,5 +132,42 @@ SELECT d.doc_id, d.digest, k.license_id
 FROM (SELECT doc_id, {canon("text")} AS digest FROM documents) d LEFT JOIN known k ON k.digest = d.digest"""
 
 
+#: Links of all pairs with equal labels, and what each vector reaches.
+_EMBEDDING_SQL = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+ok AS MATERIALIZED (
+    SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) END >= 0.93),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id,
+       vec_id <= coalesce(least.b, vec_id) AS kept
+FROM v LEFT JOIN least ON least.a = vec_id LEFT JOIN counts ON counts.a = vec_id"""
+
+#: Every window of words as text, those that start twice, and the words that they cover.
+_SUBSTRING_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+'), []) AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(w[i : i + {substring.WINDOW - 1}], ' ') AS s
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring.WINDOW - 2})) AS i FROM d)),
+twice AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(i, i + {substring.WINDOW})) AS i FROM windows SEMI JOIN twice USING (s)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_license_scan": _license_sql()}
+    return {
+        "op2_embedding_dedup": _EMBEDDING_SQL,
+        "op6_substring_dedup": _SUBSTRING_SQL,
+        "op10_license_scan": _license_sql(),
+    }

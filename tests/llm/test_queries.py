@@ -7,6 +7,7 @@ import hashlib
 import math
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -15,7 +16,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from millrace.llm import bpe, langid
+from millrace.llm import bpe, langid, queries
 from tests.llm import test_embdedup, test_simhash, test_substring
 
 DATA = "/root/testdata/sf0.001"
@@ -185,6 +186,21 @@ def test_op10(spark, folder, docs):
     assert names == ["doc_id", "digest", "license_id"] and len(found) == len(docs)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, folder, name):
+    db, path = duckdb.connect(), folder.removeprefix("file://")
+    for table in ("documents", "embeddings"):
+        files = f"{path}/{table}.parquet" if folder == DATA else f"{path}/{table}.parquet/*.parquet"
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{files}'")
+    expected = db.execute(queries.oracle_sql()[name])
+    names = [c[0] for c in expected.description]
+    found = queries.queries()[name](spark, folder)
+    assert sorted(found.columns) == sorted(names)
+    kinds = {"long": "BIGINT", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    assert [kinds[found.schema[n].dataType.simpleString()] for n in names] == [str(c[1]) for c in expected.description]
+    assert sorted(map(str, expected.fetchall())) == sorted(str(tuple(r)) for r in found.select(*names).collect())
+
+
 def _plain_code(x: bytes, order: int) -> int:
     code = order
     code = code * 257 ^ x[0]

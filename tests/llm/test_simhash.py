@@ -40,6 +40,12 @@ def test_matches_brute_force(edge, edge_rows):
     assert sorted(got, key=str) == components([(r[0], slow(r[1])) for r in edge_rows])
 
 
+def test_very_long_text():
+    rng = random.Random(2)
+    text = " ".join(rng.choice("abcdefgh") for _ in range(140_000))  # more shingles than are counted at once, twice
+    assert simhash.simhash(text) == slow(text)
+
+
 def test_links_of_planted_fingerprints(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(20)] + [0, 2**64 - 1, 1 << 63]
