@@ -27,6 +27,8 @@ from millrace.llm.tokens import encoder
 
 CAPACITY = 2048
 END = 0
+#: Numbers of pieces by task and length that are broadcast to the pieces, at most; more are joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -164,6 +166,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     where = table.sparkSession.sparkContext.broadcast(slots(plan(totals, capacity)))
     ahead = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("part", "length", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    counts = F.broadcast(counts) if counts.count() <= BROADCAST_ROWS else counts.hint("merge")
     ranked = table.join(counts, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("ahead"))
     ranked = ranked.select(*[c for c in table.columns if c != "part"])
     schema = T.StructType(

@@ -32,14 +32,15 @@ def write_token_file(
     """Write (id, text) as a token file: each text's ids, then ``end``.
 
     Documents go in ascending order of id, null ids last; rows that share an id
-    follow one another in the order of their texts' hashes.  Null texts count as
+    follow one another in the order of their texts' hashes, in one or more parts.  Null texts count as
     empty; an empty table gives a file without chunks; other columns are ignored.  Documents are dealt by ranges of id, so parts are even whatever the
     sources, and no task holds more than one chunk.
     """
     n = shuffle_partitions(session(docs))
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     by_id = F.col("doc_id").asc_nulls_last()
-    ordered = rows.repartitionByRange(n, by_id).sortWithinPartitions(by_id, F.xxhash64("text"))
+    order = by_id, F.xxhash64("text")  # null and repeated ids are dealt by their texts
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     tail = np.array([end], dtype="<u4").tobytes()
     names = ["shard", "chunk", "n_ids", "docs", "blocks"]
 

@@ -112,6 +112,11 @@ def check(docs, rows, capacity):
     return len(bins)
 
 
+def test_many_tasks_and_lengths_are_joined_by_shuffle(edge, edge_rows, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 0)
+    check(edge, edge_rows, 50)
+
+
 def test_whole_table(edge, edge_rows):
     total = sum(len(ids(r[1])) + 1 for r in edge_rows)
     assert check(edge, edge_rows, 2048) <= -(-total // 2048) + 1
