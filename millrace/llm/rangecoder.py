@@ -26,7 +26,7 @@ import numpy as np
 
 BLOCK = 1 << 14
 #: Lanes that go in lockstep, at most.
-LANES = 256
+LANES = 512
 #: Ids between two tables of order 0, at most.
 STEP = 512
 MAGIC = b"MRT2"
@@ -155,10 +155,13 @@ def _encode_lanes(table: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
     model, lane = _Model(lanes, size), np.arange(lanes)
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, _TOP, dtype=np.uint64)
     # a row for each time that words are put out, of which each lane fills some; a symbol needs three at most
-    words = np.zeros((3 * n + 4, lanes), dtype=np.uint32)
+    words = np.zeros((n + 8, lanes), dtype=np.uint32)
     filled, flat_words = np.zeros(words.shape, dtype=bool), words.ravel()
     row, latest = 0, np.zeros(lanes, dtype=np.int64)  # latest: the place of a lane's last word
     for step in _steps(model, n):
+        if row + 8 > len(words):
+            words, filled = (np.concatenate([x, np.zeros((n // 4 + 8, lanes), dtype=x.dtype)]) for x in (words, filled))
+            flat_words = words.ravel()
         start, share = model.span(table[step])
         part = span // model.all
         add = part * start
@@ -225,6 +228,16 @@ def _decode_lanes(flat: np.ndarray, count: np.ndarray, n: int, size: int) -> np.
     return table
 
 
+def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, in order, and the rank of each id among them."""
+    if not len(ids) or int(ids.max()) >= 1 << 20:
+        return np.unique(ids, return_inverse=True)
+    known = np.flatnonzero(np.bincount(ids)).astype(np.uint32)
+    rank = np.zeros(int(known[-1]) + 1, dtype=np.uint32)
+    rank[known] = np.arange(len(known), dtype=np.uint32)
+    return known, rank.take(ids)
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Ids (unsigned, below 2**30) as blocks with checksums."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
@@ -232,7 +245,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
         raise ValueError("ids must be below 2**30")
     if not 0 < block <= BLOCK:
         raise ValueError(f"block must be 1 to {BLOCK}")
-    known, ranks = np.unique(ids, return_inverse=True)
+    known, ranks = _ranked(ids)
     listed = zlib.compress(np.diff(known, prepend=np.uint32(0)).astype("<u4").tobytes(), 9)
     lanes = -(-len(ids) // block)
     head = MAGIC + struct.pack("<IIIQI", lanes, block, len(known), len(ids), len(listed)) + listed

@@ -22,7 +22,7 @@ from millrace.llm.scratch import named, session, shuffle_partitions, tidied
 from millrace.llm.tokens import encoder
 
 #: Ids in a chunk, about; a longer document is a chunk by itself.
-CHUNK = 1 << 22
+CHUNK = 1 << 23
 END = 0
 
 
