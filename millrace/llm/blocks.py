@@ -13,6 +13,7 @@ shuffle partitions.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -333,6 +334,35 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hash_spans(data, starts, length), np.searchsorted(starts, offsets)
 
 
+class Digests(dict):
+    """A number for each word, by first use, and its digest under a key that nobody who chooses texts knows."""
+
+    def __init__(self, key: bytes, size: int):
+        self.key, self.size, self.found = key, size, []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        self.found.append(hashlib.blake2b(word, digest_size=self.size, key=self.key).digest())
+        return n
+
+    def numbers(self, text: bytes) -> np.ndarray:
+        """Those of the words of a text."""
+        words = text.split()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def lanes(self) -> np.ndarray:
+        """The digests, a row each."""
+        return np.frombuffer(b"".join(self.found), np.uint64).reshape(len(self.found), -1)
+
+
+def keyed_word_hashes(raw: list[bytes], key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """As ``word_hashes``, of digests: for what is decided by hashes alone."""
+    of = Digests(key, 8)
+    numbers = [of.numbers(t) for t in raw]
+    ends = np.cumsum([0, *map(len, numbers)])
+    return of.lanes()[:, 0].take(np.concatenate(numbers)) if ends[-1] else np.zeros(0, np.uint64), ends
+
+
 def halves(n: int) -> list[int]:
     """1, and so on up to n, each at most twice the one before: n = 35 gives 1, 2, 3, 5, 9, 18, 35."""
     return [*halves((n + 1) // 2), n] if n > 1 else [1]

@@ -53,25 +53,13 @@ def _starts(ends: np.ndarray, window: int) -> np.ndarray:
     return ok
 
 
-class _Digests(dict):
-    """A number for each word, by first use, and 128 bits of its digest under a key."""
-
-    def __init__(self, key: bytes):
-        self.key, self.found = key, []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.found.append(hashlib.blake2b(word, digest_size=16, key=self.key).digest())
-        return n
-
-
 def _full(raw: list[bytes], ends: np.ndarray, alive: np.ndarray, window: int, key: bytes) -> np.ndarray:
     """Two numbers for each whole window that is alive: sums of its words' digests times powers of odd numbers."""
-    of, words, count = _Digests(key), [np.zeros(0, np.int64)], np.diff(ends)
+    of, words, count = B.Digests(key, 16), [np.zeros(0, np.int64)], np.diff(ends)
     any_alive = np.concatenate([[0], np.cumsum(alive)])[np.minimum(ends, len(alive))]
     for i in np.flatnonzero(np.diff(any_alive)).tolist():
-        words.append(np.fromiter(map(of.__getitem__, raw[i].split()), np.int64, count[i]))
-    lanes = np.frombuffer(b"".join(of.found), np.uint64).reshape(-1, 2)[np.concatenate(words)]
+        words.append(of.numbers(raw[i]))
+    lanes = of.lanes()[np.concatenate(words)] if len(of) else np.zeros((0, 2), np.uint64)
     here = np.repeat(np.diff(any_alive) > 0, count)  # the words of those texts
     at = (np.cumsum(here) - 1)[: len(alive)][alive]  # the first word of each window, among them
     out = np.empty((len(at), 2), dtype=np.uint64)
