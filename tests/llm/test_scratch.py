@@ -1,0 +1,45 @@
+from __future__ import annotations
+
+import threading
+
+import pytest
+
+from millrace.llm import scratch
+
+SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_a_scope_deletes_its_own_tables(spark):
+    outside = scratch.materialize(spark.range(5).toDF("x"), "outside")
+    with scratch.scope(spark):
+        inside = scratch.materialize(spark.range(7).toDF("x"), "inside")
+        assert inside.count() == 7
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        inside.count()
+    assert outside.count() == 5
+    scratch.release(spark)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        outside.count()
+
+
+def test_writes_side_by_side_leave_the_settings(spark):
+    before, errors = spark.conf.get(SETTING, "false"), []
+
+    def write(n):
+        try:
+            for _ in range(3):
+                assert scratch.materialize(spark.range(n).toDF("x"), "side").count() == n
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(n,)) for n in (3, 50, 700)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert not errors and spark.conf.get(SETTING) == before
+
+
+def test_names_with_any_characters(spark):
+    table = spark.createDataFrame([(1, 2, 3)], ["a.b", "c`d", "e f"])
+    assert [table.select(scratch.named(c)).first()[0] for c in table.columns] == [1, 2, 3]
