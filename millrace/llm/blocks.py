@@ -187,12 +187,19 @@ def edges_of(buckets: int) -> np.ndarray:
 
 
 def ask(
-    block: int, keys: np.ndarray, checks: np.ndarray | None, multi: np.ndarray, buckets: int
+    block: int, keys: np.ndarray, checks: np.ndarray | None, multi: np.ndarray, buckets: int, copies: np.ndarray | None = None
 ) -> Iterator[pa.RecordBatch]:
-    """Sorted distinct keys of a block, with more bits of each or none, and whether the block has it twice."""
+    """Sorted distinct keys of a block, with more bits of each or none, whether the block has it twice, and how often."""
+    often = None if copies is None else np.minimum(copies, 0xFFFF).astype("<u2")
     cuts = [0, *np.searchsorted(keys, edges_of(buckets)).tolist(), len(keys)]
     rows = [
-        (b, block, keys[i:j].tobytes(), b"" if checks is None else checks[i:j].tobytes(), np.packbits(multi[i:j]).tobytes())
+        (
+            b,
+            block,
+            keys[i:j].tobytes(),
+            b"" if checks is None else checks[i:j].tobytes(),
+            np.packbits(multi[i:j]).tobytes() + (b"" if often is None else often[i:j].tobytes()),
+        )
         for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))
         if j > i
     ]
@@ -212,8 +219,8 @@ def repeated(asks: DataFrame, level: int, buckets: int, differing: bool = False,
     """Answers to ``asks``: for each key, whether it occurs elsewhere (in another block, or twice in its own).
 
     Keys with checks are equal if these are equal too; with ``differing``, only
-    occurrences with another check count.  With ``heavy``, checks are numbers of
-    occurrences, and bits follow of the keys that have more than so many in all.
+    occurrences with another check count.  With ``heavy``, bits follow of the keys
+    that have more than so many occurrences in all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,17 +230,17 @@ def repeated(asks: DataFrame, level: int, buckets: int, differing: bool = False,
             found = np.concatenate(
                 [np.unpackbits(np.frombuffer(r["multi"], np.uint8), count=len(p)) for r, p in zip(rows, parts, strict=True)]
             ).astype(bool)
-            many = np.zeros(len(keys), dtype=bool)
+            many, often = np.zeros(len(keys), dtype=bool), None
+            if heavy:
+                often = np.concatenate([np.frombuffer(r["multi"], "<u2", offset=-(-len(p) // 8)) for r, p in zip(rows, parts, strict=True)])
             if rows[0]["checks"]:
                 kind = f"<u{len(rows[0]['checks']) // len(parts[0])}"
                 checks = np.concatenate([np.frombuffer(r["checks"], kind) for r in rows])
                 order = np.lexsort((checks, keys))
                 same = keys[order[1:]] == keys[order[:-1]]
-                if heavy:
-                    first = np.flatnonzero(np.concatenate([[True], ~same]))
-                    total = np.add.reduceat(checks[order], first, dtype=np.int64)
-                    many[order] = np.repeat(total > heavy, np.diff(np.append(first, len(keys))))
-                elif differing:
+                if often is not None:
+                    _many(same, often[order], many, order, heavy)
+                if differing:
                     _shared(keys[order], checks[order], found, order)
                     same[:] = False
                 else:
@@ -241,6 +248,8 @@ def repeated(asks: DataFrame, level: int, buckets: int, differing: bool = False,
             else:
                 order = np.argsort(keys, kind="stable")
                 same = keys[order[1:]] == keys[order[:-1]]
+                if often is not None:
+                    _many(same, often[order], many, order, heavy)
             found[order[1:][same]] = True
             found[order[:-1][same]] = True
             ends = np.cumsum([len(p) for p in parts]).tolist()
@@ -262,6 +271,13 @@ def repeated(asks: DataFrame, level: int, buckets: int, differing: bool = False,
     return asks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(tidied(run), ANSWERS)
 
 
+def _many(same: np.ndarray, often: np.ndarray, many: np.ndarray, order: np.ndarray, heavy: int) -> None:
+    """Mark all of a key that has more occurrences; sorted by key."""
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    total = np.add.reduceat(often, first, dtype=np.int64)
+    many[order] = np.repeat(total > heavy, np.diff(np.append(first, len(order))))
+
+
 def _shared(keys: np.ndarray, checks: np.ndarray, found: np.ndarray, order: np.ndarray) -> None:
     """Mark all that share a key of which there are two checks, or one marked already; sorted by key and check."""
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))

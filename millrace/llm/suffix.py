@@ -330,7 +330,7 @@ def suffix_dedup(
 
     def first(block: int, payload: bytes, given: list[list[dict]]) -> Iterator[pa.RecordBatch]:
         b = _Block(payload, length)
-        yield from B.ask(block, b.keys, np.minimum(b.copies, 0xFFFF).astype(np.uint16), b.copies > 1, n)
+        yield from B.ask(block, b.keys, None, b.copies > 1, n, b.copies)
 
     asks = B.by_block(store, None, first, B.ASKS)
     answers = anchors = materialize(B.repeated(asks, 0, n, heavy=HOT), "anchors")
