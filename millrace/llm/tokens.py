@@ -21,7 +21,7 @@ from tokenizers import Tokenizer
 from millrace.llm.blocks import first_bytes, mix
 
 #: Bits of the memory's index, the ids in it before it starts anew, and the pieces of over 16 bytes in it (of LONG at most).
-SLOTS, KEPT, KEPT_LONG, LONG = 19, 1 << 21, 1 << 14, 256
+SLOTS, KEPT, KEPT_LONG, LONG = 21, 1 << 22, 1 << 15, 256
 #: Texts are encoded in runs of about so many bytes, and new pieces in runs of so many.
 RUN, FRESH = 1 << 21, 512
 
