@@ -30,9 +30,8 @@ LANES = 512
 #: Ids between two tables of order 0, at most.
 STEP = 512
 MAGIC = b"MRT2"
-#: What an id adds to its count, and the weight of the prior in all; with a block's ids these stay below _WIDE.
+#: What an id adds to its count, the weight of the prior in all, and the rank from which it falls.
 _GROWTH, _PRIOR, _NEAR = 64, 1 << 15, 200
-_WIDE = 1 << 22
 _SLOTS = 15  #: bits of the index of order 2
 _TOP, _LIMIT = np.uint64((1 << 64) - 1), np.uint64(1 << 48)
 _WORD, _AT = np.uint64(16), np.uint64(48)
@@ -61,7 +60,8 @@ class _Model:
         self.counts = np.zeros((lanes, size), dtype=np.uint16)
         self.lane = np.arange(lanes)
         self.row0, self.row1, self.row2 = self.lane * (size + 1), self.lane * size, self.lane << _SLOTS
-        self.offset = (self.lane * _WIDE).astype(np.uint32)
+        wide = 1 << (_GROWTH * BLOCK + int(self.prior.sum())).bit_length()  # no lane's total reaches it
+        self.offset = (self.lane * wide).astype(np.uint32)
         self.cumulated = np.tile(self.offset[:, None], size + 1)
         self.one, self.two = np.zeros(lanes * size, dtype=np.uint32), np.zeros(lanes << _SLOTS, dtype=np.uint32)
         first = [(_FIRST2[a], _FIRST1[b], _FIRST0) for a in range(4) for b in range(4)]

@@ -71,6 +71,15 @@ def sf_ids():
     return np.concatenate([np.append(np.frombuffer(x, "<u4"), 0) for x in coded]).astype(np.uint32)
 
 
+def test_many_distinct_ids():
+    rng, size = np.random.default_rng(3), 5_000_000
+    ranks = rng.integers(0, size, (20, 2)).astype(np.uint32)
+    count, words = rangecoder._encode_lanes(ranks, size)
+    assert (rangecoder._decode_lanes(words, count, 20, size) == ranks).all()
+    ids = rng.choice(1 << 30, 70_000, replace=False).astype(np.uint32)
+    assert (rangecoder.decode(rangecoder.encode(ids)) == ids).all()
+
+
 def test_damage_is_found():
     coded = bytearray(rangecoder.encode(np.arange(5000) % 1000))
     coded[-900] ^= 4
