@@ -10,7 +10,8 @@ from millrace.llm.scratch import materialize
 
 def downward(edges: DataFrame) -> DataFrame:
     """Distinct links (a, b) from the larger end to the smaller; null ends and self links count as none."""
-    return edges.where(F.col("a") != F.col("b")).select(F.greatest(F.col("a"), F.col("b")).alias("a"), F.least(F.col("a"), F.col("b")).alias("b")).distinct()
+    ends = edges.where(F.col("a") != F.col("b"))
+    return ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def step(now: DataFrame) -> DataFrame:
