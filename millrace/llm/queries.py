@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, embdedup, langid, licenses, packing, simhash, substring, suffix, tokenio
+from millrace.llm import ann, bpe, embdedup, langid, licenses, packing, quality, simhash, substring, suffix, tokenio
 from millrace.llm.scratch import new_path
 
 
@@ -95,6 +95,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.cascade(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *quality.REPORTED, "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -109,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_token_file,
             op9_nearest,
             op10_license_scan,
+            op11_quality_rules,
         )
     }
 
@@ -165,9 +171,55 @@ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256
 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
 
+def _quality_sql() -> str:
+    """Each rule over all documents, by rows of words, windows and lines."""
+    blank = " \\t\\x0B\\f\\r"
+
+    def top(n: int) -> str:
+        return f"""(SELECT doc_id, max(most) AS top{n} FROM (
+            SELECT doc_id, count(*) * any_value(strlen(array_to_string(g, ''))) AS most
+            FROM (SELECT doc_id, w[i : i + {n - 1}] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d))
+            GROUP BY doc_id, g HAVING count(*) > 2) GROUP BY doc_id)"""
+
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'), []) AS w FROM documents),
+windows AS (
+    SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+repeat AS (
+    SELECT doc_id, count(DISTINCT place) AS n_repeat FROM (
+        SELECT doc_id, unnest(range(i, i + 3)) AS place
+        FROM windows SEMI JOIN (SELECT doc_id, s FROM windows GROUP BY doc_id, s HAVING count(*) > 1) USING (doc_id, s))
+    GROUP BY doc_id),
+lines AS (
+    SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+    WHERE regexp_matches(line, '[^{blank}]') GROUP BY doc_id, line),
+of_lines AS (
+    SELECT doc_id, sum(n) AS n_lines, sum(n - 1) AS dup, sum((n - 1) * length(line)) AS dup_chars,
+           sum(n) FILTER (regexp_matches(line, '^[{blank}]*([-*]|•)')) AS bullets,
+           sum(n) FILTER (regexp_matches(line, '([.][.][.]|…)[{blank}]*$')) AS ellipses
+    FROM lines GROUP BY doc_id),
+m AS (
+    SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, strlen(array_to_string(w, '')) AS word_bytes,
+           length(text) AS chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+           coalesce(dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(dup_chars, 0) AS dup_chars,
+           len(list_filter(w, lambda x: NOT regexp_matches(x, '[A-Za-z]|[^\x00-\x7F]'))) AS letterless,
+           coalesce(n_lines, 0) AS n_lines, coalesce(bullets, 0) AS bullets, coalesce(ellipses, 0) AS ellipses,
+           coalesce(top2, 0) AS top2, coalesce(top3, 0) AS top3, coalesce(top4, 0) AS top4
+    FROM d LEFT JOIN repeat USING (doc_id) LEFT JOIN of_lines USING (doc_id)
+    LEFT JOIN {top(2)} USING (doc_id) LEFT JOIN {top(3)} USING (doc_id) LEFT JOIN {top(4)} USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 100 * n_symbols > 10 * n_words
+            OR 100 * dup_chars > 20 * chars OR 100 * letterless > 20 * n_words OR 100 * bullets > 90 * n_lines
+            OR 100 * ellipses > 30 * n_lines OR 100 * top2 > 20 * word_bytes OR 100 * top3 > 18 * word_bytes
+            OR 100 * top4 > 16 * word_bytes) AS kept
+FROM judged"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_embedding_dedup": _EMBEDDING_SQL,
         "op6_substring_dedup": _SUBSTRING_SQL,
         "op10_license_scan": _license_sql(),
+        "op11_quality_rules": _quality_sql(),
     }
