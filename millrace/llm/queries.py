@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, embdedup, langid, licenses, packing, quality, simhash, substring, suffix, tokenio
+from millrace.llm import ann, bpe, embdedup, langid, licenses, packing, quality, runs, simhash, substring, suffix, tokenio
 from millrace.llm.scratch import new_path
 
 
@@ -100,6 +101,24 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *quality.REPORTED, "base_failed", "kept")
 
 
+def periodic_end(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words as op12 looks at them: in a tenth of the documents, chosen by id, all behind a place repeat what follows it."""
+    if doc_id is None or not words or (h := zlib.crc32(str(doc_id).encode())) % 10:
+        return words
+    g, n = h // 10, len(words)
+    at = g % n
+    period = 1 + (n - at) // (3 + g % 8)
+    again = words[at : at + period]
+    return words[:at] + (again * ((n - at) // period + 1))[: n - at]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=periodic_end)
+    numbers = ("doc_id", "n_runs", "start", "length", "period", "exponent_milli")
+    digests = F.sha2(runs.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256")
+    return found.select(*numbers, *digests)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -115,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_nearest,
             op10_license_scan,
             op11_quality_rules,
+            op12_periodic_runs,
         )
     }
 
