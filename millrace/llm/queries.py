@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, embdedup, langid, licenses, packing, quality, runs, simhash, substring, suffix, tokenio
+from millrace.llm import alignment, ann, bpe, embdedup, langid, licenses, packing, quality, runs, simhash, substring, suffix, tokenio
 from millrace.llm.scratch import new_path
 
 
@@ -119,6 +119,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*numbers, *digests)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.align(_table(spark, sf_dir, "documents"), a, b)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return found.select(*found.columns[:-1], digest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -135,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_license_scan,
             op11_quality_rules,
             op12_periodic_runs,
+            op13_tokenizer_alignment,
         )
     }
 
