@@ -10,22 +10,39 @@ from millrace.operators import pages
 from millrace.sources.tables import table
 
 
+#: What the SQL takes a page apart by, in one pass from left to right: comments, elements whose content isn't markup, start tags.
+_QUOTED = """(?:"[^"]*"|''[^'']*''|[^''">])*"""
+_RAW = "|".join(rf"<{x}(?:[\s/]{_QUOTED})?>.*?(?:</{x}[\s/>]|\z)" for x in ("script", "style", "textarea", "title"))
+_TOKENS = rf"regexp_extract_all(html, '(?is)<!--.*?(?:-->|\z)|{_RAW}|<[a-z][^\s/>]*{_QUOTED}>')"
+#: The references in the tables, in the order in which they are replaced; and elements that end no word.
+_REFERENCES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+_INLINE = "a|abbr|b|big|cite|code|em|font|i|ins|kbd|mark|q|s|samp|small|span|strike|strong|sub|sup|time|tt|u|var|wbr"
+
 
 def _decoded(text: str) -> str:
-    for entity, sign in pages.ENTITIES:
-        text = "replace({}, '{}', '{}')".format(text, *(x.replace("'", "''") for x in (entity, sign)))
+    for reference, sign in _REFERENCES:
+        text = "replace({}, '{}', '{}')".format(text, *(x.replace("'", "''") for x in (reference, sign)))
     return text
 
 
 def _text(html: str) -> str:
-    for pattern, new in pages.TEXT:
+    for pattern, new in (
+        (rf"(?is)<!--.*?(?:-->|\z)|{_RAW}", ""),
+        (r"(?is)<nav\b[^>]*>.*?</nav[^>]*>", " "),
+        (r"(?is)<footer\b[^>]*>.*?</footer[^>]*>", " "),
+        (rf"(?is)</?(?:{_INLINE})(?:[\s/]{_QUOTED})?>|<[!?][^>]*>|</?[a-z][^>]*\z", ""),
+        (rf"(?is)</?[a-z][^\s/>]*{_QUOTED}>", " "),
+    ):
         html = f"regexp_replace({html}, '{pattern}', '{new}', 'g')"
-    return f"trim(regexp_replace({_decoded(html)}, '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace({_decoded(html)}, '[\\s\u00a0]+', ' ', 'g'))"
 
 
 _HOST = f"lower(regexp_extract(url, '{pages.HOST}', 1))"
-_TITLE = _decoded(f"regexp_extract(html, '{pages.TITLE}', 1)")
-_HREFS = f"regexp_extract_all(html, '{pages.HREF}', 1)"
+_TITLE = _decoded(rf"""CASE WHEN html IS NOT NULL THEN coalesce(regexp_extract(list_filter({_TOKENS}, lambda t: regexp_matches(t, '(?i)^<title[\s/>]'))[1],
+    '(?is)^<title[^>]*>(.*?)(?:</title[\s/>])?$', 1), '') END""")
+_LINK = rf"(?is)^<(?:a|area)[\s/](?:.*?[\s/])?href\s*=\s*"
+_HREFS = rf"""list_transform(list_filter({_TOKENS}, lambda t: regexp_matches(t, '{_LINK}')),
+    lambda t: trim(regexp_replace(regexp_extract(t, '{_LINK}("[^"]*"|''[^'']*''|[^\s"''>]*)', 1), '^["'']|["'']$', '', 'g')))"""
 _ORIGIN = f"regexp_extract(url, '{pages.ORIGIN}', 1)"
 #: Segments are folded from the left; a .. cuts the last one off.
 _LINKS = f"""
@@ -43,9 +60,11 @@ FROM (SELECT *, CASE WHEN starts_with(path, '/') THEN path WHEN folder = '' THEN
             FROM (SELECT page_id, url, CAST(i AS BIGINT) AS place, {_decoded(f"{_HREFS}[i + 1]")} AS href, {_ORIGIN} AS origin,
                          regexp_extract(url, '^[^?#]*') AS page
                   FROM (SELECT *, unnest(range(len({_HREFS}))) AS i FROM pages))))"""
-_CANONICAL = f"""CASE WHEN {_ORIGIN} = '' THEN url ELSE
-    regexp_replace(regexp_replace(lower({_ORIGIN}), '^(http://.*):80$', '\\1'), '^(https://.*):443$', '\\1')
-    || regexp_replace(split_part(substr(url, length({_ORIGIN}) + 1), '#', 1), '/+$', '') END"""
+_CANONICAL = r"""CASE WHEN u.scheme = '' THEN url ELSE lower(u.scheme) || '://' || u.login
+    || regexp_replace(lower(u.server), CASE lower(u.scheme) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '')
+    || rtrim(u.path, '/') || u.query END"""
+_URLS = r"""(SELECT page_id, url, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?',
+    ['scheme', 'login', 'server', 'path', 'query']) AS u FROM pages)"""
 
 _FOUND = {
     "page_summary": (
@@ -54,9 +73,15 @@ _FOUND = {
     ),
     "page_links": (pages.page_links, _LINKS),
     "page_text": (pages.page_text, f"SELECT page_id, {_text('html')} AS text FROM pages"),
+    "page_tags": (
+        pages.page_tags,
+        rf"""SELECT tag, CAST(sum(n) AS BIGINT) AS n_tags, count(*) AS n_pages FROM (
+            SELECT page_id, lower(regexp_extract(t, '^<([A-Za-z][^\s/>]*)', 1)) AS tag, count(*) AS n
+            FROM (SELECT page_id, unnest({_TOKENS}) AS t FROM pages) WHERE NOT starts_with(t, '<!--') GROUP BY 1, 2) GROUP BY 1""",
+    ),
     "distinct_pages": (
         pages.distinct_pages,
-        f"SELECT {_CANONICAL} AS url, min(page_id) AS page_id, count(*) AS n_pages FROM pages GROUP BY 1",
+        f"SELECT {_CANONICAL} AS url, min(page_id) AS page_id, count(*) AS n_pages FROM {_URLS} GROUP BY 1",
     ),
     "repeated_texts": (
         pages.repeated_texts,

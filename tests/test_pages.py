@@ -106,6 +106,7 @@ def test_sql_agrees_on_awkward_pages(spark, tmp_path):
         "<p>One\n two&nbsp;&copy; <b>three</b></p><p>&amp;lt;</p><STYLE>s</STYLE><footer>f</footer>"
     )
     rows = [*ROWS, *_awkward(spark)[1], (50, "https://A.example:443/x//#y", html, ""), (51, "https://a.example/x", html, "")]
+    rows += [(60 + i, url, "<title class='x'>T</title><A id=1 HREF='/q'>x</A>", "") for i, (url, _) in enumerate(CANONICAL)]
     rows += [(52, "http://[::1]:80/", "plain", None), (53, "", "<p>", None), (54, "http://u@h.example:81#f", None, None)]
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
     db = duckdb.connect()
@@ -124,6 +125,44 @@ def test_text(spark):
     assert [r.text for r in sorted(pages.page_text(rows).collect())] == ["One two © three &lt;", None, ""]
 
 
+def test_links_and_titles_in_any_form(spark):
+    page = '<title lang="en">T</title><a class="k" href="/a">x</a><A HREF="/b"><a href=\'/c\'><!-- <a href="/no"> --><a name="n"><area href=d>'
+    rows = spark.createDataFrame([(1, "http://h/x/y", page, "")], SCHEMA)
+    assert [tuple(r)[1:] for r in pages.page_summary(rows).collect()] == [("h", "T", 4)]
+    found = sorted((r.place, r.target) for r in pages.page_links(rows).collect())
+    assert found == [(0, "http://h/a"), (1, "http://h/b"), (2, "http://h/c"), (3, "http://h/x/d")]
+    based = spark.createDataFrame([(1, "http://h/x/y", f"<base href='../z/'>{page}", ""), (2, None, "<base href='http://k/'><a href=q>", "")], SCHEMA)
+    found = sorted((r.page_id, r.place, r.target) for r in pages.page_links(based).collect())
+    assert found[3:] == [(1, 3, "http://h/z/d"), (2, 0, "http://k/q")]
+
+
+def test_tags(spark):
+    rows = [(1, "u", "<p>a<P>b<!-- <p> --><script>'<p>'</script>", ""), (2, "u", "<p>", ""), (2, "u", "<p>", ""), (3, "u", None, "")]
+    found = pages.page_tags(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, found.collect())) == [("p", 4, 2), ("script", 1, 1)]
+
+
+CANONICAL = [
+    ("HTTP://A.example:80/x/#f", "http://a.example/x"),
+    ("http://h/p?next=/", "http://h/p?next=/"),
+    ("http://h/p?next=", "http://h/p?next="),
+    ("http://h/p/?Q=A//#x", "http://h/p?Q=A//"),
+    ("HTTPS://Me:Pass@Host.Example:443", "https://Me:Pass@host.example"),
+    ("https://h:80//", "https://h:80"),
+    ("http://h?", "http://h?"),
+    ("FTP://H:80/a", "ftp://h:80/a"),
+    ("http://[::1]:80/", "http://[::1]"),
+    ("not a url/", "not a url/"),
+    (None, None),
+]
+
+
+def test_canonical_urls(spark):
+    rows = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(CANONICAL)], "page_id long, url string")
+    found = {r.page_id: r.u for r in rows.select("page_id", pages.canonical(rows.url).alias("u")).collect()}
+    assert found == {i: expected for i, (_, expected) in enumerate(CANONICAL)}
+
+
 def test_distinct_pages_and_repeated_texts(spark):
     rows = [(1, "HTTP://A.example:80/x/#f", "<p>t</p>", ""), (2, "http://a.example/x", " t ", ""), (3, "http://a.example/X", "u", ""), (4, None, None, "")]
     table = spark.createDataFrame(rows, SCHEMA)
