@@ -18,12 +18,14 @@ pair, joined by its two ids.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
@@ -34,6 +36,8 @@ from millrace.llm.scratch import materialize, named, session, tidied
 
 #: Bytes of text in a block, about, and tokens that DuckDB gets at once, unless a piece alone has more.
 BLOCK_BYTES, TOKENS = 16 << 20, 1 << 18
+#: Pieces that are encoded at once, and of them so many as one text.
+ENCODED, RUN = 1 << 14, 256
 #: Bytes of groups in a batch of results, about.
 BATCH_BYTES = 8 << 20
 #: A space that is cut before: no space stands before it, and no white space behind it.
@@ -68,13 +72,16 @@ class _Pair:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.lengths = [np.array([len(x) for x in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes)]
+        self.begins = [np.array([x.startswith(b" ") for x in table]) for table in (self.a_bytes, self.b_bytes)]
+        self.numbers = pa.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))])
         #: Whether tokens of B hold a space at their beginning only, so that pieces can be encoded alone.
         self.cuts = all(b" " not in x.lstrip(b" ") for x in self.b_bytes)
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """A's ids of a space and each piece, and B's of the piece, before which it puts a space itself."""
-        found = self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)
-        return [x.ids for x in found], self.b.encode(pieces, num_threads=1)
+        one = lambda texts: [x.ids for x in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        other = lambda texts: self.b.encode(texts, num_threads=1)
+        return _in_runs(pieces, one, self.begins[0]), _in_runs(pieces, other, self.begins[1])
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text, each without the space before it."""
@@ -83,6 +90,22 @@ class _Pair:
         return _CUT.split(text) if _UNCUT.search(text) else text.split(" ")
 
 
+def _in_runs(pieces: list[str], encode: Callable[[list[str]], list[list[int]]], begins: np.ndarray) -> list[list[int]]:
+    """The ids of each piece, of runs of pieces encoded as one text and cut at the tokens that begin with a space.
+
+    A run whose pieces don't begin with just these tokens is encoded piece by piece.
+    """
+    runs = [pieces[i : i + RUN] for i in range(0, len(pieces), RUN)]
+    out: list[list[int]] = []
+    for run, ids in zip(runs, encode([" ".join(run) for run in runs]), strict=True):
+        cuts = np.flatnonzero(begins[ids]).tolist()
+        if len(cuts) == len(run) and not any(" " in piece or piece[:1].isspace() for piece in run):
+            out += [ids[i:j] for i, j in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+        else:
+            out += encode(run)
+    return out
+
+
 @cache
 def _pair(a: str, b: str) -> _Pair:
     return _Pair(a, b)
@@ -96,100 +119,97 @@ class _Numbers(dict):
         return n
 
 
+#: All overlaps: the B token in which each A token starts, and the B tokens that start inside an A token.
 _LINKS = """
-INSERT INTO links
-SELECT unit, a, b, count(*) FROM (
-    SELECT a.unit, a.id AS a, b.id AS b FROM a ASOF JOIN b ON a.unit = b.unit AND b.s <= a.s
-    UNION ALL
-    SELECT a.unit, a.id, b.id FROM b ASOF JOIN a ON a.unit = b.unit AND a.s < b.s WHERE b.s < a.e)
-GROUP BY ALL"""
+SELECT a.unit, a.id AS a, b.id AS b FROM a ASOF JOIN b ON b.s <= a.s
+UNION ALL
+SELECT a.unit, a.id, b.id FROM b ASOF JOIN a ON a.s < b.s WHERE b.s < a.e"""
 
 
-def _grouped(own: str, other: str) -> str:
-    """Each token's group: the number of offsets before its end at which tokens of both end."""
+def _groups(own: str, other: str) -> str:
+    """Each token's group, in order: the number of offsets before its end at which tokens of both end."""
     return f"""
-SELECT unit, g, string_agg(id, ',' ORDER BY s) AS ids, count(*) AS n FROM (
-    SELECT {own}.unit, {own}.s, {own}.id, coalesce(sum(CAST({other}.e IS NOT NULL AS INT)) OVER (
-        PARTITION BY {own}.unit ORDER BY {own}.s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g
-    FROM {own} LEFT JOIN {other} ON {own}.unit = {other}.unit AND {own}.e = {other}.e)
-GROUP BY unit, g"""
-
-
-_UNITS = f"""
-SELECT unit, CAST(sum(x.n) AS BIGINT) AS n_a, CAST(sum(y.n) AS BIGINT) AS n_b, count(*) AS n_groups,
-       string_agg(x.ids || '|' || y.ids, ';' ORDER BY g) AS groups
-FROM ({_grouped("a", "b")}) x JOIN ({_grouped("b", "a")}) y USING (unit, g) GROUP BY unit"""
-#: Links of each piece; what is known of each; links of each pair in the block, by how often the pieces occur; and each piece's pairs.
-_UNIT_LINKS = "SELECT unit, CAST(sum(k) AS BIGINT) AS n_links FROM links GROUP BY unit"
-_EVERY = f"""
-SELECT n_a, n_b, n_groups, n_links, groups FROM every LEFT JOIN found USING (unit) LEFT JOIN ({_UNIT_LINKS}) USING (unit) ORDER BY unit"""
-_PAIRS = """
-SELECT a, b, CAST(sum(k * n) AS BIGINT) AS n FROM links JOIN times USING (unit) WHERE n > 0 GROUP BY a, b ORDER BY a, b"""
-_PLACES = """
-SELECT unit, p.place, k FROM links JOIN times USING (unit)
-JOIN (SELECT a, b, row_number() OVER (ORDER BY a, b) - 1 AS place FROM pairs) p USING (a, b) WHERE times.n > 0 ORDER BY unit"""
-
-
-def _intervals(units: np.ndarray, ids: list[list[int]], lengths: np.ndarray) -> pa.Table:
-    """(unit, id, s, e): the tokens of each unit with the bytes that they cover."""
-    n = np.array([len(x) for x in ids], dtype=np.int64)
-    flat = np.fromiter((i for x in ids for i in x), np.int64, int(n.sum()))
-    end = np.cumsum(lengths[flat])
-    before = np.concatenate([[0], end])[np.cumsum(n) - n]  # of each unit's first token
-    end -= np.repeat(before, n)
-    return pa.table({"unit": np.repeat(units, n), "id": flat, "s": end - lengths[flat], "e": end})
-
-
-def _align(pieces: list[str], pair: _Pair, db: duckdb.DuckDBPyConnection) -> pa.Table:
-    """(n_a, n_b, n_groups, n_links, groups) of each piece, null for one whose tokens don't give its bytes; links in ``db``."""
-    db.execute("CREATE OR REPLACE TABLE links (unit BIGINT, a BIGINT, b BIGINT, k BIGINT)")
-    found, at = [], 0
-    while at < len(pieces):
-        upto = min(len(pieces), at + 4096)
-        ids_a, ids_b = pair.encode(pieces[at:upto])
-        fits = []
-        for i, (x, y) in enumerate(zip(ids_a, ids_b, strict=True)):
-            raw = f" {pieces[at + i]}".encode()
-            if b"".join([pair.a_bytes[t] for t in x]) == raw == b"".join([pair.b_bytes[t] for t in y]):
+SELECT CAST(coalesce(sum(CAST({other}.e IS NOT NULL AS INT)) OVER (
+    ORDER BY {own}.s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS g
+FROM {own} LEFT JOIN {other} ON {own}.e = {other}.e ORDER BY {own}.s"""
+
+
+def _offsets(sorted_keys: np.ndarray, n: int) -> pa.Array:
+    """Where each of n keys begins, and the end."""
+    return pa.array(np.searchsorted(sorted_keys, np.arange(n + 1)).astype(np.int32))
+
+
+def _slice(units: np.ndarray, a: list[list[int]], b: list[list[int]], pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple[np.ndarray, pa.Table]:
+    """Links (unit, a, b) and (n_a, n_b, n_groups, groups) of pieces, which lie one behind the other."""
+    sides = []
+    for name, ids, lengths in (("a", a, pair.lengths[0]), ("b", b, pair.lengths[1])):
+        n = np.array([len(x) for x in ids], dtype=np.int64)
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+        end = np.cumsum(lengths[flat])
+        own = np.repeat(np.arange(len(ids)), n)
+        db.register(name, pa.table({"unit": own, "id": flat, "s": end - lengths[flat], "e": end}))
+        sides.append((n, flat, own))
+    links = np.stack([c.to_numpy() for c in db.sql(_LINKS).to_arrow_table().columns])
+    found = []
+    for (_, flat, own), sql in zip(sides, (_groups("a", "b"), _groups("b", "a")), strict=True):
+        group = db.sql(sql).to_arrow_table().column(0).to_numpy()
+        of_unit = group[np.searchsorted(own, np.arange(len(units)))]
+        ids = pa.ListArray.from_arrays(_offsets(group, int(group[-1]) + 1), pair.numbers.take(pa.array(flat)))
+        found.append((of_unit, pc.binary_join(ids, ",")))
+    db.unregister("a")
+    db.unregister("b")
+    (first, left), (_, right) = found
+    each = pc.binary_join_element_wise(left, right, "|")
+    texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(each)).astype(np.int32)), each), ";")
+    links[0] = units[links[0]]
+    counts = {"n_a": sides[0][0], "n_b": sides[1][0], "n_groups": np.diff(np.append(first, len(each)))}
+    return links, pa.table({"unit": units, **counts, "groups": texts})
+
+
+def _align(pieces: list[str], pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple[np.ndarray, pa.Table]:
+    """Links (unit, a, b), and what is known of the pieces whose tokens give back their bytes, by unit, the piece's number."""
+    links, found = [np.zeros((3, 0), dtype=np.int64)], []
+    for at in range(0, len(pieces), ENCODED):
+        some = pieces[at : at + ENCODED]
+        a, b = pair.encode(some)
+        fits, held = [], []
+        for i, piece in enumerate(some):
+            raw = f" {piece}".encode()
+            if b"".join([pair.a_bytes[t] for t in a[i]]) == raw == b"".join([pair.b_bytes[t] for t in b[i]]):
                 fits.append(i)
-        held = np.cumsum([len(ids_a[i]) + len(ids_b[i]) for i in fits])
-        lo = 0
+                held.append(len(a[i]) + len(b[i]))
+        upto, lo = np.cumsum(held), 0
         while lo < len(fits):
-            before = held[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(held, before + TOKENS, "right")))
-            own, units = fits[lo:hi], np.array(fits[lo:hi], dtype=np.int64) + at
-            db.register("a", _intervals(units, [ids_a[i] for i in own], pair.lengths[0]))
-            db.register("b", _intervals(units, [ids_b[i] for i in own], pair.lengths[1]))
-            db.execute(_LINKS)
-            found.append(db.execute(_UNITS).to_arrow_table())
-            db.unregister("a")
-            db.unregister("b")
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TOKENS, "right")))
+            own = fits[lo:hi]
+            more, known = _slice(np.array(own) + at, [a[i] for i in own], [b[i] for i in own], pair, db)
+            links.append(more)
+            found.append(known)
             lo = hi
-        at = upto
-    none = {"unit": pa.array([], pa.int64()), **{c: pa.array([], pa.int64()) for c in ("n_a", "n_b", "n_groups")}, "groups": pa.array([], pa.string())}
-    db.register("found", pa.concat_tables(found) if found else pa.table(none))
-    db.register("every", pa.table({"unit": np.arange(len(pieces))}))
-    return db.execute(_EVERY).to_arrow_table()
+    none = {x: pa.array([], pa.int64()) for x in ("unit", "n_a", "n_b", "n_groups")} | {"groups": pa.array([], pa.string())}
+    return np.concatenate(links, axis=1), pa.concat_tables(found).combine_chunks() if found else pa.table(none)
 
 
 def _block(table: pa.Table, pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple[bytes, pa.Table]:
-    """A block's documents, pieces and the places of their pairs, packed; and its pairs (a, b, n)."""
+    """A block's documents, pieces and the places of their pairs, packed; and its pairs (a, b, n), by their places."""
     of, docs = _Numbers(), []
     for text in table.column("text"):
         text = text.as_py()
         parts = pair.split(text) if text else []
         docs.append(np.fromiter(map(of.__getitem__, parts), np.int32, len(parts)))
-    pieces = _align(list(of), pair, db)
-    fits = pieces.column("n_a").is_valid().to_numpy()
+    (unit, a, b), pieces = _align(list(of), pair, db)
+    fits = np.zeros(len(of), dtype=bool)
+    fits[pieces.column("unit").to_numpy()] = True
     docs = [d if fits[d].all() else d[:0] for d in docs]
-    flat = np.concatenate([np.zeros(0, np.int32), *docs])
-    times = np.bincount(flat, minlength=len(of))
-    db.register("times", pa.table({"unit": np.arange(len(of)), "n": times}))
-    pairs = db.execute(_PAIRS).to_arrow_table().combine_chunks()
-    db.register("pairs", pairs)
-    places = db.execute(_PLACES).to_arrow_table()
+    times = np.bincount(np.concatenate([np.zeros(0, np.int32), *docs]), minlength=len(of))
+    used = times[unit] > 0  # not those of documents without tokens alone
+    unit, a, b = unit[used], a[used], b[used]
+    keys, place = np.unique(a << 32 | b, return_inverse=True)
+    n = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(n, place, times[unit])
     rows = pa.table({"doc_id": table.column("doc_id"), "units": pa.array(docs, pa.list_(pa.int32()))})
-    return B.pack(rows) + B.pack(pieces) + B.pack(places), pairs
+    places = pa.table({"unit": unit.astype(np.int32), "place": place.astype(np.int32)})
+    return B.pack(rows) + B.pack(pieces) + B.pack(places), pa.table({"a": keys >> 32, "b": keys & 0xFFFFFFFF, "n": n})
 
 
 def _stored(docs: DataFrame, a: str, b: str, id_col: str, text_col: str) -> DataFrame:
@@ -257,15 +277,19 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
                 reader = pa.BufferReader(batch.column(0)[row].as_buffer())
                 docs, pieces, places = (pa.ipc.open_stream(reader).read_all().combine_chunks() for _ in range(3))
                 counts, best = ((x[row].values.to_numpy(zero_copy_only=False) if x[row].is_valid else np.zeros(0)) for x in batch.columns[1:])
-                unit, place, k = (c.to_numpy() for c in places.columns)
+                unit, place = (c.to_numpy() for c in places.columns)
                 if len(place) and place.max() >= len(counts):
                     raise RuntimeError("pairs of a block are missing")
-                sums = np.zeros((6, pieces.num_rows), dtype=np.int64)
-                for i, name in enumerate(names[1:5]):
-                    sums[i] = pieces.column(name).fill_null(0).to_numpy()
-                np.add.at(sums[4], unit, k * best[place].astype(np.int64))
-                np.add.at(sums[5], unit, k * counts[place].astype(np.int64))
-                texts = np.array(pieces.column("groups").to_pylist(), dtype=object)
+                known = pieces.column("unit").to_numpy()
+                size = int(max(known.max(initial=-1), unit.max(initial=-1))) + 1
+                sums = np.zeros((6, size), dtype=np.int64)
+                for i, name in enumerate(("n_a", "n_b", "n_groups")):
+                    sums[i, known] = pieces.column(name).to_numpy()
+                np.add.at(sums[3], unit, 1)
+                np.add.at(sums[4], unit, best[place].astype(np.int64))
+                np.add.at(sums[5], unit, counts[place].astype(np.int64))
+                texts = np.full(size, None)
+                texts[known] = pieces.column("groups").to_pylist()
                 out, held = [], 0
                 for doc, units in zip(docs.column(0).to_pylist(), docs.column(1), strict=True):
                     own = units.values.to_numpy()

@@ -123,6 +123,8 @@ def test_pairs_and_small_slices(spark, monkeypatch):
     values = texts()[:40] + awkward()[:60]
     monkeypatch.setattr(alignment, "TOKENS", 5)
     monkeypatch.setattr(alignment, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(alignment, "ENCODED", 7)
+    monkeypatch.setattr(alignment, "RUN", 3)
     _, counts, most = slow(list(enumerate(values)))
     docs = table(spark, values)
     found = {(r.a, r.b): (r.n, r.best) for r in alignment.pair_counts(docs, A, B).collect()}
