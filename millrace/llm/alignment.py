@@ -35,7 +35,7 @@ from millrace.llm import blocks as B
 from millrace.llm.scratch import materialize, named, session, tidied
 
 #: Bytes of text in a block, about, and tokens that DuckDB gets at once, unless a piece alone has more.
-BLOCK_BYTES, TOKENS = 16 << 20, 1 << 18
+BLOCK_BYTES, TOKENS = 8 << 20, 1 << 17
 #: Pieces that are encoded at once, and of them so many as one text.
 ENCODED, RUN = 1 << 14, 256
 #: Bytes of groups in a batch of results, about.
@@ -149,7 +149,7 @@ def _slice(units: np.ndarray, a: list[list[int]], b: list[list[int]], pair: _Pai
         own = np.repeat(np.arange(len(ids)), n)
         db.register(name, pa.table({"unit": own, "id": flat, "s": end - lengths[flat], "e": end}))
         sides.append((n, flat, own))
-    links = np.stack([c.to_numpy() for c in db.sql(_LINKS).to_arrow_table().columns])
+    links = np.stack([c.to_numpy().astype(np.int32) for c in db.sql(_LINKS).to_arrow_table().columns])
     found = []
     for (_, flat, own), sql in zip(sides, (_groups("a", "b"), _groups("b", "a")), strict=True):
         group = db.sql(sql).to_arrow_table().column(0).to_numpy()
@@ -168,7 +168,7 @@ def _slice(units: np.ndarray, a: list[list[int]], b: list[list[int]], pair: _Pai
 
 def _align(pieces: list[str], pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple[np.ndarray, pa.Table]:
     """Links (unit, a, b), and what is known of the pieces whose tokens give back their bytes, by unit, the piece's number."""
-    links, found = [np.zeros((3, 0), dtype=np.int64)], []
+    links, found = [np.zeros((3, 0), dtype=np.int32)], []
     for at in range(0, len(pieces), ENCODED):
         some = pieces[at : at + ENCODED]
         a, b = pair.encode(some)
@@ -202,13 +202,14 @@ def _block(table: pa.Table, pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple
     fits[pieces.column("unit").to_numpy()] = True
     docs = [d if fits[d].all() else d[:0] for d in docs]
     times = np.bincount(np.concatenate([np.zeros(0, np.int32), *docs]), minlength=len(of))
-    used = times[unit] > 0  # not those of documents without tokens alone
-    unit, a, b = unit[used], a[used], b[used]
-    keys, place = np.unique(a << 32 | b, return_inverse=True)
+    used = np.flatnonzero(times[unit] > 0)  # not those of documents without tokens alone
+    used = used[np.argsort(unit[used], kind="stable")]
+    unit = unit[used]
+    keys, place = np.unique(a[used].astype(np.int64) << 32 | b[used], return_inverse=True)
     n = np.zeros(len(keys), dtype=np.int64)
     np.add.at(n, place, times[unit])
     rows = pa.table({"doc_id": table.column("doc_id"), "units": pa.array(docs, pa.list_(pa.int32()))})
-    places = pa.table({"unit": unit.astype(np.int32), "place": place.astype(np.int32)})
+    places = pa.table({"unit": unit, "place": place.astype(np.int32)})
     return B.pack(rows) + B.pack(pieces) + B.pack(places), pa.table({"a": keys >> 32, "b": keys & 0xFFFFFFFF, "n": n})
 
 
@@ -258,7 +259,7 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
     the text, have no tokens: zeros and an empty string.  Repeated rows are texts of
     their own and count as such; null ids stay null, other columns are ignored; an
     empty table gives an empty result.  A very long text is a block by itself and is held
-    there in memory; DuckDB gets 2**18 tokens at a time, or those of one longer piece without a
+    there in memory; DuckDB gets 2**17 tokens at a time, or those of one longer piece without a
     space to cut at.
     """
     stored = _stored(docs, a, b, id_col, text_col)
