@@ -29,12 +29,12 @@ ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
 #: Texts are fitted on about so many documents a language; the sample's size doesn't grow with the table.
 SAMPLE_PER_LANGUAGE = 1500
-#: Labels that are learned, the commonest: more are noise, and the model's size doesn't grow with the table.
-LANGUAGES = 256
 UNDETERMINED = "und"
 #: Below this score the two best codewords are about equally near.
 AMBIGUOUS_BELOW = 0.55
 _CHUNK = 1 << 18
+#: Weights, or losses, that are looked at together, and slices of the buckets whose weights are made together.
+_CELLS, _SLICES = 1 << 22, 64
 
 
 def _codes(data: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +74,9 @@ def _sums(weights: np.ndarray, data: np.ndarray, starts: np.ndarray) -> tuple[np
     total = np.zeros((len(starts) - 1, weights.shape[2]))
     count = np.zeros(len(starts) - 1, dtype=np.int64)
     for at, order in enumerate(ORDERS):
-        for lo in range(0, len(data), _CHUNK):  # a very long text is taken in overlapping chunks
-            part = data[lo : lo + _CHUNK + order - 1]
+        span = min(_CHUNK, max(64, _CELLS // weights.shape[2]))
+        for lo in range(0, len(data), span):  # a very long text is taken in overlapping chunks
+            part = data[lo : lo + span + order - 1]
             code, inside = _codes(part, starts - lo, order)
             if not len(code):
                 continue
@@ -95,15 +96,25 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         bits = [[(c >> i) & 1 for c in range(1, 1 << (m - 1))] for i in range(m - 1)]
         return np.array([[0] * len(bits[0]), *bits])[:n] * 2 - 1
     rng, best, width = np.random.default_rng(seed), None, int(np.ceil(10 * np.log2(n)))
-    for _ in range(50):
+    for _ in range(max(1, min(50, (1 << 26) // n**2))):
         code = rng.integers(0, 2, (n, width)) * 2 - 1
-        apart = (width - code @ code.T) // 2
-        least = apart[~np.eye(n, dtype=bool)].min()
+        least = least_apart(code)
         if best is None or least > best[0]:
             best = (least, code)
     return best[1]
 
 
+def least_apart(code: np.ndarray) -> int:
+    """The fewest bits in which two codewords differ, a block of them at a time; one alone differs from none."""
+    n, width = code.shape
+    signs, least = code.astype(np.float32), width
+    for i in range(0, n, 1024):
+        apart = (width - signs[i : i + 1024] @ signs.T) / 2
+        apart[np.arange(len(apart)), np.arange(i, i + len(apart))] = width
+        least = min(least, int(apart.min()))
+    return least
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
@@ -114,11 +125,16 @@ class LanguageModel:
 
     def scores(self, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Margins (texts x bits) -> index of the nearest codeword, its probability-like score, bits that differ."""
-        loss = (np.exp(-np.clip(margin[:, None, :] * self.code[None], -8, 8)) * self.bit_weight).sum(axis=2)
-        loss /= self.bit_weight.sum()
-        best = loss.argmin(axis=1)
-        likely = np.exp(-4 * (loss - loss.min(axis=1, keepdims=True)))
-        score = 1 / likely.sum(axis=1)
+        best, score = np.zeros(len(margin), dtype=np.int64), np.zeros(len(margin))
+        on = (self.code > 0).astype(np.float64).T
+        step = max(1, _CELLS // len(self.code))
+        for i in range(0, len(margin), step):  # so many texts that their losses fit in memory, for any number of languages
+            m = np.clip(margin[i : i + step], -8, 8)
+            loss = (np.exp(-m) * self.bit_weight) @ on + (np.exp(m) * self.bit_weight) @ (1 - on)
+            loss /= self.bit_weight.sum()
+            best[i : i + step] = loss.argmin(axis=1)
+            likely = np.exp(-4 * (loss - loss.min(axis=1, keepdims=True)))
+            score[i : i + step] = 1 / likely.sum(axis=1)
         wrong = (np.sign(margin) * self.code[best] < 0).sum(axis=1)
         return best, score, wrong
 
@@ -131,63 +147,92 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, text_col: str, lang_col: str, key: Column, per_language: int = SAMPLE_PER_LANGUAGE):
-    """A LanguageModel from labelled rows: those whose key's hash falls below the share that leaves per_language.
+    """A LanguageModel of every label, from labelled rows: those whose key's hash falls below the share that leaves per_language.
 
     The labels are counted without the texts; the texts are read once, and the
-    drawn ones kept in a table.  Only n-gram counts by language reach the driver:
-    orders x BUCKETS numbers for each language.  Null texts and labels are left out;
-    without any labelled text there is no model.
+    drawn ones kept in a table.  Each label's n-grams are counted in one task, from
+    its sample alone; the weights of a slice of the buckets are made in one task from all labels' counts
+    there.  To the driver come the labels, four sums each, and the weights: orders x BUCKETS
+    numbers for each bit, whose number grows with the logarithm of that of the labels.
+    Null texts and labels are left out; without any labelled text there is no model.
     """
-    rows = docs.where(named(lang_col).isNotNull() & named(text_col).isNotNull()).select(
-        named(text_col).alias("text"), named(lang_col).alias("lang"), F.xxhash64(key).alias("draw")
-    )
-    labels = docs.where(named(lang_col).isNotNull()).groupBy(named(lang_col).alias("lang")).agg(F.count("*").alias("n"))
-    sizes = {r["lang"]: r["n"] for r in labels.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    spark = session(docs)
+    labelled = docs.where(named(lang_col).isNotNull()).select(named(lang_col).alias("lang"), named(text_col).alias("text"), F.xxhash64(key).alias("draw"))
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    languages = sorted(sizes)
-    rows = rows.where(F.col("lang").isin(languages))
-    share = F.create_map(
-        *[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, per_language / sizes[lang])))]
-    )
+    # Spark broadcasts the shares while they are few
+    shares = spark.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in sizes.items()], "lang string, share double")
     draw = F.pmod("draw", F.lit(1_000_003)) / 1_000_003.0
-    sample = materialize(rows.where(draw < share[F.col("lang")]).select("text", "lang"), "labelled")
-    if sample.isEmpty():
-        return None
-    index = {lang: i for i, lang in enumerate(languages)}
+    drawn = labelled.where("text IS NOT NULL").join(shares, "lang").where(draw < F.col("share"))
+    sample = materialize(drawn.select("text", "lang"), "labelled")
+    by_label = sample.repartition("lang").sortWithinPartitions("lang")
+    wide = len(ORDERS) * BUCKETS // _SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[str, np.ndarray] = {}
+        now, table = None, np.zeros((len(ORDERS), BUCKETS), dtype=np.int64)
+
+        def counted() -> pa.RecordBatch:
+            sums, rows = table.sum(axis=1), []
+            for i, part in enumerate(table.reshape(_SLICES, wide)):
+                at = np.flatnonzero(part)
+                rows.append((now, i, at.astype(np.uint16).tobytes(), part[at].tobytes(), sums.tolist()))
+            kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "slice", "places", "counts", "sums"])
+
         for batch in batches:
             langs = np.array(batch.column(1).to_pylist(), dtype=object)
-            for lang in set(langs):
-                table = tables.setdefault(lang, np.zeros((len(ORDERS), BUCKETS), dtype=np.int64))
-                for _, data, starts in _pieces(batch.column(0).filter(pa.array(langs == lang))):
+            cuts = [0, *(np.flatnonzero(langs[1:] != langs[:-1]) + 1).tolist(), len(langs)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i < j and langs[i] != now:
+                    if now is not None:
+                        yield counted()
+                    now, table[:] = langs[i], 0
+                for _, data, starts in _pieces(batch.column(0).slice(i, j - i)):
                     for at, order in enumerate(ORDERS):
                         code, inside = _codes(data, starts, order)
                         table[at] += np.bincount(code[inside], minlength=BUCKETS)
-        for lang, table in tables.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang]), pa.array([table.ravel().tolist()], pa.list_(pa.int64()))], names=["lang", "n"]
-            )
+        if now is not None:
+            yield counted()
 
-    cells = sample.mapInArrow(tidied(count), "lang string, n array<bigint>").select("lang", F.posexplode("n"))
-    sums = cells.where("col > 0").groupBy("lang", "pos").agg(F.sum("col").alias("n")).toPandas()
-    counts = np.zeros((len(languages), len(ORDERS) * BUCKETS))
-    counts[sums["lang"].map(index).to_numpy(int), sums["pos"].to_numpy(int)] = sums["n"].to_numpy()
-    counts = counts.reshape(len(languages), len(ORDERS), BUCKETS)
-    share_of = (counts + 0.5) / (counts + 0.5).sum(axis=2, keepdims=True)  # every language weighs the same
+    schema = "lang string, slice int, places binary, counts binary, sums array<bigint>"
+    cells = materialize(by_label.mapInArrow(tidied(count), schema), "grams")
+    languages = sorted(sizes)  # of those without a text in the sample nothing is known but their number
+    total = np.zeros((len(languages), len(ORDERS)))
+    index = {lang: i for i, lang in enumerate(languages)}
+    for r in cells.where("slice = 0").select("lang", "sums").toLocalIterator():
+        total[index[r["lang"]]] = r["sums"]
+    if not total.any():
+        return None
+    total += 0.5 * BUCKETS  # every language weighs the same
     code = codewords(len(languages))
-    weights = np.zeros((len(ORDERS), BUCKETS, code.shape[1]), dtype=np.float32)
-    for bit in range(code.shape[1]):
-        on, off = code[:, bit] > 0, code[:, bit] < 0
-        if on.any() and off.any():
-            weights[:, :, bit] = np.log(share_of[on].mean(axis=0)) - np.log(share_of[off].mean(axis=0))
+    on = (code > 0).T.astype(np.float64)
+    both = on.any(axis=1) & (1 - on).any(axis=1)
+    shared = spark.sparkContext.broadcast((index, total, on, both))
+
+    def weigh(table: pa.Table) -> pa.Table:
+        index, total, on, both = shared.value
+        slice_, part = table.column("slice")[0].as_py(), np.full((len(index), wide), 0.5)
+        for row in table.select(["lang", "places", "counts"]).to_pylist():
+            part[index[row["lang"]], np.frombuffer(row["places"], np.uint16)] += np.frombuffer(row["counts"], np.int64)
+        part /= total[:, slice_ * wide // BUCKETS, None]
+        out = np.zeros((len(on), wide), dtype=np.float32)
+        n = on.sum(axis=1, keepdims=True)
+        out[both] = np.log((on @ part)[both] / n[both]) - np.log(((1 - on) @ part)[both] / (len(index) - n[both]))
+        return pa.table({"slice": pa.array([slice_], pa.int32()), "weights": pa.array([out.tobytes()], pa.binary())})
+
+    weights = np.zeros((len(code[0]), _SLICES, wide), dtype=np.float32)
+    for r in cells.select("slice", "lang", "places", "counts").groupBy("slice").applyInArrow(weigh, "slice int, weights binary").toLocalIterator():
+        weights[:, r["slice"]] = np.frombuffer(r["weights"], np.float32).reshape(-1, wide)
+    weights = np.ascontiguousarray(weights.reshape(-1, len(ORDERS), BUCKETS).transpose(1, 2, 0))
     model = LanguageModel(languages, code, weights, np.ones(code.shape[1]))
+    fitted = spark.sparkContext.broadcast((model, index))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, index = fitted.value
         for batch in batches:
-            truth = code[[index[x] for x in batch.column(1).to_pylist()]]
+            truth = model.code[[index[x] for x in batch.column(1).to_pylist()]]
             right = (np.sign(model.margins(batch.column(0))) == truth).sum(axis=0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(right))), pa.array(right), pa.array([batch.num_rows] * len(right))],
@@ -234,12 +279,11 @@ def identify(
         out = out.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
         return out.withColumns({"ambiguous": F.lit(True), "bits_off": F.lit(0)}).select(*schema.names)
     shared = session(docs).sparkContext.broadcast(model)
+    corrects = (least_apart(model.code) - 1) // 2 if len(model.languages) > 1 else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNDETERMINED], dtype=object)
-        apart = [(x != y).sum() for i, x in enumerate(m.code) for y in m.code[:i]]
-        corrects = (min(apart) - 1) // 2 if apart else 0
         for batch in batches:
             best, score, wrong = m.scores(m.margins(batch.column(1)))
             letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)

@@ -61,3 +61,51 @@ def test_one_language(spark):
     docs = spark.createDataFrame([(i, "some text", "en") for i in range(9)], "doc_id long, text string, lang string")
     model = langid.fit(docs, "text", "lang", F.col("doc_id"))
     assert {(r.lang_pred, r.score) for r in langid.identify(docs, model).collect()} == {("en", 1.0)}
+
+
+def many_labels(n, each):
+    """Texts of n labels, each of letters of its own mixture, and some without letters."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(n):
+        letters = rng.permutation(list("abcdefghijklmnopqrstuvwxyz"))[:8]
+        for _ in range(each):
+            rows.append((len(rows), " ".join("".join(rng.choice(letters, 5)) for _ in range(80)), f"l{i:03d}"))
+    return rows
+
+
+def test_every_label_is_learned(spark):
+    rows = many_labels(300, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.fit(docs, "text", "lang", F.col("doc_id"))
+    assert model.languages == sorted({r[2] for r in rows}) and model.code.shape[0] == 300
+    truth = {i: lang for i, _, lang in rows}
+    found = langid.identify(docs, model).collect()
+    assert len({r.lang_pred for r in found}) > 280
+    assert sum(r.lang_pred == truth[r.doc_id] for r in found) > 0.9 * len(found)
+
+
+def test_memory_does_not_grow_with_the_languages():
+    import tracemalloc
+
+    code = langid.codewords(300)
+    weights = np.random.default_rng(1).normal(size=(len(langid.ORDERS), langid.BUCKETS, code.shape[1])).astype(np.float32)
+    model = langid.LanguageModel([f"l{i}" for i in range(300)], code, weights, np.linspace(0.1, 1, code.shape[1]))
+    texts = pa.array([f"some short text {i}" for i in range(10_000)])
+    tracemalloc.start()
+    margin = model.margins(texts)
+    best, score, _ = model.scores(margin)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6
+    loss = np.array([(np.exp(-np.clip(m * code, -8, 8)) * model.bit_weight).sum(axis=1) for m in margin[:200]]) / model.bit_weight.sum()
+    assert (best[:200] == loss.argmin(axis=1)).all()
+    assert np.allclose(score[:200], 1 / np.exp(-4 * (loss - loss.min(axis=1, keepdims=True))).sum(axis=1))
+
+
+def test_least_apart():
+    rng = np.random.default_rng(2)
+    code = rng.integers(0, 2, (1500, 40)) * 2 - 1
+    apart = (code[:, None, :8] != code[None, :, :8]).sum(axis=2)[~np.eye(1500, dtype=bool)]
+    assert langid.least_apart(code[:, :8]) == apart.min()
+    assert langid.codewords(9000).shape == (9000, 132)
