@@ -29,6 +29,8 @@ ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 14
 #: Texts are fitted on about so many documents a language; the sample's size doesn't grow with the table.
 SAMPLE_PER_LANGUAGE = 1500
+#: Labels whose shares are broadcast to the texts, at most; more are joined by shuffle.
+BROADCAST_LABELS = 1 << 16
 UNDETERMINED = "und"
 #: Below this score the two best codewords are about equally near.
 AMBIGUOUS_BELOW = 0.55
@@ -161,8 +163,8 @@ def fit(docs: DataFrame, text_col: str, lang_col: str, key: Column, per_language
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    # Spark broadcasts the shares while they are few
     shares = spark.createDataFrame([(lang, min(1.0, per_language / n)) for lang, n in sizes.items()], "lang string, share double")
+    shares = F.broadcast(shares) if len(sizes) <= BROADCAST_LABELS else shares.hint("merge")
     draw = F.pmod("draw", F.lit(1_000_003)) / 1_000_003.0
     drawn = labelled.where("text IS NOT NULL").join(shares, "lang").where(draw < F.col("share"))
     sample = materialize(drawn.select("text", "lang"), "labelled")

@@ -126,6 +126,16 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write(df, name, codec))
 
 
+def materialize_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """As ``materialize`` of what ``make`` gives; the tables that it writes on the way are deleted once that is written."""
+    path = new_path(spark, name)
+    with scope(spark), _cleaning(spark):
+        df = make()
+        df.write.option("compression", "zstd").parquet(path)
+        schema = df.schema
+    return spark.read.schema(schema).parquet(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a table, or a folder of it, that no step needs any more."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import langid
@@ -74,7 +75,9 @@ def many_labels(n, each):
     return rows
 
 
-def test_every_label_is_learned(spark):
+@pytest.mark.parametrize("broadcast", [1 << 16, 10])
+def test_every_label_is_learned(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(langid, "BROADCAST_LABELS", broadcast)
     rows = many_labels(300, 6)
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
     model = langid.fit(docs, "text", "lang", F.col("doc_id"))

@@ -43,3 +43,16 @@ def test_writes_side_by_side_leave_the_settings(spark):
 def test_names_with_any_characters(spark):
     table = spark.createDataFrame([(1, 2, 3)], ["a.b", "c`d", "e f"])
     assert [table.select(scratch.named(c)).first()[0] for c in table.columns] == [1, 2, 3]
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    inner = []
+
+    def make():
+        inner.append(scratch.materialize(spark.range(6).toDF("x"), "inner"))
+        return inner[0].where("x > 2")
+
+    found = scratch.materialize_alone(spark, make, "result")
+    assert sorted(r.x for r in found.collect()) == [3, 4, 5]
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        inner[0].count()
