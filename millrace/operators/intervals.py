@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.slices import micros
+
 #: Right rows in a cell, about.
 CELL_ROWS = 1 << 17
 
@@ -29,7 +31,7 @@ def interval_join(
     """Pairs of a row of ``left`` and one of ``right`` with equal ``on`` and a right time from ``before`` to ``after`` seconds around the left one.
 
     Both ends are included: left time - before <= right time <= left time + after.
-    Times are timestamps, of either kind.  Right columns are named ``prefix`` and their
+    Times are timestamps, both of one kind.  Right columns are named ``prefix`` and their
     name.  Null keys and times are in no pair; repeated rows pair each for itself; an
     empty side gives an empty result.
     """
@@ -40,7 +42,7 @@ def interval_join(
     def side(rows: DataFrame, time: str, name: str) -> DataFrame:
         columns = [F.col(f"`{c}`").alias(k) for c, k in zip(on, keys, strict=True)]
         whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rows.columns)])
-        out = rows.select(*columns, F.unix_micros(F.col(f"`{time}`").cast("timestamp")).alias(f"{name}_t"), whole.alias(name))
+        out = rows.select(*columns, micros(F.col(f"`{time}`"), dict(rows.dtypes)[time]).alias(f"{name}_t"), whole.alias(name))
         return out.dropna(subset=[*keys, f"{name}_t"])
 
     bin_of = lambda t: F.expr(f"({t} - pmod({t}, {width}L)) div {width}L")  # noqa: E731  in whole numbers, rounded down

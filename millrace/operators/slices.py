@@ -20,12 +20,18 @@ from pyspark.sql import functions as F
 SLICE_ROWS, MOST, SAMPLED = 1 << 20, 1 << 16, 20
 
 
+def micros(value: Column, kind: str) -> Column:
+    """Microseconds of a timestamp; of one without time zone those of its own clock, whatever the session's zone."""
+    if kind != "timestamp_ntz":
+        return F.unix_micros(value.cast("timestamp"))
+    seconds = F.unix_date(value.cast("date")).cast("long") * 86_400 + F.hour(value) * 3600 + F.minute(value) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), value) * 1_000_000).cast("long")
+
+
 def order_number(value: Column, kind: str) -> Column:
     """A whole number that rises with the value, of a number, a date or a timestamp; equal values have the same."""
-    if kind == "timestamp_ntz":
-        return F.unix_micros(value.cast("timestamp"))
-    if kind == "timestamp":
-        return F.unix_micros(value)
+    if kind.startswith("timestamp"):
+        return micros(value, kind)
     if kind == "date":
         return F.unix_date(value).cast("long")
     return F.floor(value.cast("double")).cast("long")

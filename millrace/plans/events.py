@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from millrace.operators.asof import asof_join
 from millrace.operators.intervals import interval_join
 from millrace.operators.running import running_totals
+from millrace.operators.slices import micros
+from millrace.sources.shared import new_folder
 from millrace.sources.tables import table
+from millrace.streaming import sessions
 
 
 def _of(events: DataFrame, kind: str) -> DataFrame:
@@ -61,6 +64,29 @@ def errors_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("event_id").agg(F.count("*").alias("n_errors"), F.min("error_ts").alias("first"))
 
 
+SESSION_GAP, SESSION_LATE = 4 * 3600, 24 * 3600
+
+
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed sessions of each user, from the events as a stream that ends with what is there."""
+    # as a pattern, so that the table may be one file or a folder
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    events = events.select("user_id", F.timestamp_micros(micros(F.col("ts"), "timestamp_ntz")).alias("ts"), F.round(F.col("value") * 100).alias("cents"))
+    stream = sessions.sessions(events, "user_id", "ts", "cents", SESSION_GAP, SESSION_LATE)
+    folder = new_folder(spark, "sessions")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, sessions.STATE_STORE)
+    try:
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+        query.start(f"{folder}/sessions").awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    found = spark.read.schema(stream.schema).parquet(f"{folder}/sessions")
+    whole = F.col("last") - F.col("first")
+    return found.select(F.col("key").alias("user_id"), F.col("first").alias("first_micros"), whole.alias("micros"), F.col("n").alias("n_events"), F.col("total").alias("cents"))
+
+
 _SIDES = """(SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') p {} JOIN
     (SELECT event_id AS click_event_id, user_id AS u, ts AS click_ts FROM events WHERE event_type = 'click') c ON user_id = u AND """
 
@@ -91,6 +117,15 @@ _FOUND = {
         clicks_before_purchase,
         f"SELECT event_id, user_id, ts, click_event_id, click_ts FROM {_SIDES.format('')} click_ts BETWEEN ts - INTERVAL 1 DAY AND ts",
     ),
+    "user_sessions": (
+        user_sessions,
+        f"""WITH e AS (SELECT user_id, epoch_us(ts) AS t, CAST(round(value * 100) AS BIGINT) AS c FROM events),
+        begun AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > {SESSION_GAP}000000 AS new FROM e),
+        numbered AS (SELECT *, sum(CAST(coalesce(new, true) AS INT)) OVER (PARTITION BY user_id ORDER BY t RANGE UNBOUNDED PRECEDING) AS s FROM begun)
+        SELECT user_id, min(t) AS first_micros, max(t) - min(t) AS micros, count(*) AS n_events, CAST(sum(c) AS BIGINT) AS cents
+        FROM numbered GROUP BY user_id, s
+        HAVING max(t) + {SESSION_GAP}000000 < ((SELECT max(t) FROM e) // 1000 - {SESSION_LATE}000) * 1000""",
+    ),
     "errors_near": (
         errors_near,
         """SELECT e.event_id, count(*) AS n_errors, min(x.ts) AS first FROM events e
