@@ -75,17 +75,66 @@ subject to the following restrictions:
    misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+In jurisdictions that recognize copyright laws, the author or authors
+of this software dedicate any and all copyright interest in the
+software to the public domain. We make this dedication for the benefit
+of the public at large and to the detriment of our heirs and
+successors. We intend this dedication to be an overt act of
+relinquishment in perpetuity of all present and future rights to this
+software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part, and
+all derivative works of the Software, unless such copies or derivative
+works are solely in the form of machine-executable object code generated by
+a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT
+SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE
+FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
+
 _KEEP_NOTICE = """The above copyright notice and this permission notice shall be included in all
 copies or substantial portions of the Software."""
 
 _TEXTS = {
     "0BSD": f"{_MAY_USE}.\n\n{_ISC_AS_IS}",
     "BSD-2-Clause": f"{_BSD}{_BSD_AS_IS}",
+    "BSL-1.0": _BOOST,
     "BSD-3-Clause": f"{_BSD}{_BSD_3}{_BSD_AS_IS}",
     "ISC": f"{_MAY_USE}, provided that the above copyright notice and this permission notice appear in all copies.\n\n"
     f"{_ISC_AS_IS}",
     "MIT": f"{_PERMISSION}, subject to the following conditions:\n\n{_KEEP_NOTICE}\n\n{_AS_IS}",
     "MIT-0": f"{_PERMISSION}.\n\n{_AS_IS}",
+    "Unlicense": _UNLICENSE,
     "Zlib": _ZLIB,
 }
 
@@ -96,6 +145,7 @@ _TITLES = {
     "Apache-2.0": "the Apache License, Version 2.0",
     "BSD-2-Clause": "BSD 2-Clause License",
     "BSD-3-Clause": "BSD 3-Clause License",
+    "BSL-1.0": "Boost Software License - Version 1.0",
     "CC-BY-4.0": "CC BY 4.0",
     "CC-BY-NC-4.0": "CC BY-NC 4.0",
     "CC-BY-SA-4.0": "CC BY-SA 4.0",
@@ -103,10 +153,12 @@ _TITLES = {
     "GPL-2.0-only": "GPL-2.0",
     "GPL-3.0-only": "GPL-3.0",
     "ISC": "ISC License",
+    "LGPL-2.1-only": "LGPL-2.1",
     "LGPL-3.0-only": "LGPL-3.0",
     "MIT": "MIT License",
     "MIT-0": "MIT No Attribution",
     "MPL-2.0": "MPL-2.0",
+    "Unlicense": "The Unlicense",
     "Zlib": "zlib License",
 }
 
@@ -129,3 +181,5 @@ def _known() -> dict[str, str]:
 
 
 LICENSES = _known()
+#: (SPDX id, kind, text); kind: text, titled, notice, tag, or terms, a text without its appendix.
+KNOWN = [(name.partition(" (")[0], name.partition(" (")[2].rstrip(")") or "text", text) for name, text in LICENSES.items()]

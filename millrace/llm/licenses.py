@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.license_texts import LICENSES
+from millrace.llm.license_texts import KNOWN, LICENSES  # noqa: F401
 from millrace.llm.scratch import named
 
 #: (pattern, replacement), applied in this order to the lower-case text; the patterns mean the same in Java and RE2.
@@ -88,28 +88,31 @@ def canonical(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession, licenses: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license_id) of the given texts by id, or of the built-in ones; one row per digest."""
-    rows = list((LICENSES if licenses is None else licenses).items())
-    table = spark.createDataFrame(rows, "license_id string, text string")
-    digests = table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id")
-    return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    """(digest, license_id, kind) of the given texts by id, or of the built-in ones; one row per digest."""
+    rows = KNOWN if licenses is None else [(name, "text", text) for name, text in licenses.items()]
+    table = spark.createDataFrame(rows, "license_id string, kind string, text string")
+    digests = table.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), F.struct("license_id", "kind").alias("x"))
+    return digests.groupBy("digest").agg(F.min("x").alias("x")).select("digest", "x.license_id", "x.kind")
 
 
 def license_scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licenses: dict[str, str] | None = None
 ) -> DataFrame:
-    """(id, text) -> (doc_id, digest, license_id), one row per input row.
+    """(id, text) -> (doc_id, digest, license_id, kind), one row per input row.
 
     digest is the SHA-256 of the canonical text (null for a null text); license_id
-    is that of the known licence with the same digest, else null.  Texts without a
+    is the SPDX id of the known licence with the same digest, else null, and kind what the text is of
+    it: its text, that with its title (titled), without its appendix (terms), a
+    one-line notice or an SPDX tag.  Texts without a
     letter or digit share the digest of the empty text, which no licence has.
     Of known licences with one digest, the smallest id is given.  Repeated rows come
     back repeated; extra columns are ignored; an empty table gives an empty result.
+    A very long text is taken whole, in time in proportion to its length.
     One narrow pass: the known digests, a fixed list, are broadcast if few, else
     joined by shuffle.
     """
     known = known_licenses(docs.sparkSession, licenses)
-    if len(LICENSES if licenses is None else licenses) <= BROADCAST_ROWS:
+    if len(KNOWN if licenses is None else licenses) <= BROADCAST_ROWS:
         known = F.broadcast(known)
     rows = docs.select(named(id_col).alias("doc_id"), F.sha2(canonical(named(text_col)), 256).alias("digest"))
-    return rows.join(known, "digest", "left").select("doc_id", "digest", "license_id")
+    return rows.join(known, "digest", "left").select("doc_id", "digest", "license_id", "kind")

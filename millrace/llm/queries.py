@@ -157,12 +157,12 @@ def _license_sql() -> str:
         return f"sha256(trim({out}, ' '))"
 
     known = ", ".join(
-        "({}, {})".format(*("'" + x.replace("'", "''") + "'" for x in row)) for row in licenses.LICENSES.items()
+        "({}, {}, {})".format(*("'" + x.replace("'", "''") + "'" for x in row)) for row in licenses.KNOWN
     )
     return f"""
-WITH known AS (SELECT {canon("body")} AS digest, min(license_id) AS license_id
-               FROM (VALUES {known}) AS t(license_id, body) GROUP BY 1)
-SELECT d.doc_id, d.digest, k.license_id
+WITH known AS (SELECT {canon("body")} AS digest, min(license_id) AS license_id, arg_min(kind, (license_id, kind)) AS kind
+               FROM (VALUES {known}) AS t(license_id, kind, body) GROUP BY 1)
+SELECT d.doc_id, d.digest, k.license_id, k.kind
 FROM (SELECT doc_id, {canon("text")} AS digest FROM documents) d LEFT JOIN known k ON k.digest = d.digest"""
 
 

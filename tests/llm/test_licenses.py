@@ -13,8 +13,10 @@ def test_variants_of_a_text_are_found(spark):
     rows = [(1, text), (2, changed), (3, text + " and more"), (4, None), (5, ""), (1, text), (6, "x" * 200_000)]
     rows += [(7, "Licensed under CC BY-NC 4.0."), (8, "licensed under cc by-nc 4.0"), (9, "!!!")]
     docs = spark.createDataFrame([(*r, "d", "l") for r in rows], "doc_id long, text string, digest string, license_id string")
-    found = [(r.doc_id, r.license_id) for r in licenses.license_scan(docs).collect()]
-    notice = "CC-BY-NC-4.0 (notice)"
+    rows = licenses.license_scan(docs).collect()
+    found = [(r.doc_id, r.license_id) for r in rows]
+    notice = "CC-BY-NC-4.0"
+    assert {(r.license_id, r.kind) for r in rows} == {("MIT", "text"), (notice, "notice"), (None, None)}
     assert sorted(found, key=str) == sorted(
         [(1, "MIT"), (1, "MIT"), (2, "MIT"), (3, None), (4, None), (5, None), (6, None), (7, notice), (8, notice), (9, None)], key=str
     )
@@ -63,6 +65,20 @@ def test_matches_its_sql(spark):
     same(spark, op10_license_scan, oracle_sql()["op10_license_scan"], ["documents"])
 
 
+def test_query_on_licenses_of_every_kind(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, text.replace("\n", "\r\n"), name) for i, (name, _, text) in enumerate(licenses.KNOWN)]
+    kinds = {i: (name, kind) for i, (name, kind, _) in enumerate(licenses.KNOWN)}
+    spark.createDataFrame([*rows, (900, "no licence", "x"), (901, None, "x")], "doc_id long, text string, license_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = op10_license_scan(spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.license_id, r.kind) for r in found} == kinds | {900: (None, None), 901: (None, None)}
+    assert {"text", "titled", "terms", "notice", "tag"} == {kind for _, kind in kinds.values()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        assert sorted(map(tuple, found)) == sorted(db.execute(oracle_sql()["op10_license_scan"]).fetchall())
+
+
 def test_empty(nothing):
     assert licenses.license_scan(nothing).count() == 0
 

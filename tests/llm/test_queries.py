@@ -183,7 +183,7 @@ def test_op9(spark, folder, vectors):
 
 def test_op10(spark, folder, docs):
     names, found = run(spark, folder, "op10_")
-    assert names == ["doc_id", "digest", "license_id"] and len(found) == len(docs)
+    assert names == ["doc_id", "digest", "license_id", "kind"] and len(found) == len(docs)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
