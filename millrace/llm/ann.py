@@ -8,9 +8,10 @@ sums its entries.  In each block of candidates the best are ranked again by exac
 products of the original vectors, and then all others whose rough score could
 reach the k-th of these, by the length of their residual.
 
-Vectors lie in coarse cells.  A query visits the cells whose centres score best:
-as many as hold nearly all true neighbours of the sample's own queries, so where
-vectors don't cluster it visits them all.  A candidate goes to its block of its
+Vectors lie in coarse cells.  A query visits the cells whose centres score within a
+reach of its best one.  The reach is fitted so that nearly every query of the sample finds
+nearly all of its own neighbours: a query in a cluster then visits few cells and
+one between them many, in the same table.  A candidate goes to its block of its
 cell and stays; queries go to the blocks that they visit.
 """
 
@@ -36,10 +37,12 @@ SUBSPACE, CODEWORDS = 2, 16
 SCORE_THRESHOLD = 0.2
 #: Candidates of a block, from and to (a 64th of all, between), and those ranked again first in each block.
 CANDIDATES, RERANKED = (16_384, 65_536), 256
-#: Cells, at most, and queries that visit one copy of a block: beyond, its candidates are copied.
-CELLS, QUERIES = 256, 65_536
-#: The share of the sample's neighbours that the visited cells hold.
-PROBED = 0.98
+#: Bytes of the vectors of a block in memory, at most, whatever their length.
+BLOCK_BYTES = 64 << 20
+#: Vectors of the sample for each cell, at least, and queries that visit one copy of a block: beyond, its candidates are copied.
+OF_CELL, QUERIES = 32, 65_536
+#: The share of its neighbours that the visited cells hold, and of the sample's queries for which they do.
+FOUND, PROBED = 0.98, 0.99
 
 
 @dataclass
@@ -162,18 +165,30 @@ def home(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (x @ (centres / np.maximum(length, 1e-300)[:, None]).T).argmax(axis=1)
 
 
-def visits(x: np.ndarray, centres: np.ndarray, k: int, most: int = 512) -> int:
-    """How many cells a query visits: the fewest that hold PROBED of the k nearest, by rows of the sample as queries."""
-    near, asking = home(x, centres), x[:: max(1, len(x) // most)]
-    scores = asking @ x.T
-    scores[np.arange(len(asking)), np.arange(0, len(x), max(1, len(x) // most))] = -np.inf
+def reach(x: np.ndarray, centres: np.ndarray, k: int, most: int = 1024) -> float:
+    """How far below its best centre's score, in its own lengths, a query visits cells, by rows of the sample as queries.
+
+    It is the least with which PROBED of them visit the cells of FOUND of their k nearest.
+    """
+    near, at = home(x, centres), np.arange(0, len(x), -(-len(x) // most))
     k = min(k, len(x) - 1)
     if k < 1:
-        return len(centres)
+        return np.inf
+    scores = x[at] @ x.T
+    scores[np.arange(len(at)), at] = -np.inf
     top = near[np.argpartition(-scores, k - 1, axis=1)[:, :k]]
-    order = np.argsort(np.argsort(-(asking @ centres.T), axis=1), axis=1)  # the rank of each cell for each query
-    ranks = np.sort(np.take_along_axis(order, top, axis=1).ravel())
-    return int(ranks[min(len(ranks) - 1, int(np.ceil(PROBED * len(ranks))))]) + 1
+    of_cells = x[at] @ centres.T
+    below = of_cells.max(axis=1, keepdims=True) - np.take_along_axis(of_cells, top, axis=1)
+    below /= np.maximum(np.sqrt((x[at] * x[at]).sum(axis=1, keepdims=True)), 1e-300)
+    needed = np.sort(below, axis=1)[:, int(np.ceil(FOUND * k)) - 1]
+    return float(np.sort(needed)[int(np.ceil(PROBED * len(needed))) - 1])
+
+
+def visited(x: np.ndarray, centres: np.ndarray, far: float) -> np.ndarray:
+    """Whether each row, as a query, visits each cell."""
+    scores = x @ centres.T
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return scores >= scores.max(axis=1, keepdims=True) - far * length * (1 + 1e-9) - 1e-12 * length
 
 
 class _Block:
@@ -230,7 +245,7 @@ def nearest(
     Other columns are ignored, whatever their names; an empty table gives none.
 
     Every row is indexed; what is fitted on at most SAMPLE rows is the codebook,
-    the cells' centres and how many cells a query visits.  A block is held by one
+    the cells' centres (one for OF_CELL rows of the sample, at most) and a query's reach.  A block is held by one
     task, and the queries that visit it are read one batch after another; it gives
     one row a query, of its k nearest, and a query's rows are merged one by one.
     """
@@ -246,25 +261,24 @@ def nearest(
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.where(F.size("vec") == sample.shape[1])
     n = rows.count()
-    most = min(max(n // 64, CANDIDATES[0]), CANDIDATES[1])
-    centres = cells(sample, max(1, min(CELLS, n // most, len(sample) // 32)))
-    shared = spark.sparkContext.broadcast((fit(sample), centres, visits(sample, centres, k)))
+    most = min(max(n // 64, CANDIDATES[0]), CANDIDATES[1], max(256, BLOCK_BYTES // (12 * sample.shape[1])))
+    centres = cells(sample, max(1, min(n // most, len(sample) // OF_CELL)))
+    shared = spark.sparkContext.broadcast((fit(sample), centres, reach(sample, centres, k)))
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book, centres, probes = shared.value
+        book, centres, far = shared.value
         names = ["vec_id", "vec", "asks", "codes", "error", "cell", "probes"]
         for batch in batches:
             x = matrix(batch.column(1))
             codes = book.encode(x)
-            best = np.argpartition(-(x @ centres.T), probes - 1, axis=1)[:, :probes] if probes < len(centres) else None
-            best = np.tile(np.arange(len(centres)), (len(x), 1)) if best is None else best
             asks = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            ends = np.concatenate([[0], np.cumsum(asks * probes)]).astype(np.int32)
+            probes = visited(x, centres, far) & asks[:, None]
+            ends = np.concatenate([[0], np.cumsum(probes.sum(axis=1))]).astype(np.int32)
             own = [
                 pa.array([c.tobytes() for c in _packed(codes)], pa.binary()),
                 pa.array(book.errors(x, codes)),
                 pa.array(home(x, centres).astype(np.int32)),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(best[asks].ravel().astype(np.int32))),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(probes)[1].astype(np.int32))),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=names)
 
@@ -273,7 +287,7 @@ def nearest(
     indexed = materialize(rows.mapInArrow(tidied(index), schema), "index")
 
     def parts(counts: DataFrame, size: int) -> Column:
-        """By cell, how many parts of about ``size`` rows: one row a cell, of CELLS at most."""
+        """By cell, how many parts of about ``size`` rows: one row a cell."""
         found = {r["cell"]: r["count"] for r in counts.groupBy("cell").count().collect()}
         return F.array(*[F.lit(-(-found.get(c, 0) // size)) for c in range(len(centres))])[F.col("cell")]
 

@@ -99,9 +99,64 @@ def test_few_cells_are_visited_where_vectors_cluster():
     rng = np.random.default_rng(15)
     x = 0.15 * rng.normal(size=(4000, 24)) + rng.normal(size=(30, 24))[rng.integers(0, 30, 4000)]
     centres = ann.cells(x, 30)
-    assert ann.visits(x, centres, 20) < len(centres) / 3
+    assert ann.visited(x, centres, ann.reach(x, centres, 20)).sum(axis=1).mean() < len(centres) / 3
     x = rng.normal(size=(4000, 24))
-    assert ann.visits(x, ann.cells(x, 30), 20) > 10
+    centres = ann.cells(x, 30)
+    assert ann.visited(x, centres, ann.reach(x, centres, 20)).sum(axis=1).mean() > 10
+
+
+def vectors_of(kind, n, rng, size=32):
+    x = rng.normal(size=(n, size))
+    if kind == "clustered":
+        x = 0.25 * x + rng.normal(size=(3000, size))[rng.integers(0, 3000, n)]
+    if kind == "mixed":  # nine tenths in eight clusters, the rest anywhere
+        own = rng.random(n) < 0.9
+        x[own] = 0.3 * x[own] + rng.normal(size=(8, size))[rng.integers(0, 8, own.sum())]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x * rng.lognormal(0, 0.5, (n, 1)) if kind == "lengths" else x
+
+
+@pytest.mark.parametrize("kind", ["random", "clustered", "mixed", "lengths"])
+def test_visited_cells_hold_the_neighbours_with_production_parameters(kind):
+    """Blocks are searched exactly up to a bound, so recall is what the visited cells hold; here with 12 cells."""
+    rng = np.random.default_rng(21)
+    n = 12 * ann.CANDIDATES[0]
+    x = vectors_of(kind, n, rng)
+    sample = x[rng.choice(n, ann.SAMPLE, replace=False)]
+    centres = ann.cells(sample, n // ann.CANDIDATES[0])
+    assert len(centres) >= 10
+    asked = rng.choice(n, 500, replace=False)
+    there = ann.visited(x[asked], centres, ann.reach(sample, centres, 20))
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    best = np.argpartition(-scores, 19, axis=1)[:, :20]
+    recall = np.take_along_axis(there, ann.home(x, centres)[best], axis=1).mean(axis=1)
+    print(kind, recall.mean(), (recall < 0.9).mean(), there.sum(axis=1).mean())
+    assert recall.mean() >= 0.95 and (recall < 0.9).mean() <= 0.02
+
+
+def test_recall_with_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CANDIDATES", (500, 500))
+    rng = np.random.default_rng(22)
+    x = vectors_of("mixed", 8000, rng, 24).astype(np.float32)
+    got = {}
+    for r in run(spark, list(enumerate(x.tolist()))):
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x = x.astype(np.float64)
+    scores = x[::20] @ x.T
+    scores[np.arange(len(scores)), np.arange(0, len(x), 20)] = -np.inf
+    best = np.argpartition(-scores, 19, axis=1)[:, :20].tolist()
+    recall = np.array([len(got[20 * i] & set(row)) / 20 for i, row in enumerate(best)])
+    assert recall.mean() >= 0.95 and (recall < 0.9).mean() <= 0.03
+
+
+def test_long_vectors_make_smaller_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_BYTES", 1)
+    rows = data()
+    found = {}
+    for r in run(spark, rows):
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(found) == set(slow(rows, 20))
 
 
 def test_hot_cluster_of_near_copies_with_production_parameters(spark):
