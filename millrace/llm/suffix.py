@@ -14,8 +14,9 @@ whose anchors occur once are unique.  The rest go, with the text around their
 anchor, to the shard of the anchor's hash, so that equal strings meet.  Of an
 anchor that occurs very often, only strings whose own hash repeats are sent.
 
-A shard's records are recoded into symbols of 12 bytes that keep their order, on
-a grid through the anchor, and the suffix array of all of them is built, with
+A shard's records are taken in parts by their anchors, whose number bounds the memory
+of an array.  They are recoded into symbols of 12 bytes that keep their order, on
+a grid through the anchor, and the suffix array of a part is built, with
 the lengths of common prefixes in bytes.  A string is a short head and a suffix
 at a place of the grid: strings are equal if their suffixes lie in one run of
 the array, with common prefixes long enough, and the bytes of their heads are
@@ -41,6 +42,8 @@ GRAM = 32
 SYMBOL = 12
 #: Shards for each range of keys, taken one after another: a shard's suffix array is in memory.
 SHARDS = 4
+#: Symbols of a suffix array, about, unless one anchor's records alone have more: a shard's anchors are taken in parts.
+PART_SYMBOLS = 1 << 19
 #: An anchor that occurs more often than this sends only those of its strings that repeat by their own hash.
 HOT = 4096
 _LATER = (1 << 63) - 1
@@ -219,26 +222,47 @@ class _Block:
 
 
 def _shard(rows: list[dict], length: int) -> list[bytes]:
-    """For each row's records, which of their strings start earlier elsewhere: 96 bits a record."""
+    """For each row's records, which of their strings start earlier elsewhere: 96 bits a record.
+
+    Equal strings have equal anchors, so the records are taken in parts by the hash of their anchor; only
+    their bytes are in memory together.
+    """
     columns = [B.unpack(r["payload"]) for r in rows]
     sizes = [t.num_rows for t in columns]
-    strings = [s for t in columns for s in t.column("string").to_pylist()]
+    strings = pa.concat_arrays([t.column("string").combine_chunks().cast(pa.large_binary()) for t in columns])
     lead, count = (np.concatenate([t.column(c).to_numpy() for t in columns]).astype(np.int64) for c in ("lead", "count"))
     doc, pos = (np.concatenate([t.column(c).to_numpy() for t in columns]) for c in ("doc", "pos"))
+    del columns
     block = np.repeat([r["block"] for r in rows], sizes)
     early = np.lexsort((pos, block, doc))
-    # records with the same bytes: the earliest stands for them
-    kept: dict[tuple[bytes, int], int] = {}
-    alone = [i for i, d in zip(early.tolist(), lead[early].tolist(), strict=True) if kept.setdefault((strings[i], d), i) == i]
     gone = np.ones((len(strings), 96), dtype=bool)  # by record, and by place of the string in it
-    gone[alone] = False
-    _mark([strings[i] for i in alone], lead[alone], count[alone], alone, gone, length)
+    for part in _parts(strings, lead, early):
+        # records with the same bytes: the earliest stands for them
+        kept: dict[tuple[bytes, int], int] = {}
+        for i, string, d in zip(part.tolist(), strings.take(pa.array(part)).to_pylist(), lead[part].tolist(), strict=True):
+            kept.setdefault((string, d), i)
+        alone = list(kept.values())
+        gone[alone] = False
+        _mark([string for string, _ in kept], lead[alone], count[alone], alone, gone, length)
     gone &= np.arange(96) < count[:, None]
     out = np.packbits(gone, axis=1)
     ends = np.cumsum(sizes).tolist()
     return [out[i:j].tobytes() for i, j in zip([0, *ends], ends, strict=False)]
 
 
+def _parts(strings: pa.Array, lead: np.ndarray, order: np.ndarray) -> Iterator[np.ndarray]:
+    """The records in parts of about PART_SYMBOLS, those of one anchor together, each in the given order."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[: len(strings) + 1]
+    anchors = _gram(_eight(np.frombuffer(strings.buffers()[2], np.uint8)), offsets[:-1] + lead)
+    many = -(-int((np.diff(offsets) // SYMBOL + 2).sum()) // PART_SYMBOLS)
+    part = ((B.spread(anchors[order]) >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[by], np.arange(many + 1)).tolist()
+    for i, j in zip(cuts, cuts[1:], strict=False):
+        if i < j:
+            yield order[by[i:j]]
+
+
 def _common(eight: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """How many of the bytes from places a and b on are equal, ``most`` at most."""
     out, left = np.zeros(len(a), dtype=np.int64), np.arange(len(a))
@@ -319,7 +343,8 @@ def suffix_dedup(
     [start, stop); kept is the bytes that remain, which need not be whole
     characters.  A null id comes after all others; among rows that share an id, the
     order is that of the blocks they are read in, so one of repeated rows stays
-    whole.  An empty table gives an empty result.  Columns named in ``carry`` come back
+    whole.  An empty table gives an empty result.  A very long text is a block by
+    itself, in memory about 40 times in each pass.  Columns named in ``carry`` come back
     as c0, c1..., whatever their names; others are ignored.
     """
     if not GRAM < length < GRAM + 96:

@@ -54,6 +54,33 @@ def test_small_blocks(unique, unique_rows, monkeypatch):
     check(unique, [r[:2] for r in unique_rows], 100)
 
 
+def test_small_parts(unique, unique_rows, monkeypatch):
+    monkeypatch.setattr(suffix, "PART_SYMBOLS", 20)
+    check(unique, [r[:2] for r in unique_rows], 100)
+
+
+def test_memory_of_a_shard_that_repeats_wholly(monkeypatch):
+    """40,000 records of 150 bytes in ten copies of each: parts of about 25,000 symbols, one after another."""
+    import tracemalloc
+
+    monkeypatch.setattr(suffix, "PART_SYMBOLS", 25_000)
+    rng = random.Random(15)
+    strings = [rng.randbytes(150) for _ in range(40_000)]
+    rows = []
+    for block in range(10):
+        whole = {"string": strings, "lead": [60] * len(strings), "count": [51] * len(strings), "doc": [block] * len(strings), "pos": range(len(strings))}
+        table = suffix.pa.table({k: suffix.pa.array(v, t) for (k, v), t in zip(whole.items(), (suffix.pa.binary(), *["uint8"] * 2, *["int64"] * 2), strict=True)})
+        rows.append({"block": block, "payload": suffix.B.pack(table)})
+    tracemalloc.start()
+    masks = suffix._shard(rows, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not any(masks[0]) and len(masks[0]) == 12 * len(strings)
+    full = suffix.np.packbits(suffix.np.arange(96) < 51).tobytes()
+    assert all(m == full * len(strings) for m in masks[1:])
+    assert peak < 160e6  # 96 bytes a record, and a part; all in one array would take over 700 MB
+
+
 def test_random_overlaps(spark):
     rng = random.Random(9)
     pool = ["".join(rng.choice("ab ") for _ in range(300)) for _ in range(6)]
