@@ -7,7 +7,8 @@ two unit vectors with a cosine of t or more are no further apart than
 sqrt(2 - 2t), so a member of another cell can only be that near if the vector
 lies within this distance of the plane between the two centroids.  Where more
 cells are needed than a sample of bounded size has centroids for, cells are cut
-again by the residuals, in the same way, as often as it takes.
+again by the residuals, in the same way, as often as that saves more comparisons than
+it costs in copies.
 
 A cell's residents are cut into blocks that stay; all who probe the cell pass by
 each block once.  Products are in double precision.  A block gives the number of
@@ -35,6 +36,10 @@ SAMPLE = 20_000
 CELL, CELLS = 4096, 256
 #: Residents of a block, as aimed for, and vectors that probe one copy of it: beyond, its residents are copied.
 BLOCK, PROBES = 8192, 65_536
+#: Seconds that sending a copy of a vector takes, about, and comparing it by one component: what a level of cells must save.
+SENT, COMPARED = 5e-6, 2.5e-10
+#: Numbers that the places of a slice of vectors hold, about.
+PLACED = 1 << 22
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 11) -> np.ndarray:
@@ -97,13 +102,32 @@ def places(x: np.ndarray, cut: list[np.ndarray], reach: float) -> tuple[np.ndarr
         beyond = apart - apart[np.arange(len(own)), own][:, None]
         visit = (beyond <= 2 * reach * between[own] + 1e-9) & (np.arange(len(centres)) < own[:, None])
         from_, there = np.nonzero(visit)
-        x = np.concatenate([x - centres[own], x[from_] - centres[there]])
+        if level + 1 < len(cut):
+            x = np.concatenate([x - centres[own], x[from_] - centres[there]])
         row = np.concatenate([row, row[from_]])
         cell = np.concatenate([cell * len(centres) + own, cell[from_] * len(centres) + there])
         guest = np.concatenate([guest, guest[from_] | 1 << level])
     return row, cell, guest
 
 
+def worthwhile(x: np.ndarray, cut: list[np.ndarray], rows: int, reach: float) -> tuple[list[np.ndarray], float]:
+    """The levels of ``cut`` down to which cells save more comparisons than their copies cost, and copies of a vector then.
+
+    Estimated for ``rows`` vectors like those of the sample x.  Where vectors don't
+    cluster, a further level soon sends every vector nearly everywhere.
+    """
+    some = x[:: max(1, len(x) // 256)]
+    best, copies, cost, cells = 0, 1.0, rows * x.shape[1] * COMPARED if len(x) else 0.0, 1
+    for level in range(1, len(cut) + 1):
+        cells *= len(cut[level - 1])
+        found = sum(len(places(some[i : i + 16], cut[:level], reach)[0]) for i in range(0, len(some), 16)) / len(some)
+        now = found * (SENT + rows / cells * x.shape[1] * COMPARED)
+        if now >= cost:
+            break
+        best, copies, cost = level, found, now
+    return cut[:best], copies
+
+
 class _Block:
     """A block's residents, what they are linked to so far, and which of them are connected."""
 
@@ -192,11 +216,13 @@ def embedding_links(
     largest = group.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     sample = bounded_sample(group, SAMPLE)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    shared = spark.sparkContext.broadcast(levels(unit(sample), -(-largest // CELL)) if len(sample) else [])
-    size, last = sample.shape[1], 1 << max(0, len(shared.value) - 1)
+    cut, copies = worthwhile(unit(sample), levels(unit(sample), -(-largest // CELL)), largest, reach) if len(sample) else ([], 1.0)
+    shared = spark.sparkContext.broadcast(cut)
+    size, last = sample.shape[1], 1 << max(0, len(cut) - 1)
+    step = max(16, min(1024, int(PLACED // (copies * max(1, size)))))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(i, 1024) for b in batches for i in range(0, b.num_rows, 1024)):
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             lists = batch.column(2)
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
             odd, usual = np.flatnonzero(lengths != size), np.flatnonzero(lengths == size)

@@ -68,6 +68,7 @@ def test_many_cells_and_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(embdedup, "CELLS", 5)  # several levels
     monkeypatch.setattr(embdedup, "BLOCK", 20)
     monkeypatch.setattr(embdedup, "PROBES", 30)
+    monkeypatch.setattr(embdedup, "worthwhile", lambda x, cut, *_: (cut, 300.0))
     check(spark, data(seed=3))
     check(spark, data(seed=4), threshold=0.7)
 
@@ -93,3 +94,17 @@ def test_two_rows_within_reach_meet_once():
     for i, j in near.tolist():
         met = [c for c in where[i] if c in where[j] and not where[i][c] & where[j][c]]
         assert i == j or len(met) == 1
+
+
+def test_levels_end_where_copies_cost_more_than_they_save():
+    rng = np.random.default_rng(6)
+    reach = float(np.sqrt(2 - 2 * 0.93))
+    plain = embdedup.unit(rng.normal(size=(10_000, 64)))
+    cut, copies = embdedup.worthwhile(plain, embdedup.levels(plain, 1 << 16), 1 << 20, reach)
+    assert len(cut) == 1 and copies < 256
+    # not even one level for few rows
+    assert embdedup.worthwhile(plain, embdedup.levels(plain, 8), 2000, reach) == ([], 1.0)
+    grouped = embdedup.unit(rng.normal(size=(200, 64))[rng.integers(0, 200, 10_000)] + 0.02 * rng.normal(size=(10_000, 64)))
+    cut, copies = embdedup.worthwhile(grouped, embdedup.levels(grouped, 200), 1 << 20, reach)
+    assert len(cut) == 1 and copies < 3
+    assert embdedup.worthwhile(plain, [], 100, reach) == ([], 1.0)
