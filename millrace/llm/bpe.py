@@ -152,7 +152,8 @@ def encode(
     ids are the ranks of the tokens in the file ``vocabulary``; each match of
     ``pattern`` is encoded by itself, and no string is a special token.  Null and
     empty texts have no ids.  Repeated rows come back repeated; extra columns are
-    ignored; an empty table gives an empty result.  ``then`` is applied to each batch where it is made, and gives one of
+    ignored; an empty table gives an empty result.  A very long text is a block by itself,
+    held whole by one task.  ``then`` is applied to each batch where it is made, and gives one of
     ``schema``: what is derived from the ids then needs no second worker.
     """
     spark = session(docs)

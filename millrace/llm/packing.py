@@ -112,7 +112,7 @@ def pieces(
     many, the first of which may be shorter.  ids are little-endian unsigned 32-bit
     numbers.  A null text counts as empty and gives a piece of ``end`` alone; repeated
     rows are documents of their own; other columns are ignored; an empty table gives
-    none.
+    none.  A very long text is encoded whole by one task.
     Within the task ``part``, the piece is the ``nth`` of its length.
     """
     session(docs)

@@ -91,7 +91,8 @@ def simhash_components(
     row's own included.  Null and empty texts have fingerprint zero and link like
     any other; a null id takes part in linking but never names a component, so a
     component of null ids alone has a null component_id.  Repeated rows come back
-    repeated; an empty table gives an empty result; extra columns are ignored.
+    repeated; an empty table gives an empty result; extra columns are ignored.  A very
+    long text is hashed whole by one task.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
     groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))

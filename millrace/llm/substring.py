@@ -121,7 +121,8 @@ def substring_dedup(
     joined by one space, or with keep_layout the text as it was if nothing is
     removed.  Null texts have no words and give an empty text.  Repeated rows are
     documents of their own, so each is a copy of the other; documents shorter than
-    the window lose nothing; an empty table gives an empty result.  Columns named in
+    the window lose nothing; an empty table gives an empty result.  A very long text is
+    a block by itself, held whole by one task in each pass.  Columns named in
     ``carry`` come back as c0, c1..., whatever their names; others are ignored.
     """
     session(docs)
