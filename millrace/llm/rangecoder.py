@@ -273,27 +273,33 @@ def _lanes(size: int) -> int:
 
 def decode(data: bytes) -> np.ndarray:
     """The ids that ``encode`` was given; ValueError if a block's checksum fails."""
+    return decode_range(data, 0, 1 << 62)
+
+
+def decode_range(data: bytes, start: int, stop: int) -> np.ndarray:
+    """The ids from ``start`` to ``stop``, as far as there are any, from the blocks that hold them alone."""
     if data[:4] != MAGIC:
         raise ValueError("not a token block")
     lanes, block, size, n_ids, listed = struct.unpack_from("<IIIQI", data, 4)
-    at = 28
-    if not lanes:
+    start, stop = max(0, start), min(stop, n_ids)
+    if start >= stop:
         return np.zeros(0, dtype=np.uint32)
+    at = 28
     known = np.cumsum(np.frombuffer(zlib.decompress(data[at : at + listed]), "<u4"), dtype=np.uint32)
     at += listed
     index = np.frombuffer(data, "<u4", 2 * lanes, at).reshape(lanes, 2)
-    at += 8 * lanes
-    out, width = [], _lanes(size)
-    for i in range(0, lanes, width):
-        count = index[i : i + width, 1].astype(np.int64)
-        words = np.frombuffer(data, "<u2", int(count.sum()), at)
-        at += 2 * len(words)
-        left = n_ids - i * block
-        n = min(block, left)
-        table = _decode_lanes(words, count, n, size)
-        out.append(np.ascontiguousarray(table.T).ravel()[:left])
+    begins = np.concatenate([[0], np.cumsum(index[:, 1], dtype=np.int64)])
+    words = np.frombuffer(data, "<u2", int(begins[-1]), at + 8 * lanes)
+    out, width, first, last = [], _lanes(size), start // block, -(-stop // block)
+    i = first
+    while i < last:
+        j = min(last, i - i % width + width)  # of those that were coded in lockstep
+        n = min(block, n_ids - (i - i % width) * block)
+        table = _decode_lanes(words[begins[i] : begins[j]], np.diff(begins[i : j + 1]), n, size)
+        out.append(np.ascontiguousarray(table.T).ravel()[: n_ids - i * block])
+        i = j
     ids = known[np.concatenate(out)].astype("<u4")
-    for i, expected in enumerate(index[:, 0].tolist()):
-        if zlib.crc32(ids[block * i : block * (i + 1)]) != expected:
+    for i in range(first, last):
+        if zlib.crc32(ids[block * (i - first) : block * (i - first + 1)]) != index[i, 0]:
             raise ValueError(f"block {i} is damaged")
-    return ids
+    return ids[start - first * block : stop - first * block]

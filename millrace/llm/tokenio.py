@@ -125,3 +125,21 @@ def with_starts(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of every document of a token file; start counts the ids of all documents before it."""
     return with_starts(spark, path, read_chunks(spark, path))
+
+
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """(start, ids) of the ids of a token file from ``start`` to ``stop``, as counted over the whole file, a row for each chunk.
+
+    Only the blocks that hold them are decoded, and only they are checked.  Past the file's end there is nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = rangecoder.decode_range(row["blocks"], start - row["before"], stop - row["before"])
+                columns = [pa.array([max(start, row["before"])]), pa.array([ids.astype("<u4").tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["start", "ids"])
+
+    chunks = spark.read.parquet(path).select("shard", "chunk", "n_ids", "blocks").join(chunk_starts(spark, path), ["shard", "chunk"])
+    held = (F.col("before") < stop) & (F.col("before") + F.col("n_ids") > start)
+    return chunks.where(held).select("before", "blocks").mapInArrow(tidied(run), "start long, ids binary")

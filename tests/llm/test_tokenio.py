@@ -123,3 +123,30 @@ def test_empty(spark, nothing):
     path = new_path(spark, "tokens")
     tokenio.write_token_file(nothing, path, TOKENIZER)
     assert tokenio.read_token_file(spark, path).count() == 0
+
+
+def test_any_range_is_decoded_from_its_own_blocks(monkeypatch):
+    rng = np.random.default_rng(8)
+    ids = np.minimum(rng.zipf(1.3, 5000), 3000).astype(np.uint32)
+    monkeypatch.setattr(rangecoder, "LANES", 3)
+    coded = rangecoder.encode(ids, 300)
+    for start, stop in [(0, 5000), (0, 1), (4999, 9000), (299, 301), (900, 1800), (1234, 2345), (7, 7), (6000, 7000), (-5, 3)]:
+        assert (rangecoder.decode_range(coded, start, stop) == ids[max(0, start) : max(0, stop)]).all()
+    damaged = bytearray(coded)
+    damaged[-60] ^= 255  # of the last block
+    assert (rangecoder.decode_range(bytes(damaged), 0, 4500) == ids[:4500]).all()
+    with pytest.raises(ValueError, match="block 16 is damaged"):
+        rangecoder.decode_range(bytes(damaged), 4900, 4950)
+
+
+def test_ranges_of_a_file(spark, unique, monkeypatch):
+    monkeypatch.setattr(tokenio, "CHUNK", 4000)
+    path = new_path(spark, "tokens")
+    tokenio.write_token_file(unique, path, TOKENIZER)
+    whole = sorted((r.start, bytes(r.ids)) for r in tokenio.read_token_file(spark, path).collect())
+    raw = b"".join(ids for _, ids in whole)
+    n = len(raw) // 4
+    for start, stop in [(0, n), (0, 5), (n - 3, n + 9), (n // 3, n // 2), (n, n + 1)]:
+        found = sorted((r.start, bytes(r.ids)) for r in tokenio.read_range(spark, path, start, stop).collect())
+        assert b"".join(ids for _, ids in found) == raw[4 * start : 4 * stop]
+        assert [s for s, _ in found] == [start + sum(len(x) // 4 for _, x in found[:i]) for i in range(len(found))]
