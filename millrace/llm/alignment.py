@@ -83,6 +83,22 @@ class _Pair:
         other = lambda texts: self.b.encode(texts, num_threads=1)
         return _in_runs(pieces, one, self.begins[0]), _in_runs(pieces, other, self.begins[1])
 
+    def fitting(self, pieces: list[str], a: list[list[int]], b: list[list[int]]) -> list[int]:
+        """The places of the pieces whose tokens of either side give back their bytes."""
+        raw = [f" {p}".encode() for p in pieces]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        whole, fits = b"".join(raw), True
+        for ids, table, lengths in ((a, self.a_bytes, self.lengths[0]), (b, self.b_bytes, self.lengths[1])):
+            n = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+            upto = np.concatenate([[0], np.cumsum(lengths[flat])])[np.cumsum(n)]
+            # all at once: the same bytes in all, cut at the same places
+            fits = fits and np.array_equal(upto, np.cumsum(sizes)) and b"".join(map(table.__getitem__, flat.tolist())) == whole
+        if fits:
+            return list(range(len(pieces)))
+        given = lambda ids, table: b"".join([table[t] for t in ids])
+        return [i for i, x in enumerate(raw) if given(a[i], self.a_bytes) == x == given(b[i], self.b_bytes)]
+
     def split(self, text: str) -> list[str]:
         """The pieces of a text, each without the space before it."""
         if not self.cuts:
@@ -172,12 +188,8 @@ def _align(pieces: list[str], pair: _Pair, db: duckdb.DuckDBPyConnection) -> tup
     for at in range(0, len(pieces), ENCODED):
         some = pieces[at : at + ENCODED]
         a, b = pair.encode(some)
-        fits, held = [], []
-        for i, piece in enumerate(some):
-            raw = f" {piece}".encode()
-            if b"".join([pair.a_bytes[t] for t in a[i]]) == raw == b"".join([pair.b_bytes[t] for t in b[i]]):
-                fits.append(i)
-                held.append(len(a[i]) + len(b[i]))
+        fits = pair.fitting(some, a, b)
+        held = [len(a[i]) + len(b[i]) for i in fits]
         upto, lo = np.cumsum(held), 0
         while lo < len(fits):
             hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TOKENS, "right")))
