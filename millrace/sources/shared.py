@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,5 +17,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        local = tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        base = f"file://{local}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -62,8 +62,10 @@ class Sessions(StatefulProcessor):
         return [list(row) for row in self.open.get()] if self.open.exists() else []
 
     def _keep(self, sessions: list[list[int]]) -> None:
+        """Keep the open sessions of the key, with a timer at which the first of them may close."""
         if sessions:
             self.open.put([tuple(s) for s in sessions])
+            self.handle.registerTimer((min(last for _, last, *_ in sessions) + self.gap) // 1000 + 1)
         else:
             self.open.clear()
 
@@ -71,19 +73,16 @@ class Sessions(StatefulProcessor):
         spans = self._sessions()
         for frame in rows:
             spans += frame[["first", "last", "n", "total"]].astype("int64").to_numpy().tolist()
-        sessions = merged(spans, self.gap)
-        self._keep(sessions)
-        for _, last, *_ in sessions:
-            self.handle.registerTimer((last + self.gap) // 1000 + 1)
-        yield pd.DataFrame(columns=["key", "first", "last", "n", "total"])
+        self._keep(merged(spans, self.gap))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         sessions = self._sessions()
         closed = [s for s in sessions if s[1] + self.gap < now]
-        if closed:
-            self._keep([s for s in sessions if s[1] + self.gap >= now])
-        yield pd.DataFrame([(*key, *s) for s in closed], columns=["key", "first", "last", "n", "total"])
+        self._keep([s for s in sessions if s[1] + self.gap >= now])
+        if closed:  # else the session that the timer was for has grown meanwhile
+            yield pd.DataFrame([(*key, *s) for s in closed], columns=["key", "first", "last", "n", "total"])
 
     def close(self) -> None:
         pass
