@@ -35,7 +35,7 @@ from millrace.llm import blocks as B
 from millrace.llm.scratch import materialize, named, session, tidied
 
 #: Bytes of text in a block, about, and tokens that DuckDB gets at once, unless a piece alone has more.
-BLOCK_BYTES, TOKENS = 8 << 20, 1 << 17
+BLOCK_BYTES, TOKENS = 5 << 20, 1 << 17
 #: Pieces that are encoded at once, and of them so many as one text.
 ENCODED, RUN = 1 << 14, 256
 #: Bytes of groups in a batch of results, about.
@@ -214,14 +214,21 @@ def _block(table: pa.Table, pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple
     fits[pieces.column("unit").to_numpy()] = True
     docs = [d if fits[d].all() else d[:0] for d in docs]
     times = np.bincount(np.concatenate([np.zeros(0, np.int32), *docs]), minlength=len(of))
+    # pieces are numbered anew, those that occur most first, so that the documents' numbers are small
+    rank = np.empty(len(of), dtype=np.int32)
+    rank[np.argsort(-times, kind="stable")] = np.arange(len(of))
     used = np.flatnonzero(times[unit] > 0)  # not those of documents without tokens alone
-    used = used[np.argsort(unit[used], kind="stable")]
+    used = used[np.argsort(rank[unit[used]], kind="stable")]
     unit = unit[used]
     keys, place = np.unique(a[used].astype(np.int64) << 32 | b[used], return_inverse=True)
     n = np.zeros(len(keys), dtype=np.int64)
     np.add.at(n, place, times[unit])
-    rows = pa.table({"doc_id": table.column("doc_id"), "units": pa.array(docs, pa.list_(pa.int32()))})
-    places = pa.table({"unit": unit, "place": place.astype(np.int32)})
+    rows = pa.table({"doc_id": table.column("doc_id"), "units": pa.array([rank[d] for d in docs], pa.list_(pa.int32()))})
+    known = pieces.column("unit").to_numpy()
+    n_links = np.bincount(unit, minlength=len(of))[known]
+    pieces = pieces.set_column(0, "unit", pa.array(rank[known])).append_column("n_links", pa.array(n_links))
+    pieces = pieces.take(pa.array(np.argsort(rank[known], kind="stable")))
+    places = pa.table({"place": place.astype(np.int32)})  # those of each piece, one behind the other
     return B.pack(rows) + B.pack(pieces) + B.pack(places), pa.table({"a": keys >> 32, "b": keys & 0xFFFFFFFF, "n": n})
 
 
@@ -290,15 +297,14 @@ def align(docs: DataFrame, a: str, b: str, id_col: str = "doc_id", text_col: str
                 reader = pa.BufferReader(batch.column(0)[row].as_buffer())
                 docs, pieces, places = (pa.ipc.open_stream(reader).read_all().combine_chunks() for _ in range(3))
                 counts, best = ((x[row].values.to_numpy(zero_copy_only=False) if x[row].is_valid else np.zeros(0)) for x in batch.columns[1:])
-                unit, place = (c.to_numpy() for c in places.columns)
+                place, known = places.column(0).to_numpy(), pieces.column("unit").to_numpy()
                 if len(place) and place.max() >= len(counts):
                     raise RuntimeError("pairs of a block are missing")
-                known = pieces.column("unit").to_numpy()
-                size = int(max(known.max(initial=-1), unit.max(initial=-1))) + 1
+                unit = np.repeat(known, pieces.column("n_links").to_numpy())
+                size = int(known.max(initial=-1)) + 1
                 sums = np.zeros((6, size), dtype=np.int64)
-                for i, name in enumerate(("n_a", "n_b", "n_groups")):
+                for i, name in enumerate(names[1:5]):
                     sums[i, known] = pieces.column(name).to_numpy()
-                np.add.at(sums[3], unit, 1)
                 np.add.at(sums[4], unit, best[place].astype(np.int64))
                 np.add.at(sums[5], unit, counts[place].astype(np.int64))
                 texts = np.full(size, None)
