@@ -32,7 +32,7 @@ from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
 from millrace.llm import blocks as B
-from millrace.llm.scratch import materialize, named, session, tidied
+from millrace.llm.scratch import give_back, materialize, named, session, tidied
 
 #: Bytes of text in a block, about, and tokens that DuckDB gets at once, unless a piece alone has more.
 BLOCK_BYTES, TOKENS = 5 << 20, 1 << 17
@@ -44,6 +44,10 @@ BATCH_BYTES = 8 << 20
 _CUT = re.compile(r"(?<=[^ ]) (?=\S)")
 #: Where a text isn't cut at a space.
 _UNCUT = re.compile(r" (?=\s|\Z)|\A ")
+#: A piece that begins with white space, in pieces with a space before each.
+_LEADS = re.compile(r" \s")
+#: Ids of pieces, one behind the other, and how many each piece has.
+_Ids = tuple[np.ndarray, np.ndarray]
 
 
 def _byte_level() -> dict[str, int]:
@@ -71,55 +75,63 @@ class _Pair:
         self.b_bytes = [
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
+        self.tables = [pa.array(table, pa.binary()) for table in (self.a_bytes, self.b_bytes)]
         self.lengths = [np.array([len(x) for x in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes)]
         self.begins = [np.array([x.startswith(b" ") for x in table]) for table in (self.a_bytes, self.b_bytes)]
         self.numbers = pa.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))])
         #: Whether tokens of B hold a space at their beginning only, so that pieces can be encoded alone.
         self.cuts = all(b" " not in x.lstrip(b" ") for x in self.b_bytes)
 
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+    def encode(self, pieces: list[str]) -> tuple[_Ids, _Ids]:
         """A's ids of a space and each piece, and B's of the piece, before which it puts a space itself."""
         one = lambda texts: [x.ids for x in self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
         other = lambda texts: self.b.encode(texts, num_threads=1)
         return _in_runs(pieces, one, self.begins[0]), _in_runs(pieces, other, self.begins[1])
 
-    def fitting(self, pieces: list[str], a: list[list[int]], b: list[list[int]]) -> list[int]:
-        """The places of the pieces whose tokens of either side give back their bytes."""
+    def fitting(self, pieces: list[str], sides: tuple[_Ids, _Ids]) -> np.ndarray:
+        """Whether the tokens of either side give back the bytes of a piece, for each."""
         raw = [f" {p}".encode() for p in pieces]
-        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        whole, fits = b"".join(raw), True
-        for ids, table, lengths in ((a, self.a_bytes, self.lengths[0]), (b, self.b_bytes, self.lengths[1])):
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
-            upto = np.concatenate([[0], np.cumsum(lengths[flat])])[np.cumsum(n)]
-            # all at once: the same bytes in all, cut at the same places
-            fits = fits and np.array_equal(upto, np.cumsum(sizes)) and b"".join(map(table.__getitem__, flat.tolist())) == whole
-        if fits:
-            return list(range(len(pieces)))
-        given = lambda ids, table: b"".join([table[t] for t in ids])
-        return [i for i, x in enumerate(raw) if given(a[i], self.a_bytes) == x == given(b[i], self.b_bytes)]
-
-    def split(self, text: str) -> list[str]:
-        """The pieces of a text, each without the space before it."""
-        if not self.cuts:
-            return [text]
-        return _CUT.split(text) if _UNCUT.search(text) else text.split(" ")
-
-
-def _in_runs(pieces: list[str], encode: Callable[[list[str]], list[list[int]]], begins: np.ndarray) -> list[list[int]]:
-    """The ids of each piece, of runs of pieces encoded as one text and cut at the tokens that begin with a space.
+        ends = np.cumsum([0, *map(len, raw)])
+        whole, given = b"".join(raw), []
+        for (flat, n), table, lengths in zip(sides, self.tables, self.lengths, strict=True):
+            upto = np.concatenate([[0], np.cumsum(lengths[flat])])[np.concatenate([[0], np.cumsum(n)])]
+            data = table.take(pa.array(flat)).buffers()[2]
+            given.append((data.to_pybytes()[: upto[-1]] if data else b"", upto))
+        # all at once: the same bytes in all, cut at the same places
+        if all(data == whole and np.array_equal(upto, ends) for data, upto in given):
+            return np.ones(len(pieces), dtype=bool)
+        return np.array([all(data[upto[i] : upto[i + 1]] == x for data, upto in given) for i, x in enumerate(raw)])
+
+    def split(self, texts: pa.Array) -> pa.ListArray:
+        """The pieces of each text, without the space before them; null or none for a null or empty text."""
+        odd = [i for i, t in enumerate(texts.to_pylist()) if t and (not self.cuts or _UNCUT.search(t))]
+        apart = np.arange(len(texts))
+        apart[odd] = len(texts) + np.arange(len(odd))
+        rest = pc.if_else(pa.array(apart < len(texts)), texts, pa.scalar(None, texts.type))
+        rest = pc.split_pattern(pc.if_else(pc.equal(rest, ""), pa.scalar(None, texts.type), rest), " ")
+        own = [_CUT.split(t) if self.cuts else [t] for t in texts.take(pa.array(odd, pa.int64())).to_pylist()]
+        return pa.concat_arrays([rest, pa.array(own, rest.type)]).take(pa.array(apart))
+
+
+def _in_runs(pieces: list[str], encode: Callable[[list[str]], list[list[int]]], begins: np.ndarray) -> _Ids:
+    """The ids of the pieces, of runs of pieces encoded as one text and cut at the tokens that begin with a space.
 
     A run whose pieces don't begin with just these tokens is encoded piece by piece.
     """
     runs = [pieces[i : i + RUN] for i in range(0, len(pieces), RUN)]
-    out: list[list[int]] = []
-    for run, ids in zip(runs, encode([" ".join(run) for run in runs]), strict=True):
-        cuts = np.flatnonzero(begins[ids]).tolist()
-        if len(cuts) == len(run) and not any(" " in piece or piece[:1].isspace() for piece in run):
-            out += [ids[i:j] for i, j in zip(cuts, [*cuts[1:], len(ids)], strict=True)]
+    texts = [" ".join(run) for run in runs]
+    flat, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for run, text, ids in zip(runs, texts, encode(texts), strict=True):
+        ids = np.array(ids, dtype=np.int64)
+        cuts = np.flatnonzero(begins[ids])
+        if len(cuts) == len(run) == text.count(" ") + 1 and not _LEADS.search(f" {text}"):
+            flat.append(ids[cuts[0] :])
+            n.append(np.diff(cuts, append=len(ids)))
         else:
-            out += encode(run)
-    return out
+            each = encode(run)
+            n.append(np.fromiter(map(len, each), np.int64, len(each)))
+            flat.append(np.fromiter(chain.from_iterable(each), np.int64, int(n[-1].sum())))
+    return np.concatenate(flat), np.concatenate(n)
 
 
 @cache
@@ -127,14 +139,6 @@ def _pair(a: str, b: str) -> _Pair:
     return _Pair(a, b)
 
 
-class _Numbers(dict):
-    """A number for each piece of a block, by first use."""
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        return n
-
-
 #: All overlaps: the B token in which each A token starts, and the B tokens that start inside an A token.
 _LINKS = """
 SELECT a.unit, a.id AS a, b.id AS b FROM a ASOF JOIN b ON b.s <= a.s
@@ -155,14 +159,12 @@ def _offsets(sorted_keys: np.ndarray, n: int) -> pa.Array:
     return pa.array(np.searchsorted(sorted_keys, np.arange(n + 1)).astype(np.int32))
 
 
-def _slice(units: np.ndarray, a: list[list[int]], b: list[list[int]], pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple[np.ndarray, pa.Table]:
+def _slice(units: np.ndarray, a: _Ids, b: _Ids, pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple[np.ndarray, pa.Table]:
     """Links (unit, a, b) and (n_a, n_b, n_groups, groups) of pieces, which lie one behind the other."""
     sides = []
-    for name, ids, lengths in (("a", a, pair.lengths[0]), ("b", b, pair.lengths[1])):
-        n = np.array([len(x) for x in ids], dtype=np.int64)
-        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum()))
+    for name, (flat, n), lengths in (("a", a, pair.lengths[0]), ("b", b, pair.lengths[1])):
         end = np.cumsum(lengths[flat])
-        own = np.repeat(np.arange(len(ids)), n)
+        own = np.repeat(np.arange(len(n)), n)
         db.register(name, pa.table({"unit": own, "id": flat, "s": end - lengths[flat], "e": end}))
         sides.append((n, flat, own))
     links = np.stack([c.to_numpy().astype(np.int32) for c in db.sql(_LINKS).to_arrow_table().columns])
@@ -182,19 +184,20 @@ def _slice(units: np.ndarray, a: list[list[int]], b: list[list[int]], pair: _Pai
     return links, pa.table({"unit": units, **counts, "groups": texts})
 
 
-def _align(pieces: list[str], pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple[np.ndarray, pa.Table]:
+def _align(pieces: pa.Array, pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple[np.ndarray, pa.Table]:
     """Links (unit, a, b), and what is known of the pieces whose tokens give back their bytes, by unit, the piece's number."""
     links, found = [np.zeros((3, 0), dtype=np.int32)], []
     for at in range(0, len(pieces), ENCODED):
-        some = pieces[at : at + ENCODED]
-        a, b = pair.encode(some)
-        fits = pair.fitting(some, a, b)
-        held = [len(a[i]) + len(b[i]) for i in fits]
-        upto, lo = np.cumsum(held), 0
-        while lo < len(fits):
-            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + TOKENS, "right")))
-            own = fits[lo:hi]
-            more, known = _slice(np.array(own) + at, [a[i] for i in own], [b[i] for i in own], pair, db)
+        some = pieces.slice(at, ENCODED).to_pylist()
+        sides = pair.encode(some)
+        fits = pair.fitting(some, sides)
+        sides = [(flat[np.repeat(fits, n)], n[fits]) for flat, n in sides]
+        units, ends = np.flatnonzero(fits) + at, [np.concatenate([[0], np.cumsum(n)]) for _, n in sides]
+        upto, lo = ends[0] + ends[1], 0
+        while lo < len(units):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + TOKENS, "right")) - 1)
+            own = [(flat[end[lo] : end[hi]], n[lo:hi]) for (flat, n), end in zip(sides, ends, strict=True)]
+            more, known = _slice(units[lo:hi], *own, pair, db)
             links.append(more)
             found.append(known)
             lo = hi
@@ -204,16 +207,18 @@ def _align(pieces: list[str], pair: _Pair, db: duckdb.DuckDBPyConnection) -> tup
 
 def _block(table: pa.Table, pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple[bytes, pa.Table]:
     """A block's documents, pieces and the places of their pairs, packed; and its pairs (a, b, n), by their places."""
-    of, docs = _Numbers(), []
-    for text in table.column("text"):
-        text = text.as_py()
-        parts = pair.split(text) if text else []
-        docs.append(np.fromiter(map(of.__getitem__, parts), np.int32, len(parts)))
-    (unit, a, b), pieces = _align(list(of), pair, db)
+    lists = pair.split(table.column("text").combine_chunks())
+    n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    of = lists.flatten().dictionary_encode()
+    units, of = of.indices.to_numpy(), of.dictionary
+    (unit, a, b), pieces = _align(of, pair, db)
     fits = np.zeros(len(of), dtype=bool)
     fits[pieces.column("unit").to_numpy()] = True
-    docs = [d if fits[d].all() else d[:0] for d in docs]
-    times = np.bincount(np.concatenate([np.zeros(0, np.int32), *docs]), minlength=len(of))
+    # a text with a piece that isn't given back has no tokens
+    doc, whole = np.repeat(np.arange(len(n)), n), np.ones(len(n), dtype=bool)
+    whole[doc[~fits[units]]] = False
+    units, n = units[whole[doc]], np.where(whole, n, 0)
+    times = np.bincount(units, minlength=len(of))
     # pieces are numbered anew, those that occur most first, so that the documents' numbers are small
     rank = np.empty(len(of), dtype=np.int32)
     rank[np.argsort(-times, kind="stable")] = np.arange(len(of))
@@ -221,15 +226,16 @@ def _block(table: pa.Table, pair: _Pair, db: duckdb.DuckDBPyConnection) -> tuple
     used = used[np.argsort(rank[unit[used]], kind="stable")]
     unit = unit[used]
     keys, place = np.unique(a[used].astype(np.int64) << 32 | b[used], return_inverse=True)
-    n = np.zeros(len(keys), dtype=np.int64)
-    np.add.at(n, place, times[unit])
-    rows = pa.table({"doc_id": table.column("doc_id"), "units": pa.array([rank[d] for d in docs], pa.list_(pa.int32()))})
+    counts = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(counts, place, times[unit])
+    ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    rows = pa.table({"doc_id": table.column("doc_id"), "units": pa.ListArray.from_arrays(ends, pa.array(rank[units]))})
     known = pieces.column("unit").to_numpy()
     n_links = np.bincount(unit, minlength=len(of))[known]
     pieces = pieces.set_column(0, "unit", pa.array(rank[known])).append_column("n_links", pa.array(n_links))
     pieces = pieces.take(pa.array(np.argsort(rank[known], kind="stable")))
     places = pa.table({"place": place.astype(np.int32)})  # those of each piece, one behind the other
-    return B.pack(rows) + B.pack(pieces) + B.pack(places), pa.table({"a": keys >> 32, "b": keys & 0xFFFFFFFF, "n": n})
+    return B.pack(rows) + B.pack(pieces) + B.pack(places), pa.table({"a": keys >> 32, "b": keys & 0xFFFFFFFF, "n": counts})
 
 
 def _stored(docs: DataFrame, a: str, b: str, id_col: str, text_col: str) -> DataFrame:
@@ -243,6 +249,8 @@ def _stored(docs: DataFrame, a: str, b: str, id_col: str, text_col: str) -> Data
                 payload, pairs = _block(table, _pair(a, b), db)
                 lists = [pa.array([pairs.column(c).to_numpy()], pa.list_(kind)) for c, kind in (("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64()))]
                 yield pa.RecordBatch.from_arrays([pa.array([next(ids)]), pa.array([payload], pa.binary()), *lists], names=["block", "payload", "a", "b", "n"])
+                del payload, pairs, lists
+                give_back()
 
     session(docs)
     rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))

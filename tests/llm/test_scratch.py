@@ -1,7 +1,11 @@
 from __future__ import annotations
 
+import glob
+import os
 import threading
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from millrace.llm import scratch
@@ -56,3 +60,18 @@ def test_tables_on_the_way_are_deleted(spark):
     assert sorted(r.x for r in found.collect()) == [3, 4, 5]
     with pytest.raises(Exception, match="(?i)not exist|not found"):
         inner[0].count()
+
+
+def test_large_rows_are_in_small_row_groups(spark):
+    def large(batches):
+        for batch in batches:
+            for i in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([i.as_py()]), pa.array([os.urandom(2 << 20)])], names=["id", "payload"])
+
+    with scratch.scope(spark):
+        path = scratch.write(spark.range(0, 40, 1, 1).mapInArrow(large, "id long, payload binary"), "large", "none")
+        assert spark.read.parquet(path).count() == 40
+        (file,) = glob.glob(f"{path.removeprefix('file:').replace('//', '/')}/*.parquet")
+        found = pq.ParquetFile(file).metadata
+        sizes = [found.row_group(i).total_byte_size for i in range(found.num_row_groups)]
+    assert sum(sizes) > 80 << 20 and max(sizes) < 24 << 20
