@@ -125,6 +125,23 @@ def test_text(spark):
     assert [r.text for r in sorted(pages.page_text(rows).collect())] == ["One two © three &lt;", None, ""]
 
 
+def test_references_cut_off_in_texts_stay_as_the_sql_has_them(spark, tmp_path):
+    import duckdb
+
+    from millrace.plans import queries as plans
+
+    ends = ["a&&amp", "a &lt", "a&", "&amp", "a&ampb;", "a &copy b", "a&amp;lt", "a&amp;&ampamp;"]
+    rows = [(2 * i + j, "http://h/", f"<title>{x}</title><p>{x}</p><p>{x}", "") for i, x in enumerate(ends) for j in (0, 1)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/pages.parquet")
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        for name in ("page_summary", "page_text", "repeated_texts"):
+            expected = db.execute(plans.oracle_sql()[name])
+            names = [c[0] for c in expected.description]
+            found = plans.queries()[name](spark, str(tmp_path)).select(*names).collect()
+            assert sorted(map(tuple, found)) == sorted(expected.fetchall()) and found, name
+
+
 def test_links_and_titles_in_any_form(spark):
     page = '<title lang="en">T</title><a class="k" href="/a">x</a><A HREF="/b"><a href=\'/c\'><!-- <a href="/no"> --><a name="n"><area href=d>'
     rows = spark.createDataFrame([(1, "http://h/x/y", page, "")], SCHEMA)
