@@ -3,14 +3,15 @@
 Events of a batch are first combined where they were read: those of a key within
 one stretch of time as long as the gap belong together, whatever comes later.  So a
 hot key sends a row for each such stretch of a task, not for each event.  The open sessions of
-a key are its state; a timer closes each once the watermark shows that nothing
-can join it any more.  What is older than the watermark is dropped and counted.
+a key are its state, one value, since each is asked of the state store by itself; a timer
+closes each session once the watermark shows that nothing can join it any more.  What is older than the watermark is dropped and counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,18 +20,23 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 #: The least setting of the state store that keyed state with timers needs.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_OPEN = "first long, last long, n long, total long"
+#: The open sessions of a key in order: four numbers of 64 bits each.
+_OPEN = "sessions binary"
+_NAMES = ["first", "last", "n", "total"]
 
 
 def merged(spans: list[list[int]], gap: int) -> list[list[int]]:
     """(first, last, n, total) of spans, joined where no more than ``gap`` lies between them."""
-    out: list[list[int]] = []
-    for first, last, n, total in sorted(spans):
-        if out and first - out[-1][1] <= gap:
-            out[-1] = [out[-1][0], max(out[-1][1], last), out[-1][2] + n, out[-1][3] + total]
-        else:
-            out.append([first, last, n, total])
-    return out
+    return _merged(np.array(spans, dtype=np.int64).reshape(-1, 4), gap).tolist()
+
+
+def _merged(spans: np.ndarray, gap: int) -> np.ndarray:
+    if len(spans) < 2:
+        return spans
+    first, last, n, total = spans[np.argsort(spans[:, 0], kind="stable")].T
+    last = np.maximum.accumulate(last)  # what begins a session begins behind all before it
+    begin = np.flatnonzero(np.append(True, first[1:] - last[:-1] > gap))
+    return np.column_stack([first[begin], last[np.append(begin[1:], len(first)) - 1], np.add.reduceat(n, begin), np.add.reduceat(total, begin)])
 
 
 def _combined(gap: int):
@@ -56,33 +62,34 @@ class Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", _OPEN)
+        self.open = handle.getValueState("open", _OPEN)
 
-    def _sessions(self) -> list[list[int]]:
-        return [list(row) for row in self.open.get()] if self.open.exists() else []
+    def _sessions(self) -> np.ndarray:
+        kept = self.open.get()
+        return np.frombuffer(kept[0] if kept else b"", dtype=np.int64).reshape(-1, 4)
 
-    def _keep(self, sessions: list[list[int]]) -> None:
+    def _keep(self, sessions: np.ndarray) -> None:
         """Keep the open sessions of the key, with a timer at which the first of them may close."""
-        if sessions:
-            self.open.put([tuple(s) for s in sessions])
-            self.handle.registerTimer((min(last for _, last, *_ in sessions) + self.gap) // 1000 + 1)
+        if len(sessions):
+            self.open.update((sessions.tobytes(),))
+            self.handle.registerTimer((int(sessions[:, 1].min()) + self.gap) // 1000 + 1)
         else:
             self.open.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        spans = self._sessions()
-        for frame in rows:
-            spans += frame[["first", "last", "n", "total"]].astype("int64").to_numpy().tolist()
-        self._keep(merged(spans, self.gap))
+        spans = [frame[_NAMES].to_numpy(np.int64) for frame in rows]
+        self._keep(_merged(np.concatenate([self._sessions(), *spans]), self.gap))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         sessions = self._sessions()
-        closed = [s for s in sessions if s[1] + self.gap < now]
-        self._keep([s for s in sessions if s[1] + self.gap >= now])
-        if closed:  # else the session that the timer was for has grown meanwhile
-            yield pd.DataFrame([(*key, *s) for s in closed], columns=["key", "first", "last", "n", "total"])
+        closed = sessions[:, 1] + self.gap < now
+        self._keep(sessions[~closed])
+        if closed.any():  # else the session that the timer was for has grown meanwhile
+            found = pd.DataFrame(sessions[closed], columns=_NAMES)
+            found.insert(0, "key", key[0])
+            yield found
 
     def close(self) -> None:
         pass

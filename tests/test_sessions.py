@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,35 @@ def test_equal_to_the_sessions_of_all_rows(stream):
         own = [[s, s, 1, int(v)] for k, s, v in rows if k == key]
         expected += [(key, *s) for s in sessions.merged(own, GAP)]
     assert (found, late) == (sorted(expected), 0) and len(found) > 60
+
+
+def test_all_open_sessions_of_a_key_are_one_value_of_state():
+    calls = []
+
+    class Value:
+        kept = None
+
+        def get(self):
+            calls.append("get")
+            return self.kept
+
+        def update(self, value):
+            calls.append("update")
+            self.kept = value
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return Value()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(at)
+
+    processor, hours = sessions.Sessions(GAP * 10**6), 3600 * 10**6
+    processor.init(Handle())
+    frame = pd.DataFrame({"first": [i * hours for i in range(500)], "last": [i * hours + 1 for i in range(500)], "n": 1, "total": range(500)})
+    assert list(processor.handleInputRows(("a",), iter([frame[250:], frame[:250]]), None)) == []
+    assert calls == ["get", "update", GAP * 1000 + 1]
+    now = SimpleNamespace(getCurrentWatermarkInMs=lambda: 400 * hours // 1000)
+    (closed,) = processor.handleExpiredTimer(("a",), now, None)
+    assert closed.columns.tolist() == ["key", "first", "last", "n", "total"] and closed.key.tolist() == ["a"] * 400
+    assert closed.total.tolist() == list(range(400)) and len(calls) == 6
