@@ -27,6 +27,8 @@ import numpy as np
 BLOCK = 1 << 14
 #: Lanes that go in lockstep, at most.
 LANES = 512
+#: Ids of a block of a short call, at least, and lanes that it is to have.
+SHORT, FEW = 1 << 10, 64
 #: Ids between two tables of order 0, at most.
 STEP = 512
 MAGIC = b"MRT2"
@@ -238,6 +240,11 @@ def _ranked(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return known, rank.take(ids)
 
 
+def block_for(n: int) -> int:
+    """Ids of a block in a call with n of them: a call of few ids takes shorter blocks, since a step costs as much for few lanes."""
+    return min(BLOCK, max(SHORT, -(-n // FEW)))
+
+
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     """Ids (unsigned, below 2**30) as blocks with checksums."""
     ids = np.ascontiguousarray(ids, dtype="<u4")

@@ -52,7 +52,7 @@ def write_token_file(
             index = pa.table({"doc_id": pa.array(docs, pa.int64()), "n": pa.array([len(x) // 4 for x in ids], pa.int64())})
             whole = np.frombuffer(b"".join(ids), "<u4")
             ids.clear()
-            coded = rangecoder.encode(whole)
+            coded = rangecoder.encode(whole, rangecoder.block_for(len(whole)))
             row = (shard, chunk, held, B.pack(index), coded)
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)

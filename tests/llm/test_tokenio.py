@@ -150,3 +150,23 @@ def test_ranges_of_a_file(spark, unique, monkeypatch):
         found = sorted((r.start, bytes(r.ids)) for r in tokenio.read_range(spark, path, start, stop).collect())
         assert b"".join(ids for _, ids in found) == raw[4 * start : 4 * stop]
         assert [s for s, _ in found] == [start + sum(len(x) // 4 for _, x in found[:i]) for i in range(len(found))]
+
+
+def test_small_parts_go_in_many_lanes(spark):
+    """A part of few ids costs by its ids: its steps are not those of a whole block."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"word{x}" for x in rng.integers(0, 500, 400))) for i in range(60)]
+    path = new_path(spark, "tokens")
+    tokenio.write_token_file(spark.createDataFrame(rows, "doc_id long, text string"), path, TOKENIZER)
+    parts = spark.read.parquet(path).collect()
+    assert max(r.n_ids for r in parts) > 4 * rangecoder.SHORT
+    for r in parts:
+        lanes, block = np.frombuffer(r.blocks, "<u4", 2, 4).tolist()
+        assert block == rangecoder.SHORT and lanes == -(-r.n_ids // block)
+    found = tokenio.read_token_file(spark, path).collect()
+    assert sorted((r.doc_id, r.start, np.frombuffer(r.ids, "<u4").tolist()) for r in found) == expected(rows)
+
+
+def test_block_lengths():
+    n = [0, 1, 40_000, 65_536, 100_000, 1 << 20, 1 << 23]
+    assert [rangecoder.block_for(x) for x in n] == [1024, 1024, 1024, 1024, 1563, 16384, 16384]
