@@ -170,3 +170,56 @@ def test_small_parts_go_in_many_lanes(spark):
 def test_block_lengths():
     n = [0, 1, 40_000, 65_536, 100_000, 1 << 20, 1 << 23]
     assert [rangecoder.block_for(x) for x in n] == [1024, 1024, 1024, 1024, 1563, 16384, 16384]
+
+
+def test_long_blocks_go_in_few_steps(monkeypatch):
+    """A step of the coder costs by its calls: the ways of a long block share it, in both directions, and the model."""
+    rng, steps = np.random.default_rng(9), []
+    ids = np.minimum(rng.zipf(1.3, 3 * rangecoder.BLOCK - 5), 50000).astype(np.uint32)
+    predict = rangecoder._Model.predict
+    monkeypatch.setattr(rangecoder._Model, "predict", lambda self: (steps.append(1), predict(self))[1])
+    coded = rangecoder.encode(ids)
+    assert (rangecoder.decode(coded) == ids).all()
+    assert 0 < len(steps) <= 2 * rangecoder.BLOCK // 16
+
+
+@pytest.mark.parametrize("block", [1, 2, 511, 1024, 1025, 1563, 5000, 16383, 16384])
+def test_ways_of_any_block(block):
+    rng = np.random.default_rng(block)
+    n = min(3 * block + block // 3 + 1, 40_000)
+    for ids in (np.minimum(rng.zipf(1.2, n), 3000), np.zeros(n), np.arange(n) % 40, rng.integers(0, 60_000, n)):
+        ids = ids.astype(np.uint32)
+        coded = rangecoder.encode(ids, block)
+        assert (rangecoder.decode(coded) == ids).all()
+        for start, stop in [(0, 1), (block - 1, block + 1), (n // 2, n // 2 + 3), (n - 1, n)]:
+            assert (rangecoder.decode_range(coded, start, stop) == ids[max(0, start) : stop]).all()
+
+
+def test_short_words_for_very_many_distinct_ids():
+    rng = np.random.default_rng(5)
+    ids = np.repeat(rng.choice(1 << 30, 150_000, replace=False), rng.integers(1, 3, 150_000)).astype(np.uint32)
+    rng.shuffle(ids)
+    assert (rangecoder.decode(rangecoder.encode(ids)) == ids).all()
+
+
+def test_order_0_keeps_something_whatever_is_right():
+    """Weights and places stay above zero, and within their sums, after a block in which one order is always right."""
+    table = np.zeros((4, 2), dtype=np.uint32)
+    model = rangecoder._Model(2, 1, 5, None, table, True)
+    for right in ([1 << 22, 0, 0], [0, 1 << 22, 0], [0, 0, 1 << 22], [0, 1 << 21, 1 << 21]):
+        model.credits = np.tile(np.array([(8, b, a) for a in (0, 4, 8, 16) for b in (0, 2, 4, 8)]), (2, 1))
+        model.credits[[3, 15, 17]] += right
+        model.weigh()
+        weight = model.weight.reshape(-1, 4)[:, 0]
+        assert weight.min() > 0 and (model.begin.reshape(-1, 4)[:, 0] + (weight << model.bits) == 1 << int(model.total)).all()
+    model.prior = np.array([1, 1, 1 << 30, 1, 1])
+    model.cumulate()
+    assert (np.diff(model.cumulated) > 0).all() and (model.cumulated[:, -1] == 1 << model.bits).all()
+
+
+def test_a_block_adapts_order_0():
+    """Ids that a call has rarely and a block often: the block's own counts make up for it."""
+    rng = np.random.default_rng(6)
+    own = [100 * k + rng.integers(0, 100, rangecoder.BLOCK) for k in range(8)]
+    apart, mixed = np.concatenate(own), rng.permutation(np.concatenate(own))
+    assert len(rangecoder.encode(apart)) < 0.92 * len(rangecoder.encode(mixed))
