@@ -34,7 +34,7 @@ SHORT, FEW = 1 << 10, 64
 #: Ids of a way, at least.
 WAY = 1 << 9
 #: Ids between two tables of weights, at most.
-STEP = 512
+STEP = 1024
 #: Ids before which order 0 is counted anew, first; then whenever they have doubled.
 COUNTED = 2048
 MAGIC = b"MRT3"
