@@ -47,6 +47,7 @@ def write_token_file(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chunk = TaskContext.get().partitionId(), 0
         docs, ids, held = [], [], 0
+        own = encoder(tokenizer, wider=1)
 
         def full() -> pa.RecordBatch:
             index = pa.table({"doc_id": pa.array(docs, pa.int64()), "n": pa.array([len(x) // 4 for x in ids], pa.int64())})
@@ -59,7 +60,7 @@ def write_token_file(
 
         for batch in batches:
             texts = (t.as_py() for t in batch.column(1))
-            for doc, found in zip(batch.column(0).to_pylist(), encoder(tokenizer).encode(texts), strict=True):
+            for doc, found in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
                 if docs and held + len(found) // 4 + 1 > CHUNK:
                     yield full()
                     chunk, docs, ids, held = chunk + 1, [], [], 0

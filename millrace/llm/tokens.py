@@ -31,9 +31,10 @@ _WIDE_SPACE = [0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380]
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts."""
+    """Little-endian unsigned 32-bit ids of texts; the memory of pieces is doubled ``wider`` times."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, wider: int = 0):
+        self.slots, self.kept, self.kept_long = SLOTS + wider, KEPT << wider, KEPT_LONG << wider
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -53,14 +54,14 @@ class Encoder:
 
     def _forget(self) -> None:
         kinds = (np.uint64, np.uint64, np.uint8, np.int32, np.uint8)
-        self.low, self.high, self.length, self.start, self.size = (np.zeros(1 << SLOTS, dtype=kind) for kind in kinds)
-        self.ids, self.held = np.zeros(KEPT + (KEPT >> 2), dtype=np.uint32), 0
+        self.low, self.high, self.length, self.start, self.size = (np.zeros(1 << self.slots, dtype=kind) for kind in kinds)
+        self.ids, self.held = np.zeros(self.kept + (self.kept >> 2), dtype=np.uint32), 0
         self.long: dict[bytes, tuple[int, int]] = {}
 
     def release(self) -> None:
         """Forget all pieces and give their memory back."""
         self.low, self.high, self.length, self.start, self.size, self.ids = (np.zeros(0, dtype=np.uint8) for _ in range(6))
-        self.long, self.held = {}, KEPT + 1
+        self.long, self.held = {}, self.kept + 1
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -125,12 +126,12 @@ class Encoder:
         for i in whole.tolist():
             skip[first[i] : first[i + 1]] = True
 
-        if self.held > KEPT or len(self.long) > KEPT_LONG:
+        if self.held > self.kept or len(self.long) > self.kept_long:
             self._forget()
         # a piece of up to 16 bytes is all of (low, high, length)
         low, high = first_bytes(data, starts, length), first_bytes(data, starts + 8, np.maximum(length - 8, 0))
         short = length <= 16
-        slot = (mix(low, high + length.astype(np.uint64)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+        slot = (mix(low, high + length.astype(np.uint64)) >> np.uint64(64 - self.slots)).astype(np.int64)
         size = self.size.take(slot)
         known = short & (size > 0) & (self.low.take(slot) == low) & (self.high.take(slot) == high) & ~skip
         known &= self.length.take(slot) == length
@@ -160,7 +161,7 @@ class Encoder:
                 self.size[own] = np.where(sizes[of] < 256, sizes[of], 0)  # a piece of more ids isn't remembered
                 self.long |= {n: x for n, x in found.items() if len(n) <= LONG}
             else:  # a run of more new ids than there is room for
-                self.held = KEPT + 1
+                self.held = self.kept + 1
         else:
             of_long = [self.long[n] for n in names]
         if len(long):
@@ -184,14 +185,14 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary file, one for each worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, wider: int = 0) -> Encoder:
+    """The encoder of a vocabulary file, one for each worker and width of its memory."""
+    if (path, wider) not in _ENCODERS:
+        _ENCODERS[path, wider] = Encoder(path, wider)
+    return _ENCODERS[path, wider]
 
 
 def release() -> None:

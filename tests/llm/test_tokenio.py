@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from millrace.llm import rangecoder, tokenio
+from millrace.llm import rangecoder, tokenio, tokens
 from millrace.llm.scratch import new_path
 from millrace.llm.tokens import Encoder
 
@@ -223,3 +223,19 @@ def test_a_block_adapts_order_0():
     own = [100 * k + rng.integers(0, 100, rangecoder.BLOCK) for k in range(8)]
     apart, mixed = np.concatenate(own), rng.permutation(np.concatenate(own))
     assert len(rangecoder.encode(apart)) < 0.92 * len(rangecoder.encode(mixed))
+
+
+def test_a_wider_memory_of_pieces_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(tokens, "KEPT", 600)
+    monkeypatch.setattr(tokens, "SLOTS", 8)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}x" for x in rng.integers(0, 150, 50)) for _ in range(40)]
+    narrow, wide = Encoder(TOKENIZER), Encoder(TOKENIZER, wider=3)
+    library, fresh = Tokenizer.from_file(TOKENIZER), []
+    for own in (narrow, wide):
+        asked, of = [], own._fresh
+        monkeypatch.setattr(own, "_fresh", lambda p, asked=asked, of=of: (asked.extend(p), of(p))[1])
+        for t in texts:
+            assert np.frombuffer(next(own.encode([t])), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        fresh.append(len(asked))
+    assert fresh[1] < fresh[0]
